@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packed_output, packing
+from . import ann_blocks, bpe, langid, packed_output, packing, url_trust
 from .byte_tokens import read_vocabulary
 from .shared import table
 
@@ -17,6 +18,14 @@ def _tokenizer(name: str) -> str:
     return read_vocabulary(public_tokenizers.path(name))
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_blocks.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_packed_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_output.manifest(packed_output.write_matrices(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
 
@@ -29,10 +38,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
 
 
+def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judged(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
+    "op2_langid": op2_langid,
     "op5_packed_output": op5_packed_output,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
+    "op10_url_trust": op10_url_trust,
 }
 
 SQL: dict[str, str] = {}
