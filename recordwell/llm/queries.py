@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_blocks, bpe, langid, packed_output, packing, url_trust
+from . import ann_blocks, bpe, html_extract, langid, packed_output, packing, quality_rules, url_trust
 from .byte_tokens import read_vocabulary
 from .shared import table
 
@@ -38,6 +38,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.scored(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judged(table(spark, sf_dir, "pages"))
 
@@ -48,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packed_output": op5_packed_output,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
+    "op8_html_extract": op8_html_extract,
+    "op9_quality": op9_quality,
     "op10_url_trust": op10_url_trust,
 }
 
