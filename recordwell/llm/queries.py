@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_blocks, bpe, html_extract, langid, packed_output, packing, quality_rules, url_trust
+from . import ann_blocks, bpe, html_extract, langid, minhash, packed_output, packing, quality_rules, url_trust
 from .byte_tokens import read_vocabulary
 from .shared import table
 
@@ -26,6 +26,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op5_packed_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_output.manifest(packed_output.write_matrices(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
 
@@ -54,6 +58,7 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_langid": op2_langid,
+    "op3_minhash": op3_minhash,
     "op5_packed_output": op5_packed_output,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
