@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_blocks, bpe, html_extract, langid, minhash, packed_output, packing, quality_rules, url_trust
+from . import ann_blocks, bpe, hnsw, html_extract, langid, minhash, packed_output, packing, quality_rules, url_trust
 from .byte_tokens import read_vocabulary
 from .shared import table
 
@@ -30,6 +30,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packed_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_output.manifest(packed_output.write_matrices(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_langid": op2_langid,
     "op3_minhash": op3_minhash,
+    "op4_hnsw": op4_hnsw,
     "op5_packed_output": op5_packed_output,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
