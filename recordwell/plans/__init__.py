@@ -1,0 +1,21 @@
+"""Named queries over the sample tables, with SQL twins."""
+
+from __future__ import annotations
+
+
+def all_queries() -> dict:
+    _load()
+    from .registry import QUERIES
+
+    return dict(QUERIES)
+
+
+def all_sql() -> dict[str, str]:
+    _load()
+    from .registry import SQL
+
+    return dict(SQL)
+
+
+def _load() -> None:
+    from . import record_queries  # noqa: F401
