@@ -23,3 +23,10 @@ def ship(spark: SparkSession) -> None:
             archive.write(source, Path(top.name) / source.relative_to(top))
     context.addPyFile(str(target))
     _shipped.add(context.applicationId)
+
+
+def ensure_checkpoint(spark: SparkSession) -> None:
+    """Use the folder that the cluster names for checkpoints; a local one only where none is set."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recordwell-"))

@@ -24,6 +24,10 @@ def _times(tokens: Column, word: str) -> Column:
     return F.least(F.size(F.filter(tokens, lambda t: t == word)), F.lit(3))
 
 
+def _starts(tokens: Column, word: str) -> Column:
+    return F.exists(tokens, lambda t: t.startswith(word))
+
+
 def search_records(df: DataFrame, text: str, parts: list[tuple[str, str, Column]], identities: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """Rows with a `score` over 0. parts: (name, kind, text). Per word: weight times up to three occurrences, else half the
     weight for a word that starts so; the phrase twice the weight; an equal identity 20; all words found 5."""
@@ -38,7 +42,7 @@ def search_records(df: DataFrame, text: str, parts: list[tuple[str, str, Column]
         weight, t = RECORD_WEIGHTS[kind], F.col(f"w_{name}")
         for w in asked:
             exact = _times(t, w)
-            starts = F.exists(t, lambda x, w=w: x.startswith(w)) if len(w) >= 2 else F.lit(False)
+            starts = _starts(t, w) if len(w) >= 2 else F.lit(False)
             found[w].append((exact > 0) | starts)
             scores.append(F.when(exact > 0, exact * weight * 10).when(starts, F.lit(weight * 5)).otherwise(0))
         if len(phrase_words) > 1:
@@ -82,7 +86,7 @@ def facets(df: DataFrame, fields: list[str]) -> DataFrame:
 def snippet(body: Column, asked: list[str], most: int = 200) -> Column:
     """The line that holds most of the words (the first of equals), cut to `most` characters."""
     lines = F.transform(F.split(body, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
-    score = lambda line: reduce(add, (F.when(F.exists(words(line), lambda t, w=w: t.startswith(w)), 1).otherwise(0) for w in asked))
+    score = lambda line: reduce(add, (F.when(_starts(words(line), w), 1).otherwise(0) for w in asked))
     ranked = F.transform(lines, lambda x, k: F.struct(score(x).alias("s"), (-k).alias("k"), x.alias("line")))
     best = F.array_max(ranked)
     line = F.when(best.s > 0, best.line).otherwise("")
