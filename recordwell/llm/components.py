@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import sized, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Hang each vertex's neighbours on the least of them: the larger ones (large), or the smaller ones and itself."""
     both = edges.union(edges.select("v", "u")) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    joined = both.join(least, "u")
+    # Written first: the join's sides then are plain shuffles, so a hub's rows can be split among tasks.
+    least = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
+    joined = both.join(sized(least), "u")
     if large:
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
