@@ -30,3 +30,12 @@ def ensure_checkpoint(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recordwell-"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where driver and executors both can write."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = tempfile.mkdtemp(prefix="recordwell-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")

@@ -59,7 +59,7 @@ def parse_list(text: Column) -> Column:
     """A JSON array or a text cut at commas, semicolons or bars; blanks and repeats go."""
     t = F.trim(text)
     split = F.when(t.startswith("["), F.from_json(t, "array<string>")).otherwise(F.split(t, r"\s*[,;|]\s*"))
-    return F.array_distinct(F.filter(F.transform(split, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(split, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def size_text(bytes_: Column) -> Column:
