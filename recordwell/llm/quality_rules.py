@@ -130,6 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleEnsembl
     if not len(y) or y.min() == y.max():
         return RuleEnsemble([], [], 0.0 if not len(y) else 4.0 * (2 * y[0] - 1))
     rules = grow(x, y)
+    if not rules:  # too few labels to split
+        return RuleEnsemble([], [], float(np.log(y.mean() / (1 - y.mean()))))
     r = np.stack([holds(rule, x) for rule in rules], axis=1).astype(float)
     strength = 3e-4
     while True:
