@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..context import Context
+from .text import let
 
 GRAINS = "DAY WEEK MONTH QUARTER YEAR DAY_OF_WEEK MONTH_OF_YEAR QUARTER_OF_YEAR".split()
 
@@ -50,22 +51,33 @@ def parse_day(text: Column, slash_order: str | None = None) -> Column:
 
     Two-digit years from 30 on are of the last century. rule is date or ambiguous-date where no day is found.
     """
-    t = F.trim(text)
     iso, dotted, reverse, slash = (r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[T ].*)?$", r"^(\d{1,2})\.(\d{1,2})\.(\d{2}|\d{4})$", r"^(\d{4})[./](\d{1,2})[./](\d{1,2})$", r"^(\d{1,2})/(\d{1,2})/(\d{2}|\d{4})$")
-    part = lambda pattern, k: F.nullif(F.regexp_extract(t, pattern, k), F.lit("")).cast("int")
-    year = lambda y: F.when(y >= 100, y).when(y < 30, y + 2000).otherwise(y + 1900)
-    made = lambda y, m, d: F.try_to_date(F.concat_ws("-", F.lpad(year(y).cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd")
-    first, second = part(slash, 1), part(slash, 2)
     order = (slash_order or "").upper()
-    day_first = F.lit(order == "DMY") | (first > 12)
-    clear = F.lit(order in ("DMY", "MDY")) | (first > 12) | (second > 12) | (first == second)
-    by_slash = F.when(clear, F.when(day_first, made(part(slash, 3), second, first)).otherwise(made(part(slash, 3), first, second)))
-    day = F.coalesce(
-        F.when(t.rlike(iso), made(part(iso, 1), part(iso, 2), part(iso, 3))), F.when(t.rlike(dotted), made(part(dotted, 3), part(dotted, 2), part(dotted, 1))),
-        F.when(t.rlike(reverse), made(part(reverse, 1), part(reverse, 2), part(reverse, 3))), F.when(t.rlike(slash), by_slash),
-    )
-    rule = F.when(day.isNotNull() | t.isNull() | (t == ""), F.lit(None)).when(t.rlike(slash) & ~clear, "ambiguous-date").otherwise("date")
-    return F.struct(day.alias("day"), rule.alias("rule"))
+    two = lambda x: F.lpad(x, 2, "0")
+    year = lambda y: F.when(F.length(y) == 4, y).when(y < "30", F.concat(F.lit("20"), y)).otherwise(F.concat(F.lit("19"), y))
+    made = lambda y, m, d: F.try_to_date(F.concat_ws("-", year(y), two(m), two(d)), "yyyy-MM-dd")
+
+    def parts(t: Column, pattern: str, use) -> Column:
+        """use(first, second, third) where the pattern fits."""
+        cut = F.split(F.regexp_replace(t, pattern, "$1-$2-$3"), "-")
+        return F.when(t.rlike(pattern), let(cut, lambda p: use(F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(p, F.lit(2)))))
+
+    def slashed(a: Column, b: Column, c: Column) -> Column:
+        first, second = a.cast("int"), b.cast("int")
+        day_first = F.lit(order == "DMY") | ((first > 12) & F.lit(order != "MDY"))
+        clear = F.lit(order in ("DMY", "MDY")) | (first > 12) | (second > 12) | (first == second)
+        return F.struct(F.when(clear, F.when(day_first, made(c, b, a)).otherwise(made(c, a, b))).alias("day"), clear.alias("clear"))
+
+    def read(t: Column) -> Column:
+        day = F.coalesce(parts(t, iso, made), parts(t, dotted, lambda d, m, y: made(y, m, d)), parts(t, reverse, made))
+        return let(F.struct(day.alias("d"), F.when(day.isNull(), parts(t, slash, slashed)).alias("s")), lambda x: judged(t, x))
+
+    def judged(t: Column, x: Column) -> Column:
+        found, s = F.coalesce(x.getField("d"), x.getField("s").getField("day")), x.getField("s")
+        rule = F.when(found.isNotNull() | t.isNull() | (t == ""), F.lit(None)).when(s.isNotNull() & ~s.getField("clear"), "ambiguous-date").otherwise("date")
+        return F.struct(found.alias("day"), rule.alias("rule"))
+
+    return let(F.trim(text), read)
 
 
 def to_instant(local: Column, context: Context) -> Column:

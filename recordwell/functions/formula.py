@@ -277,7 +277,7 @@ def _literal(text: Column) -> Column:
 
 
 def _get(c: _Compiler, a: list[Typed]) -> Typed:
-    found = F.get_json_object(a[0].column, F.concat(F.lit("$."), a[1].column))
+    found = F.call_function("get_json_object", a[0].column, F.concat(F.lit("$."), a[1].column))
     return Typed(F.coalesce(found, a[2].column.cast("string")) if len(a) > 2 else found, "text")
 
 

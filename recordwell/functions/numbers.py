@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 NUMBER = "decimal(38,10)"
 #: Words for true and false in tables.
 TRUE_WORDS = "1 true yes y ja j wahr x on oui".split()
@@ -15,17 +17,19 @@ CURRENCY_SIGNS = {"€": "EUR", "$": "USD", "£": "GBP", "CHF": "CHF", "Fr.": "C
 
 def parse_number(text: Column, point: str = ".") -> Column:
     """A struct (number, rule): grouped digits, signs before or after, brackets for negatives, exponents. point: the decimal mark."""
-    group = r"[.'\s  ]" if point == "," else r"[,'\s  ]"
-    t = F.trim(text)
-    negative = t.rlike(r"^\(.*\)$") | t.rlike(r"^[-−]") | t.rlike(r"[-−]$")
-    bare = F.regexp_replace(t, r"^[(+\-−]\s*|\s*[)\-−]$", "")
+    group = r"[.'\s\u00a0\u202f]" if point == "," else r"[,'\s\u00a0\u202f]"
     mark = r"\." if point == "." else ","
     shape = rf"^(?:\d+|\d{{1,3}}(?:{group}\d{{3}})+)(?:{mark}\d+)?(?:[eE][+-]?\d+)?$|^{mark}\d+$"
-    plain = F.regexp_replace(F.regexp_replace(bare, group, ""), mark, ".")
-    number = F.when(bare.rlike(shape), F.coalesce(plain.try_cast(NUMBER), plain.try_cast("double").try_cast(NUMBER)))
-    number = F.when(negative, -number).otherwise(number)
-    none = t.isNull() | (t == "")
-    return F.struct(F.when(~none, number).alias("number"), F.when(~none & number.isNull(), "number").alias("rule"))
+
+    def read(t: Column) -> Column:
+        return let(F.regexp_replace(t, r"^[(+\-−]\s*|\s*[)\-−]$", ""), lambda bare: F.when(bare.rlike(shape), let(F.regexp_replace(F.regexp_replace(bare, group, ""), mark, "."), lambda x: F.coalesce(x.try_cast(NUMBER), x.try_cast("double").try_cast(NUMBER)))))
+
+    def whole(t: Column) -> Column:
+        none = t.isNull() | (t == "")
+        signed = lambda n: F.when(t.rlike(r"^\(.*\)$|^[-−]|[-−]$"), -n).otherwise(n)
+        return let(F.when(~none, read(t)), lambda n: F.struct(signed(n).alias("number"), F.when(~none & n.isNull(), "number").alias("rule")))
+
+    return let(F.trim(text), whole)
 
 
 def decimal_point(texts: Column) -> Column:
@@ -37,15 +41,20 @@ def decimal_point(texts: Column) -> Column:
 
 def parse_money(text: Column, point: str = ".", default_code: str | None = None) -> Column:
     """A struct (amountMicros, currencyCode, rule): a code or sign before or after the number."""
-    t = F.trim(text)
-    code = F.nullif(F.regexp_extract(t, r"(?:^|[\s\d])([A-Z]{3})(?:$|[\s\d])", 1), F.lit(""))
-    for sign, meant in CURRENCY_SIGNS.items():
-        code = F.coalesce(code, F.when(t.contains(sign), meant))
-    left = F.regexp_replace(t, r"[A-Z]{3}|zł|kr|Fr\.|[€$£¥]", "")
-    parsed = parse_number(left, point)
-    micros = F.when(parsed.number == F.round(parsed.number, 6), (parsed.number * 1_000_000).try_cast("long"))
-    bad = parsed.rule.isNotNull() | (parsed.number.isNotNull() & micros.isNull())
-    return F.struct(micros.alias("amountMicros"), F.coalesce(code, F.lit(default_code)).alias("currencyCode"), F.when(bad, "currency").alias("rule"))
+
+    def read(t: Column) -> Column:
+        code = F.nullif(F.regexp_extract(t, r"(?:^|[\s\d])([A-Z]{3})(?:$|[\s\d])", 1), F.lit(""))
+        code = F.coalesce(code, *(F.when(t.contains(sign), meant) for sign, meant in CURRENCY_SIGNS.items()), F.lit(default_code))
+        amount = parse_number(F.regexp_replace(t, r"[A-Z]{3}|zł|kr|Fr\.|[€$£¥]", ""), point)
+        return let(F.struct(code.alias("code"), amount.alias("p")), money)
+
+    def money(x: Column) -> Column:
+        n = x.getField("p").getField("number")
+        micros = F.when(n == F.round(n, 6), (n * 1_000_000).try_cast("long"))
+        bad = x.getField("p").getField("rule").isNotNull() | (n.isNotNull() & (n != F.round(n, 6)))
+        return F.struct(micros.alias("amountMicros"), x.getField("code").alias("currencyCode"), F.when(bad, "currency").alias("rule"))
+
+    return let(F.trim(text), read)
 
 
 def parse_bool(text: Column) -> Column:

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def casefold(text: Column) -> Column:
     """Caseless form: lower case, with sharp s as ss. exact_fold covers the rest of Unicode."""
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
