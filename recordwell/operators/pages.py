@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEAD = r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?"
-_entry = r"(?m)^([A-Za-z_][\w-]*):[ \t]*(.*?)[ \t]*$((?:\n[ \t]*-[ \t]+.*$)*)"
+_entry = r"(?m)^([A-Za-z_][\w.-]*):[ \t]*(.*?)[ \t]*$((?:\n[ \t]*-[ \t]+.*$)*)"
 
 
 def parsed(df: DataFrame, text: str = "text") -> DataFrame:
@@ -127,7 +127,7 @@ def claims(df: DataFrame, body: str = "body") -> DataFrame:
     each = df.select("path", F.explode(F.regexp_extract_all(F.col(body), F.lit(CLAIM), F.lit(0))).alias("c"))
     attribute = lambda n: F.nullif(F.regexp_extract(F.regexp_extract("c", CLAIM, 1), rf'\b{n}\s*[=:]\s*"?([^"\s]+)', 1), F.lit(""))
     listed = lambda n: F.split(attribute(n), ",")
-    return each.select("path", attribute("id").alias("claim_id"), attribute("kind").alias("kind"), attribute("status").alias("status"), listed("sources").alias("sources"), listed("replaces").alias("replaces"), listed("contradicts").alias("contradicts"), F.trim(F.regexp_extract("c", CLAIM, 2)).alias("text"))
+    return each.select("path", attribute("id").alias("claim_id"), attribute("kind").alias("kind"), attribute("status").alias("status"), listed("sources").alias("sources"), listed("replaces").alias("replaces"), listed("contradicts").alias("contradicts"), F.regexp_replace(F.regexp_extract("c", CLAIM, 2), r"^\s+|\s+$", "").alias("text"))
 
 
 def trust_tier(reviewer: Column) -> Column:

@@ -18,7 +18,7 @@ EVENT = "event_id string, at timestamp, actor string, op string, object string,
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, data, is_list, body, bad_lines) of Markdown files below a folder."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
     relative = F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + re.escape(path.rstrip("/").rsplit("/", 1)[-1]) + "/", "")
     return parsed(files.select(relative.alias("path"), F.col("value").alias("text")))
 
@@ -52,6 +52,11 @@ def read_events(spark: SparkSession, path: str, stream: bool = False) -> DataFra
     return rows.withColumn("changes", F.transform_values("changes", pair))
 
 
+#: What the older Windows encoding has where ISO 8859-1 has control characters.
+WINDOWS = "".join(bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+LATIN_1 = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+
+
 def sniff_table(head: str) -> dict[str, str]:
     """Delimiter and header of a text table by its first lines: sep= lines count, else the delimiter whose columns are steadiest."""
     lines = head.splitlines()
@@ -81,13 +86,15 @@ def unique_headers(names: list[str]) -> list[str]:
 def read_table(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """A delimited text table, all columns text, with row_no in file order and `broken` for rows of the wrong width."""
     head = "\n".join(r.value for r in spark.read.text(path).limit(50).collect())
-    if encoding is None:
-        encoding = "windows-1252" if "�" in head else "UTF-8"
+    old = encoding is None and "�" in head
+    encoding = encoding or ("ISO-8859-1" if old else "UTF-8")
     how = sniff_table(head)
     first = head.splitlines()[int(how["skip"])] if head else ""
     names = unique_headers(next(csv.reader([first.lstrip("﻿")], delimiter=how["sep"]), []))
     schema = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField("_broken", T.StringType())])
     rows = spark.read.schema(schema).option("sep", how["sep"]).option("header", how["skip"] == "0").option("multiLine", True).option("encoding", encoding).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").csv(path)
+    if old:
+        rows = rows.select(*(F.translate(F.col(f"`{c}`"), LATIN_1, WINDOWS).alias(c) for c in rows.columns))
     return rows.withColumn("row_no", F.monotonically_increasing_id()).withColumn("broken", F.col("_broken").isNotNull()).drop("_broken")
 
 
