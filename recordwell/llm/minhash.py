@@ -8,7 +8,7 @@ of similarity 0.8 meets with probability 0.998.
 Texts with one shingle set are one class from the start. Only keys that two classes share
 go on: first each side's keys, then their combinations. Classes that meet, directly or over others,
 form a cluster; within a cluster all pairs are verified at once by products of 0/1 matrices.
-A cluster larger than BLOCK is cut into blocks by set size, and pairs of blocks whose sizes allow
+A larger cluster is cut into blocks by set size, and pairs of blocks whose sizes allow
 the similarity go to tasks of their own. Tasks return a forest of links, never all pairs.
 
 Defined results: a text without words, or null, has an empty set and links with nothing; a text
@@ -30,8 +30,8 @@ from .components import components
 from .shared import sized, written
 
 SIDE, ROWS = 10, 3
-#: Classes and shingles of a block; a task compares two blocks at most.
-BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+#: Classes of a block: a sixteenth of its cluster, within these bounds; and shingles of a block. A task compares two blocks at most.
+LEAST_BLOCK, BLOCK, BLOCK_SHINGLES = 256, 1024, 1_000_000
 #: Bytes of text that are hashed at once.
 TOGETHER = 1 << 20
 #: Frequent shingles that are multiplied at once; shingles of up to RARE texts are counted pair by pair.
@@ -152,11 +152,12 @@ def block_pairs(members: DataFrame, least: float) -> DataFrame:
     far apart for the similarity are never paired.
     """
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
-    large = (F.col("members") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES)
+    block = F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST_BLOCK), (F.col("members") / 16).cast("int")))
+    large = (F.col("members") > LEAST_BLOCK) | (F.col("shingles") > BLOCK_SHINGLES)
     # Steps of a little more than the factor, so sizes two steps apart differ by more than it.
     step = F.floor(F.log(F.col("n_shingles").cast("double")) / float(1.001 * np.log(1 / least)))
     stepped = members.join(sizes, "cluster").withColumn("step", F.when(large, step).otherwise(0).cast("int"))
-    cuts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    cuts = F.ceil(F.greatest(F.count(F.lit(1)) / F.max(block), F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
     per_step = stepped.groupBy("cluster", "step", large.alias("large")).agg(cuts.alias("cuts")).withColumn("cuts", F.when(F.col("large"), F.col("cuts")).otherwise(1))
     near = per_step.select(F.col("cluster").alias("c2"), F.col("step").alias("other"), F.col("cuts").alias("other_cuts"))
     cut = stepped.join(per_step.drop("large"), ["cluster", "step"]).withColumn("cut", F.pmod(F.xxhash64("class"), F.col("cuts")).cast("int"))
