@@ -139,3 +139,43 @@ def cron_slots(pattern: str, after: Column, until: Column) -> Column:
     times = F.array(*(F.lit(h * 60 + m) for h in hours for m in minutes)) if len(hours) * len(minutes) <= 1440 else None
     slots = F.flatten(F.transform(days, lambda d: F.transform(times, lambda t: F.timestamp_seconds(F.unix_date(d).cast("long") * 86400 + t * 60))))
     return F.filter(slots, lambda s: (s > after) & (s <= until))
+
+
+def row_rule_days(rule: Column, start: Column, last: Column) -> Column:
+    """rule_days for a rule that differs from row to row, as a column. A rule that can't be expanded gives null."""
+    text = F.upper(F.regexp_replace(rule, "(?i)^RRULE:|;$", ""))
+    parts = F.str_to_map(text, F.lit(";"), F.lit("="))
+    part = lambda name: F.try_element_at(parts, F.lit(name))
+    numbers = lambda name: F.coalesce(F.transform(F.split(part(name), ","), lambda x: x.try_cast("int")), F.array().cast("array<int>"))
+    freq, every = part("FREQ"), F.coalesce(part("INTERVAL").try_cast("int"), F.lit(1))
+    names = F.array(*map(F.lit, DAYS))
+    by_day = F.coalesce(F.transform(F.split(part("BYDAY"), ","), lambda x: F.struct(F.coalesce(F.regexp_extract(x, r"^([+-]?\d*)", 1).try_cast("int"), F.lit(0)).alias("n"), (F.array_position(names, F.right(x, F.lit(2))) - 1).cast("int").alias("w"))), F.array().cast("array<struct<n:int,w:int>>"))
+    month_days, months = numbers("BYMONTHDAY"), numbers("BYMONTH")
+    week_start = F.coalesce(F.array_position(names, part("WKST")) - 1, F.lit(0)).cast("int")
+    until = F.try_to_date(F.substring(part("UNTIL"), 1, 8), "yyyyMMdd")
+    end = F.least(last, F.coalesce(until, last))
+    known = freq.isin("DAILY", "WEEKLY", "MONTHLY", "YEARLY") & (F.size(F.array_except(F.map_keys(parts), F.array(*map(F.lit, sorted(PARTS))))) == 0) & (every > 0) & ~F.exists(by_day, lambda m: m.w < 0)
+    month_no = lambda x: F.year(x) * 12 + F.month(x)
+    first_of_week = lambda x: F.date_sub(x, F.pmod(F.weekday(x) - week_start, F.lit(7)).cast("int"))
+
+    def holds(d: Column) -> Column:
+        in_period = (
+            F.when(freq == "DAILY", F.datediff(d, start) % every == 0)
+            .when(freq == "WEEKLY", (F.datediff(first_of_week(d), first_of_week(start)) / 7).cast("int") % every == 0)
+            .when(freq == "MONTHLY", (month_no(d) - month_no(start)) % every == 0)
+            .otherwise((F.year(d) - F.year(start)) % every == 0)
+        )
+        no_days, no_month_days, no_months = F.size(by_day) == 0, F.size(month_days) == 0, F.size(months) == 0
+        by_month_day = F.array_contains(month_days, F.dayofmonth(d)) | F.array_contains(month_days, F.datediff(d, F.last_day(d)) - 1)
+        in_year = (freq == "YEARLY") & no_months
+        from_start = F.floor((F.when(in_year, F.dayofyear(d)).otherwise(F.dayofmonth(d)) - 1) / 7) + 1
+        from_end = -(F.floor(F.datediff(F.when(in_year, F.make_date(F.year(d), F.lit(12), F.lit(31))).otherwise(F.last_day(d)), d) / 7) + 1)
+        plain = freq.isin("DAILY", "WEEKLY")
+        of_days = F.exists(by_day, lambda m: (m.w == F.weekday(d)) & ((m.n == 0) | plain | (m.n == from_start) | (m.n == from_end)))
+        own = F.when(freq == "WEEKLY", F.weekday(d) == F.weekday(start)).when(freq == "MONTHLY", F.dayofmonth(d) == F.dayofmonth(start)).when(freq == "YEARLY", (F.dayofmonth(d) == F.dayofmonth(start)) & (~no_months | (F.month(d) == F.month(start)))).otherwise(True)
+        return in_period & (no_months | F.array_contains(months, F.month(d))) & (no_month_days | by_month_day) & (no_days | of_days) & (~(no_days & no_month_days) | own)
+
+    days = F.filter(F.sequence(start, end), holds)
+    days = F.array_sort(F.array_union(F.array(start), days))
+    limited = F.slice(days, F.lit(1), F.coalesce(part("COUNT").try_cast("int"), F.size(days)))
+    return F.when(known & (end >= start), limited).when(known, F.array().cast("array<date>"))

@@ -187,3 +187,25 @@ def test_first_match_chains(spark):
     assert [r[0] for r in df.select(importing.address_reason(no, no, F.col("a"), no, no, F.col("b"), no)).collect()] == ["free_email", "group_address", ""]
     assert [r[0] for r in df.select(pages.trust_tier(F.when(F.col("a"), "human:x").when(F.col("b"), "agent:y"))).collect()] == ["human-reviewed", "machine-confirmed", "unverified"]
     assert Context.at("2026-01-01T00:00:00Z").zone_name == "UTC"
+
+
+def test_workbooks(spark, tmp_path):
+    import zipfile
+
+    from recordwell.sources.workbooks import read_workbooks
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    parts = {
+        "xl/workbook.xml": f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Hidden" state="hidden" r:id="r1"/><sheet name="Data" r:id="r2"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="worksheets/sheet2.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f"<sst {ns}><si><t>Name</t></si><si><r><t>Ä</t></r><r><t>b</t></r></si></sst>",
+        "xl/styles.xml": f'<styleSheet {ns}><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/></cellXfs></styleSheet>',
+        "xl/worksheets/sheet2.xml": f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>x</t></is></c></row><row r="3"><c r="A3" t="s"><v>1</v></c><c r="B3" s="1"><v>45366</v></c><c r="C3"><v>2.0099999999999998</v></c><c r="D3" t="b"><v>1</v></c><c r="E3" s="2"><v>45366.5</v></c></row></sheetData></worksheet>',
+    }
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    (tmp_path / "b.xlsx").write_bytes(b"no workbook")
+    rows = read_workbooks(spark, str(tmp_path)).orderBy("path", "row_no").collect()
+    assert [(r.sheet, r.row_no, r.cells) for r in rows[:2]] == [("Data", 1, ["Name", None, "x"]), ("Data", 3, ["Äb", "2024-03-15", "2.01", "true", "2024-03-15 12:00:00"])]
+    assert rows[2].error and rows[2].cells is None
