@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a tile's side, about; and queries that are multiplied at once within it.
 TILE, STRIP = 8192, 256
+#: Numbers of a tile's side: long vectors get smaller tiles.
+TILE_NUMBERS = 8_000_000
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -95,7 +97,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tile: int = TILE) -> Data
     """The k nearest of each row for which is_query holds: (query_id, rank, vec_id, score)."""
     rows = usable(vectors)
     wanted = rows.where(is_query)
-    total, asked = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
+    total, asked, longest = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1)), F.max("dim")).first()
+    tile = max(1, min(tile, TILE_NUMBERS // (longest or 1)))
     across, down = max(1, -(-total // tile)), max(1, -(-asked // tile))
 
     def dealt(df: DataFrame, mine: str, n: int, other: str, m: int) -> DataFrame:

@@ -33,6 +33,8 @@ RAW = frozenset("iframe noembed noframes noscript script style textarea title xm
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = frozenset("aside button canvas datalist dialog footer form head header menu nav object select svg template".split())
 ASIDE_WORDS = frozenset("ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted recommended related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+#: In one name with such words an aside word says what stands beside: has-sidebar, layout-with-menu.
+BESIDE_WORDS = frozenset("has layout no with without".split())
 ASIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu navigation search".split())
 CONTENT_WORDS = frozenset("article articlebody body content entry main post story text".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
@@ -63,14 +65,25 @@ class Element:
     def _is_aside(self, tag: str, classes: str, found: dict[str, str]) -> bool:
         if tag in ("html", "body", "main"):
             return False
-        words = {*_words.findall(classes), *_words.findall(found.get("id", "").lower())}
+        names = [set(_words.findall(n)) for n in (*classes.split(), *found.get("id", "").lower().split())]
         if tag == "article":
-            return not words.isdisjoint(("comment", "comments"))
+            return any(not n.isdisjoint(("comment", "comments")) for n in names)
         if tag in ASIDE and not (tag == "header" and self._within("article", "main")):
             return True
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
             return True
-        return not ASIDE_WORDS.isdisjoint(words) or found.get("role", "").lower() in ASIDE_ROLES
+        if found.get("role", "").lower() in ASIDE_ROLES:
+            return True
+        inside = self._within("article", "main")
+        return any(self._names_aside(n, inside) for n in names)
+
+    @staticmethod
+    def _names_aside(words: set[str], inside: bool) -> bool:
+        """Whether one class name or id speaks of an aside; an article's own header is none."""
+        hit = words & ASIDE_WORDS
+        if hit <= {"header", "masthead"} and (inside or not words.isdisjoint(("article", "entry", "post", "story"))):
+            return False
+        return bool(hit) and words.isdisjoint(BESIDE_WORDS)
 
     def _within(self, *tags: str) -> bool:
         at = self.parent
@@ -192,7 +205,7 @@ def scored(page: list[tuple[Element, str, int]]) -> list[tuple[float, Element]]:
                 at.good += good
                 at.raw += len(text)
             at = at.parent
-    bonus = {"article": 1.3, "main": 1.2, "body": 0.9}
+    bonus = {"article": 2.0, "main": 1.3, "body": 0.9}
     found = [(e.good**2 / (e.raw + 1) * bonus.get(e.tag, 1.0) * (1.1 if e.content else 1.0), e) for e in seen.values() if e.good]
     return sorted(found, key=lambda x: (-x[0], x[1].path))
 

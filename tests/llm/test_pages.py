@@ -13,6 +13,11 @@ def test_main_text_of_a_page():
     assert html_extract.main_text(PAGE) == "Head & line\n\nFirst para graph\n\nSecond bold <x>\n\none\n\ntwo"
 
 
+def test_names_that_speak_of_asides():
+    page = "<div class='layout with-sidebar'><article><div class='article-header'><h1>T</h1></div><div class='post-body'><p>text</p></div><div class='ad-wrapper'><p>buy</p></div><div class='main-menu'>m</div></article><div class='page-header'>p</div><div id='left-sidebar'><p>s</p></div></div>"
+    assert html_extract.main_text(page) == "T\n\ntext"
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<", "<p", "<p><p><p>", "</div></div>", "<script>x", "<!-- open", "<a href='x>y", "&", "<nav>only menu</nav>"])
 def test_odd_pages_do_not_crash(html):
     assert html_extract.main_text(html) in ("", "&", "<", "y")
