@@ -47,7 +47,9 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
         "q_word": F.length(text) / many,
         "q_line": (F.length(text) - F.length(F.replace(text, F.lit("\n")))) / many,
     } | {f"q_mark{k}": share(c) for k, c in enumerate(MARKS)}
-    return base.select(*keep, *(c.cast("double").alias(k) for k, c in made.items()))
+    # Behind a generator the statistics are computed once a row: else a filter on the score is pushed below them, and
+    # each rule computes its own.
+    return base.select(*keep, F.inline(F.array(F.struct(*(c.cast("double").alias(k) for k, c in made.items())))))
 
 
 NAMES = ["q_length", "q_upper", "q_again", "q_distinct", "q_word", "q_line", *(f"q_mark{k}" for k in range(len(MARKS)))]
