@@ -19,39 +19,51 @@ def error(column: str, rule: Column, message: str) -> Column:
 
 def coerced(df: DataFrame, of: ObjectType, mapping: dict[str, str], point: str = ".", slash_order: str | None = None) -> DataFrame:
     """df (text columns, and `row_no`) with the mapped fields typed and `errors`, an array of what is wrong in a row."""
+    parsed: dict[str, Column] = {}  # each cell is read once, in a projection of its own
     typed: dict[str, Column] = {}
     errors: list[Column] = []
-    for source, key in mapping.items():
+    for n, (source, key) in enumerate(mapping.items()):
         m, text = of.resolve(key), F.nullif(F.trim(F.col(source)), F.lit(""))
+        at, empty = f"cell_{n}", F.nullif(F.trim(F.col(source)), F.lit("")).isNull()
+        cell = F.col(at)
+        typed[key], rule = cell, F.lit(None)
         if m.type in ("NUMBER", "NUMERIC"):
-            p = parse_number(text, point)
-            typed[key], rule = (p.number if m.type == "NUMBER" else p.number.cast("string")), p.rule
+            parsed[at] = parse_number(text, point)
+            typed[key], rule = (cell.number if m.type == "NUMBER" else cell.number.cast("string")), cell.rule
         elif m.type == "CURRENCY":
-            p = parse_money(text, point)
-            typed[key], rule = F.when(p.amountMicros.isNotNull(), F.struct(p.amountMicros.alias("amountMicros"), p.currencyCode.alias("currencyCode"))), p.rule
+            parsed[at] = parse_money(text, point)
+            typed[key], rule = F.when(cell.amountMicros.isNotNull(), F.struct(cell.amountMicros.alias("amountMicros"), cell.currencyCode.alias("currencyCode"))), cell.rule
         elif m.type == "BOOLEAN":
-            p = parse_bool(text)
-            typed[key], rule = p.flag, p.rule
+            parsed[at] = parse_bool(text)
+            typed[key], rule = cell.flag, cell.rule
         elif m.type in ("DATE", "DATE_TIME"):
-            p = parse_day(text, slash_order)
-            typed[key], rule = (p.day if m.type == "DATE" else p.day.cast("timestamp")), p.rule
-        elif m.type in ("SELECT", "MULTI_SELECT"):
-            options = F.create_map(*(F.lit(x) for o in m.field.options for pair in {o.value.casefold(): o.value, o.label.casefold(): o.value}.items() for x in pair)) if m.field.options else F.create_map().cast("map<string,string>")
-            if m.type == "SELECT":
-                typed[key] = F.try_element_at(options, casefold(text))
-                rule = F.when(text.isNotNull() & typed[key].isNull(), "select-option")
-            else:
-                found = F.transform(parse_list(text), lambda x: F.try_element_at(options, casefold(x)))  # noqa: B023
-                typed[key], rule = F.array_distinct(found), F.when(F.exists(found, lambda x: x.isNull()), "select-option")
-        elif m.type == "ARRAY":
-            typed[key], rule = parse_list(text), F.lit(None)
+            parsed[at] = parse_day(text, slash_order)
+            typed[key], rule = (cell.day if m.type == "DATE" else cell.day.cast("timestamp")), cell.rule
+        elif m.type == "SELECT":
+            parsed[at] = F.try_element_at(_option_map(m.field), casefold(text))
+            rule = F.when(~empty & cell.isNull(), "select-option")
+        elif m.type == "MULTI_SELECT":
+            parsed[at] = _options_of(m.field, text)
+            typed[key], rule = F.array_distinct(cell), F.when(F.exists(cell, lambda x: x.isNull()), "select-option")
         else:
-            typed[key], rule = text, F.lit(None)
+            parsed[at] = parse_list(text) if m.type == "ARRAY" else text
         errors.append(error(source, rule, f"not a {m.type.lower()}"))
         if m.field and not m.field.nullable:
-            errors.append(error(source, F.when(text.isNull(), "required"), "a value is needed"))
+            errors.append(error(source, F.when(empty, "required"), "a value is needed"))
     made = F.filter(F.array(*errors), lambda x: x.isNotNull()).cast(f"array<{ERROR}>") if errors else F.array().cast(f"array<{ERROR}>")
-    return df.select("row_no", *(c.alias(k.replace(".", "_")) for k, c in typed.items()), made.alias("errors"))
+    cells = df.select("*", *(c.alias(k) for k, c in parsed.items()))
+    return cells.select("row_no", *(c.alias(k.replace(".", "_")) for k, c in typed.items()), made.alias("errors"))
+
+
+def _option_map(f) -> Column:
+    """Folded values and labels to values; labels first, so a value wins over another's label."""
+    pairs = {o.label.casefold(): o.value for o in f.options} | {o.value.casefold(): o.value for o in f.options}
+    return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair)) if pairs else F.create_map().cast("map<string,string>")
+
+
+def _options_of(f, text: Column) -> Column:
+    options = _option_map(f)
+    return F.transform(parse_list(text), lambda x: F.try_element_at(options, casefold(x)))
 
 
 def unique_key(kind: str, text: Column) -> Column:

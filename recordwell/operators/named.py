@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..context import Context
 from ..schema import Model, ObjectType
-from .filters import condition
+from .filters import matching
 from .relations import edges
 from .sorting import page
 from .timeline import tail
@@ -16,7 +16,7 @@ from .timeline import tail
 def find(records: DataFrame, of: ObjectType, context: Context, where=None, sort=None, limit: int = 50, offset: int = 0, include_deleted: bool = False) -> tuple[DataFrame, DataFrame]:
     """(total, page): how many records match, and one page of them."""
     live = records if include_deleted else records.where("crm_deleted_at is null")
-    hit = live.where(condition(of, where, context))
+    hit = matching(live, of, where, context)
     return hit.agg(F.count(F.lit(1)).alias("total")), page(hit, of, sort, limit, offset)
 
 

@@ -20,10 +20,15 @@ def query_words(df: DataFrame, text: str) -> list[str]:
     return list(df.sparkSession.range(1).select(words(F.lit(text)).alias("w")).first().w)
 
 
-def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """df with columns that are computed once a row, however often they are used above: the optimizer copies
-    no expression and moves no filter across a generator."""
-    return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+#: A column that isn't deterministic: a filter that names it stays above the projection that makes it.
+HERE = "search_row"
+
+
+def scored(df: DataFrame, tokens: dict[str, Column], score: Column) -> DataFrame:
+    """df with a score over 0. Tokens and score are computed once a row: else the filter on the score is pushed down,
+    with a copy of the tokens for each of their uses."""
+    with_tokens = df.select("*", *(c.alias(k) for k, c in tokens.items()))
+    return with_tokens.select("*", score.alias("score"), F.monotonically_increasing_id().alias(HERE)).where((F.col("score") > 0) & (F.col(HERE) >= 0))
 
 
 def _times(tokens: Column, word: str) -> Column:
@@ -41,7 +46,7 @@ def search_records(df: DataFrame, text: str, parts: list[tuple[str, str, Column]
     asked = list(dict.fromkeys(phrase_words))
     if not asked:
         raise ValueError("a search needs a letter or digit")
-    tokens = once(df, {f"w_{n}": words(c) for n, _, c in parts})
+    tokens = {f"w_{n}": words(c) for n, _, c in parts}
     found = {w: [] for w in asked}
     scores: list[Column] = []
     for name, kind, _ in parts:
@@ -59,8 +64,7 @@ def search_records(df: DataFrame, text: str, parts: list[tuple[str, str, Column]
     total = reduce(add, scores)
     all_found = reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, hits) for hits in found.values()))
     tenths = F.when(total > 0, total + F.when(all_found, 50).otherwise(0)).otherwise(0)
-    out = once(tokens, {"score": (tenths / 10).cast("decimal(18,2)")}).where("score > 0")
-    return out.select(*(keep or df.columns), "score")
+    return scored(df, tokens, (tenths / 10).cast("decimal(18,2)")).select(*(keep or df.columns), "score")
 
 
 def search_pages(df: DataFrame, text: str, parts: dict[str, Column], concepts: Column | None = None, status: Column | None = None, matched: list[str] | None = None) -> DataFrame:
@@ -68,7 +72,7 @@ def search_pages(df: DataFrame, text: str, parts: dict[str, Column], concepts: C
     12 a matched concept, 3 for an active page, 2 off for a superseded one."""
     phrase_words = query_words(df, text)
     asked = list(dict.fromkeys(phrase_words))
-    tokens = once(df, {f"w_{n}": words(c) for n, c in parts.items()})
+    tokens = {f"w_{n}": words(c) for n, c in parts.items()}
     counted = reduce(add, (_times(F.col(f"w_{n}"), w) * PAGE_WEIGHTS[n] for n in parts for w in asked))
     hit = reduce(add, (F.when(reduce(lambda a, b: a | b, (F.array_contains(f"w_{n}", w) for n in parts)), 1).otherwise(0) for w in asked))
     score = (counted + F.lit(6) * hit / len(asked)).cast("decimal(18,4)")
@@ -78,7 +82,7 @@ def search_pages(df: DataFrame, text: str, parts: dict[str, Column], concepts: C
         score = score + F.size(F.array_intersect(concepts, F.array(*map(F.lit, matched)))) * 12
     if status is not None:
         score = score + F.when((score > 0) & (status == "active"), 3).when((score > 0) & status.isin("superseded", "withdrawn"), -2).otherwise(0)
-    return once(tokens, {"score": score.cast("decimal(18,4)")}).where("score > 0").select(*df.columns, "score")
+    return scored(df, tokens, score.cast("decimal(18,4)")).select(*df.columns, "score")
 
 
 def facets(df: DataFrame, fields: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions.dates import GRAINS, gap_filled
 from ..functions.values import display, instant_text, option_position, value
 from ..operators import views
 from ..operators.aggregates import aggregate_column, by_currency, expected, grouped, unique_values
-from ..operators.filters import condition
+from ..operators.filters import condition, matching
 from ..operators.sorting import page
 from . import crm
 from .crm import COMPANY, NOW, OPPORTUNITY, PRODUCT
@@ -24,7 +24,7 @@ CODE = "CASE n.c_nationkey % 5 WHEN 0 THEN 'USD' WHEN 1 THEN 'CHF' WHEN 2 THEN '
 
 
 def _where(spark: SparkSession, sf_dir: str, spec, context: Context = NOW) -> DataFrame:
-    return crm.opportunities(spark, sf_dir).where(condition(OPPORTUNITY, spec, context))
+    return matching(crm.opportunities(spark, sf_dir), OPPORTUNITY, spec, context)
 
 
 @query(

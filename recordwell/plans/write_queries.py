@@ -56,8 +56,9 @@ def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     money = F.when(F.col("l_linenumber") % 2 == 0, F.concat(grouped, F.lit(" €"))).otherwise(F.concat(F.lit("CHF "), grouped))
     day = F.when(F.col("l_linenumber") == 7, "soon").when(F.col("l_linenumber") % 2 == 0, F.date_format("l_shipdate", "dd.MM.yyyy")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
     flag = F.when(F.col("l_returnflag") == "R", " Ja ").when(F.col("l_returnflag") == "A", "falsch")
-    p, d = N.parse_money(money, ","), parse_day(day)
-    return rows.select("l_orderkey", "l_linenumber", (p.amountMicros / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(38,10)").alias("price"), p.currencyCode.alias("code"), d.day.alias("day"), d.rule.alias("date_rule"), N.parse_bool(flag).flag.alias("returned"))
+    p, d = F.col("p"), F.col("d")
+    cells = rows.select("l_orderkey", "l_linenumber", N.parse_money(money, ",").alias("p"), parse_day(day).alias("d"), N.parse_bool(flag).flag.alias("returned"))
+    return cells.select("l_orderkey", "l_linenumber", (p.amountMicros / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(38,10)").alias("price"), p.currencyCode.alias("code"), d.day.alias("day"), d.rule.alias("date_rule"), "returned")
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from recordwell.context import Context, add_months, period
 from recordwell.functions.values import display, value
 from recordwell.operators import aggregates, timeline
-from recordwell.operators.filters import FilterError, condition, problems, relative_range
+from recordwell.operators.filters import FilterError, condition, implied, matching, problems, relative_range
 from recordwell.operators.sorting import SortError, page, sort_columns
 from recordwell.operators.step_filters import first_branch, leaf_condition, step_condition
 from recordwell.schema import Model, SchemaError
@@ -70,6 +70,17 @@ def test_filters(deals, spec, want):
     assert ids(deals, spec) == want
 
 
+def test_implied_comparisons_reach_the_scan(deals, spark, tmp_path):
+    deals.write.parquet(str(tmp_path / "d"))
+    stored = spark.read.parquet(str(tmp_path / "d"))
+    for spec in ([leaf("close", "IS_TODAY")], leaf("close", "IS_AFTER", "2026-09-01"), {"op": "AND", "conditions": [leaf("day", "IS_RELATIVE", "PAST_1_DAY")]}, leaf("close", "IS", "2026-08-24T23:30:00Z"), leaf("close", "IS_IN_PAST"), leaf("day", "LESS_THAN_OR_EQUAL", "2026-08-24")):
+        got = matching(stored, DEAL, spec, NOW)
+        assert "".join(sorted(r.crm_id for r in got.collect())) == ids(deals, spec)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThan" in plan or "LessThan" in plan
+    assert implied(DEAL, {"op": "OR", "conditions": [leaf("close", "IS_TODAY")]}, NOW) == [] and implied(DEAL, leaf("close", "IS_NOT", "2026-01-01"), NOW) == []
+
+
 def test_filter_problems():
     found = problems(DEAL, [leaf("nope", "IS", 1), leaf("name", "IS_TODAY"), leaf("close", "IS_RELATIVE", "SOON"), leaf("stage", "IS", "GONE"), leaf("name", "ROUGHLY", 1)])
     assert len(found) == 5
