@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sized
+from .shared import sized, written
 from .url_trust import host_of
 
 #: Characters of text that a worker holds before it hands a batch on.
@@ -262,7 +262,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each page."""
-    winners = sized(host_paths(pages))
+    winners = sized(written(host_paths(pages), "host-paths"))  # voted once, then counted and joined
     asked = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(winners, "host", "left").select("page_id", "url", "path", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
