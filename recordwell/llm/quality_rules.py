@@ -30,6 +30,7 @@ RULES = 40
 Rule = tuple[tuple[str, bool, float], ...]  # (statistic, whether it is at most, threshold)
 
 MARKS = "!|#$%&*"
+ROW = "q_row"
 
 
 def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -47,9 +48,8 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
         "q_word": F.length(text) / many,
         "q_line": (F.length(text) - F.length(F.replace(text, F.lit("\n")))) / many,
     } | {f"q_mark{k}": share(c) for k, c in enumerate(MARKS)}
-    # Behind a generator the statistics are computed once a row: else a filter on the score is pushed below them, and
-    # each rule computes its own.
-    return base.select(*keep, F.inline(F.array(F.struct(*(c.cast("double").alias(k) for k, c in made.items())))))
+    # ROW isn't deterministic: a filter that names it stays above the statistics, which are so computed once a row.
+    return base.select(*keep, F.monotonically_increasing_id().alias(ROW), *(c.cast("double").alias(k) for k, c in made.items()))
 
 
 NAMES = ["q_length", "q_upper", "q_again", "q_distinct", "q_word", "q_line", *(f"q_mark{k}" for k in range(len(MARKS)))]
@@ -154,4 +154,4 @@ def scored(docs: DataFrame, model: RuleEnsemble, least: float = 0.3) -> DataFram
 def good(docs: DataFrame, model: RuleEnsemble, least: float = 0.3) -> DataFrame:
     """The documents, with all their columns, that score at least `least`."""
     keep = docs.columns
-    return statistics(docs, keep).where(model.score() >= least).select(*keep)
+    return statistics(docs, keep).where((model.score() >= least) & (F.col(ROW) >= 0)).select(*keep)
