@@ -11,8 +11,15 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: Spark's defaults for batches of rows handed to Python, and what whole texts and pages need in their place.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
+
+
 def ship(spark: SparkSession) -> None:
-    """Add the package's modules to the application, once."""
+    """Add the package's modules to the application, once; keep batches small where the session has no wish of its own."""
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
