@@ -40,14 +40,22 @@ class ByteTokenizer:
 
     def __init__(self, vocabulary: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         special = {x["content"] for x in json.loads(vocabulary).get("added_tokens", [])}
         ranks = {_bytes_of(t): i for t, i in json.loads(vocabulary)["model"]["vocab"].items() if t not in special}
         self._fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self._exact = Tokenizer.from_str(vocabulary)
-        self._exact.no_padding()
-        self._exact.no_truncation()
+        self._vocabulary, self._reference = vocabulary, None
+
+    @property
+    def _exact(self):
+        """The reference encoder, about 50 MB, loaded for the first text that needs it."""
+        if self._reference is None:
+            from tokenizers import Tokenizer
+
+            self._reference = Tokenizer.from_str(self._vocabulary)
+            self._reference.no_padding()
+            self._reference.no_truncation()
+        return self._reference
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
