@@ -14,6 +14,7 @@ come and get equal verdicts. Other columns are ignored; an empty table gives no
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil, log
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
@@ -72,11 +73,18 @@ def flows(edges: DataFrame, hosts: DataFrame) -> DataFrame:
     return moving.join(degree, ["kind", "src"]).unionByName(staying.select("kind", F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("share")))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, stretch: int = 5, tolerance: float = 1e-3) -> DataFrame:
-    """(host, kind, mass) from seeds (host, kind, mass): every `stretch` rounds the state is written, and done if it holds still."""
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, stretch: int = 5, tolerance: float = 1e-3) -> DataFrame:
+    """(host, kind, mass) from seeds (host, kind, mass): every `stretch` rounds the state is written, and done if it holds still.
+
+    Each round shrinks the sum of all shifts by `damping`, though a single host may gather many. So once that sum
+    over a stretch is at most `tolerance`, whatever the total mass, no host can shift by more than
+    tolerance * damping^stretch / (1 - damping^stretch) any more. The same bound gives the rounds after which it must hold.
+    """
     hosts = seeds.select("host").union(edges.select("src")).union(edges.select("dst")).distinct()
     paths = written(flows(edges, hosts), "flows")
     start = seeds.select("host", "kind", ((1 - damping) * F.col("mass")).alias("mass"))
+    total = seeds.agg(F.sum("mass")).first()[0] or 0.0
+    rounds = stretch + max(0, ceil(log(max(2 * total, tolerance) / tolerance) / -log(damping)))
     state = seeds
     for _ in range(0, rounds, stretch):
         before = state
@@ -85,7 +93,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
             state = moved.unionByName(start).groupBy("host", "kind").agg(F.sum("mass").alias("mass"))
         state = written(state, "trust")
         shift = state.join(before.withColumnRenamed("mass", "was"), ["host", "kind"], "full").agg(F.sum(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0] or 0.0
-        if shift <= tolerance * max(1.0, seeds.agg(F.sum("mass")).first()[0] or 0.0):
+        if shift <= tolerance:
             break
     return state
 
@@ -96,7 +104,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES, threshold: fl
     ruled = parts.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules)).withColumn("ruled", verdict_of(F.col("rule"), rules))
     by_host = written(ruled.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("ruled") == "allow").cast("double").alias("trust"), F.count_if(F.col("ruled") == "block").cast("double").alias("distrust")), "hosts")
     seeds = by_host.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trust"), F.lit("distrust"), F.col("distrust"))).alias("kind", "mass"))
-    mass = propagate(seeds, written(host_edges(pages), "host-edges"), damping)
+    mass = propagate(seeds, written(host_edges(pages), "host-edges"), damping, tolerance=abs(threshold) / 250 or 1e-3)
     flat = mass.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("mass")).otherwise(-F.col("mass"))).alias("balance"))
     hosts = by_host.join(flat, "host", "left").select("host", F.when(-F.coalesce("balance", F.lit(0.0)) > threshold * F.col("pages"), "block").otherwise("allow").alias("of_host"))
     return ruled.join(sized(hosts), "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "of_host").alias("verdict"))

@@ -78,6 +78,20 @@ def test_trust_flows_along_links_and_distrust_against_them(spark):
     assert verdicts["friend.org"] == "allow" and verdicts["feeder2.org"] == "block" and verdicts["alone.org"] == "allow"
 
 
+def test_unrelated_seeds_do_not_stop_the_flow(spark):
+    """A chain towards a blocked host is followed to its end, however much mass stands elsewhere and however long it is."""
+
+    def chain(name: str, length: int, pages: int) -> list[tuple]:
+        rows = [(0, f"http://{name}.com/en/{k}", "") for k in range(pages)]
+        return rows + [(0, f"http://{name}{k}.org/", f'<a href="http://{name + str(k - 1) + ".org" if k > 1 else name + ".com"}/">x</a>') for k in range(1, length + 1)]
+
+    linked = spark.createDataFrame(chain("bad", 8, 10) + chain("worse", 25, 200), "page_id long, url string, html string")
+    alone = spark.range(30_000).select("id", F.concat(F.lit("http://alone"), (F.col("id") % 50).cast("string"), F.lit(".net/de/")), F.lit(""))
+    for df in (linked, linked.union(alone)):
+        of_host = {r.host: r.verdict for r in url_trust.judged(df).collect()}
+        assert {of_host[f"bad{k}.org"] for k in range(1, 9)} == {"block"} and of_host["worse25.org"] == "block"
+
+
 def test_no_python_on_the_main_path(spark):
     plan = url_trust.judged(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and F is not None
