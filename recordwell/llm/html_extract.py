@@ -222,7 +222,7 @@ def text_within(page: list[tuple[Element, str, int]], roots: list[Element]) -> s
 
 
 def main_text(html: str | None, path: str | None = None) -> str:
-    """The page's text from the elements on `path`, else from its best container."""
+    """The page's text from the elements on `path`, else from its best container, else all of it but the asides."""
     page = blocks(html or "")
     if path is not None:
         on_path: dict[int, Element] = {}
@@ -234,7 +234,7 @@ def main_text(html: str | None, path: str | None = None) -> str:
         if text := text_within(page, list(on_path.values())):
             return text
     best = scored(page)
-    return text_within(page, [best[0][1]]) if best else text_within(page, [page[0][0]] if page else [])
+    return text_within(page, [best[0][1]]) if best else "\n\n".join(text for at, text, _ in page if not _aside(at))
 
 
 def votes(html: str | None, most: int = 3) -> list[tuple[str, float]]:

@@ -29,6 +29,13 @@ def test_plain_text_and_truncated_pages():
     assert html_extract.main_text("<article>" + "<p>x</p>" * 5000) == "\n\n".join(["x"] * 5000)
 
 
+def test_link_rich_pages_keep_all_their_blocks(spark):
+    page = "<nav><a href='/'>Home</a></nav><header><p>Site</p></header><ul><li><a href='/1'>First work</a>, p. 1</li><li><a href='/2'>Second work</a>, p. 2</li></ul><p><a href='/3'>Third work</a> too</p>"
+    assert html_extract.main_text(page) == "First work, p. 1\n\nSecond work, p. 2\n\nThird work too" and html_extract.votes(page) == []
+    df = spark.createDataFrame([(1, "https://lists.example/1", page)], "page_id long, url string, html string")
+    assert html_extract.extracted(df).first().text == html_extract.main_text(page)
+
+
 def test_hosts_agree_on_a_path(spark):
     page = lambda k, body: (k, f"https://Site.example/{k}", f"<body><div class='promo-box-{k}'><p>buy</p></div><div class='col-{k}'>{body}</div><div class='tail'><p>tail text</p></div></body>")
     rows = [page(k, f"<p>{'long main text ' * 30}{k}</p>") for k in range(8)] + [page(99, "<p>short</p>"), (100, None, None), (101, "nohost", "<p>alone</p>"), (102, "https://Site.example/x", "")]
