@@ -49,34 +49,39 @@ def newest_calendar_versions(events: DataFrame, late: str = "1 day") -> DataFram
     return source.groupBy("uid").agg(F.max(row).alias("v")).select("uid", "v.*")
 
 
-WAIT_STATE = "run_id string, until long"
+WAIT_STATE = "run_ids array<string>, untils array<long>"
 WAIT_OUT = "record_id string, run_id string, outcome string"
 
 
 def waits(requests_and_events: DataFrame) -> DataFrame:
     """Runs that wait for an event of their record: (record_id, run_id, outcome resumed or timed-out).
 
-    Rows are (record_id, at, kind wait|event, run_id, seconds). Event time timers end a wait.
+    Rows are (record_id, at, kind wait|event, run_id, seconds). An event ends the waits of all runs on its record,
+    event time timers end those that are due. A run that waits again on a record starts its wait anew.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting = dict(zip(*state.get, strict=True)) if state.exists else {}
+        out = []
         if state.hasTimedOut:
-            run_id, _ = state.get
+            due = [run_id for run_id, until in waiting.items() if until <= state.getCurrentWatermarkMs()]
+            out += [(key[0], run_id, "timed-out") for run_id in due]
+            for run_id in due:
+                del waiting[run_id]
+        else:
+            rows = pd.concat(list(frames)).sort_values("at")
+            for r in rows.itertuples():
+                now = int(r.at.timestamp() * 1000)
+                if r.kind == "wait":
+                    waiting[r.run_id] = now + int(r.seconds) * 1000
+                else:
+                    out += [(key[0], run_id, "resumed" if now <= until else "timed-out") for run_id, until in waiting.items()]
+                    waiting = {}
+        if waiting:
+            state.update((list(waiting), list(waiting.values())))
+            state.setTimeoutTimestamp(max(min(waiting.values()), state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"record_id": [key[0]], "run_id": [run_id], "outcome": ["timed-out"]})
-            return
-        out = []
-        rows = pd.concat(list(frames)).sort_values("at")
-        for r in rows.itertuples():
-            now = int(r.at.timestamp() * 1000)
-            if r.kind == "wait":
-                state.update((r.run_id, now + int(r.seconds) * 1000))
-            elif state.exists:
-                run_id, until = state.get
-                out.append((key[0], run_id, "resumed" if now <= until else "timed-out"))
-                state.remove()
-        if state.exists:
-            state.setTimeoutTimestamp(max(state.get[1], state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["record_id", "run_id", "outcome"])
 
     timed = requests_and_events.withWatermark("at", "10 minutes")

@@ -180,6 +180,28 @@ def test_waits_resume_or_time_out(spark, tmp_path):
     assert {(r.run_id, r.outcome) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("r1", "resumed"), ("r2", "timed-out")}
 
 
+def test_several_runs_wait_on_one_record(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+
+    def put(k, rows):
+        (source / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(("record_id", "at", "kind", "run_id", "seconds"), r, strict=True))) for r in rows))
+        stream = spark.readStream.schema("record_id string, at timestamp, kind string, run_id string, seconds long").json(str(source))
+        triggers.waits(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+
+    def found():
+        return sorted((r.record_id, r.run_id, r.outcome) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    put(1, [("a", "2026-01-01T10:00:00Z", "wait", "r1", 60), ("a", "2026-01-01T10:01:00Z", "wait", "r2", 7200), ("b", "2026-01-01T10:00:00Z", "wait", "r3", 60), ("b", "2026-01-01T10:00:00Z", "wait", "r4", 36000)])
+    put(2, [("a", "2026-01-01T10:02:00Z", "wait", "r5", 3600)])
+    put(3, [("a", "2026-01-01T10:30:00Z", "event", None, None), ("z", "2026-01-01T12:00:00Z", "event", None, None)])
+    put(4, [("z", "2026-01-01T13:00:00Z", "event", None, None)])
+    first = [("a", "r1", "timed-out"), ("a", "r2", "resumed"), ("a", "r5", "resumed"), ("b", "r3", "timed-out")]
+    assert found() == first
+    put(5, [("b", "2026-01-01T14:00:00Z", "event", None, None)])
+    assert found() == [*first, ("b", "r4", "resumed")]
+
+
 def test_first_match_chains(spark):
     df = spark.createDataFrame([(True, True), (False, True), (False, False)], "a boolean, b boolean")
     no = F.lit(False)
