@@ -14,9 +14,12 @@ MESSAGE = "path string, message_id string, in_reply_to array<string>, references
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """A row a message of .eml and .mbox files; unreadable ones have an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInPandas(_messages, MESSAGE)
+    """A row a message of .eml and .mbox files; unreadable ones have an error. A mailbox is dealt by message, at lines that begin with `From `."""
+    box = F.lower("_metadata.file_name").rlike(r"\.mbo?x$")  # files are left out before they are read
+    source = spark.read.option("recursiveFileLookup", True)
+    mails = source.format("binaryFile").load(path).where(~box).select("path", "content")
+    boxed = source.option("lineSep", "\nFrom ").text(path).where(box).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("content"))
+    return mails.mapInPandas(_messages, MESSAGE).unionByName(boxed.mapInPandas(_boxed, MESSAGE))
 
 
 def _messages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -27,6 +30,12 @@ def _messages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in MESSAGE.split(", ")])
 
 
+def _boxed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [_row(path, content.replace(b"\r\n", b"\n").removesuffix(b"\r").split(b"\n", 1)[-1]) for path, content in zip(batch.path, batch.content, strict=True) if content.strip()]
+        yield pd.DataFrame(rows, columns=[x.split()[0] for x in MESSAGE.split(", ")])
+
+
 def _row(path: str, data: bytes) -> tuple:
     try:
         m = message_from_bytes(data, policy=policy.default)

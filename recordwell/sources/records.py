@@ -84,9 +84,14 @@ def unique_headers(names: list[str]) -> list[str]:
 
 
 def read_table(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """A delimited text table, all columns text, with row_no in file order and `broken` for rows of the wrong width."""
-    head = "\n".join(r.value for r in spark.read.text(path).limit(50).collect())
-    old = encoding is None and "�" in head
+    """A delimited text table, all columns text, with row_no in file order and `broken` for rows of the wrong width.
+
+    Unless an encoding is given, a table is UTF-8 if all its bytes are, else of the older Windows encoding.
+    """
+    lines = spark.read.text(path)
+    old = encoding is None and not lines.where(~F.is_valid_utf8("value")).isEmpty()
+    head = "\n".join(bytes(r.b).decode("ISO-8859-1" if old else "UTF-8", "replace") for r in lines.limit(50).select(F.col("value").cast("binary").alias("b")).collect())
+    head = head.translate(str.maketrans(LATIN_1, WINDOWS)) if old else head
     encoding = encoding or ("ISO-8859-1" if old else "UTF-8")
     how = sniff_table(head)
     first = head.splitlines()[int(how["skip"])] if head else ""

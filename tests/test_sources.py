@@ -89,6 +89,33 @@ def test_tables(spark, tmp_path):
         assert [r.id for r in records.read_json_table(spark, str(tmp_path / f"{k}.json"), None if k == 0 else "people").collect()] == [1]
 
 
+def test_tables_are_decoded_by_all_their_bytes(spark, tmp_path):
+    rows = "".join(f"{k};plain\n" for k in range(200))
+    (tmp_path / "late.csv").write_bytes(f"Größe;Ort\n{rows}201;München €\n".encode("cp1252"))
+    got = records.read_table(spark, str(tmp_path / "late.csv"))
+    assert got.columns[:2] == ["Größe", "Ort"] and got.where("`Größe` = '201'").first().Ort == "München €" and got.count() == 201
+    (tmp_path / "new.csv").write_text(f"Größe;Ort\n{rows}201;München € \ufffd\n", encoding="utf-8")
+    assert records.read_table(spark, str(tmp_path / "new.csv")).where("`Größe` = '201'").first().Ort == "München € \ufffd"
+
+
+def test_mailboxes_are_dealt_by_message(spark, tmp_path):
+    for name, end in (("a.mbox", "\n"), ("b.MBX", "\r\n")):
+        text = "".join(f"From x Mon Jan  5\nSubject: {name} {k}\n\nGrüße {k}\n>From here\n\n" for k in range(300))
+        (tmp_path / name).write_bytes(text.replace("\n", end).encode("latin-1"))
+    (tmp_path / "c.eml").write_bytes(b"Subject: single\n\nbody\n")
+    limits = {"spark.sql.files.maxPartitionBytes": "4k", "spark.sql.sources.binaryFile.maxLength": "1000"}  # a mailbox read whole would fail
+    before = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        got = read_messages(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r.subject for r in got) == sorted([f"{n} {k}" for n in ("a.mbox", "b.MBX") for k in range(300)] + ["single"])
+    assert len({r.task for r in got if r.path.endswith("a.mbox")}) > 1 and all(r.error is None and r.text.rstrip().endswith("From here") for r in got if r.subject != "single")
+
+
 def test_events(spark, tmp_path):
     (tmp_path / "2026-01.jsonl").write_text('{"event_id":"e1","at":"2026-01-05T10:00:00Z","op":"update","object":"deal","record_id":"r","changes":{"stage":["A","B"]}}\n')
     r = records.read_events(spark, str(tmp_path)).first()
