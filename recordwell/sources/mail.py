@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from email import message_from_bytes, policy
 from email.utils import getaddresses, parsedate_to_datetime
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+SPACES = re.compile(r"[\t\r\n\f\xa0]")
 MESSAGE = "path string, message_id string, in_reply_to array<string>, references array<string>, subject string, sender string, recipients array<string>, sent_at timestamp, text string, html string, n_attachments int, bulk boolean, error string"
 
 
@@ -59,12 +63,16 @@ def html_text(html: Column) -> Column:
     items = F.regexp_replace(cells, r"(?i)<li\b[^>]*>", "\n- ")
     lines = F.regexp_replace(items, r"(?i)<(?:br|/p|/div|/tr|/h[1-6]|/li|/ul|/ol|/table|/blockquote|p|div|tr|h[1-6]|ul|ol|table|blockquote)\b[^>]*>", "\n")
     bare = F.regexp_replace(lines, r"<[^>]*>", "")
-    for name, char in {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}.items():
-        bare = F.replace(bare, F.lit(name), F.lit(char))
-    tidy = F.regexp_replace(F.regexp_replace(bare, r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n")
+    tidy = F.regexp_replace(F.regexp_replace(_decoded(bare), r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n")
     return F.trim(F.regexp_replace(tidy, r"^\n+|\n+$", ""))
 
 
+@F.pandas_udf(T.StringType())
+def _decoded(text: pd.Series) -> pd.Series:
+    """All named and numeric character references, as HTML5 has them; spaces and line ends among them are plain spaces."""
+    return text.map(lambda t: "\n".join(SPACES.sub(" ", unescape(line)) for line in t.split("\n")) if "&" in t or "\xa0" in t else t, na_action="ignore")
+
+
 EVENT_LINES = r"(?s)BEGIN:VEVENT\r?\n(.*?)END:VEVENT"
 
 

@@ -132,6 +132,16 @@ def test_text_keys(spark):
     assert one(spark, X.filled("Dear {{ name }}, {{x}}!", {"name": F.lit("Ann")})) == "Dear Ann, !"
 
 
+def test_character_references(spark):
+    from html import unescape
+    from html.entities import html5
+
+    texts = ["M&uuml;ller &eacute;t&eacute; &hellip; &ndash; &#228;&#xE4;&#X20AC; &euro;&copy; &amp;lt; &notit; &#128; &#0; &bogus; a & b &AMP", "x " + " ".join(f"&{n}" for n in html5 if n not in ("Tab;", "NewLine;")) + " x"]
+    for text in texts:
+        assert one(spark, html_text(F.lit(f"<p>{text}</p>"))) == unescape(text).replace("\xa0", " ")
+    assert one(spark, html_text(F.lit("<p>a&NewLine;b&#10;c&Tab;d&#160;e</p><p>f"))) == "a b c d e\n\nf" and one(spark, html_text(F.lit(None).cast("string"))) is None
+
+
 def test_mail(spark):
     html = "<html><head><title>t</title></head><body><p>Hi&nbsp;you</p><div style='display: none'>no</div><ul><li>a</li><li>b &lt; c</li></ul><script>x</script></body></html>"
     assert one(spark, html_text(F.lit(html))) == "Hi you\n\n- a\n\n- b < c"
