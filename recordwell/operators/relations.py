@@ -54,17 +54,17 @@ def two_hops(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.select("a", "b").distinct().join(second.select("b", "c").distinct(), "b").select("a", "c").distinct()
 
 
-def cascade(start: DataFrame, links: DataFrame, policy: dict[tuple[str, str], str], most: int = 20) -> DataFrame:
+def cascade(start: DataFrame, links: DataFrame, policy: dict[tuple[str, str], str]) -> DataFrame:
     """(object, id, action) of what destroying `start` (object, id) touches.
 
     policy: (source object, field) to CASCADE, SET_NULL or RESTRICT. Cascades are followed until nothing new
-    turns up; the frontier is checkpointed, not collected.
+    turns up, however deep; records already gone are not visited again. The frontier is checkpointed, not collected.
     """
     rows = [(o, f, p) for (o, f), p in policy.items()]
     rules = F.broadcast(links.sparkSession.createDataFrame(rows, "source_object string, field string, action string"))
     ruled = links.join(rules, ["source_object", "field"], "left").withColumn("action", F.coalesce("action", F.lit("SET_NULL")))
     gone = frontier = start.select("object", "id").distinct()
-    for _ in range(most):
+    while True:
         hit = ruled.where("action = 'CASCADE'").join(frontier.withColumnsRenamed({"object": "target_object", "id": "target_id"}), ["target_object", "target_id"])
         frontier = hit.select(F.col("source_object").alias("object"), F.col("source_id").alias("id")).distinct().join(gone, ["object", "id"], "left_anti").checkpoint()
         if frontier.isEmpty():

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from recordwell.context import Context, add_months, period
 from recordwell.functions.values import display, value
-from recordwell.operators import aggregates, timeline
+from recordwell.deploy import ensure_checkpoint
+from recordwell.operators import aggregates, relations, timeline
 from recordwell.operators.filters import FilterError, condition, implied, matching, problems, relative_range
 from recordwell.operators.sorting import SortError, page, sort_columns
 from recordwell.operators.step_filters import first_branch, leaf_condition, step_condition
@@ -177,3 +178,12 @@ def test_undeclared_columns_are_kept(spark):
     df = spark.createDataFrame([("1", "n", "more")], "crm_id string, name string, hobby string")
     r = DEAL.conform(df).first()
     assert r.name == "n" and r.stage is None and r.extra == {"hobby": '{"hobby":"more"}'}
+
+
+def test_cascades_reach_the_end_of_long_chains_and_of_circles(spark):
+    ensure_checkpoint(spark)
+    links = [("part", "parent", str(k), "part", str(k - 1)) for k in range(1, 26)] + [("part", "parent", "0", "part", "25"), ("note", "about", "n", "part", "25"), ("part", "parent", "x", "part", "y")]
+    edges = spark.createDataFrame(links, "source_object string, field string, source_id string, target_object string, target_id string")
+    start = spark.createDataFrame([("part", "0")], "object string, id string")
+    got = [tuple(r) for r in relations.cascade(start, edges, {("part", "parent"): "CASCADE", ("note", "about"): "SET_NULL"}).collect()]
+    assert sorted(got) == sorted([("part", str(k), "DESTROY") for k in range(26)] + [("note", "n", "SET_NULL")])
