@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .shared import sized, written
@@ -253,6 +254,10 @@ def links(docs: DataFrame, members: DataFrame, width: int, least: int, out_of: i
 
 def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, out_of: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each document."""
+    return _grouped(docs, width, least, out_of).drop("class")
+
+
+def _grouped(docs: DataFrame, width: int, least: int, out_of: int) -> DataFrame:
     signed = written(signatures(docs, width), "signatures")
     named = signed.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
     classes = written(named.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles")), "classes")
@@ -263,7 +268,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, out_of: in
     of_class = classes.select("class", "rep").join(whole.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
     rows = signed.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), kept(component).alias("kept"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), kept(component).alias("kept"), "class")
 
 
 def _repeats(named: DataFrame, classes: DataFrame) -> DataFrame:
@@ -278,7 +283,32 @@ def kept(component: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, width: int = 5, least: int = 80, out_of: int = 100) -> DataFrame:
-    """The documents, with all their columns, but one of each group."""
-    gone = near_duplicates(docs, width, least, out_of).where(~F.col("kept")).select(F.col("doc_id").alias("recordwell_gone")).distinct()
-    gone = written(gone, "gone")
-    return docs.join(sized(gone), F.col("doc_id").cast("long") == F.col("recordwell_gone"), "left_anti")
+    """The documents, with all their columns, but one of each group.
+
+    Of rows that repeat a kept doc_id one a class stays, or one a text where there are no words. Of rows without an id one a
+    class stays, if no document with an id is of that class; those without words all stay.
+    """
+    rows = _grouped(docs, width, least, out_of)
+    ids = rows.groupBy(F.col("doc_id").alias("recordwell_id")).agg(F.count(F.lit(1)).alias("n"), F.bool_and("kept").alias("kept"))
+    odd = written(ids.where("n > 1 or not kept or recordwell_id is null").select("recordwell_id", "kept"), "odd-ids")
+    key = F.col("doc_id").cast("long")
+    rest = docs.join(sized(odd.where("not kept").select("recordwell_id")), key == F.col("recordwell_id"), "left_anti")
+    if odd.where("kept").isEmpty():
+        return rest
+    several = sized(odd.where("kept").select("recordwell_id"))
+    once = rest.join(several, key.eqNullSafe(F.col("recordwell_id")), "left_anti")
+    text = docs.columns.index("text")
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(text)]
+            found = [class_key(x) or None for low, high in _stretches(raw) for x in shingle_sets(raw[low:high], width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "recordwell_class"])
+
+    repeated = rest.join(several, key.eqNullSafe(F.col("recordwell_id")), "left_semi")
+    again = written(repeated.mapInArrow(classed, T.StructType([*docs.schema, T.StructField("recordwell_class", T.BinaryType())])), "repeated")
+    named = again.where("doc_id is not null").withColumn("recordwell_text", F.when(F.col("recordwell_class").isNull(), F.col("text"))).dropDuplicates(["doc_id", "recordwell_class", "recordwell_text"]).drop("recordwell_text")
+    taken = rows.where("doc_id is not null and class is not null").select(F.col("class").alias("recordwell_class")).distinct()
+    nameless = again.where("doc_id is null and recordwell_class is not null").dropDuplicates(["recordwell_class"]).join(taken, "recordwell_class", "left_anti")
+    wordless = again.where("doc_id is null and recordwell_class is null")
+    return once.unionByName(named.unionByName(nameless).unionByName(wordless).drop("recordwell_class"))

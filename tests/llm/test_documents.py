@@ -64,6 +64,16 @@ def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     assert minhash.deduplicated(odd_docs).columns == odd_docs.columns
 
 
+def test_one_of_each_group_stays_of_repeated_and_nameless_rows(spark):
+    a, b, c = ("one two three four five six seven eight", "red green blue black white grey pink cyan", "mon tue wed thu fri sat sun day")
+    rows = [(1, a, "x"), (1, a, "x"), (2, a, "x"), (3, b, "x"), (3, c, "x"), (3, c, "x"), (4, "", "x"), (4, "", "x"), (4, None, "x"), (None, a, "x"), (None, "nobody has this text but two rows", "x"), (None, "nobody has this text but two rows", "x"), (None, "", "x"), (None, "", "x"), (5, "alone", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, class string")
+    got = minhash.deduplicated(docs)
+    want = [(1, a), (3, b), (3, c), (4, ""), (4, None), (None, "nobody has this text but two rows"), (None, ""), (None, ""), (5, "alone")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr) and got.columns == docs.columns
+    assert minhash.deduplicated(docs.where("doc_id = 5")).count() == 1
+
+
 def test_half_keys_agree_as_often_as_the_sets_are_alike():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
