@@ -1,17 +1,27 @@
 """Near-duplicate vectors of one label: navigable small-world graphs per shard, then exact cosine.
 
-Equal vectors of a label are one class with a weight. Each label's classes are dealt by
-hash to shards of about SHARD vectors; a task builds each shard's layered graph and writes it. Every
-class then queries every shard of its label, in chunks: a beam search down the layers, the beam
-doubled for a query as long as everything in it is near enough, and for a whole chunk as long as an
-audit against brute force finds a link that the beams missed. The widest beam is the whole
-shard. Links are confirmed in double precision. A task returns each class's number of links and a
-forest of them, never all pairs.
+Equal vectors of a label are one class with a weight. Each label's classes are dealt by hash to
+shards of up to SHARD vectors, so most labels are one shard; a task builds each shard's layered graph and
+writes it. A vector that the growing graph shows to lie within half the linking angle of a vertex
+joins that vertex as a member instead of becoming one: a group of near copies is a few vertices,
+and any two members of a vertex are linked, as their angle is at most the linking angle.
+
+Every class then queries every shard of its label, in chunks: a beam search down the layers, wide enough for
+vertices whose members can be linked. A query's beam is doubled as long as all in it are near enough. AUDITED queries
+of each chunk, the first by hash, are compared with brute force; if they miss a vertex, the beams of all
+queries whose answer still grows are doubled, until the audit passes. A query whose answer holds more
+than WIDEST vertices is answered by a block product with the shard's vertices, as is a chunk whose audit
+fails though wider beams find nothing more: the last resort.
+
+Vertices whose members all are linked by the triangle inequality of angles count at once; all other pairs are confirmed
+by their cosine in double precision. A task returns each class's number of links and a star
+forest of its components, never all pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, or
 without a label, link with nothing: n_links 0, a component of their own. So do null ids (component
 null, kept). Vectors of different length don't link. Rows that repeat a vec_id are copies like
-others: each counts. Other columns are ignored; an empty table gives no rows.
+others: each counts. Vectors of any magnitude are scaled by a power of two first, so norms never overflow.
+Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,19 +37,28 @@ from .ann_blocks import products, usable
 from .components import components
 from .shared import written
 
-#: Vectors of a shard and of a chunk of queries, about.
-SHARD, CHUNK = 4096, 2048
+#: Vectors and numbers of a shard, at most about; the same of a chunk of queries.
+SHARD, SHARD_NUMBERS = 32_768, 4_000_000
+CHUNK, CHUNK_NUMBERS = 8192, 1_000_000
 #: Links of a vertex on the upper layers and on the lowest, and the beam of construction.
-M, M0, BUILD_BEAM = 12, 24, 48
-#: Queries searched together; the first beam; one of so many queries is audited.
-TOGETHER, BEAM, AUDIT = 256, 48, 16
+M, M0, BUILD_BEAM = 12, 16, 32
+#: Queries searched together; the first and the widest beam; vertices that tell how long an answer will be; queries of a chunk that are audited.
+TOGETHER, BEAM, WIDEST, SAMPLE, AUDITED = 256, 48, 384, 1024, 64
+#: Pairs confirmed at once.
+STRIP = 65_536
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by powers of two, so the largest component of each is about one: cosines keep every bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x = scaled(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int, grown: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """For each query the `beam` best vertices met and their products, best first (-1 where there are fewer).
 
     x, links: vectors and neighbours (padded by -1) of the layer; entry: a row of start vertices a query.
@@ -51,7 +70,7 @@ def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarr
     near = np.full((len(q), beam), -np.inf, np.float32)
     done = np.ones((len(q), beam), bool)
     fresh = entry
-    wide = max(1, min(4, beam // 8))
+    wide = max(1, beam // 12)
     live = np.arange(len(q))
     while len(live):
         at = rows[: len(live)]
@@ -96,58 +115,95 @@ def diverse(x: np.ndarray, ids: np.ndarray, near: np.ndarray, most: int) -> np.n
     return np.pad(out, ((0, 0), (0, max(0, most - out.shape[1]))), constant_values=-1)
 
 
-def layer_graph(x: np.ndarray, most: int) -> np.ndarray:
-    """Neighbour lists of one layer, vertices inserted in growing batches."""
-    n = len(x)
-    links = np.full((n, most), -1, np.int32)
-    done = min(n, 128)
-    if done > 1:
-        value = x[:done] @ x[:done].T
-        np.fill_diagonal(value, -np.inf)
-        order = np.argsort(-value, axis=1, kind="stable")[:, : min(done - 1, BUILD_BEAM)]
-        links[:done] = diverse(x, order.astype(np.int32), np.take_along_axis(value, order, 1), most)
-    while done < n:
-        high = min(n, done + min(TOGETHER, done))
-        new = np.arange(done, high)
-        entry = np.random.default_rng(done).integers(0, done, (len(new), 8)).astype(np.int32)
-        ids, near = beam_search(x[:done], links[:done], x[new], entry, BUILD_BEAM)
-        own = x[new] @ x[new].T  # and the others of the batch
+def apart(x: np.ndarray, join: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of a batch in order: the rows that become vertices, and for each row the one that it is or joins."""
+    owner = np.arange(len(x))
+    near = np.triu(x @ x.T >= join, 1)
+    for k in np.flatnonzero(near.any(1)):
+        if owner[k] == k:
+            owner[near[k] & (owner == np.arange(len(x)))] = k
+    return np.flatnonzero(owner == np.arange(len(x))), owner
+
+
+def layer_graph(x: np.ndarray, most: int, join: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vertices, owner, links) of one layer, vectors inserted in growing batches.
+
+    vertices: rows of x; owner: each row's vertex, as a place in vertices; links: neighbour lists as such places.
+    A row whose product with a vertex reaches `join` joins it.
+    """
+    vertices, owner = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    v, links = np.empty_like(x), np.full((len(x), most), -1, np.int32)
+    n = at = 0
+    while at < len(x):
+        batch = np.arange(at, min(len(x), at + min(TOGETHER, max(128, n))))
+        at = batch[-1] + 1
+        ids, near = np.zeros((len(batch), 0), np.int32), np.zeros((len(batch), 0), np.float32)
+        if n:
+            entry = np.random.default_rng(at).integers(0, n, (len(batch), 8)).astype(np.int32)
+            ids, near = beam_search(v[:n], links[:n], x[batch], entry, BUILD_BEAM)
+            joins = near[:, 0] >= join
+            owner[batch[joins]] = ids[joins, 0]
+            batch, ids, near = batch[~joins], ids[~joins], near[~joins]
+        first, joined = apart(x[batch], join)
+        new = n + np.arange(len(first))
+        owner[batch] = n + np.searchsorted(first, joined)
+        vertices[new], v[new] = batch[first], x[batch[first]]
+        ids, near, n = ids[first], near[first], n + len(first)
+        if not len(new):
+            continue
+        own = v[new] @ v[new].T  # the others of the batch
         np.fill_diagonal(own, -np.inf)
-        best = np.argsort(-own, axis=1, kind="stable")[:, :most]
+        best = np.argsort(-own, axis=1, kind="stable")[:, : max(most, BUILD_BEAM if ids.shape[1] == 0 else most)]
         ids, near = np.concatenate([ids, new[best].astype(np.int32)], 1), np.concatenate([near, np.take_along_axis(own, best, 1)], 1)
         ids[np.isneginf(near)] = -1
         order = np.argsort(-near, axis=1, kind="stable")[:, :BUILD_BEAM]
-        links[new] = diverse(x, np.take_along_axis(ids, order, 1), np.take_along_axis(near, order, 1), most)
-        back = np.stack([links[new].ravel(), np.repeat(new, most)], 1)
-        back = back[back[:, 0] >= 0]
-        back = back[np.lexsort((-products(x[back[:, 0]].astype(np.float64), x[back[:, 1]].astype(np.float64)), back[:, 0]))]
-        target, first = np.unique(back[:, 0], return_index=True)
-        place = np.arange(len(back)) - np.repeat(first, np.diff(np.r_[first, len(back)]))
-        offered = np.full((len(target), most), -1, np.int32)
-        keep = place < most
-        offered[np.searchsorted(target, back[keep, 0]), place[keep]] = back[keep, 1]
-        both = np.sort(np.concatenate([links[target], offered], 1), axis=1)
-        both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
-        value = np.where(both >= 0, np.matmul(x[np.maximum(both, 0)], x[target][:, :, None])[:, :, 0], -np.inf)
-        order = np.argsort(-value, axis=1, kind="stable")
-        links[target] = diverse(x, np.take_along_axis(both, order, 1), np.take_along_axis(value, order, 1), most)
-        done = high
-    return links
+        links[new] = diverse(v, np.take_along_axis(ids, order, 1), np.take_along_axis(near, order, 1), most)
+        _link_back(v, links, new, most)
+    return vertices[:n], owner, links[:n]
+
+
+def _link_back(v: np.ndarray, links: np.ndarray, new: np.ndarray, most: int) -> None:
+    """Offer each new vertex to those that it links to, which keep the best of old and offered ones."""
+    back = np.stack([links[new].ravel(), np.repeat(new, most)], 1)
+    back = back[back[:, 0] >= 0]
+    if not len(back):
+        return
+    back = back[np.lexsort((-np.einsum("ij,ij->i", v[back[:, 0]], v[back[:, 1]]), back[:, 0]))]
+    target, first = np.unique(back[:, 0], return_index=True)
+    place = np.arange(len(back)) - np.repeat(first, np.diff(np.r_[first, len(back)]))
+    offered = np.full((len(target), most), -1, np.int32)
+    keep = place < most
+    offered[np.searchsorted(target, back[keep, 0]), place[keep]] = back[keep, 1]
+    both = np.sort(np.concatenate([links[target], offered], 1), axis=1)
+    both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
+    value = np.where(both >= 0, np.matmul(v[np.maximum(both, 0)], v[target][:, :, None])[:, :, 0], -np.inf)
+    order = np.argsort(-value, axis=1, kind="stable")
+    links[target] = diverse(v, np.take_along_axis(both, order, 1), np.take_along_axis(value, order, 1), most)
 
 
 class Graph:
     """Layers of one shard. Vertices are ordered so that each layer is a prefix of the next lower one."""
 
-    def __init__(self, x: np.ndarray, layers: list[np.ndarray]):
-        self.x, self.layers = x, layers  # layers: the lowest first
+    def __init__(self, x: np.ndarray, vertices: np.ndarray, owner: np.ndarray, layers: list[np.ndarray]):
+        self.vertices, self.owner, self.layers = vertices, owner, layers  # layers: the lowest first
+        self.exact, self.x = x[vertices], x[vertices].astype(np.float32)
+        self.members = np.argsort(owner, kind="stable")
+        self.start = np.searchsorted(owner[self.members], np.arange(len(vertices) + 1))
+        self.radius = np.zeros(len(vertices))
+        for low in range(0, len(x), STRIP):
+            angle = angles(x[low : low + STRIP], self.exact[owner[low : low + STRIP]])
+            np.maximum.at(self.radius, owner[low : low + STRIP], angle)
+        self.radius[np.diff(self.start) == 1] = 0
 
     @classmethod
-    def build(cls, x: np.ndarray) -> Graph:
-        """x: in an order independent of the data, e.g. by hash; the first 1/M of a layer is the next higher one."""
-        sizes = [len(x)]
-        while sizes[-1] > 4 * M:
-            sizes.append(sizes[-1] // M)
-        return cls(x, [layer_graph(x[:n], M if k else M0) for k, n in enumerate(sizes)])
+    def build(cls, x: np.ndarray, least: float = 2.0) -> Graph:
+        """x: unit vectors in an order independent of the data, e.g. by hash; the first 1/M of a layer is the next higher one."""
+        join = float(np.cos(np.arccos(least) / 2)) + 1e-5 if least <= 1 else 2.0
+        vertices, owner, lowest = layer_graph(x.astype(np.float32), M0, join)
+        layers, v = [lowest], x[vertices].astype(np.float32)
+        while len(layers[-1]) > 4 * M:
+            layers.append(layer_graph(v[: len(layers[-1]) // M], M)[2])
+        return cls(x, vertices, owner, layers)
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         top = self.layers[-1]
@@ -157,53 +213,146 @@ class Graph:
         return beam_search(self.x, self.layers[0], q, entry, beam)
 
     def packed(self) -> bytes:
-        return b"".join(np.array([len(g), g.shape[1]], "<i4").tobytes() + g.astype("<i4").tobytes() for g in self.layers)
+        parts = [self.vertices[:, None], self.owner[:, None], *self.layers]
+        return b"".join(np.array([len(g), g.shape[1]], "<i4").tobytes() + g.astype("<i4").tobytes() for g in parts)
 
     @classmethod
     def unpacked(cls, x: np.ndarray, data: bytes) -> Graph:
-        layers, at = [], 0
+        parts, at = [], 0
         while at < len(data):
             n, m = np.frombuffer(data, "<i4", 2, at)
-            layers.append(np.frombuffer(data, "<i4", n * m, at + 8).reshape(n, m))
+            parts.append(np.frombuffer(data, "<i4", n * m, at + 8).reshape(n, m))
             at += 8 + 4 * n * m
-        return cls(x, layers)
+        return cls(x, parts[0][:, 0], parts[1][:, 0], parts[2:])
+
+
+def angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row, of unit vectors; near zero from the chord, where the cosine's digits don't suffice."""
+    return 2 * np.arcsin(np.minimum(np.linalg.norm(x - y, axis=1) / 2, 1))
 
 
-def within(graph: Graph, q: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, vertex) pairs with a product of about `least` or more, beams widened until the audit passes."""
-    bar, n = least - 1e-4, len(graph.x)
-    audited = np.arange(0, len(q), AUDIT)
-    truth = {(a, b) for a, b in zip(*np.nonzero(q[audited] @ graph.x.T >= bar), strict=True)}
-    beam = BEAM
+def reached(graph: Graph, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, int]]:
+    """(query, vertex) pairs that may hold links: products of about `least` or more after allowing for the vertices' radius.
+
+    Also the queries that are left to a block product, as their answers are over WIDEST, and how the audit
+    went: missed (vertices that it missed at last) of truth (those that it should have found).
+    """
+    bar = float(np.cos(min(np.pi, np.arccos(min(least, 1.0)) + graph.radius.max(initial=0)))) - 1e-4
+    q, audited = q.astype(np.float32), np.arange(min(AUDITED, len(q)))
+    truth = q[audited] @ graph.x.T >= bar + 2e-4
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    audit = {"missed": 0, "truth": int(truth.sum())}
+    todo, width, before, dense = np.arange(len(q)), BEAM, np.full(len(q), -1), np.zeros(len(q), bool)
     while True:
-        found, todo, width = [], np.arange(len(q)), beam
-        while len(todo) and width * 4 < n:
-            wide = []
-            for low in range(0, len(todo), TOGETHER):
-                part = todo[low : low + TOGETHER]
-                ids, near = graph.search(q[part], width)
-                full = near[:, -1] >= bar
-                hit = (near >= bar) & ~full[:, None]
-                found.append((part[np.nonzero(hit)[0]], ids[hit]))
-                wide.append(part[full])
-            todo, width = np.concatenate(wide), width * 2
-        for low in range(0, len(todo), TOGETHER):  # the widest beam: the whole shard
+        hits, full = np.zeros(len(q), np.int64), np.zeros(len(q), bool)
+        for low in range(0, len(todo), TOGETHER):
             part = todo[low : low + TOGETHER]
-            a, b = np.nonzero(q[part] @ graph.x.T >= bar)
-            found.append((part[a], b))
-        a, b = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in (0, 1)) if found else (np.zeros(0, np.int64),) * 2
-        got = {(x // AUDIT, y) for x, y in zip(a[a % AUDIT == 0].tolist(), b[a % AUDIT == 0].tolist(), strict=True)}
-        if truth <= got or beam * 4 >= n:
-            return a, b
-        beam *= 2
+            ids, near = graph.search(q[part], width)
+            near_enough = near >= bar
+            hits[part], full[part] = near_enough.sum(1), near_enough[:, -1]
+            found.append((part[np.nonzero(near_enough)[0]], ids[near_enough]))
+        if width * 2 > WIDEST:
+            dense |= full
+        elif full.any():  # the first vertices are a random sample: don't widen towards answers that are too long anyway
+            part = np.flatnonzero(full)
+            share = (q[part] @ graph.x[:SAMPLE].T >= bar).mean(1)
+            dense[part[share * len(graph.x) > WIDEST]] = True
+        got = np.zeros(truth.shape, bool)
+        for a, b in found:
+            got[a[a < len(audited)], b[a < len(audited)]] = True
+        missed = truth & ~got & ~(dense | full)[audited][:, None]
+        audit["missed"] = int(missed.sum())
+        growing = todo[hits[todo] > before[todo]]
+        before[todo] = hits[todo]
+        todo = np.flatnonzero(full & ~dense) if not missed.any() else np.union1d(growing, np.flatnonzero(full))
+        todo, width = todo[~dense[todo]], width * 2
+        if not len(todo) or width > WIDEST:
+            break
+    a, b = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in (0, 1))
+    pairs = np.unique((a * len(graph.x) + b)[~dense[a]])
+    return pairs // len(graph.x), pairs % len(graph.x), np.flatnonzero(dense), audit
+
+
+def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least vertex of each vertex's component, by rounds of least neighbours and pointer jumps."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        np.minimum.at(root, before[a], low)
+        np.minimum.at(root, before[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            return root
+
+
+def counted(graph: Graph, xs: np.ndarray, rs: np.ndarray, copies: np.ndarray, xq: np.ndarray, rq: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's weight of links in the shard, and the star edges (u, v) of the components that they form.
+
+    xs, rs, copies: vectors, ids and weights of the shard; xq, rq: vectors and ids of the queries.
+    """
+    xs, xq = scaled(xs), scaled(xq)
+    us, uq, theta = unit(xs), unit(xq), float(np.arccos(min(least, 1.0)))
+    a, l, dense, audit = reached(graph, uq, least)
+    if audit["missed"]:  # wider beams find no more: the last resort
+        a, l, dense = a[:0], l[:0], np.arange(len(rq))
+    total, edges = np.zeros(len(rq), np.int64), []
+    of_vertex = np.bincount(graph.owner, copies, len(graph.x)).astype(np.int64)
+    place = np.searchsorted(rs, rq, sorter=(order := np.argsort(rs)))
+    place = order[np.minimum(place, len(rs) - 1)]
+    own = np.where(rs[place] == rq, place, -1)  # where the query itself is in the shard
+    ns, nq = np.sqrt(products(xs, xs)), np.sqrt(products(xq, xq))
+    whole = np.zeros(len(graph.x), bool)
+    for low in range(0, len(a), STRIP):
+        i, k = a[low : low + STRIP], l[low : low + STRIP]
+        angle = angles(uq[i], graph.exact[k])
+        sure = (angle + graph.radius[k] <= theta - 1e-6) & (graph.radius[k] > 0)
+        np.add.at(total, i[sure], of_vertex[k[sure]])
+        inside = sure & (own[i] >= 0) & (graph.owner[own[i]] == k)
+        np.subtract.at(total, i[inside], copies[own[i[inside]]])
+        edges.append((i[sure], len(rq) + graph.vertices[k[sure]]))
+        whole[k[sure]] = True
+        i, k = i[~sure & (angle <= theta + graph.radius[k] + 1e-6)], k[~sure & (angle <= theta + graph.radius[k] + 1e-6)]
+        many = np.cumsum(graph.start[k + 1] - graph.start[k])
+        done = 0
+        while done < len(k):  # members of the other vertices, some at a time
+            high = max(done + 1, int(np.searchsorted(many, (many[done - 1] if done else 0) + STRIP)))
+            n = graph.start[k[done:high] + 1] - graph.start[k[done:high]]
+            first = np.repeat(graph.start[k[done:high]] - np.r_[0, np.cumsum(n)[:-1]], n)
+            j, q = graph.members[first + np.arange(n.sum())], np.repeat(i[done:high], n)
+            linked = (products(xq[q], xs[j]) / (nq[q] * ns[j]) >= least) & (rq[q] != rs[j])
+            np.add.at(total, q[linked], copies[j[linked]])
+            edges.append((q[linked], len(rq) + j[linked]))
+            done = high
+    for low in range(0, len(dense), TOGETHER // 2):
+        part = dense[low : low + TOGETHER // 2]
+        cosine = uq[part] @ us.T
+        i, j = np.nonzero(np.abs(cosine - least) < 1e-9)
+        cosine[i, j] = products(xq[part[i]], xs[j]) / (nq[part[i]] * ns[j])
+        linked = (cosine >= least) & (rq[part][:, None] != rs)
+        total[part] = linked @ copies
+        i, j = np.nonzero(linked)
+        root = stars(len(part) + len(rs), i, len(part) + j)
+        names = np.r_[part, len(rq) + np.arange(len(rs))]
+        edges.append((names, names[root]))
+    shown = np.flatnonzero(whole[graph.owner])
+    edges.append((len(rq) + shown, len(rq) + graph.vertices[graph.owner[shown]]))
+    names = np.r_[rq, rs]
+    root = stars(len(names), *(np.concatenate([e[k] for e in edges]) for k in (0, 1)))
+    star = np.stack([names, names[root]], 1)
+    star = np.unique(star[star[:, 0] != star[:, 1]], axis=0)
+    return total, star[:, 0], star[:, 1]
 
 
 KEYS = ["label", "dim", "part"]
 PACKED = "label long, dim int, part int, reps binary, copies binary, vectors binary, graph binary"
 
 
-def packed(classes: DataFrame, parts: str, kind: str, graphs: bool) -> DataFrame:
-    """One row for each label, length and part (a few thousand classes, ordered by hash): ids, weights, vectors, graph."""
+def packed(classes: DataFrame, parts: str, kind: str, least: float | None) -> DataFrame:
+    """One row for each label, length and part (some thousand classes, ordered by hash): ids, weights, vectors, and with `least` the graph."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, np.ndarray]]:
         open_key, held = None, []
@@ -224,7 +373,7 @@ def packed(classes: DataFrame, parts: str, kind: str, graphs: bool) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rep, copies, x in groups(batches):
-            graph = Graph.build(unit(x.astype(np.float64))).packed() if graphs else b""
+            graph = Graph.build(unit(x.astype(np.float64)), least).packed() if least is not None else b""
             binary = (rep.astype("<i8").tobytes(), copies.astype("<i8").tobytes(), x.astype(kind).tobytes(), graph)
             yield pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)), *(pa.array([v], pa.binary()) for v in binary)], [*KEYS, "reps", "copies", "vectors", "graph"])
 
@@ -238,58 +387,38 @@ FOUND = "rep long, label long, weight long, u long, v long"
 
 
 def compared(shards: DataFrame, chunks: DataFrame, tasks: int, kind: str, least: float) -> DataFrame:
-    """For each shard and chunk of its label: (rep, label, weight of its links there, null, null), and (null, null, null, u, v) of a forest of the links."""
+    """For each shard and chunk of its label: (rep, label, weight of its links there, null, null), and (null, null, null, u, v) of a star forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for label, reps, copies, vectors, graph, q_reps, q_vectors in zip(*(batch.column(k) for k in range(7)), strict=True):
                 rs, w, rq = (np.frombuffer(c.as_buffer(), "<i8") for c in (reps, copies, q_reps))
                 xs, xq = (np.frombuffer(c.as_buffer(), kind).reshape(len(r), -1).astype(np.float64) for c, r in ((vectors, rs), (q_vectors, rq)))
-                a, b = within(Graph.unpacked(unit(xs), graph.as_py()), unit(xq), least)
-                ns, nq = np.sqrt(products(xs, xs)), np.sqrt(products(xq, xq))
-                strips = [(a[k : k + 65536], b[k : k + 65536]) for k in range(0, len(a), 65536)]
-                sure = np.concatenate([np.zeros(0, bool), *((products(xq[i], xs[j]) / (nq[i] * ns[j]) >= least) & (rq[i] != rs[j]) for i, j in strips)])
-                a, b = a[sure], b[sure]
-                total = np.bincount(a, w[b], len(rq)).astype(np.int64)
-                who, forest = np.flatnonzero(total), _forest(rq[a], rs[b])
-                no, none = [None] * len(who), [None] * len(forest)
-                columns = ([*rq[who].tolist(), *none], [*[label.as_py()] * len(who), *none], [*total[who].tolist(), *none], [*no, *(x for x, _ in forest)], [*no, *(y for _, y in forest)])
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "label", "weight", "u", "v"])
+                total, u, v = counted(Graph.unpacked(unit(xs), graph.as_py()), xs, rs, w, xq, rq, least)
+                who = np.flatnonzero(total)
+                no, none = pa.nulls(len(who), pa.int64()), pa.nulls(len(u), pa.int64())
+                label = pa.array(np.full(len(who), label.as_py()), pa.int64())
+                left, right = [pa.array(rq[who]), label, pa.array(total[who]), no, no], [none, none, none, pa.array(u), pa.array(v)]
+                for columns in (left, right):
+                    yield pa.RecordBatch.from_arrays(columns, ["rep", "label", "weight", "u", "v"])
 
     asked = chunks.select("label", "dim", F.col("part").alias("q_part"), F.col("reps").alias("q_reps"), F.col("vectors").alias("q_vectors"))
-    pairs = shards.join(asked, ["label", "dim"]).repartition(tasks, *KEYS, "q_part")
+    pairs = shards.join(asked, ["label", "dim"]).repartition(tasks)  # dealt in turn, so evenly by number
     return pairs.select("label", "reps", "copies", "vectors", "graph", "q_reps", "q_vectors").mapInArrow(run, FOUND)
 
 
-def _forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
-    root: dict[int, int] = {}
-    out = []
-
-    def top(x: int) -> int:
-        while (y := root.setdefault(x, x)) != x:
-            root[x] = root[y]
-            x = y
-        return x
-
-    for x, y in zip(u.tolist(), v.tolist(), strict=True):
-        a, b = top(x), top(y)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((x, y))
-    return out
-
-
 def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = SHARD, chunk: int = CHUNK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each vector."""
     kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
     sound = usable(vectors, "label").where(F.col("label").isNotNull()).withColumn("label", F.col("label").cast("long"))
     classes = written(sound.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-classes")
-    parts = lambda size: F.ceil(F.count(F.lit(1)) / size).cast("int")
-    sizes = classes.groupBy("label", "dim").agg(parts(shard).alias("shards"), parts(chunk).alias("chunks"))
-    tasks = sizes.agg(F.sum(F.col("shards").cast("long") * F.col("chunks"))).first()[0] or 1
+    parts = lambda size, numbers: F.ceil(F.count(F.lit(1)) / F.greatest(F.lit(1), F.least(F.lit(size), (numbers / F.col("dim")).cast("int")))).cast("int")
+    sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"), parts(shard, F.lit(SHARD_NUMBERS)).alias("shards"), parts(chunk, F.lit(CHUNK_NUMBERS)).alias("chunks"))
+    pairs, searches = sizes.agg(F.sum(F.col("shards").cast("long") * F.col("chunks")), F.sum(F.col("shards") * F.col("n"))).first()
+    tasks = max(1, min(pairs or 0, (searches or 0) // 1024 + 1))
     placed = classes.join(sizes, ["label", "dim"])
-    graphs = written(packed(placed, "shards", kind, True), "graphs")
-    found = written(compared(graphs, packed(placed, "chunks", kind, False), tasks, kind, least), "vector-links")
+    graphs = written(packed(placed, "shards", kind, least), "graphs")
+    found = written(compared(graphs, packed(placed, "chunks", kind, None), tasks, kind, least), "vector-links")
     linked = found.where("rep is not null").groupBy("rep", "label").agg(F.sum("weight").alias("others"))
     whole = components(found.where("u is not null").select("u", "v"))
     about = classes.join(linked, ["rep", "label"], "left").join(whole.withColumnRenamed("vertex", "rep"), "rep", "left")

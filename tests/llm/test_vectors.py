@@ -78,6 +78,80 @@ def test_links_of_odd_rows(spark):
     assert hnsw.near_duplicates(df.limit(0)).count() == 0
 
 
+def groups(copies: int, spread: float, n: int = 4000, dim: int = 64) -> np.ndarray:
+    rng = np.random.default_rng(copies)
+    return (np.repeat(rng.normal(size=(n // copies, dim)), copies, 0) + spread * rng.normal(size=(n // copies * copies, dim)))[rng.permutation(n // copies * copies)]
+
+
+def degrees(x: np.ndarray, least: float = 0.93) -> np.ndarray:
+    u = hnsw.unit(x)
+    hit = u @ u.T >= least
+    np.fill_diagonal(hit, False)
+    return hit.sum(1)
+
+
+@pytest.mark.parametrize(("copies", "spread", "vertices"), [(1, 0.0, 4000), (2, 0.2, 4000), (20, 0.15, 2500), (400, 0.03, 20), (4000, 0.03, 20)])
+def test_graph_search_alone_finds_the_links(copies, spread, vertices):
+    """No query is left to the block product, the graph holds few vertices for near copies, and the links are found."""
+    x = groups(copies, spread)
+    ids, ones = np.arange(len(x)) * 3, np.ones(len(x), np.int64)
+    graph = hnsw.Graph.unpacked(hnsw.unit(x), hnsw.Graph.build(hnsw.unit(x), 0.93).packed())
+    assert len(graph.x) <= vertices
+    a, _, dense, audit = hnsw.reached(graph, hnsw.unit(x), 0.93)
+    assert len(dense) == 0 and audit["missed"] == 0 and audit["truth"] >= 64 and len(np.unique(a)) == len(x)
+    assert len(a) <= 30 * len(x)
+    got, u, v = hnsw.counted(graph, x, ids, ones, x, ids, 0.93)
+    want = degrees(x)
+    assert got.sum() >= 0.99 * want.sum() and (got <= want).all()
+    assert len(u) <= len(x)
+
+
+def test_long_answers_come_from_block_products():
+    """A label of which all vectors are linked, though none is near another: too long an answer for a beam."""
+    x = groups(3000, 0.2, 3000)
+    ids, ones = np.arange(len(x)), np.ones(len(x), np.int64)
+    graph = hnsw.Graph.build(hnsw.unit(x), 0.93)
+    assert len(hnsw.reached(graph, hnsw.unit(x), 0.93)[2]) == len(x)
+    got, u, v = hnsw.counted(graph, x, ids, ones, x, ids, 0.93)
+    assert (got == degrees(x)).all() and (v == 0).all() and len(u) == len(x) - 1
+
+
+def test_an_audit_that_fails_leads_to_the_block_product():
+    x = groups(2, 0.2, 2000)
+    ids, ones = np.arange(len(x)), np.ones(len(x), np.int64)
+    graph = hnsw.Graph.build(hnsw.unit(x), 0.93)
+    graph.layers = [np.full_like(g, -1) for g in graph.layers]  # no links: searches end where they start
+    assert hnsw.reached(graph, hnsw.unit(x), 0.93)[3]["missed"] > 0
+    assert (hnsw.counted(graph, x, ids, ones, x, ids, 0.93)[0] == degrees(x)).all()
+
+
+def test_weights_and_magnitudes():
+    """Copies weigh, members count through their vertex, huge and tiny vectors have their cosine."""
+    x = groups(50, 0.03, 1000) * np.exp2(np.random.default_rng(3).integers(-1020, 1020, (1000, 1)).astype(float))
+    ids, copies = np.arange(len(x)), np.random.default_rng(4).integers(1, 9, len(x))
+    u = hnsw.unit(x)
+    hit = u @ u.T >= 0.93
+    np.fill_diagonal(hit, False)
+    got = hnsw.counted(hnsw.Graph.build(u, 0.93), x, ids, copies, x, ids, 0.93)[0]
+    assert (got == hit @ copies).all()
+
+
+def test_links_over_shards_and_chunks(spark):
+    """Labels of some thousand vectors in several shards: pairs, groups and near copies, against brute force."""
+    parts = [(0, groups(2, 0.2, 3000)), (1, groups(20, 0.1, 1500)), (2, groups(400, 0.03, 1600))]
+    rows = [(k, v.astype("f4"), label) for k, (label, v) in enumerate((label, v) for label, x in parts for v in x)]
+    df = spark.createDataFrame([(k, v.tolist(), label) for k, v, label in rows], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_duplicates(df, shard=1200, chunk=700).collect()}
+    for label, x in parts:
+        ids = [k for k, _, at in rows if at == label]
+        u = hnsw.unit(np.array([rows[k][1] for k in ids], float))
+        hit = u @ u.T >= 0.93
+        np.fill_diagonal(hit, False)
+        assert [got[k][0] for k in ids] == hit.sum(1).tolist()
+        root = hnsw.stars(len(ids), *np.nonzero(hit))
+        assert [got[k][1] for k in ids] == [ids[r] for r in root]
+
+
 def test_graph_finds_the_nearest():
     x = hnsw.unit(np.random.default_rng(0).normal(size=(3000, 32)))
     graph = hnsw.Graph.unpacked(x, hnsw.Graph.build(x).packed())
