@@ -4,12 +4,14 @@ Candidates and queries are dealt by a hash of their ids into square tiles. In a
 codes give every inner product with a bound on its quantisation error:
 |x.y - x'.y'| <= |x'||y - y'| + |x - x'||y| for codes x', y'. Pairs whose upper bound reaches the
 k-th best lower bound are recomputed in double precision from the original vectors; the
-others can't be among the k best. The tiles' lists are merged by a heap a query.
+others can't be among the k best. The tiles' lists are merged by a heap a query. Products of codes are exact at any
+length: they are added in slices that float32 holds exactly. Bounds allow for the rounding of their own sums; where
+they aren't finite, pairs aren't pruned.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take
 no part; vectors of another length than the query's aren't compared with it; rows that repeat
-a vec_id count once (the least vector stands); equal scores go to the smaller vec_id;
-null ids take no part; other columns are ignored; an empty table gives no rows.
+a vec_id count once a length (the least vector stands); equal scores go to the smaller vec_id; a score too
+large for a double is infinite and compares so, and one that is no number comes last; null ids take no part; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 TILE, STRIP = 8192, 256
 #: Numbers of a tile's side: long vectors get smaller tiles.
 TILE_NUMBERS = 8_000_000
+#: Components of a slice: 127 * 127 * SLICE is below 2^24, so float32 holds each partial sum of code products exactly.
+SLICE = 1024
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -46,13 +50,21 @@ def matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
 
 
 def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes (held as float32, in which their products are exact), scales, norms of the coded vectors, norms of the errors."""
-    scale = np.abs(x).max(1) / 127
+    """int8 codes (held as float32 for products of slices), scales, norms of the coded vectors, norms of the errors."""
+    scale = np.maximum(np.abs(x).max(1) / 127, np.finfo(float).tiny)  # denormal vectors get the code 0 and a true error
     codes = np.rint(x / scale[:, None])
     back = codes * scale[:, None]
     return codes.astype(np.int8).astype(np.float32), scale, np.linalg.norm(back, axis=1), np.linalg.norm(x - back, axis=1)
 
 
+def code_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All inner products of codes, exact."""
+    total = np.zeros((len(x), len(y)))
+    for low in range(0, x.shape[1], SLICE):
+        total += x[:, low : low + SLICE] @ y[:, low : low + SLICE].T
+    return total
+
+
 def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Row by row inner products, added from the first component to the last, so equal rows give equal sums."""
     total = np.zeros(len(x))
@@ -67,10 +79,14 @@ def best_in_tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
     cfull = np.linalg.norm(c, axis=1)
     for low in range(0, len(q), STRIP):
         at = slice(low, low + STRIP)
-        near = (qc[at] @ cc.T).astype(np.float64) * (qs[at, None] * cs)
-        slack = (qn[at, None] * ce + qe[at, None] * cfull) * (1 + 1e-9) + 1e-12
-        own = qid[at, None] == cid
-        lower, upper = np.where(own, -np.inf, near - slack), np.where(own, -np.inf, near + slack)
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = code_products(qc[at], cc) * qs[at, None] * cs
+            rounding = (qn[at] + qe[at])[:, None] * cfull * (q.shape[1] + 8) * np.finfo(float).eps
+            slack = (qn[at, None] * ce + qe[at, None] * cfull) * (1 + 1e-9) + rounding + 1e-300
+            own = qid[at, None] == cid
+            sure = np.isfinite(near) & np.isfinite(slack)
+            lower = np.where(own | ~sure, -np.inf, near - slack)
+            upper = np.where(own, -np.inf, np.where(sure, near + slack, np.inf))
         if len(cid) > k:
             bar = np.partition(lower, len(cid) - k, axis=1)[:, len(cid) - k]
             row, col = np.nonzero((upper >= bar[:, None]) & ~own)

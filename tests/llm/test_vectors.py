@@ -168,3 +168,32 @@ def test_quantisation_bounds_hold():
     near = (qc @ cc.T) * (qs[:, None] * cs)
     slack = qn[:, None] * ce + qe[:, None] * np.linalg.norm(c, axis=1)
     assert (np.abs(near - q @ c.T) <= slack * (1 + 1e-9)).all()
+
+
+@pytest.mark.parametrize("dim", [1040, 4096])
+def test_quantisation_bounds_hold_for_long_vectors(dim):
+    """Codes all near 127 make the largest sums: they must still be exact, and no true neighbour pruned."""
+    rng = np.random.default_rng(dim)
+    q, c = 1 + 1e-3 * rng.normal(size=(20, dim)), 1 + 1e-3 * rng.normal(size=(200, dim))
+    (qc, *_), (cc, *_) = ann_blocks.coded(q), ann_blocks.coded(c)
+    assert (ann_blocks.code_products(qc, cc) == qc.astype(np.int64) @ cc.astype(np.int64).T).all()
+    found = list(ann_blocks.best_in_tile(np.arange(20), q, 100 + np.arange(200), c, 5))
+    exact = np.array([ann_blocks.products(np.repeat(x[None], 200, 0), c) for x in q])
+    for k in range(20):
+        got = [b for ids, near, _ in found for a, b in zip(ids, near, strict=True) if a == k]
+        assert got == [100 + j for j in np.lexsort((np.arange(200), -exact[k]))[:5]]
+
+
+def test_nearest_of_extreme_magnitudes(spark):
+    """Denormal, tiny and huge components; an id with vectors of two lengths takes part once a length."""
+    vectors = {0: [5e-324, 0.0], 20: [1e200, 1e200], 1: [1.0, 2.0], 2: [-3e-310, 4e-310], 3: [1e300, 1e10], 4: [2e-200, 3.0]}
+    rows = [*vectors.items(), (5, [1.0, 1.0]), (5, [1.0, 1.0, 1.0]), (40, [0.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id) for r in ann_blocks.nearest(df, F.col("vec_id") % 20 == 0, k=3).orderBy("query_id", "rank").collect()]
+    wide = {**vectors, 5: [1.0, 1.0]}
+    want = []
+    for q in (0, 20):
+        with np.errstate(over="ignore"):
+            score = {i: ann_blocks.products(np.array([wide[q]]), np.array([v]))[0] for i, v in wide.items() if i != q}
+        want += [(q, n, i) for n, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:3], 1)]
+    assert got == [*want, (40, 1, 5)]
