@@ -32,17 +32,19 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def ensure_checkpoint(spark: SparkSession) -> None:
-    """Use the folder that the cluster names for checkpoints; a local one only where none is set."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recordwell-"))
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """Where driver and executors both can write."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, as the session names it; one of this machine only where all runs on it."""
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="recordwell-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
+
+
+def ensure_checkpoint(spark: SparkSession) -> None:
+    """Use the shared folder for checkpoints, too."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
