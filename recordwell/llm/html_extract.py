@@ -13,6 +13,7 @@ texts. Equal votes go to the least path. Other columns are ignored; an empty tab
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -43,24 +44,44 @@ _token = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[
 _attribute = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _words = re.compile(r"[a-z]+")
 _digits = re.compile(r"\d+")
+_ends = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Element:
-    __slots__ = ("tag", "parent", "aside", "path", "name", "content", "good", "raw")
+    """An open or closed element; `block` and `container` are the nearest such ones, itself included."""
+
+    __slots__ = ("tag", "parent", "depth", "aside", "inside", "headed", "block", "container", "above", "name", "content", "good", "raw")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str):
         self.tag, self.parent, self.content, self.good, self.raw = tag, parent, False, 0, 0
         found = {k.lower(): a or b or c for k, a, b, c in _attribute.findall(attributes)} if attributes else {}
         classes = found.get("class", "").lower()
+        self.depth = parent.depth + 1 if parent else 0
+        self.inside = bool(parent) and (parent.inside or parent.tag in ("article", "main"))
+        self.headed = tag == "header" or bool(parent) and parent.headed
         self.aside = bool(parent and parent.aside) or self._is_aside(tag, classes, found)
+        self.block = self if tag in BLOCKS or not parent else parent.block
+        self.above = parent.container if parent else None
+        self.container = self if tag in CONTAINERS else self.above
         self.name = tag
         if tag in CONTAINERS:
             if first := classes.split()[:1]:
-                self.name = f"{tag}.{_digits.sub('N', first[0])}"
+                self.name = f"{tag}.{_digits.sub('N', first[0]).replace('>', '')}"
             self.content = not CONTENT_WORDS.isdisjoint(_words.findall(f"{classes} {found.get('id', '')} {found.get('itemprop', '')}".lower()))
-        self.path = parent.path if parent else ""
-        if tag in CONTAINERS and tag != "body":
-            self.path = f"{self.path}>{self.name}"
+
+    def path(self) -> str:
+        """The names of the containers from the body down."""
+        names, at = [], self.container
+        while at.above:
+            names.append(at.name)
+            at = at.above
+        return "".join(f">{n}" for n in reversed(names))
+
+    @property
+    def main(self) -> bool:
+        """Whether text right within it is main text; a header within the article keeps its headings only."""
+        return not self.aside and (self.tag in HEADINGS or not self.headed)
 
     def _is_aside(self, tag: str, classes: str, found: dict[str, str]) -> bool:
         if tag in ("html", "body", "main"):
@@ -68,14 +89,13 @@ class Element:
         names = [set(_words.findall(n)) for n in (*classes.split(), *found.get("id", "").lower().split())]
         if tag == "article":
             return any(not n.isdisjoint(("comment", "comments")) for n in names)
-        if tag in ASIDE and not (tag == "header" and self._within("article", "main")):
+        if tag in ASIDE and not (tag == "header" and self.inside):
             return True
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
             return True
         if found.get("role", "").lower() in ASIDE_ROLES:
             return True
-        inside = self._within("article", "main")
-        return any(self._names_aside(n, inside) for n in names)
+        return any(self._names_aside(n, self.inside) for n in names)
 
     @staticmethod
     def _names_aside(words: set[str], inside: bool) -> bool:
@@ -85,29 +105,18 @@ class Element:
             return False
         return bool(hit) and words.isdisjoint(BESIDE_WORDS)
 
-    def _within(self, *tags: str) -> bool:
-        at = self.parent
-        while at:
-            if at.tag in tags:
-                return True
-            at = at.parent
-        return False
-
 
 def blocks(html: str) -> list[tuple[Element, str, int]]:
     """The page's blocks in order: innermost open element that is a block, text, characters of it within links."""
     root = Element("body", None, "")
-    stack, out, held, links, open_links = [root], [], [], 0, 0
+    stack, out, held, links, standing = [root], [], [], 0, Counter()
 
     def flush() -> None:
         nonlocal links
         if held:
             text = " ".join("".join(held).split())
             if text:
-                at = stack[-1]
-                while at.tag not in BLOCKS and at.parent:
-                    at = at.parent
-                out.append((at, text, min(links, len(text))))
+                out.append((stack[-1].block, text, min(links, len(text))))
             held.clear()
             links = 0
 
@@ -116,12 +125,11 @@ def blocks(html: str) -> list[tuple[Element, str, int]]:
         if text:
             text = unescape(text) if "&" in text else text
             held.append(text)
-            if open_links:
+            if standing["a"]:
                 links += len(text)
 
     def close(k: int) -> None:
-        nonlocal open_links
-        open_links -= sum(e.tag == "a" for e in stack[k:])
+        standing.subtract(e.tag for e in stack[k:])
         del stack[k:]
 
     at, end = 0, len(html)
@@ -141,15 +149,14 @@ def blocks(html: str) -> list[tuple[Element, str, int]]:
             block = tag in BLOCKS
             if block:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
+            least = 1 if block else max(1, stack[-1].block.depth + 1)  # no inline end reaches beyond its block
+            for k in range(len(stack) - 1, least - 1, -1) if standing[tag] else ():
                 if stack[k].tag == tag:
                     close(k)
                     break
-                if not block and stack[k].tag in BLOCKS:
-                    break
             continue
         if tag in RAW:
-            ended = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            ended = _ends[tag].search(html, at)
             at = ended.end() if ended else end
             continue
         if tag in ("html", "body"):
@@ -159,16 +166,13 @@ def blocks(html: str) -> list[tuple[Element, str, int]]:
             held.append(" ")
         if tag in BLOCKS:
             flush()
-            for k in range(len(stack) - 1, 0, -1):  # an open paragraph ends here
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].tag in BLOCKS:
-                    break
+            if stack[-1].block.tag == "p":  # an open paragraph ends here
+                close(stack[-1].block.depth)
         if tag in CLOSES:
             names, bounds = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in names.split():
+            names = names.split()
+            for k in range(len(stack) - 1, 0, -1) if any(standing[n] for n in names) else ():
+                if stack[k].tag in names:
                     close(k)
                     break
                 if stack[k].tag in bounds:
@@ -176,71 +180,73 @@ def blocks(html: str) -> list[tuple[Element, str, int]]:
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
             continue
         stack.append(Element(tag, stack[-1], m[3]))
-        open_links += tag == "a"
+        standing[tag] += 1
     flush()
     return out
 
 
-def _aside(e: Element) -> bool:
-    """A header within the article keeps its headings only."""
-    if e.aside:
-        return True
-    if e.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        return False
-    while e:
-        if e.tag == "header":
-            return True
-        e = e.parent
-    return False
+def containers(page: list[tuple[Element, str, int]]) -> list[Element]:
+    """The containers that hold text, each after those that it stands in."""
+    seen: dict[int, Element] = {}
+    for at, _, _ in page:
+        c = at.container
+        while c and id(c) not in seen:
+            seen[id(c)] = c
+            c = c.above
+    return sorted(seen.values(), key=lambda c: c.depth)
 
 
 def scored(page: list[tuple[Element, str, int]]) -> list[tuple[float, Element]]:
-    """Containers, best first: the square of their main text over all that they hold."""
-    seen: dict[int, Element] = {}
+    """Containers, best first, the outer of equals first: the square of their main text over all that they hold."""
     for at, text, links in page:
-        good = 0 if _aside(at) else max(0, len(text) - 2 * links)
-        while at:
-            if at.tag in CONTAINERS:
-                seen.setdefault(id(at), at)
-                at.good += good
-                at.raw += len(text)
-            at = at.parent
+        at.container.good += max(0, len(text) - 2 * links) if at.main else 0
+        at.container.raw += len(text)
+    found = containers(page)
+    for c in reversed(found):
+        if c.above:
+            c.above.good += c.good
+            c.above.raw += c.raw
     bonus = {"article": 2.0, "main": 1.3, "body": 0.9}
-    found = [(e.good**2 / (e.raw + 1) * bonus.get(e.tag, 1.0) * (1.1 if e.content else 1.0), e) for e in seen.values() if e.good]
-    return sorted(found, key=lambda x: (-x[0], x[1].path))
+    rated = [(e.good**2 / (e.raw + 1) * bonus.get(e.tag, 1.0) * (1.1 if e.content else 1.0), e) for e in found if e.good]
+    return sorted(rated, key=lambda x: -x[0])
 
 
 def text_within(page: list[tuple[Element, str, int]], roots: list[Element]) -> str:
-    wanted, out = {id(r) for r in roots}, []
-    for at, text, _ in page:
-        e = at
-        while e and id(e) not in wanted:
-            e = e.parent
-        if e and not _aside(at):
-            out.append(text)
-    return "\n\n".join(out)
+    within = {id(r) for r in roots}
+    for c in containers(page):
+        if c.above and id(c.above) in within:
+            within.add(id(c))
+    return "\n\n".join(text for at, text, _ in page if at.main and id(at.container) in within)
+
+
+def on_path(page: list[tuple[Element, str, int]], path: str) -> list[Element]:
+    """The containers whose path is `path`."""
+    names = path.split(">")[1:]
+    matched: dict[int, int] = {}  # how many of the names lead to a container
+    out = []
+    for c in containers(page):
+        if c.above is None:
+            matched[id(c)] = 0
+        elif (k := matched.get(id(c.above), -1)) >= 0 and k < len(names) and names[k] == c.name:
+            matched[id(c)] = k + 1
+        if matched.get(id(c)) == len(names):
+            out.append(c)
+    return out
 
 
 def main_text(html: str | None, path: str | None = None) -> str:
     """The page's text from the elements on `path`, else from its best container, else all of it but the asides."""
     page = blocks(html or "")
-    if path is not None:
-        on_path: dict[int, Element] = {}
-        for at, _, _ in page:
-            while at:
-                if at.tag in CONTAINERS and at.path == path:
-                    on_path[id(at)] = at
-                at = at.parent
-        if text := text_within(page, list(on_path.values())):
-            return text
+    if path is not None and (text := text_within(page, on_path(page, path))):
+        return text
     best = scored(page)
-    return text_within(page, [best[0][1]]) if best else "\n\n".join(text for at, text, _ in page if not _aside(at))
+    return text_within(page, [best[0][1]]) if best else "\n\n".join(text for at, text, _ in page if at.main)
 
 
 def votes(html: str | None, most: int = 3) -> list[tuple[str, float]]:
     """The paths a page votes for: its best containers, by their share of the best one's score."""
     best = scored(blocks(html or ""))[:most]
-    return list({e.path: s / best[0][0] for s, e in reversed(best)}.items())
+    return list({e.path(): s / best[0][0] for s, e in reversed(best)}.items())
 
 
 def host_paths(pages: DataFrame) -> DataFrame:

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .shared import held_out, unit_hash
 
 PER_LANGUAGE = 800
-#: Symbols: a space, 26 letters, lead bytes, the 64 continuation bytes.
-BASE = 96
+#: Symbols: a space, 26 letters, the 64 continuation bytes from 32 on, the 64 lead bytes from 96 on.
+BASE = 160
 SCALE = 10.0
 #: Bytes of text that are looked up at once.
 TOGETHER = 1 << 21
@@ -49,7 +49,7 @@ def _symbols() -> np.ndarray:
         if chr(b).isalpha() and b < 128:
             out[b] = ord(chr(b).lower()) - 96
         elif b >= 0xC0:
-            out[b] = 27 + b % 5
+            out[b] = 96 + b - 0xC0
         elif b >= 0x80:
             out[b] = 32 + (b & 0x3F)
     return out
@@ -102,10 +102,23 @@ def fit_svm(texts: list[str], sign: np.ndarray, cost: float = 10.0, rounds: int
 
 
 class LanguageModel:
-    """pairs: (a, b) of families or of languages; weights: a column a pair, positive for a."""
+    """pairs: (level, a, b) of families or of languages.
 
-    def __init__(self, langs: list[str], pairs: list[tuple[str, str, str]], weights: np.ndarray, bias: np.ndarray):
-        self.langs, self.pairs, self.weights, self.bias = langs, pairs, weights, bias
+    used: the trigram codes that any machine weighs, in order; weights: a row a code, a column a pair, positive
+    for a. So a model is as large as the trigrams that occur, whatever the number of possible ones.
+    """
+
+    def __init__(self, langs: list[str], pairs: list[tuple[str, str, str]], used: np.ndarray, weights: np.ndarray, bias: np.ndarray):
+        self.langs, self.pairs, self.used, self.weights, self.bias = langs, pairs, used, weights, bias
+        self.place: np.ndarray | None = None
+
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """The row of weights of each code; those that no machine weighs get the last one, of zeros."""
+        if self.place is None:
+            self.place = np.full(BASE**3, len(self.used), np.int32)
+            self.place[self.used] = np.arange(len(self.used))
+            self.weights = np.concatenate([self.weights, np.zeros((1, len(self.pairs)), np.float32)])
+        return self.place[codes]
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
         """A row a text, a column a pair."""
@@ -118,8 +131,9 @@ class LanguageModel:
                 high += 1
             codes = trigrams(b"  ".join([b"", *texts[low:high], b""]))
             starts = np.cumsum([0, *(len(t) + 2 for t in texts[low : high - 1])])
+            at = self.places(codes)
             for k in range(len(self.pairs)):
-                out[low:high, k] = np.add.reduceat(self.weights[codes, k], starts)
+                out[low:high, k] = np.add.reduceat(self.weights[at, k], starts)
             out[low:high] *= SCALE / np.maximum(1, np.add.reduceat((codes > 0).astype(np.int64), starts))[:, None]
             low = high
         return out + self.bias
@@ -161,7 +175,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     families = sorted({family_of(x) for x in langs})
     pairs = [("family", a, b) for a, b in combinations(families, 2)]
     pairs += [(f, a, b) for f in families for a, b in combinations(sorted(x for x in langs if family_of(x) == f), 2)]
-    weights, bias = np.zeros((BASE**3, len(pairs)), np.float32), np.zeros(len(pairs))
+    learned, bias = [], np.zeros(len(pairs))
     if pairs:
         plan = []  # (lang, pair, sign, share)
         for k, (level, a, b) in enumerate(pairs):
@@ -179,17 +193,21 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
             return pd.DataFrame({"pair": [group.pair.iloc[0]], "bias": [b], "codes": [used.tobytes()], "weights": [w[used].astype("<f4").tobytes()]})
 
         for r in chosen.groupBy("pair").applyInPandas(learn, "pair int, bias double, codes binary, weights binary").collect():
-            weights[np.frombuffer(r.codes, "<i4"), r.pair], bias[r.pair] = np.frombuffer(r.weights, "<f4"), r.bias
-    return LanguageModel(langs, pairs, weights, bias)
+            learned.append((r.pair, np.frombuffer(r.codes, "<i4"), np.frombuffer(r.weights, "<f4")))
+            bias[r.pair] = r.bias
+    used = np.unique(np.concatenate([np.zeros(0, "<i4"), *(codes for _, codes, _ in learned)]))
+    weights = np.zeros((len(used), len(pairs)), np.float32)
+    for pair, codes, values in learned:
+        weights[np.searchsorted(used, codes), pair] = values
+    return LanguageModel(langs, pairs, used, weights, bias)
 
 
 def prediction(model: LanguageModel, text: Column) -> Column:
     """A struct (lang_pred, score) for a text column."""
-    shipped = _shipped(model)
+    m = model
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = _unpacked(shipped)
         for texts in batches:
             names, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             live = [k for k, t in enumerate(texts) if m.langs and t is not None and has_letter(t)]
@@ -201,18 +219,6 @@ def prediction(model: LanguageModel, text: Column) -> Column:
     return predict(text)
 
 
-def _shipped(m: LanguageModel) -> tuple:
-    used = np.flatnonzero(m.weights.any(1)) if m.pairs else np.zeros(0, np.int64)
-    return m.langs, m.pairs, used, m.weights[used], m.bias
-
-
-def _unpacked(shipped: tuple) -> LanguageModel:
-    langs, pairs, used, values, bias = shipped
-    weights = np.zeros((BASE**3, len(pairs)), np.float32)
-    weights[used] = values
-    return LanguageModel(langs, pairs, weights, bias)
-
-
 def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), a row a document."""
     model = model or fit(docs)

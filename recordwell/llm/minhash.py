@@ -247,7 +247,7 @@ def links(docs: DataFrame, members: DataFrame, width: int, least: int, out_of: i
                 yield pa.RecordBatch.from_arrays([pa.array([reps[x[k]] for x in forest], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     full = texts.select("m_rep", "text", "m_class").mapInArrow(sets, "rep long, class binary, shingles binary")
-    dealt = sized(block_pairs(members, least / out_of))
+    dealt = sized(written(block_pairs(members, least / out_of), "dealt"))
     tasks = full.join(dealt, ["rep", "class"]).select("cluster", "task", "side", "class", "rep", "shingles")
     return tasks.repartition("cluster", "task").sortWithinPartitions("cluster", "task").mapInArrow(verify, "u long, v long")
 

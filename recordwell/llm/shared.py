@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..deploy import ship
+from ..deploy import shared_folder, ship
 
-#: Rows of (id, small payload) up to which a counted side is broadcast; 16 MB or so.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes up to which a measured side is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 24 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -22,15 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = tempfile.mkdtemp(prefix="recordwell-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: lineage ends there.
 
@@ -38,7 +30,7 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     the driver's process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/recordwell-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/recordwell-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     if not _written:
         atexit.register(_sweep)
@@ -56,9 +48,11 @@ def _sweep() -> None:
             return
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows stay within the bound, else df."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows, and their bytes with those of texts, are measured to stay within the bounds; else df."""
+    long = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(reduce(add, long, F.lit(24 + 8 * len(df.columns))).cast("long"))).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= most_bytes else df
 
 
 def remainder(key: Column, by: int = 5) -> Column:

@@ -116,6 +116,40 @@ def test_batches_of_texts_give_the_margins_of_single_ones(spark):
     assert np.allclose(together, alone, atol=1e-4)
 
 
+def test_margins_equal_sums_over_counted_trigrams(spark):
+    """Against a plain count of each text's trigrams, weighed one by one; other scripts keep their lead bytes apart."""
+    texts = {"xa": "alpha beta gamma delta ", "xb": "omega sigma theta kappa ", "xc": "\u03b1\u03b2\u03b3 \u03b4\u03b5\u03b6 ", "xd": "\u0431\u0432\u0433 \u0434\u0435\u0436 "}
+    rows = [(k * 10 + n, t * (2 + n % 3) + str(n), lang) for k, (lang, t) in enumerate(texts.items()) for n in range(10)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = model.margins([t.encode() for _, t, _ in rows])
+    weight = {int(c): model.weights[k] for k, c in enumerate(model.used)}
+    for (_, text, _), margins in zip(rows, got, strict=True):
+        codes = [c for c in langid.trigrams(f"  {text}  ".encode()).tolist() if c]
+        plain = [langid.SCALE * sum(float(weight[c][k]) for c in codes if c in weight) / len(codes) + model.bias[k] for k in range(len(model.pairs))]
+        assert np.allclose(margins, plain, atol=1e-4)
+    lang, _ = model.decide(got)
+    assert [model.langs[k] for k in lang] == [x for *_, x in rows]
+    assert not set(langid.trigrams(texts["xc"].encode()).tolist()) & set(langid.trigrams(texts["xd"].encode()).tolist()) - {0}
+
+
+def test_rule_columns_equal_rules_in_numpy(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_rules.fit(docs, labels)
+    rows = sorted(tuple(r) for r in quality_rules.statistics(docs, ["doc_id"]).select("doc_id", *quality_rules.NAMES).collect())
+    x = np.array([r[1:] for r in rows])
+    total = model.bias + sum(w * quality_rules.holds(r, x) for r, w in zip(model.rules, model.weights, strict=True))
+    got = {r.doc_id: r.score for r in quality_rules.scored(docs, model).collect()}
+    assert np.allclose([got[r[0]] for r in rows], 1 / (1 + np.exp(-total)), atol=1e-12)
+
+
+def test_statistics_by_hand(spark):
+    text = "Zu viel!! viel viel\n#1 $ Ende"
+    row = quality_rules.statistics(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"]).first()
+    words = text.split()
+    assert row.q_length == pytest.approx(np.log1p(len(text))) and row.q_upper == pytest.approx(2 / len(text)) and row.q_again == pytest.approx(1 / len(words))
+    assert row.q_distinct == pytest.approx(np.log1p(len(set(words))) / np.log1p(len(words))) and row.q_mark0 == pytest.approx(2 / len(text)) and row.q_line == pytest.approx(1 / len(words))
+
+
 def test_quality_of_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality_rules.fit(docs, labels)

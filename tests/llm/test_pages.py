@@ -1,3 +1,8 @@
+import re
+import time
+from html.parser import HTMLParser
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +59,64 @@ def test_whole_table_matches_the_article(spark):
         assert r.text == html_extract.main_text(f"<article>{article}</article>")
 
 
+class Paragraphs(HTMLParser):
+    """The blocks right within <article> by the standard library's parser, but its asides and forms."""
+
+    SKIPPED = {"aside", "form", "script", "style", "nav", "footer"}
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks = [], [""]
+        self.feed(html)
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in html_extract.VOID:
+            self.open.append((tag, dict(attrs).get("class") or ""))
+        if tag in html_extract.BLOCKS:
+            self.blocks.append("")
+        if tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        while any(t == tag for t, _ in self.open):
+            if self.open.pop()[0] == tag:
+                break
+        if tag in html_extract.BLOCKS:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        tags = [t for t, _ in self.open]
+        aside = any(w in html_extract.ASIDE_WORDS for _, c in self.open for w in re.findall("[a-z]+", c.lower()) if w not in ("header", "banner"))
+        if "article" in tags and not self.SKIPPED & set(tags) and not aside:
+            self.blocks[-1] += data
+
+    def text(self):
+        return "\n\n".join(t for b in self.blocks if (t := " ".join(b.split())))
+
+
+def test_whole_table_equals_an_independent_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    got = {r.page_id: r.text for r in html_extract.extracted(pages).collect()}
+    same = [got[k] == Paragraphs(h).text() for k, h in html.items()]
+    assert sum(same) == len(same)
+
+
+@pytest.mark.parametrize("page", ["<div class=a>text " * 20_000, "<p>" + "<span>" * 20_000 + "<hr></section>" * 20_000, "<ul>" + "<li><div>x" * 20_000, "<table><tr><td>" * 20_000, "<i></b>" * 20_000])
+def test_deep_pages_take_linear_time(page):
+    start = time.perf_counter()
+    html_extract.main_text(page)
+    html_extract.votes(page)
+    assert time.perf_counter() - start < 5
+
+
+def test_paths_are_found_again():
+    page = "<div class='a1'><div class='b'><p>one</p></div><div class='b'><p>two</p><section><p>three</p></section></div></div><div class='b'><p>four</p></div>"
+    assert html_extract.main_text(page, ">div.aN>div.b") == "one\n\ntwo\n\nthree"
+    assert html_extract.main_text(page, ">div.b") == "four"
+    assert {p for p, _ in html_extract.votes(page, 9)} == {"", ">div.aN", ">div.aN>div.b", ">div.aN>div.b>section", ">div.b"}
+
+
 URLS = [
     (1, "https://a.b.COM/en/1?x#y", "a.b.com", "/en/1", "com/en/", "block"), (2, "http://www.example.com/en/73", "www.example.com", "/en/73", "example.com/en/7", "allow"), (3, "http://x.net/de/1", "x.net", "/de/1", "net/de/", "allow"),
     (4, "http://example.net/de/80", "example.net", "/de/80", "example.net/de/8", "block"), (5, "http://q.org/es/", "q.org", "/es/", "org/es/", "block"), (6, "ftp://notcom/en/1", "notcom", "/en/1", None, None),
@@ -85,6 +148,35 @@ def test_trust_flows_along_links_and_distrust_against_them(spark):
     assert verdicts["friend.org"] == "allow" and verdicts["feeder2.org"] == "block" and verdicts["alone.org"] == "allow"
 
 
+def test_propagation_equals_a_dense_power_iteration(spark):
+    """On a random graph with hubs, dead ends and hosts without links, against a matrix of numpy."""
+    rng, n, damping = np.random.default_rng(8), 60, 0.85
+    pairs = {(int(a), int(b)) for a, b in zip(rng.integers(0, 50, 220), np.r_[rng.integers(0, 55, 160), np.zeros(60, int)], strict=True) if a != b}
+    seed = {"trust": rng.integers(0, 4, n).astype(float), "distrust": rng.integers(0, 3, n).astype(float)}
+    name = lambda k: f"h{k:02d}"
+    seeds = spark.createDataFrame([(name(k), kind, float(m)) for kind, s in seed.items() for k, m in enumerate(s)], "host string, kind string, mass double")
+    edges = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], "src string, dst string")
+    got = {(r.host, r.kind): r.mass for r in url_trust.propagate(seeds, edges, damping, tolerance=1e-6).collect()}
+    for kind, s in seed.items():
+        flow = np.zeros((n, n))
+        for a, b in pairs if kind == "trust" else {(b, a) for a, b in pairs}:
+            flow[a, b] = 1
+        flow[np.flatnonzero(flow.sum(1) == 0), np.flatnonzero(flow.sum(1) == 0)] = 1
+        flow /= flow.sum(1, keepdims=True)
+        mass = s.copy()
+        for _ in range(400):
+            mass = (1 - damping) * s + damping * mass @ flow
+        assert np.allclose([got.get((name(k), kind), 0.0) for k in range(n)], mass, atol=1e-5)
+
+
+def test_trust_reaches_the_end_of_a_long_chain(spark):
+    """Forty links on, mass is 0.85^40 of the seed's: still found where the seed is large enough."""
+    edges = spark.createDataFrame([(f"c{k}", f"c{k + 1}") for k in range(40)], "src string, dst string")
+    seeds = spark.createDataFrame([("c0", "trust", 1000.0)], "host string, kind string, mass double")
+    got = {r.host: r.mass for r in url_trust.propagate(seeds, edges).where("kind = 'trust'").collect()}
+    assert len(got) == 41 and got["c40"] == pytest.approx(1000 * 0.85**40, abs=1e-2)
+
+
 def test_unrelated_seeds_do_not_stop_the_flow(spark):
     """A chain towards a blocked host is followed to its end, however much mass stands elsewhere and however long it is."""
 
