@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..context import Context
-from .text import let
 
 GRAINS = "DAY WEEK MONTH QUARTER YEAR DAY_OF_WEEK MONTH_OF_YEAR QUARTER_OF_YEAR".split()
 
@@ -41,43 +40,37 @@ def gap_filled(groups: DataFrame, day: str, grain: str, values: dict[str, object
 
 
 def parse_instant(text: Column) -> Column:
-    """ISO instants with fraction and offset; without an offset they are UTC. Null if it is none."""
+    """ISO instants with fraction and offset; without an offset they are in the session's zone. Microseconds are kept. Null if it is none."""
     ok = text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?$")
-    return F.when(ok, F.date_trunc("second", text.try_cast("timestamp")))
+    return F.when(ok, text.try_cast("timestamp"))
+
+
+_clock = r"(?:[ ,T]+\d{1,2}:\d{2}(?::\d{2})?(?:\s*(?:Uhr|[AaPp][Mm]))?)?"
 
 
 def parse_day(text: Column, slash_order: str | None = None) -> Column:
-    """A struct (day, rule): ISO, day.month.year, year.month.day, and slash dates in the declared order (DMY or MDY).
+    """A struct (day, rule): ISO, day.month.year, year.month.day, and dates with slashes or dashes in the declared order (DMY or MDY).
 
-    Two-digit years from 30 on are of the last century. rule is date or ambiguous-date where no day is found.
+    Without a declared order such a date counts if one reading only is a date, or both are the same. Two-digit years from 30 on
+    are of the last century; a time of day may follow. rule is date or ambiguous-date where no day is found.
     """
-    iso, dotted, reverse, slash = (r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[T ].*)?$", r"^(\d{1,2})\.(\d{1,2})\.(\d{2}|\d{4})$", r"^(\d{4})[./](\d{1,2})[./](\d{1,2})$", r"^(\d{1,2})/(\d{1,2})/(\d{2}|\d{4})$")
     order = (slash_order or "").upper()
-    two = lambda x: F.lpad(x, 2, "0")
-    year = lambda y: F.when(F.length(y) == 4, y).when(y < "30", F.concat(F.lit("20"), y)).otherwise(F.concat(F.lit("19"), y))
-    made = lambda y, m, d: F.try_to_date(F.concat_ws("-", year(y), two(m), two(d)), "yyyy-MM-dd")
-
-    def parts(t: Column, pattern: str, use) -> Column:
-        """use(first, second, third) where the pattern fits."""
-        cut = F.split(F.regexp_replace(t, pattern, "$1-$2-$3"), "-")
-        return F.when(t.rlike(pattern), let(cut, lambda p: use(F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(p, F.lit(2)))))
-
-    def slashed(a: Column, b: Column, c: Column) -> Column:
-        first, second = a.cast("int"), b.cast("int")
-        day_first = F.lit(order == "DMY") | ((first > 12) & F.lit(order != "MDY"))
-        clear = F.lit(order in ("DMY", "MDY")) | (first > 12) | (second > 12) | (first == second)
-        return F.struct(F.when(clear, F.when(day_first, made(c, b, a)).otherwise(made(c, a, b))).alias("day"), clear.alias("clear"))
-
-    def read(t: Column) -> Column:
-        day = F.coalesce(parts(t, iso, made), parts(t, dotted, lambda d, m, y: made(y, m, d)), parts(t, reverse, made))
-        return let(F.struct(day.alias("d"), F.when(day.isNull(), parts(t, slash, slashed)).alias("s")), lambda x: judged(t, x))
-
-    def judged(t: Column, x: Column) -> Column:
-        found, s = F.coalesce(x.getField("d"), x.getField("s").getField("day")), x.getField("s")
-        rule = F.when(found.isNotNull() | t.isNull() | (t == ""), F.lit(None)).when(s.isNotNull() & ~s.getField("clear"), "ambiguous-date").otherwise("date")
-        return F.struct(found.alias("day"), rule.alias("rule"))
-
-    return let(F.trim(text), read)
+    trimmed = F.trim(text)
+    long_year = F.regexp_replace(trimmed, rf"^(\d{{1,2}}\.\s?\d{{1,2}}\.\s?|\d{{1,2}}[/-]\d{{1,2}}[/-])([0-2]\d)({_clock})$", "$120$2$3")
+    t = F.regexp_replace(long_year, rf"^(\d{{1,2}}\.\s?\d{{1,2}}\.\s?|\d{{1,2}}[/-]\d{{1,2}}[/-])([3-9]\d)({_clock})$", "$119$2$3")
+    over_twelve = r"1[3-9]|[2-9]\d"
+    slashed = rf"^(\d{{1,2}})[/-](\d{{1,2}})[/-](\d{{4}}){_clock}$"
+    shapes = [(r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[T ].*)?$", "$1-$2-$3"), (rf"^(\d{{1,2}})\.\s?(\d{{1,2}})\.\s?(\d{{4}}){_clock}$", "$3-$2-$1"), (r"^(\d{4})[./](\d{1,2})[./](\d{1,2})$", "$1-$2-$3")]
+    if order in ("DMY", "MDY"):
+        shapes.append((slashed, "$3-$2-$1" if order == "DMY" else "$3-$1-$2"))
+    else:
+        shapes += [(slashed.replace(r"^(\d{1,2})", f"^({over_twelve})", 1), "$3-$2-$1"), (slashed.replace(r"](\d{1,2})", f"]({over_twelve})", 1), "$3-$1-$2"), (rf"^0?(\d{{1,2}})[/-]0?(\1)[/-](\d{{4}}){_clock}$", "$3-$2-$1")]
+    plain = F.when(t.rlike(shapes[0][0]), F.regexp_replace(t, *shapes[0]))
+    for shape in shapes[1:]:
+        plain = plain.when(t.rlike(shape[0]), F.regexp_replace(t, *shape))
+    day = plain.try_cast("date")
+    rule = F.when(day.isNotNull() | t.isNull() | (t == ""), F.lit(None)).when(plain.isNull() & t.rlike(slashed), "ambiguous-date").otherwise("date")
+    return F.struct(day.alias("day"), rule.alias("rule"))
 
 
 def to_instant(local: Column, context: Context) -> Column:

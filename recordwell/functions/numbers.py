@@ -2,34 +2,35 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let
-
 NUMBER = "decimal(38,10)"
 #: Words for true and false in tables.
-TRUE_WORDS = "1 true yes y ja j wahr x on oui".split()
-FALSE_WORDS = "0 false no n nein falsch off non".split()
-#: Currency signs and their codes.
-CURRENCY_SIGNS = {"€": "EUR", "$": "USD", "£": "GBP", "CHF": "CHF", "Fr.": "CHF", "¥": "JPY", "zł": "PLN", "kr": "SEK"}
+TRUE_WORDS = "true wahr ja yes y j x 1 ✓ ✔".split()
+FALSE_WORDS = "false falsch nein no n 0 ✗ ✘".split()
+#: Currency signs and their codes, and signs that several currencies share.
+CURRENCY_SIGNS = {"€": "EUR", "EURO": "EUR", "£": "GBP", "$": "USD", "US$": "USD", "¥": "JPY", "₹": "INR", "₽": "RUB", "₺": "TRY", "₩": "KRW", "₪": "ILS", "zł": "PLN", "Kč": "CZK", "Fr.": "CHF", "SFr.": "CHF", "Ft": "HUF", "R$": "BRL", "CA$": "CAD", "C$": "CAD", "A$": "AUD"}
+SHARED_SIGNS = "kr kr. Kr Kr.".split()
 
+_some_sign = "|".join(re.escape(s) for s in sorted([*CURRENCY_SIGNS, *SHARED_SIGNS], key=len, reverse=True))
 
-def parse_number(text: Column, point: str = ".") -> Column:
-    """A struct (number, rule): grouped digits, signs before or after, brackets for negatives, exponents. point: the decimal mark."""
-    group = r"[.'\s\u00a0\u202f]" if point == "," else r"[,'\s\u00a0\u202f]"
-    mark = r"\." if point == "." else ","
-    shape = rf"^(?:\d+|\d{{1,3}}(?:{group}\d{{3}})+)(?:{mark}\d+)?(?:[eE][+-]?\d+)?$|^{mark}\d+$"
 
-    def read(t: Column) -> Column:
-        return let(F.regexp_replace(t, r"^[(+\-−]\s*|\s*[)\-−]$", ""), lambda bare: F.when(bare.rlike(shape), let(F.regexp_replace(F.regexp_replace(bare, group, ""), mark, "."), lambda x: F.coalesce(x.try_cast(NUMBER), x.try_cast("double").try_cast(NUMBER)))))
-
-    def whole(t: Column) -> Column:
-        none = t.isNull() | (t == "")
-        signed = lambda n: F.when(t.rlike(r"^\(.*\)$|^[-−]|[-−]$"), -n).otherwise(n)
-        return let(F.when(~none, read(t)), lambda n: F.struct(signed(n).alias("number"), F.when(~none & n.isNull(), "number").alias("rule")))
+def parse_number(text: Column, point: str = ".") -> Column:
+    """A struct (number, rule): grouped digits, signs before or after, brackets for negatives, exponents. point: the decimal mark.
 
-    return let(F.trim(text), whole)
+    Plain expressions only, no higher-order function: they stay within generated code, which computes repeated parts once.
+    """
+    groups = (".'" if point == "," else ",'") + " \u00a0\u202f"
+    mark = re.escape(point)
+    shape = rf"(?:(?:\d+|\d{{1,3}}(?:[{groups}]\d{{3}})+)(?:{mark}\d+)?(?:[eE][+-]?\d+)?|{mark}\d+)"
+    t = F.trim(text)
+    bare = F.translate(F.regexp_replace(t, r"^[(+\-−]\s*|\s*[)\-−]$", ""), point + groups, ".")
+    number = F.when(t.rlike(rf"^(?:[(+\-−]\s*)?{shape}(?:\s*[)\-−])?$"), bare.try_cast(NUMBER))
+    negative = (t.startswith("(") & t.endswith(")")) | t.startswith("-") | t.startswith("−") | t.endswith("-") | t.endswith("−")
+    return F.struct(F.when(negative, -number).otherwise(number).alias("number"), F.when(number.isNull() & (t != ""), "number").alias("rule"))
 
 
 def decimal_point(texts: Column) -> Column:
@@ -39,22 +40,27 @@ def decimal_point(texts: Column) -> Column:
     return F.when((comma > 0) & (dot == 0), ",").when((dot > 0) & (comma == 0), ".")
 
 
-def parse_money(text: Column, point: str = ".", default_code: str | None = None) -> Column:
-    """A struct (amountMicros, currencyCode, rule): a code or sign before or after the number."""
+#: A leading code or sign, the number up to its last digit, a trailing code or sign.
+_money = rf"^(?:([A-Z]{{3}})(?=[^A-Za-z])|({_some_sign})(?=.))?\s*(.*[0-9)\-−])\s*(?:(?<=[^A-Za-z])([A-Z]{{3}})|({_some_sign}))?$"
+_cut = "\u0001"
 
-    def read(t: Column) -> Column:
-        code = F.nullif(F.regexp_extract(t, r"(?:^|[\s\d])([A-Z]{3})(?:$|[\s\d])", 1), F.lit(""))
-        code = F.coalesce(code, *(F.when(t.contains(sign), meant) for sign, meant in CURRENCY_SIGNS.items()), F.lit(default_code))
-        amount = parse_number(F.regexp_replace(t, r"[A-Z]{3}|zł|kr|Fr\.|[€$£¥]", ""), point)
-        return let(F.struct(code.alias("code"), amount.alias("p")), money)
 
-    def money(x: Column) -> Column:
-        n = x.getField("p").getField("number")
-        micros = F.when(n == F.round(n, 6), (n * 1_000_000).try_cast("long"))
-        bad = x.getField("p").getField("rule").isNotNull() | (n.isNotNull() & (n != F.round(n, 6)))
-        return F.struct(micros.alias("amountMicros"), x.getField("code").alias("currencyCode"), F.when(bad, "currency").alias("rule"))
+def parse_money(text: Column, point: str = ".", default_code: str | None = None) -> Column:
+    """A struct (amountMicros, currencyCode, rule): an ISO code or a sign before or after the number.
 
-    return let(F.trim(text), read)
+    A sign that several currencies share, such as kr, is an error, as are amounts finer than a millionth. The
+    text is taken apart by one pattern, within generated code.
+    """
+    t = F.trim(text)
+    known = F.create_map(*(F.lit(x) for pair in CURRENCY_SIGNS.items() for x in pair))
+    parts = F.split(F.regexp_replace(t, _money, _cut.join(f"${k}" for k in range(1, 6))), _cut)
+    code_before, sign_before, amount, code_after, sign_after = (F.get(parts, F.lit(k)) for k in range(5))
+    code, sign = F.concat(code_before, code_after), F.concat(sign_before, sign_after)
+    sound = (F.length(code) <= 3) & ((code == "") | (sign == "")) & ((sign_before == "") | (sign_after == "")) & ~sign.isin(SHARED_SIGNS)
+    n = parse_number(amount, point).getField("number")
+    micros = F.when(sound & (n == F.round(n, 6)), (n * 1_000_000).try_cast("long"))
+    found = F.coalesce(F.nullif(code, F.lit("")), F.try_element_at(known, sign), F.lit(default_code))
+    return F.struct(micros.alias("amountMicros"), F.when(sound, found).alias("currencyCode"), F.when(micros.isNull() & (t != ""), "currency").alias("rule"))
 
 
 def parse_bool(text: Column) -> Column:

@@ -5,40 +5,56 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once however often body uses it."""
-    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+def _single(change) -> tuple[str, str]:
+    """The characters of the basic plane that `change` turns into one other character, and those. Lower-casing comes first."""
+    pairs = [(c, d) for c in map(chr, [*range(0x80, 0xAC00), *range(0xF900, 0xFFFE)]) if len(d := change(c)) == 1 and d != c.lower() and c == c.lower()]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
 
 
-def casefold(text: Column) -> Column:
-    """Caseless form: lower case, with sharp s as ss. exact_fold covers the rest of Unicode."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+def _several(change) -> list[tuple[str, str]]:
+    """Letters that `change` turns into several characters."""
+    return [(c, d) for c in "ßŉǰΐΰևẖẗẘẙẚﬀﬁﬂﬃﬄﬅﬆ" if len(d := change(c)) > 1]
+
 
+def _bare(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c.casefold()) if not unicodedata.combining(x))
 
-@F.pandas_udf(T.StringType())
-def exact_casefold(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else t.casefold())
 
+_CASELESS, _FOLDED = _single(str.casefold), _single(_bare)
+_CASELESS_LONG, _FOLDED_LONG = _several(str.casefold), _several(_bare)
+_MARKS = r"[\u0300-\u036f]"
 
-@F.pandas_udf(T.StringType())
-def exact_fold(text: pd.Series) -> pd.Series:
-    """Caseless and without accents, for any script."""
-    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t.casefold()) if not unicodedata.combining(c)))
 
+def _changed(text: Column, single: tuple[str, str], several: list[tuple[str, str]]) -> Column:
+    """Characters that aren't ASCII are replaced by tables that come from Unicode's data; plain texts aren't touched."""
+    out = F.translate(text, *single)
+    for c, d in several:
+        out = F.replace(out, F.lit(c), F.lit(d))
+    return out
 
-#: Accented Latin letters and what they fold to.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿāăąćčďđēęěğīıłńňőřśşšţťūůűźżž", "aaaaaaceeeeiiiinoooooouuuuyyaaaccddeeegiilnnorsssttuuuzzz"
+
+def casefold(text: Column) -> Column:
+    """Caseless form: lower case, then what Unicode folds further (sharp s, final sigma, ligatures). Greek letters with marks that
+    it takes apart stay whole, in every text alike."""
+    low = F.lower(text)
+    return F.when(low.rlike(r"[^\x00-\x7f]"), _changed(low, _CASELESS, _CASELESS_LONG)).otherwise(low)
 
 
 def fold(text: Column) -> Column:
-    """Caseless, Latin accents removed, within code generation."""
-    return F.translate(casefold(text), ACCENTED, PLAIN)
+    """Caseless and without accents, in any script of the basic plane; composed and decomposed letters alike."""
+    low = F.lower(text)
+    return F.when(low.rlike(r"[^\x00-\x7f]"), F.regexp_replace(_changed(low, _FOLDED, _FOLDED_LONG), _MARKS, "")).otherwise(low)
+
+
+def without_accents(text: Column) -> Column:
+    """Letters lose their accents and keep their case."""
+    both = lambda low, bare: (low + low.upper(), bare + bare.upper())
+    kept = [(c, d) for c, d in zip(*_FOLDED, strict=True) if len(c.upper()) == 1 == len(d.upper())]
+    return F.regexp_replace(F.translate(text, *both("".join(c for c, _ in kept), "".join(d for _, d in kept))), _MARKS, "")
 
 
 def words(text: Column) -> Column:
@@ -55,10 +71,10 @@ def phone_key(text: Column) -> Column:
 
 
 def host_key(url: Column) -> Column:
-    """A host's comparable form: no scheme, user, port, www. or final dot; lower case."""
+    """A host's comparable form: no scheme, user, port, www. or final dot; lower case, international names in their ASCII form."""
     rest = F.regexp_replace(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.\-]*://", "")
     host = F.regexp_replace(F.regexp_extract(rest, r"^([^/?#]*)", 1), r"^.*@", "")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r":\d*$", ""), r"\.$", ""), r"^www\.", "")
+    return F.regexp_replace(ascii_host(F.regexp_replace(F.regexp_replace(host, r":\d*$", ""), r"\.$", "")), r"^www\.", "")
 
 
 def url_key(url: Column) -> Column:
@@ -68,17 +84,9 @@ def url_key(url: Column) -> Column:
     return F.concat(host_key(url), path)
 
 
-@F.pandas_udf(T.StringType())
-def ascii_host(host: pd.Series) -> pd.Series:
-    """International host names in their ASCII form; names that have none stay as they are."""
-
-    def one(h: str | None) -> str | None:
-        try:
-            return h.encode("idna").decode() if h and not h.isascii() else h
-        except UnicodeError:
-            return h
-
-    return host.map(one)
+def ascii_host(host: Column) -> Column:
+    """International host names in their ASCII form, by the JVM's own routine; names that have none stay as they are."""
+    return F.when(host.rlike(r"[^\x00-\x7f]"), F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host), host)).otherwise(host)
 
 
 def kebab(text: Column) -> Column:
@@ -87,7 +95,7 @@ def kebab(text: Column) -> Column:
 
 def humanize(text: Column) -> Column:
     spaced = F.lower(F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), "[_-]+", " "))
-    return F.concat(F.upper(F.substring(spaced, 1, 1)), F.substring(spaced, 2, 10_000))
+    return F.concat(F.upper(F.substring(spaced, 1, 1)), F.substring(spaced, F.lit(2), F.length(spaced)))
 
 
 def header_key(text: Column) -> Column:
@@ -110,8 +118,8 @@ def split_name(text: Column) -> Column:
 
 
 #: Reply and forward marks before a subject.
-SUBJECT_MARKS = "re aw wg fw fwd sv vs antw tr rv res enc odp ynt".split()
-_marks = r"^\s*(?:(?:" + "|".join(SUBJECT_MARKS) + r")(?:\[\d+\])?\s*:\s*)+"
+SUBJECT_MARKS = "re aw antw antwort fw fwd wg wtr sv vs rif r tr enc res odp vb doorst ynt vl".split()
+_marks = r"^\s*(?:(?:" + "|".join(SUBJECT_MARKS) + r")\s*(?:\[\d+\]|\(\d+\))?\s*:\s*)+"
 
 
 def subject_key(subject: Column) -> Column:
@@ -125,21 +133,30 @@ def thread_root(references: Column, in_reply_to: Column, message_id: Column, fal
     return F.coalesce(first(references), first(in_reply_to), F.nullif(message_id, F.lit("")), F.sha2(fallback, 256))
 
 
-#: Second-level labels under which names are registered, and free mail hosts.
-SECOND_LEVELS = "ac co com edu gov net org gob".split()
+#: The labels under which names are registered, by country.
+SECOND_LEVELS = {
+    "uk": "co org ac gov me ltd plc net sch nhs police", "au": "com net org edu gov asn id", "nz": "co org net ac govt school", "jp": "co ne or ac go ad ed gr lg", "kr": "co or ne go ac re", "br": "com net org gov edu art",
+    "cn": "com net org gov edu ac", "hk": "com org net edu gov idv", "tw": "com org net edu gov idv", "sg": "com org net edu gov per", "my": "com org net edu gov", "in": "co net org firm gen ind ac edu gov res", "za": "co org net gov ac web",
+    "il": "co org net ac gov muni", "mx": "com org net gob edu", "ar": "com org net gob edu", "tr": "com org net gen edu gov biz", "pl": "com net org edu gov", "at": "co or ac gv", "es": "com org nom edu gob", "pt": "com org edu gov",
+    "id": "co or ac go web", "ph": "com net org gov edu", "th": "co ac go or in", "vn": "com net org gov edu", "ua": "com org net gov edu", "ke": "co or ac go", "ng": "com org gov edu", "eg": "com edu gov", "sa": "com edu gov",
+    "pk": "com org edu gov", "co": "com org edu gov", "pe": "com org edu gob", "uy": "com org edu gub", "ma": "co", "cr": "co", "ve": "co com",
+}
+_suffix = r"\.(?:" + "|".join(rf"(?:{labels.replace(' ', '|')})\.{country}" for country, labels in SECOND_LEVELS.items()) + ")$"
+#: Our own list of hosts that give mail accounts to anyone.
 FREE_MAIL = "gmail.com googlemail.com outlook.com hotmail.com live.com yahoo.com gmx.de gmx.net web.de icloud.com aol.com proton.me protonmail.com mail.com t-online.de".split()
 
 
 def registrable_domain(host: Column) -> Column:
-    """The last two labels of a host, or three below a second-level label."""
-    parts = F.split(host, r"\.")
-    deep = (F.size(parts) > 2) & F.get(parts, F.size(parts) - 2).isin(SECOND_LEVELS)
-    return F.when(deep, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    """The last two labels of a host, or three below a second-level suffix; '' for such a suffix itself, a number stays."""
+    h = F.regexp_replace(F.lower(host), r"^\.+|\.+$", "")
+    short = F.substring_index(h, ".", -2)
+    return F.when(h.rlike(r"^[\d.]+$"), h).when(h.rlike(_suffix), F.substring_index(h, ".", -3)).when(F.concat(F.lit("."), h).rlike(_suffix), "").otherwise(short)
 
 
 def company_from_domain(host: Column) -> Column:
-    name = F.regexp_replace(F.substring_index(registrable_domain(host), ".", 1), "[-_]+", " ")
-    return F.initcap(name)
+    """The label that is registered, its first letter a capital."""
+    label = F.substring_index(registrable_domain(host), ".", 1)
+    return F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, F.lit(2), F.length(label)))
 
 
 def email_host(address: Column) -> Column:
@@ -150,12 +167,32 @@ def is_free_mail(address: Column) -> Column:
     return email_host(address).isin(FREE_MAIL)
 
 
-#: Local parts that stand for groups or machines.
-GROUP_PARTS = "info office sales support contact kontakt hello team admin billing service noreply no-reply donotreply mailer-daemon postmaster newsletter".split()
+#: Addresses that stand for groups or machines.
+_group = r"noreply|no-reply|do_not_reply|no\.reply|^(?:info|contact|hello|support|feedback|service|help|invites|invite|welcome|alerts|team|notifications|notification|news)@"
 
 
 def is_group_address(address: Column) -> Column:
-    return F.substring_index(normalize_email(address), "@", 1).isin(GROUP_PARTS)
+    return normalize_email(address).rlike(_group)
+
+
+def person_name(display: Column, address: Column) -> Column:
+    """(firstName, lastName) from a display name, what it lacks from the address: `Last, First`, else the first word is the first
+    name; a dotted first word or local part is first and last name."""
+    local = F.regexp_replace(F.substring_index(address, "@", 1), r"\+.*$", "")
+    shown = F.trim(F.regexp_replace(F.trim(F.coalesce(display, F.lit(""))), "^['\"]+|['\"]+$", ""))
+    shown = F.when(shown.contains("@"), "").otherwise(F.regexp_replace(shown, r"\s+", " "))
+    dotted = lambda w: F.filter(F.split(w, r"\."), lambda p: p != "")
+    front = lambda w: F.coalesce(F.get(dotted(w), F.lit(0)), F.lit(""))
+    behind = lambda w: F.array_join(F.slice(dotted(w), 2, F.greatest(F.lit(1), F.size(dotted(w)))), " ")
+    untagged = lambda t: F.trim(F.regexp_replace(t, r":[^:]+$", ""))
+    comma = shown.rlike(r"^[^,]+,\s*.*[^,\s]")
+    word, rest = F.regexp_replace(F.substring_index(shown, " ", 1), r"\+.*$", ""), F.when(shown.contains(" "), F.regexp_replace(shown, r"^\S+ ", "")).otherwise("")
+    tail = behind(word)
+    last = F.when(comma, F.substring_index(shown, ",", 1)).when(tail == "", rest).when(F.lower(rest).startswith(F.lower(tail)), rest).otherwise(F.trim(F.concat(tail, F.lit(" "), rest)))
+    first = F.when(comma, F.trim(F.regexp_replace(F.regexp_replace(shown, r"^[^,]+,\s*", ""), r"\s*,\s*", " "))).otherwise(front(word))
+    capital = lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.lit(99)))  # noqa: E731  # names have 100 characters
+    either = lambda a, b: capital(single_line(F.when(a != "", a).otherwise(b)))
+    return F.struct(either(untagged(first), front(local)).alias("firstName"), either(untagged(last), behind(local)).alias("lastName"))
 
 
 def is_blocklisted(address: Column, entries: Column) -> Column:

@@ -114,9 +114,9 @@ def edited(df: DataFrame, which: Column, action: dict) -> DataFrame:
 
 
 def _plain(v: Column) -> Column:
-    from ..functions.text import ACCENTED, PLAIN
+    from ..functions.text import without_accents
 
-    return F.translate(v, ACCENTED + ACCENTED.upper(), PLAIN + PLAIN.upper())
+    return without_accents(v)
 
 
 CLAIM = r"(?s)<!--\s*claim\s+(.*?)-->(.*?)<!--\s*/claim\s*-->"
