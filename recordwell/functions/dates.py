@@ -30,6 +30,29 @@ def bucket(day: Column, grain: str) -> Column:
     return made[grain]()
 
 
+#: What labels of buckets need, by language.
+LABELS = {
+    "en": {"week": ("Week ", " "), "months": "January February March April May June July August September October November December".split(), "weekdays": "Mon Tue Wed Thu Fri Sat Sun".split()},
+    "de": {"week": ("KW ", " "), "months": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(), "weekdays": "Mo Di Mi Do Fr Sa So".split()},
+}
+
+
+def bucket_label(key: Column, grain: str, language: str = "en", day_pattern: str = "dd.MM.yyyy") -> Column:
+    """A bucket's key for people; keys that don't look like the grain's stay as they are."""
+    grain, t = grain.upper(), LABELS[language]
+    name = lambda names, k: F.get(F.array(*map(F.lit, names)), k.try_cast("int") - 1)
+    before, between = t["week"]
+    made = {
+        "DAY": lambda: F.date_format(key.try_cast("date"), day_pattern),
+        "WEEK": lambda: F.when(key.rlike(r"^\d+-W\d+$"), F.concat(F.lit(before), F.substring_index(key, "-W", -1).cast("int").cast("string"), F.lit(between), F.substring_index(key, "-W", 1))),
+        "MONTH": lambda: F.when(key.rlike(r"^\d+-\d+$"), F.concat(name([m[:3] for m in t["months"]], F.substring_index(key, "-", -1)), F.lit(" "), F.substring_index(key, "-", 1))),
+        "QUARTER": lambda: F.when(key.rlike(r"^\d+-Q\d$"), F.concat(F.substring_index(key, "-", -1), F.lit(" "), F.substring_index(key, "-", 1))),
+        "DAY_OF_WEEK": lambda: name(t["weekdays"], key),
+        "MONTH_OF_YEAR": lambda: name(t["months"], key),
+    }
+    return F.coalesce(made[grain](), key) if grain in made else key
+
+
 def gap_filled(groups: DataFrame, day: str, grain: str, values: dict[str, object]) -> DataFrame:
     """A row for each bucket between the first and the last day of `groups` (a row a bucket, its first day in `day`); values: what fills gaps."""
     step = {"DAY": "interval 1 day", "WEEK": "interval 7 days", "MONTH": "interval 1 month", "QUARTER": "interval 3 months", "YEAR": "interval 1 year"}[grain.upper()]

@@ -179,3 +179,24 @@ def row_rule_days(rule: Column, start: Column, last: Column) -> Column:
     days = F.array_sort(F.array_union(F.array(start), days))
     limited = F.slice(days, F.lit(1), F.coalesce(part("COUNT").try_cast("int"), F.size(days)))
     return F.when(known & (end >= start), limited).when(known, F.array().cast("array<date>"))
+
+
+def cron_pattern(settings: dict) -> str:
+    """The cron pattern of a schedule: its own (CUSTOM), or every so many DAYS, HOURS or MINUTES."""
+    kind, schedule = settings.get("type"), settings.get("schedule") or {}
+    if kind in (None, "CUSTOM") and isinstance(settings.get("pattern"), str):
+        return settings["pattern"]
+
+    def whole(name: str, least: int, most: float = float("inf")) -> int:
+        n = schedule.get(name)
+        if type(n) is not int or not least <= n <= most:
+            raise RuleError(f"a schedule by {kind} needs a whole {name} from {least}" + (f" to {most}" if most < float("inf") else ""))
+        return n
+
+    if kind == "DAYS":
+        return f"{whole('minute', 0, 59)} {whole('hour', 0, 23)} */{whole('day', 1)} * *"
+    if kind == "HOURS":
+        return f"{whole('minute', 0, 59)} */{whole('hour', 1)} * * *"
+    if kind == "MINUTES":
+        return f"*/{whole('minute', 1, 60)} * * * *"
+    raise RuleError("a schedule needs a pattern, or a type of DAYS, HOURS, MINUTES or CUSTOM")

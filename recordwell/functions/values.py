@@ -83,6 +83,18 @@ def blob(of: ObjectType, key: str) -> Column:
     return F.coalesce(F.array_join(v.column, " ") if v.kind == "list" else v.column.cast("string"), F.lit(""))
 
 
+def json_list(text: Column) -> Column:
+    """The items of a JSON list as texts, those that are no text as JSON; an empty array for anything else."""
+    return F.coalesce(F.when(F.trim(text).startswith("["), F.from_json(text, "array<string>")), F.array().cast("array<string>"))
+
+
+def files_items(text: Column) -> Column:
+    """The items of a FILES value given as JSON; entries that are no objects, and other values, are left out."""
+    kind = "array<struct<name:string,ref:string,sha256:string,size:bigint,type:string>>"
+    items = F.filter(json_list(text), lambda x: F.ltrim(x).startswith("{"))
+    return F.transform(items, lambda x: F.from_json(x, kind.removeprefix("array<").removesuffix(">")))
+
+
 def option_position(v: Value) -> Column:
     """The place of a SELECT's value among its options; null for other values."""
     options = v.meaning.field.values if v.meaning.field else []

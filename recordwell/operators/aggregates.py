@@ -48,26 +48,52 @@ def aggregate_column(function: str, v: Value | None) -> Column:
             return F.lit(0).cast("long")
         return F.count_if(v.column) if function == "COUNT_TRUE" else F.count_if(~v.column)
     if function == "COUNT_UNIQUE_VALUES":
-        if v.kind == "list":  # each row's own values first, so the state holds distinct values only
-            return F.size(F.array_distinct(F.flatten(F.collect_set(F.transform(v.column, folded))))).cast("long")
+        if v.kind == "list":
+            raise AggregateError("distinct values of a list field are counted by unique_values, over its exploded values")
         return F.countDistinct(F.when(~v.empty, folded(v.column) if v.kind in ("text", "numeric", "rating") else v.column))
     if v.kind in ("date", "instant") and function in ("MIN", "MAX"):
         return F.min(v.column) if function == "MIN" else F.max(v.column)
     number = v.number
     if number is None:
         return F.lit(0).cast("decimal(38,6)") if function == "SUM" else F.lit(None).cast("decimal(38,6)")
+    exact = number.cast("decimal(38,10)")  # all places of a NUMBER; a sum past 28 digits before the point is null
     if function == "SUM":
-        return F.coalesce(F.sum(number.cast("decimal(28,6)")), F.lit(0)).cast("decimal(38,6)")
+        return F.coalesce(F.sum(exact), F.lit(0)).cast("decimal(38,6)")
     if function == "AVG":
-        return F.round(F.sum(number.cast("decimal(28,6)")) / F.nullif(F.count(number), F.lit(0)).cast("decimal(20,0)"), 6).cast("decimal(38,6)")
+        return F.round(F.sum(exact) / F.nullif(F.count(number), F.lit(0)).cast("decimal(20,0)"), 6).cast("decimal(38,6)")
     return (F.min(number) if function == "MIN" else F.max(number)).cast("decimal(38,6)")
 
 
+def default_currency(of: ObjectType, key: str | None, workspace: str = "") -> str:
+    """The currency of an amount that names none, and of an empty sum: the field's default, else the workspace's; '' for other fields."""
+    f = of.resolve(key).field if key else None
+    if f is None or f.type != "CURRENCY":
+        return ""
+    return str((f.default.get("currencyCode") if isinstance(f.default, dict) else None) or workspace or "")
+
+
+def money_totals(df: DataFrame, of: ObjectType, field: str, workspace: str = "", by: list[Column] | None = None) -> DataFrame:
+    """by_currency sums, and a zero in the default currency for each group (`by` columns) without any amount."""
+    names = [f"g{k}" for k in range(len(by or []))]
+    rows = df.withColumns(dict(zip(names, by or [], strict=True)))
+    code = default_currency(of, field, workspace)
+    sums = by_currency(rows, of, "SUM", field, code, [F.col(n) for n in names])
+    groups = rows.select(*names).distinct() if names else df.sparkSession.range(1).select()
+    none = groups.join(sums, names, "left_anti") if names else groups.join(sums.select(F.lit(1).alias("one")).limit(1), how="left_anti")
+    zero = none.select(*names, F.lit(code).alias("currency"), F.lit(0).cast("decimal(38,6)").alias("value"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("code_rank"))
+    return sums.unionByName(zero)
+
+
+def distinct_members(groups: DataFrame, by: list[str]) -> DataFrame:
+    """(by, crm_id) of records in any group of a widget, each once: combined before the shuffle."""
+    return groups.select(*by, "crm_id").distinct()
+
+
 def unique_values(df: DataFrame, of: ObjectType, key: str, by: list[str]) -> DataFrame:
     """COUNT_UNIQUE_VALUES of a list field by columns, distributed: values are exploded, not gathered."""
     v = value(of, key)
-    each = df.select(*by, F.explode_outer(F.array_distinct(F.transform(v.column, folded))).alias("one"))
-    return each.groupBy(*by).agg(F.countDistinct(F.nullif("one", F.lit(""))).alias("unique_values"))
+    each = df.select(*by, F.explode_outer(F.array_distinct(F.transform(v.column, folded))).alias("recordwell_one"))
+    return each.groupBy(*by).agg(F.countDistinct(F.nullif("recordwell_one", F.lit(""))).alias("unique_values"))
 
 
 def group_keys(of: ObjectType, key: str, granularity: str = "NONE", context: Context | None = None) -> Column:
@@ -90,7 +116,10 @@ def grouped(df: DataFrame, of: ObjectType, function: str, field: str | None, by:
     keys = group_keys(of, by, granularity, context)
     rows = df.withColumn("group_key", F.explode(F.array_distinct(keys) if dedupe else keys))
     v = value(of, field) if field else None
-    out = rows.groupBy("group_key").agg(aggregate_column(function, v).alias("value"))
+    if v is not None and v.kind == "list" and function_name(function) == "COUNT_UNIQUE_VALUES":
+        out = unique_values(rows, of, field, ["group_key"]).withColumnRenamed("unique_values", "value")
+    else:
+        out = rows.groupBy("group_key").agg(aggregate_column(function, v).alias("value"))
     options = _options(of, by)
     if not options:
         return out
@@ -112,6 +141,30 @@ def ordered_groups(out: DataFrame) -> DataFrame:
     return out.orderBy(F.col("group_key") == "", *keys, F.col("group_key").try_cast("decimal(38,10)").asc_nulls_last(), folded(F.col("group_key")), "group_key")
 
 
+#: Orders of a chart's groups, and other names for them.
+ORDERS = {"value": "value", "value_desc": "value", "value_asc": "value_asc", "label": "label", "label_asc": "label", "label_desc": "label_desc", "position": "position", "position_desc": "position_desc", "field_asc": "label", "field_desc": "label_desc", "field_position_asc": "position", "field_position_desc": "position_desc"}
+
+
+def chart_order(out: DataFrame, of: ObjectType, by: str, order: str | None = None, granularity: str = "NONE", label: Column | None = None) -> list[Column]:
+    """Sort columns for groups (group_key, value, perhaps position): by value, label or place, the group without a key last.
+
+    Options and dates have an order of their own, which labels follow; groups without a value come last by value.
+    """
+    if order is not None and order not in ORDERS:
+        raise AggregateError(f"unknown order {order!r}")
+    way = ORDERS[order or "position"]
+    key, none = F.col("group_key"), (F.col("group_key") == "").asc()
+    natural = [*([F.col("position")] if "position" in out.columns else []), key.try_cast("decimal(38,10)"), folded(key), key]
+    if way.startswith("value"):
+        value = F.col("value").desc_nulls_last() if way == "value" else F.col("value").asc_nulls_last()
+        return [value, none, *(c.asc_nulls_last() for c in natural)]
+    meaning = of.resolve(by)
+    own_order = bool(_options(of, by)) or (meaning.type in ("DATE", "DATE_TIME") and granularity.upper() != "NONE")
+    if way.startswith("label") and not own_order:
+        natural = [folded(label if label is not None else key), key]
+    return [none, *(c.desc_nulls_first() if way.endswith("_desc") else c.asc_nulls_last() for c in natural)]
+
+
 def by_currency(df: DataFrame, of: ObjectType, function: str, field: str, default: str, by: list[Column] | None = None) -> DataFrame:
     """Money by currency code; amounts of different codes are never added. The default code comes first (code_rank 0), no code last."""
     money = F.col(of.resolve(field).base)

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_day
 from ..functions.numbers import parse_bool, parse_list, parse_money, parse_number
-from ..functions.text import casefold, is_blocklisted, normalize_email, phone_key, url_key
-from ..schema import ObjectType
+from ..functions.text import casefold, is_blocklisted, normalize_email, phone_key, secret_kinds, url_key
+from ..schema import PRIMARY, ObjectType
 
 ERROR = "struct<column:string,rule:string,message:string>"
 
 
+#: What the primary part of a composite field looks like: (rule, pattern).
+SHAPES = {"EMAILS": ("email", r"^[^@\s]+@[^@\s]+\.[^@\s.]+$"), "LINKS": ("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^\s/]+\.[^\s/]+.*$"), "PHONES": ("phone", r"^[+(]?[0-9][0-9 ()/.\-]*$")}
+
+
 def error(column: str, rule: Column, message: str) -> Column:
     return F.when(rule.isNotNull(), F.struct(F.lit(column).alias("column"), rule.cast("string").alias("rule"), F.lit(message).alias("message")))
 
@@ -45,8 +52,22 @@ def coerced(df: DataFrame, of: ObjectType, mapping: dict[str, str], point: str =
         elif m.type == "MULTI_SELECT":
             parsed[at] = _options_of(m.field, text)
             typed[key], rule = F.array_distinct(cell), F.when(F.exists(cell, lambda x: x.isNull()), "select-option")
+        elif m.type == "RAW_JSON":
+            parsed[at] = text
+            rule = F.when(~empty & F.try_parse_json(cell).isNull(), "json")
+        elif m.type == "UUID":
+            parsed[at] = text
+            rule = F.when(~cell.rlike(r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), "uuid")
+        elif m.type == "RATING":
+            parsed[at] = F.when(text.rlike("^[1-5]$"), F.concat(F.lit("RATING_"), text)).otherwise(F.upper(text))
+            rule = F.when(~cell.rlike("^RATING_[1-5]$"), "rating")
+        elif m.type in SHAPES and (m.sub or PRIMARY[m.type]) == PRIMARY[m.type]:
+            parsed[at] = normalize_email(text) if m.type == "EMAILS" else text
+            rule = F.when(~cell.rlike(SHAPES[m.type][1]), SHAPES[m.type][0])
         else:
             parsed[at] = parse_list(text) if m.type == "ARRAY" else text
+        secret = F.when(F.size(secret_kinds(text)) > 0, "credential") if m.type in ("TEXT", "RICH_TEXT", "RAW_JSON") else F.lit(None)
+        errors.append(error(source, secret.cast("string"), "looks like a password or key"))
         errors.append(error(source, rule, f"not a {m.type.lower()}"))
         if m.field and not m.field.nullable:
             errors.append(error(source, F.when(empty, "required"), "a value is needed"))
@@ -102,6 +123,29 @@ def matched(rows: DataFrame, records: DataFrame, row_key: str, record_key: str,
     return joined.withColumn("action", action).drop("m_key", "m_n", "m_live")
 
 
+def matched_on(rows: DataFrame, records: DataFrame, keys: dict[str, str], kinds: dict[str, str], trash: bool = False) -> DataFrame:
+    """rows (row_no, ...) with (n_matches, matched_id): records that agree in every key that the row gives.
+
+    keys: row column to record column; kinds: a key's field type, whose normal form is compared. Rows that give no key match
+    nothing. Rows are grouped by the keys that they give; each group is one equi-join, so no pair is tested in vain.
+    """
+    normal = {k: F.nullif(unique_key(kinds.get(k, "TEXT"), F.col(k).cast("string")), F.lit("")) for k in keys}
+    marked = rows.withColumns({f"m_{k}": c for k, c in normal.items()}).withColumn("m_given", F.concat(*(F.when(F.col(f"m_{k}").isNotNull(), F.lit("1")).otherwise("0") for k in keys)))
+    there = records if trash else records.where("crm_deleted_at is null")
+    there = there.select("crm_id", *(F.nullif(unique_key(kinds.get(k, "TEXT"), F.col(c).cast("string")), F.lit("")).alias(f"r_{k}") for k, c in keys.items()))
+    # One row for each way to give keys: the record's values of those keys, null for the others.
+    ways = range(1, 1 << len(keys))
+    name = lambda w: "".join("1" if w >> n & 1 else "0" for n in range(len(keys)))
+    each = F.array(*(F.struct(F.lit(name(w)).alias("m_given"), *(F.when(F.lit(bool(w >> n & 1)), F.col(f"r_{k}")).alias(f"m_{k}") for n, k in enumerate(keys))) for w in ways))
+    offered = there.select("crm_id", F.explode(each).alias("o"))
+    full = [(F.substring(F.col("o.m_given"), n + 1, 1) == "0") | F.col(f"o.m_{k}").isNotNull() for n, k in enumerate(keys)]
+    offered = offered.where(reduce(and_, full)).select("crm_id", F.col("o.m_given").alias("m_given"), F.xxhash64(*(F.coalesce(F.col(f"o.m_{k}"), F.lit("")) for k in keys)).alias("m_hash"), F.struct(*(F.col(f"o.m_{k}").alias(k) for k in keys)).alias("o_keys"))
+    asked = marked.withColumn("m_hash", F.xxhash64(*(F.coalesce(F.col(f"m_{k}"), F.lit("")) for k in keys))).withColumn("a_keys", F.struct(*(F.col(f"m_{k}").alias(k) for k in keys)))
+    grouped = offered.groupBy("m_given", "m_hash", "o_keys").agg(F.count(F.lit(1)).alias("n_matches"), F.min("crm_id").alias("matched_id"))
+    joined = asked.alias("a").join(grouped.alias("g"), (F.col("a.m_given") == F.col("g.m_given")) & (F.col("a.m_hash") == F.col("g.m_hash")) & F.col("a.a_keys").eqNullSafe(F.col("g.o_keys")), "left")
+    return joined.select(*(F.col(f"a.{c}") for c in rows.columns), F.coalesce("g.n_matches", F.lit(0)).alias("n_matches"), F.col("g.matched_id").alias("matched_id"))
+
+
 def resolved_links(rows: DataFrame, targets: DataFrame, row_key: str, target_key: str) -> DataFrame:
     """rows with (target_id, link_rule): null, relation-not-found, relation-ambiguous or relation-deleted."""
     t = targets.groupBy(F.col(target_key).alias("l_key")).agg(F.min(F.when(F.col("crm_deleted_at").isNull(), F.col("crm_id"))).alias("target_id"), F.count_if(F.col("crm_deleted_at").isNull()).alias("l_live"))
@@ -124,6 +168,24 @@ def column_kinds(df: DataFrame) -> DataFrame:
     return counted.select("column", kind.otherwise("text").alias("kind"), "n", "n_empty")
 
 
+def linked(made: DataFrame, source: DataFrame, column: str, targets: DataFrame, target_key: str, kind: str = "TEXT") -> DataFrame:
+    """made (row_no, errors, ...) with `<column>_id`: the record that the cell names, and an error row where there is none,
+    several, or only one in the trash. Names are compared in the normal form of `kind`."""
+    asked = source.select("row_no", unique_key(kind, F.nullif(F.trim(F.col(column)), F.lit(""))).alias("l_name"))
+    known = targets.select("crm_id", "crm_deleted_at", unique_key(kind, F.col(target_key)).alias("l_name"))
+    found = resolved_links(asked, known, "l_name", "l_name").select("row_no", F.col("target_id").alias(f"{column}_id"), "link_rule")
+    more = F.filter(F.array(error(column, F.col("link_rule"), "no such record")), lambda x: x.isNotNull()).cast(f"array<{ERROR}>")
+    return made.join(found, "row_no", "left").withColumn("errors", F.concat("errors", more)).drop("link_rule")
+
+
+def taken_keys(made: DataFrame, key: Column, records: DataFrame, record_key: Column, matched: str = "matched_id", kind: str = "TEXT") -> DataFrame:
+    """made (row_no, matched_id, ...) with `unique_rule`: unique-conflict where another record, live or in the trash, holds the key."""
+    held = records.select(unique_key(kind, record_key).alias("u_key"), "crm_id").where("u_key is not null and u_key <> ''").groupBy("u_key").agg(F.min("crm_id").alias("u_low"), F.max("crm_id").alias("u_high"))
+    joined = made.withColumn("u_mine", unique_key(kind, key)).join(held, F.col("u_mine") == F.col("u_key"), "left")
+    other = F.col("u_key").isNotNull() & ~(F.col(matched).eqNullSafe(F.col("u_low")) & F.col(matched).eqNullSafe(F.col("u_high")))
+    return joined.withColumn("unique_rule", F.when(other, "unique-conflict")).drop("u_mine", "u_key", "u_low", "u_high")
+
+
 def junction(rows: DataFrame, owner: str, target: str) -> DataFrame:
     """(owner, n_links): the distinct links that a junction table adds to each owner."""
     return rows.where(F.col(target).isNotNull()).select(owner, target).distinct().groupBy(owner).agg(F.count(F.lit(1)).alias("n_links"))

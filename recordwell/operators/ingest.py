@@ -75,3 +75,27 @@ def occurrences_between(events: DataFrame, overrides: DataFrame, begin: Column,
     plain = each.select("uid", utc(F.col("at"), F.col("zone")).alias("starts"), "length").select("uid", "starts", F.timestamp_seconds(F.unix_seconds("starts") + F.col("length")).alias("ends"))
     moved = overrides.select("uid", utc(F.col("starts"), F.col("zone")).alias("starts"), utc(F.col("ends"), F.col("zone")).alias("ends"))
     return plain.unionByName(moved).where((F.col("starts") < end) & ((F.col("ends") > begin) | ((F.col("ends") == F.col("starts")) & (F.col("starts") >= begin))))
+
+
+def event_reason(addresses: Column, blocked: Column, internal_hosts: list[str], follow_up: Column, known: Column, confidential: Column, keep_internal: bool = False, keep_private: bool = False) -> Column:
+    """Why a calendar event is skipped, the first that holds, or keep: blocklist, internal, private_event.
+
+    addresses: array; blocked: whether one of them is on the blocklist. An exception or cancellation (follow_up) of a known series
+    is never internal, as it often lists the organiser only.
+    """
+    own = F.array(*map(F.lit, internal_hosts)).cast("array<string>")
+    inside = (F.size(addresses) > 0) & F.forall(addresses, lambda a: F.array_contains(own, email_host(a)))
+    internal = F.lit(bool(internal_hosts) and not keep_internal) & inside & ~(follow_up & known)
+    return F.when(blocked, "blocklist").when(internal, "internal").when(F.lit(not keep_private) & confidential, "private_event").otherwise("keep")
+
+
+def first_messages(messages: DataFrame) -> DataFrame:
+    """A row a Message-ID of messages (key, position, handles, ...): the first by position, with the handles of all its copies in order.
+
+    An aggregate, combined before the shuffle; the handles of a message that many boxes hold are distinct before they meet.
+    """
+    rest = [c for c in messages.columns if c not in ("key", "handles")]
+    row = messages.groupBy("key").agg(F.min_by(F.struct(*rest), "position").alias("r"), F.count(F.lit(1)).alias("n_copies"))
+    each = messages.select("key", "position", F.posexplode("handles").alias("k", "h")).groupBy("key", F.lower("h").alias("h")).agg(F.min(F.struct("position", "k")).alias("at"))
+    handles = each.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x.h).alias("handles"))
+    return row.join(handles, "key", "left").select("key", "r.*", F.coalesce("handles", F.array().cast("array<string>")).alias("handles"), "n_copies")

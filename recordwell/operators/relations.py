@@ -36,14 +36,28 @@ def inverse(targets: DataFrame, sources: DataFrame, of: ObjectType, field: str)
     return targets.select("crm_id").join(counts, "crm_id", "left").select("crm_id", F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
 
 
-def with_titles(df: DataFrame, link: str, targets: DataFrame) -> DataFrame:
-    """df with (title, exists, deleted) of its link's current target in `<link>_now`."""
+def with_titles(df: DataFrame, link: str, targets: DataFrame, target: str | None = None) -> DataFrame:
+    """df with (title, exists, deleted) of its link's current target in `<link>_now`.
+
+    target: the object that `targets` holds; links to another object, which may use the same ids, don't meet it.
+    """
     t = targets.select(F.col("crm_id").alias("t_id"), F.col("crm_title").alias("t_title"), F.col("crm_deleted_at").isNotNull().alias("t_deleted"))
-    found = df.join(t, F.col(f"{link}.id") == F.col("t_id"), "left")
+    meets = F.col(f"{link}.id") == F.col("t_id")
+    found = df.join(t, meets if target is None else meets & (F.col(f"{link}.object") == target), "left")
     now = F.struct(F.coalesce("t_title", F.col(f"{link}.title")).alias("title"), F.col("t_id").isNotNull().alias("exists"), F.coalesce("t_deleted", F.lit(False)).alias("deleted"))
     return found.withColumn(f"{link}_now", F.when(F.col(f"{link}.id").isNotNull(), now)).drop("t_id", "t_title", "t_deleted")
 
 
+def expanded(df: DataFrame, links: dict[str, tuple[str, DataFrame]], fields: dict[str, list[str]]) -> DataFrame:
+    """df with each link replaced by the linked record: links: link column to (object, its records); fields: the columns of it that
+    are shown, in a struct `<link>_record`, null where the link leads nowhere or to the trash."""
+    for link, (target, records) in links.items():
+        shown = F.struct("crm_id", "crm_title", *fields.get(link, []))
+        there = records.where("crm_deleted_at is null").select(F.col("crm_id").alias("x_id"), shown.alias(f"{link}_record"))
+        df = df.join(there, (F.col(f"{link}.id") == F.col("x_id")) & (F.col(f"{link}.object") == target), "left").drop("x_id")
+    return df
+
+
 def orphans(df: DataFrame, key: str, targets: DataFrame, target_key: str) -> DataFrame:
     """Rows whose key is set but has no target."""
     return df.where(F.col(key).isNotNull()).join(targets.select(F.col(target_key).alias(key)).distinct(), key, "left_anti")

@@ -29,6 +29,14 @@ def add_field(model: Model, name: str, f: Field, live_records: int = 0) -> Model
     return _put(model, of.with_field(f))
 
 
+def update_object(model: Model, name: str, label: str | None = None, label_field: str | None = None) -> Model:
+    """An object's label, or the field that names its records; its name and fields stay."""
+    of = model.object(name)
+    if label_field is not None and (label_field not in of.fields or of.fields[label_field].inverse):
+        raise SchemaError(f"{name} has no field {label_field} to name its records by")
+    return _put(model, replace(of, label=label or of.label, label_field=label_field or of.label_field))
+
+
 def with_new_field(records: DataFrame, f: Field) -> DataFrame:
     """Records with the field: empty, or its default for scalars."""
     return records if f.inverse else records.withColumn(f.name, F.lit(f.default).cast(f.spark_type) if f.default is not None else F.lit(None).cast(f.spark_type))

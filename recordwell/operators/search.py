@@ -1,4 +1,8 @@
-"""Ranked text search over records and pages, JVM-side: words are scored within the row, nothing is exploded."""
+"""Ranked text search over records and pages, JVM-side: words are scored within the row, nothing is exploded.
+
+A text is folded once into its spaced form, each word between spaces of its own; words, starts of words and phrases are then
+found by plain substring search, without an array of words.
+"""
 
 from __future__ import annotations
 
@@ -31,12 +35,24 @@ def scored(df: DataFrame, tokens: dict[str, Column], score: Column) -> DataFrame
     return with_tokens.select("*", score.alias("score"), F.monotonically_increasing_id().alias(HERE)).where((F.col("score") > 0) & (F.col(HERE) >= 0))
 
 
-def _times(tokens: Column, word: str) -> Column:
-    return F.least(F.size(F.filter(tokens, lambda t: t == word)), F.lit(3))
+def spaced(text: Column) -> Column:
+    """The folded words of a text, each with a space before and behind it: ` the  next `."""
+    return F.concat(F.lit(" "), F.regexp_replace(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
+
+
+def _times(text: Column, word: str) -> Column:
+    """How often a word occurs in a spaced text, three times at most."""
+    found = F.length(text) - F.length(F.replace(text, F.lit(f" {word} "), F.lit("")))
+    return F.least((found / (len(word) + 2)).cast("int"), F.lit(3))
 
 
-def _starts(tokens: Column, word: str) -> Column:
-    return F.exists(tokens, lambda t: t.startswith(word))
+def _starts(text: Column, word: str) -> Column:
+    return text.contains(f" {word}")
+
+
+def _phrase(text: Column, phrase: list[str]) -> Column:
+    """Whether the words stand one after the other; the first and the last may be parts of longer ones."""
+    return text.contains("  ".join(phrase))
 
 
 def search_records(df: DataFrame, text: str, parts: list[tuple[str, str, Column]], identities: Column | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -46,7 +62,7 @@ def search_records(df: DataFrame, text: str, parts: list[tuple[str, str, Column]
     asked = list(dict.fromkeys(phrase_words))
     if not asked:
         raise ValueError("a search needs a letter or digit")
-    tokens = {f"w_{n}": words(c) for n, _, c in parts}
+    texts = {f"w_{n}": spaced(c) for n, _, c in parts}
     found = {w: [] for w in asked}
     scores: list[Column] = []
     for name, kind, _ in parts:
@@ -57,14 +73,14 @@ def search_records(df: DataFrame, text: str, parts: list[tuple[str, str, Column]
             found[w].append((exact > 0) | starts)
             scores.append(F.when(exact > 0, exact * weight * 10).when(starts, F.lit(weight * 5)).otherwise(0))
         if len(phrase_words) > 1:
-            scores.append(F.when(F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" ")).contains(" ".join(phrase_words)), weight * 20).otherwise(0))
+            scores.append(F.when(_phrase(t, phrase_words), weight * 20).otherwise(0))
     if identities is not None:
         own = F.array(normalize_email(F.lit(text)), url_key(F.lit(text)))
         scores.append(F.when(F.arrays_overlap(identities, own), 200).otherwise(0))
     total = reduce(add, scores)
     all_found = reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, hits) for hits in found.values()))
     tenths = F.when(total > 0, total + F.when(all_found, 50).otherwise(0)).otherwise(0)
-    return scored(df, tokens, (tenths / 10).cast("decimal(18,2)")).select(*(keep or df.columns), "score")
+    return scored(df, texts, (tenths / 10).cast("decimal(18,2)")).select(*(keep or df.columns), "score")
 
 
 def search_pages(df: DataFrame, text: str, parts: dict[str, Column], concepts: Column | None = None, status: Column | None = None, matched: list[str] | None = None) -> DataFrame:
@@ -72,17 +88,32 @@ def search_pages(df: DataFrame, text: str, parts: dict[str, Column], concepts: C
     12 a matched concept, 3 for an active page, 2 off for a superseded one."""
     phrase_words = query_words(df, text)
     asked = list(dict.fromkeys(phrase_words))
-    tokens = {f"w_{n}": words(c) for n, c in parts.items()}
+    texts = {f"w_{n}": spaced(c) for n, c in parts.items()}
     counted = reduce(add, (_times(F.col(f"w_{n}"), w) * PAGE_WEIGHTS[n] for n in parts for w in asked))
-    hit = reduce(add, (F.when(reduce(lambda a, b: a | b, (F.array_contains(f"w_{n}", w) for n in parts)), 1).otherwise(0) for w in asked))
+    hit = reduce(add, (F.when(reduce(lambda a, b: a | b, (_starts(F.col(f"w_{n}"), f"{w} ") for n in parts)), 1).otherwise(0) for w in asked))
     score = (counted + F.lit(6) * hit / len(asked)).cast("decimal(18,4)")
     if "body" in parts:
-        score = score + F.when(F.array_join("w_body", " ").contains(" ".join(phrase_words)), 8).otherwise(0)
+        score = score + F.when(_phrase(F.col("w_body"), phrase_words), 8).otherwise(0)
     if concepts is not None and matched:
         score = score + F.size(F.array_intersect(concepts, F.array(*map(F.lit, matched)))) * 12
     if status is not None:
         score = score + F.when((score > 0) & (status == "active"), 3).when((score > 0) & status.isin("superseded", "withdrawn"), -2).otherwise(0)
-    return scored(df, tokens, score.cast("decimal(18,4)")).select(*df.columns, "score")
+    return scored(df, texts, score.cast("decimal(18,4)")).select(*df.columns, "score")
+
+
+def relevant_claims(df: DataFrame, text: str, concept_match: Column | None = None, most: int = 8) -> DataFrame:
+    """df with `top_claims`, of its column `claims` (array of struct id, text, status): the `most` that share most distinct words
+    with the query, by id where equal. A page of a matched concept that has none shows its first active or disputed ones."""
+    asked = list(dict.fromkeys(query_words(df, text)))
+
+    def shared(claim: Column) -> Column:
+        t = spaced(claim.getField("text"))
+        return reduce(add, (F.when(_starts(t, f"{w} "), 1).otherwise(0) for w in asked))
+
+    ranked = F.array_sort(F.filter(F.transform("claims", lambda c: F.struct((-shared(c)).alias("rank"), c.getField("id").alias("id"), c.alias("claim"))), lambda x: x.getField("rank") < 0))
+    best = F.transform(F.slice(ranked, 1, most), lambda x: x.getField("claim"))
+    open_ones = F.slice(F.filter("claims", lambda c: c.getField("status").isin("active", "disputed")), 1, most)
+    return df.withColumn("top_claims", F.when(F.size(best) > 0, best).when(F.coalesce(concept_match, F.lit(False)) if concept_match is not None else F.lit(False), open_ones).otherwise(best))
 
 
 def facets(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -96,18 +127,25 @@ def facets(df: DataFrame, fields: list[str]) -> DataFrame:
 def snippet(body: Column, asked: list[str], most: int = 200) -> Column:
     """The line that holds most of the words (the first of equals), cut to `most` characters."""
     lines = F.transform(F.split(body, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
-    score = lambda line: reduce(add, (F.when(_starts(words(line), w), 1).otherwise(0) for w in asked))
+    score = lambda line: reduce(add, (F.when(_starts(spaced(line), w), 1).otherwise(0) for w in asked))
     ranked = F.transform(lines, lambda x, k: F.struct(score(x).alias("s"), (-k).alias("k"), x.alias("line")))
     best = F.array_max(ranked)
     line = F.when(best.s > 0, best.line).otherwise("")
     return F.when(F.length(line) > most, F.concat(F.rtrim(F.substring(line, 1, most - 3)), F.lit("..."))).otherwise(line)
 
 
+#: Concepts that one query may match: they are written into its plan.
+CONCEPTS = 10_000
+
+
 def expand(df: DataFrame, text: str, concepts: DataFrame) -> list[str]:
-    """Concept ids (id, terms array) of which a term occurs in the query; the concept table is a small controlled list."""
+    """All concept ids (id, terms array) of which a term occurs in the query, in order. More than CONCEPTS are refused, never cut."""
     q = F.concat(F.lit(" "), F.array_join(words(F.lit(text)), " "), F.lit(" "))
     hit = F.exists("terms", lambda t: q.contains(F.concat(F.lit(" "), F.array_join(words(t), " "), F.lit(" "))))
-    return sorted(r.id for r in concepts.where(hit).select("id").distinct().limit(1000).collect())
+    found = sorted(r.id for r in concepts.where(hit).select("id").distinct().limit(CONCEPTS + 1).collect())
+    if len(found) > CONCEPTS:
+        raise ValueError(f"a query matches more than {CONCEPTS} concepts")
+    return found
 
 
-__all__ = ["expand", "facets", "fold", "query_words", "search_pages", "search_records", "snippet"]
+__all__ = ["expand", "facets", "fold", "query_words", "relevant_claims", "search_pages", "search_records", "snippet"]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..deploy import ensure_checkpoint
 from ..functions.dates import days_of
 
 
@@ -32,12 +33,15 @@ def stage_intervals(changes: DataFrame, records: DataFrame) -> DataFrame:
     """Intervals (record_id, k, stage, start, end, basis) from changes (record_id, at, seq, before, after, kind) and
     records (record_id, created_at, deleted_at, value).
 
-    Migrations rename what came before and move nothing. Where a record has none, windows do all the work; the
-    few others fold their own changes in order.
+    Migrations rename what came before and move nothing. Windows find the intervals; those of records with migrations are
+    then renamed, a round for each link of a chain of renamings.
     """
     migrated = changes.where("kind = 'migration'").select("record_id").distinct()
-    plain = changes.join(migrated, "record_id", "left_anti")
-    intervals = _by_window(plain, records).unionByName(_by_fold(changes.join(migrated, "record_id", "left_semi"), records))
+    if migrated.isEmpty():
+        intervals = _by_window(changes, records)
+    else:
+        plain = changes.join(migrated, "record_id", "left_anti")
+        intervals = _by_window(plain, records).unionByName(_by_fold(changes.join(migrated, "record_id", "left_semi"), records))
     touched = changes.select("record_id").distinct()
     still = records.join(touched, "record_id", "left_anti").where("value is not null and value <> ''")
     still = still.select("record_id", F.lit(1).alias("k"), F.col("value").alias("stage"), F.col("created_at").alias("start"), F.col("deleted_at").alias("end"), F.when(F.col("created_at").isNotNull(), "crm_created_at").otherwise("unknown").alias("basis"))
@@ -55,22 +59,42 @@ def _by_window(changes: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def _by_fold(changes: DataFrame, records: DataFrame) -> DataFrame:
-    """The same by a fold over each record's own changes, for records whose stages were renamed."""
-    own = changes.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("at", "seq", "before", "after", "kind"))).alias("log")).join(records, "record_id")
-    kind = "array<struct<stage:string,start:timestamp,end:timestamp,basis:string>>"
-    present = lambda c: c.isNotNull() & (c != "")
-    interval = lambda s, a, z, b: F.struct(s.cast("string").alias("stage"), a.cast("timestamp").alias("start"), z.cast("timestamp").alias("end"), b.cast("string").alias("basis"))
+    """The same for records whose stages were renamed, by windows over each record's log.
 
-    def step(done: Column, e: Column) -> Column:
-        renamed = F.transform(done, lambda i: interval(F.when(i.stage == e.before, e.after).otherwise(i.stage), i.start, F.when(i.end.isNull() & ~present(e.after), e.at).otherwise(i.end), i.basis))
-        known = F.col("created_at") <= e.at
-        first = F.when((F.size(done) == 0) & present(e.before), F.array(interval(e.before, F.when(known, F.col("created_at")), e.at, F.when(known, "crm_created_at").otherwise("unknown")))).otherwise(F.array().cast(kind))
-        closed = F.transform(done, lambda i: interval(i.stage, i.start, F.coalesce(i.end, e.at), i.basis))
-        opened = F.when(present(e.after), F.array(interval(e.after, e.at, F.lit(None), e.kind))).otherwise(F.array().cast(kind))
-        return F.when(e.kind == "migration", renamed).otherwise(F.concat(closed, first, opened))
-
-    folded = own.select("record_id", "deleted_at", F.posexplode(F.aggregate("log", F.array().cast(kind), step)).alias("k", "x"))
-    return folded.select("record_id", "k", "x.stage", "x.start", F.coalesce("x.end", "deleted_at").alias("end"), "x.basis")
+    A migration from a to b renames what stands before it. So a stage that a move set carries, in the end, the name to which the
+    migrations behind it lead: each renaming is told to the moves before it, in order, by joins over the few migrations.
+    """
+    w = Window.partitionBy("record_id").orderBy("at", "seq")
+    placed = changes.withColumn("n", F.row_number().over(w))
+    moves, renames = placed.where("kind <> 'migration'"), placed.where("kind = 'migration'")
+    own = Window.partitionBy("record_id").orderBy("n")
+    moved = moves.withColumns({"next_at": F.lead("at").over(own), "k0": F.row_number().over(own)}).join(records, "record_id")
+    no = lambda c: F.col(c).isNull() | (F.col(c) == "")
+    known = F.col("created_at") <= F.col("at")
+    opens = F.when((F.col("k0") == 1) & ~no("before"), F.struct(F.lit(0).alias("o"), F.col("before").alias("stage"), F.when(known, F.col("created_at")).alias("start"), F.col("at").alias("end"), F.when(known, "crm_created_at").otherwise("unknown").alias("basis")))
+    runs = F.when(~no("after"), F.struct(F.lit(1).alias("o"), F.col("after").alias("stage"), F.col("at").alias("start"), F.coalesce("next_at", "deleted_at").alias("end"), F.col("kind").alias("basis")))
+    each = moved.select("record_id", "n", (F.col("k0") * 2).alias("k0"), F.explode(F.filter(F.array(opens, runs), lambda x: x.isNotNull())).alias("x"))
+    rows = each.select("record_id", "n", (F.col("k0") + F.col("x.o")).cast("int").alias("k"), "x.stage", "x.start", "x.end", "x.basis")
+    return _renamed(rows, renames)
+
+
+def _renamed(rows: DataFrame, renames: DataFrame) -> DataFrame:
+    """Intervals under the names to which later migrations lead; one that leads to nothing leaves no name and ends the interval."""
+    ensure_checkpoint(rows.sparkSession)
+    each = renames.select(F.col("record_id").alias("r_id"), F.col("n").alias("r_n"), F.col("before").alias("r_from"), F.col("after").alias("r_to"), F.col("at").alias("r_at"))
+    done = None
+    now = rows.withColumn("seen", F.col("n"))
+    while True:
+        first = now.join(each, (F.col("record_id") == F.col("r_id")) & (F.col("r_n") > F.col("seen")) & (F.col("r_from") == F.col("stage")))
+        hit = first.groupBy("record_id", "k").agg(F.min_by(F.struct("r_n", "r_to", "r_at"), "r_n").alias("r"))
+        told = now.join(hit, ["record_id", "k"], "left").checkpoint()
+        still = told.where("r is null").drop("r", "seen", "n")
+        done = still if done is None else done.unionByName(still)
+        led = told.where("r is not null")
+        if led.isEmpty():
+            return done
+        gone = F.col("r.r_to").isNull() | (F.col("r.r_to") == "")
+        now = led.select("record_id", "n", "k", F.col("r.r_to").alias("stage"), "start", F.when(gone & (F.col("end").isNull() | (F.col("end") > F.col("r.r_at"))), F.col("r.r_at")).otherwise(F.col("end")).alias("end"), "basis", F.col("r.r_n").alias("seen"))
 
 
 def renamed_stages(intervals: DataFrame, previous: dict[str, str]) -> DataFrame:
@@ -94,6 +118,20 @@ def stage_since(changes: DataFrame) -> DataFrame:
     return changes.where("kind <> 'migration'").groupBy("record_id").agg(F.max("at").alias("since"))
 
 
+def record_order(events: DataFrame, order: list[Column], moved: Column | None = None) -> DataFrame:
+    """events with `n`, their place within their record, and with `moved` the number of its moves so far, both by `order`."""
+    own = Window.partitionBy("record_id").orderBy(*order)
+    out = events.withColumn("n", F.row_number().over(own))
+    return out if moved is None else out.withColumn("moves", F.count(F.when(moved, 1)).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def run_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """The run log, JSON lines: (run_id, logged_at, seq, workflow, version, status, depth, steps map, outbox array)."""
+    kind = "run_id string, logged_at timestamp, workflow string, version string, status string, depth int, steps map<string,string>, outbox array<string>"
+    rows = (spark.readStream if stream else spark.read).schema(kind).option("pathGlobFilter", "*.jsonl").json(path)
+    return rows.withColumn("seq", F.xxhash64("run_id", "logged_at") if stream else F.monotonically_increasing_id())
+
+
 def run_summaries(log: DataFrame) -> DataFrame:
     """A row a run from its log entries (run_id, logged_at, seq, status, steps map, outbox array): latest state, all steps, distinct outbox."""
     state = latest(log.select("run_id", "logged_at", "seq", "status"), ["run_id"], [F.col("logged_at"), F.col("seq")])

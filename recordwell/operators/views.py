@@ -39,11 +39,22 @@ def calendar(df: DataFrame, start: Column, context: Context, keep: list[Column],
 def top_with_other(groups: DataFrame, key: str, number: str, most: int) -> DataFrame:
     """The groups with the highest numbers; the rest folded into one group 'other' (n_folded groups).
 
-    Ranking is a top-k over the aggregated groups, so no task sorts them all.
+    One pass over the groups: each partition keeps its own best, which one row of an aggregate then ranks, beside totals of
+    all; so neither the facts are read twice nor do all groups go to one task.
     """
-    best = groups.orderBy(F.col(number).desc(), F.col(key)).limit(most).select(F.col(key).alias("k"))
-    marked = groups.join(F.broadcast(best), groups[key] == best.k, "left")  # most rows
-    return marked.groupBy(F.when(F.col("k").isNotNull(), F.col(key)).otherwise("other").alias(key)).agg(F.sum(number).alias(number), F.sum(F.when(F.col("k").isNull(), 1).otherwise(0)).alias("n_folded"))
+    own = Window.partitionBy(F.spark_partition_id()).orderBy(F.col(number).desc(), F.col(key))
+    near = groups.select(F.col(key).alias("k"), F.col(number).alias("v"), F.row_number().over(own).alias("place"))
+    best = F.struct("v", "k")
+    # At most `most` rows a partition are gathered; the rest only adds up.
+    one = near.agg(F.collect_list(F.when(F.col("place") <= most, best)).alias("b"), F.sum(F.when(F.col("place") > most, F.col("v"))).alias("rest"), F.count_if(F.col("place") > most).alias("n"))
+    before = lambda x, y: F.when((x.v > y.v) | ((x.v == y.v) & (x.k < y.k)), -1).when((x.v == y.v) & (x.k == y.k), 0).otherwise(1)
+    ranked = one.withColumn("b", F.array_sort("b", before))
+    kept = F.transform(F.slice("b", 1, most), lambda x: F.struct(x.k.alias(key), x.v.cast(groups.schema[number].dataType).alias(number), F.lit(0).cast("long").alias("n_folded")))
+    beyond = F.slice(F.col("b"), most + 1, F.greatest(F.lit(1), F.size("b")))
+    more = F.aggregate(beyond, F.lit(0).cast(groups.schema[number].dataType), lambda a, x: (a + x.v).cast(groups.schema[number].dataType))
+    n = F.size(beyond).cast("long") + F.col("n")
+    other = F.struct(F.lit("other").alias(key), (more + F.coalesce("rest", F.lit(0))).cast(groups.schema[number].dataType).alias(number), n.alias("n_folded"))
+    return ranked.select(F.explode(F.when(n > 0, F.concat(kept, F.array(other))).otherwise(kept)).alias("r")).select("r.*")
 
 
 def cumulative(groups: DataFrame, key: str, number: str, series: list[str] | None = None) -> DataFrame:

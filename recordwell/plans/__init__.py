@@ -18,4 +18,4 @@ def all_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import intake_queries, log_queries, page_queries, record_queries, write_queries  # noqa: F401
+    from . import intake_queries, log_queries, page_queries, record_queries, shape_queries, workflow_queries, write_queries  # noqa: F401

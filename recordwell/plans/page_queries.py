@@ -14,7 +14,7 @@ from ..sources import mail, sinks
 from ..streaming import triggers
 from . import crm
 from .crm import MODEL, NOW, OPPORTUNITY, PRODUCT
-from .registry import query, table
+from .registry import SQL, query, table
 
 
 def wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,11 +73,11 @@ def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "quality_findings",
-    "SELECT 'duplicate-text' AS rule, md5(text) AS subject, count(*) AS n FROM documents GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'unknown-label', CAST(doc_id AS VARCHAR), count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id % 10 = 0 GROUP BY 2",
+    "SELECT 'duplicate-text' AS rule, md5(text) AS subject, count(*) AS n FROM documents GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'unknown-label', CAST(doc_id AS VARCHAR), count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 2",
 )
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return graph.findings([graph.repeated(d, F.md5("text"), "duplicate-text"), graph.unknown_references(d.where("doc_id % 10 = 0"), F.col("doc_id"), table(spark, sf_dir, "labels"), "doc_id", "unknown-label")])
+    return graph.findings([graph.repeated(d, F.md5("text"), "duplicate-text"), graph.unknown_references(d, F.col("doc_id"), table(spark, sf_dir, "labels"), "doc_id", "unknown-label")])
 
 
 @query("records_against_model", "SELECT CAST(o_orderkey AS VARCHAR) AS crm_id, 'stage: no option' AS problem FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'priority: no option' FROM orders WHERE o_orderkey % 75 = 0 AND o_orderpriority <> '5-LOW'")
@@ -186,7 +186,7 @@ def trigger_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triggers.runs(_changes(table(spark, sf_dir, "events")), TRIGGERS).groupBy("workflow").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_event_trigger")
+@query("stream_event_trigger", SQL["event_triggers_batch"])
 def trigger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over a file stream that has caught up; what it wrote is read back."""
     out = f"{shared_folder(spark)}/recordwell-stream-{uuid.uuid4().hex}"

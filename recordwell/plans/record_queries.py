@@ -94,10 +94,10 @@ def find_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sort_by_option_order",
-    f"WITH {OPP} SELECT o_orderkey, priority, list_position(['1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW','6-NEVER'], priority) AS option_no FROM opp ORDER BY option_no DESC NULLS LAST, CAST(o_orderkey AS VARCHAR) LIMIT 200",
+    f"WITH {OPP} SELECT o_orderkey, priority, list_position(['1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW','6-NEVER'], priority) AS option_no FROM opp ORDER BY option_no DESC NULLS LAST, CAST(o_orderkey AS VARCHAR)",
 )
 def by_option(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = page(crm.opportunities(spark, sf_dir), OPPORTUNITY, [{"field": "priority", "direction": "desc"}], limit=200)
+    found = page(crm.opportunities(spark, sf_dir), OPPORTUNITY, [{"field": "priority", "direction": "desc"}], limit=None)
     return found.select("o_orderkey", "priority", option_position(value(OPPORTUNITY, "priority")).cast("int").alias("option_no"))
 
 
@@ -114,6 +114,12 @@ def all_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crm.opportunities(spark, sf_dir).groupBy("stage").agg(*aggs, aggregate_column("MIN", close).cast("date").alias("first_day"))
 
 
+@query("agg_average", "WITH s AS (SELECT o_orderstatus AS stage, CAST(sum(CASE WHEN o_orderkey % 11 <> 0 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) END) AS HUGEINT) * 10000 AS micros, count(*) FILTER (o_orderkey % 11 <> 0) AS n FROM orders GROUP BY 1) SELECT stage, CAST(CAST((2 * micros + n) // (2 * n) AS DECIMAL(38,0)) / 1000000 AS DECIMAL(20,4)) AS average, n AS n_set FROM s")
+def mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    amount = value(OPPORTUNITY, "amount")
+    return crm.opportunities(spark, sf_dir).groupBy("stage").agg(aggregate_column("AVERAGE", amount).cast("decimal(20,4)").alias("average"), aggregate_column("COUNT_NOT_EMPTY", amount).alias("n_set"))
+
+
 @query("agg_average_exact", "SELECT l_returnflag, CAST(CAST(sum(CAST(l_quantity AS DECIMAL(18,2)) * 1000000) AS HUGEINT) // count(*) AS DECIMAL(38,0)) AS avg_micros, count(*) AS n FROM lineitem GROUP BY 1")
 def average(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity").cast("decimal(18,2)")

@@ -76,12 +76,13 @@ def row_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "duplicates_conflicting",
-    """WITH g AS (SELECT substr(text, 1, 12) AS k, min(doc_id) AS f, count(*) AS n, count(DISTINCT text) AS d FROM documents GROUP BY 1)
-SELECT doc_id, CASE WHEN n > 1 AND d > 1 THEN 'duplicate-in-file' WHEN n > 1 AND doc_id > f THEN 'duplicate-ignored' END AS duplicate FROM documents JOIN g ON substr(text, 1, 12) = k""",
+    """WITH g AS (SELECT md5(text) AS k, min(doc_id) AS f, count(*) AS n, count(DISTINCT lang || '/' || source) AS d FROM documents GROUP BY 1)
+SELECT doc_id, CASE WHEN n > 1 AND d > 1 THEN 'duplicate-in-file' WHEN n > 1 AND doc_id > f THEN 'duplicate-ignored' END AS duplicate FROM documents JOIN g ON md5(text) = k""",
 )
 def conflicting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_no"), F.substring("text", 1, 12).alias("k"), "text")
-    return importing.file_duplicates(docs, "k", ["text"]).select(F.col("row_no").alias("doc_id"), "duplicate")
+    """Whole texts are the key; rows of one text differ where their language or source does."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_no"), F.md5("text").alias("k"), "lang", "source")
+    return importing.file_duplicates(docs, "k", ["lang", "source"]).select(F.col("row_no").alias("doc_id"), "duplicate")
 
 
 @query(
@@ -180,7 +181,7 @@ def cascade_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "cascade_destroy",
-    """WITH c AS (SELECT c_custkey FROM customer WHERE c_custkey < 100), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))
+    """WITH c AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))
 SELECT 'company' AS object, 'DESTROY' AS action, count(*) AS n FROM c UNION ALL SELECT 'opportunity', 'DESTROY', count(*) FROM o UNION ALL SELECT 'item', 'SET_NULL', count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)""",
 )
 def cascade_destroy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +189,7 @@ def cascade_destroy(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = relations.edges(MODEL, {"opportunity": crm.opportunities(spark, sf_dir)})
     item = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     second = table(spark, sf_dir, "lineitem").select(F.lit("item").alias("source_object"), F.lit("order").alias("field"), item.alias("source_id"), F.lit("opportunity").alias("target_object"), F.col("l_orderkey").cast("string").alias("target_id"))
-    start = table(spark, sf_dir, "customer").where("c_custkey < 100").select(F.lit("company").alias("object"), F.col("c_custkey").cast("string").alias("id"))
+    start = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.lit("company").alias("object"), F.col("c_custkey").cast("string").alias("id"))
     out = relations.cascade(start, first.unionByName(second), {("opportunity", "company"): "CASCADE", ("item", "order"): "SET_NULL"})
     return out.groupBy("object", "action").agg(F.count(F.lit(1)).alias("n"))
 

@@ -45,9 +45,10 @@ def read_records(spark: SparkSession, path: str, of: ObjectType) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """The change log: monthly shards of JSON lines, in one order by (at, shard, seq)."""
+    """The change log: monthly shards of JSON lines, in one order by (at, shard, seq). A stream knows no line
+    numbers: its seq is a hash of the event's id, so events of one instant have an order that never changes."""
     reader = (spark.readStream if stream else spark.read).schema(EVENT).option("pathGlobFilter", "*.jsonl")
-    rows = reader.json(path).withColumn("shard", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)).withColumn("seq", F.lit(0).cast("long") if stream else F.monotonically_increasing_id())
+    rows = reader.json(path).withColumn("shard", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)).withColumn("seq", F.monotonically_increasing_id() if not stream else F.xxhash64("event_id"))
     pair = lambda _, v: F.struct(F.get(v, F.lit(0)).alias("old"), F.get(v, F.lit(1)).alias("new"))
     return rows.withColumn("changes", F.transform_values("changes", pair))
 

@@ -72,6 +72,39 @@ def write_json(df: DataFrame, path: str, of: ObjectType) -> None:
     df.select(api_object(of).alias("r")).select("r.*").write.option("ignoreNullFields", True).json(path)
 
 
+def record_text(of: ObjectType, extra: str = "extra", body: str = "body") -> Column:
+    """A record as the text of its file: properties in the schema's order, parts by name, unknown ones (a map column) by name behind
+    them, empty ones left out, then the body. Equal content gives equal bytes."""
+
+    def scalar(key: str, c: Column, kind: str) -> Column:
+        text = F.to_json(c) if kind.startswith(("array", "struct", "map")) else c.cast("string")
+        plain = text.rlike(r"^[\p{L}\p{N}][\p{L}\p{N} ._/@+-]*$") & ~text.rlike(r"^\s|\s$")
+        shown = F.when(plain | F.lit(kind.startswith(("array", "struct", "map"))), text).otherwise(F.regexp_replace(F.to_json(F.struct(text.alias("v"))), r'^\{"v":(.*)\}$', "$1"))
+        return F.when(c.isNotNull() & (text != ""), F.concat(F.lit(f"{key}: "), shown))
+
+    lines = []
+    for f in of.schema.fields:
+        if f.dataType.typeName() == "struct":
+            lines += [scalar(f"{f.name}.{p.name}", F.col(f"{f.name}.{p.name}"), p.dataType.simpleString()) for p in f.dataType.fields]
+        else:
+            lines.append(scalar(f.name, F.col(f.name), f.dataType.simpleString()))
+    more = F.transform(F.array_sort(F.map_entries(extra)), lambda e: F.concat(e.key, F.lit(": "), e.value))
+    head = F.array_join(F.concat(F.filter(F.array(*lines), lambda x: x.isNotNull()), F.coalesce(more, F.array().cast("array<string>"))), "\n")
+    return F.concat(F.lit("---\n"), head, F.lit("\n---\n"), F.coalesce(F.col(body), F.lit("")))
+
+
+def write_records(df: DataFrame, path: str, of: ObjectType) -> None:
+    """The record files as rows (path, text) of Parquet: one large file a task, where a file a record would drown any file system."""
+    df.select(F.concat(F.lit(f"records/{of.name}/"), "crm_id", F.lit(".md")).alias("path"), record_text(of).alias("text")).write.parquet(path)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A knowledge graph as JSON lines below `path`: nodes/, links/ (both ends found) and unresolved/ (targets that don't exist)."""
+    nodes.write.json(f"{path}/nodes")
+    edges.where("resolved is not null").select("source", F.col("resolved").alias("target")).write.json(f"{path}/links")
+    edges.where("resolved is null").select("source", "target").write.json(f"{path}/unresolved")
+
+
 def junction_rows(df: DataFrame, of: ObjectType, field: str, owner: str, model: Model) -> DataFrame:
     """A row for each (owner, target) with a stable id: one target column is set, the others empty."""
     each = df.select(F.col("crm_id").alias("o"), F.explode(links_of(of, field)).alias("l"))

@@ -104,8 +104,9 @@ def test_relative_ranges():
 def test_aggregates(deals):
     amount, stage, tags, won = (value(DEAL, k) for k in ("amount", "stage", "tags", "won"))
     col = aggregates.aggregate_column
-    r = deals.agg(col("AVERAGE", amount).alias("a"), col("PERCENTAGE_EMPTY", stage).alias("b"), col("COUNT_UNIQUE_VALUES", tags).alias("c"), col("countTrue", won).alias("d"), col("COUNT_FALSE", won).alias("e"), col("MAX", value(DEAL, "close")).alias("f"), col("MIN", value(DEAL, "rating")).alias("g")).first()
-    assert r.a == Decimal("4175.125") and r.b == 20 and r.c == 2 and (r.d, r.e) == (2, 1) and r.f == dt.datetime(2026, 10, 15, 10) and r.g == 1
+    r = deals.agg(col("AVERAGE", amount).alias("a"), col("PERCENTAGE_EMPTY", stage).alias("b"), F.lit(None).alias("c"), col("countTrue", won).alias("d"), col("COUNT_FALSE", won).alias("e"), col("MAX", value(DEAL, "close")).alias("f"), col("MIN", value(DEAL, "rating")).alias("g")).first()
+    assert aggregates.unique_values(deals.withColumn("g", F.lit(1)), DEAL, "tags", ["g"]).first().unique_values == 2
+    assert r.a == Decimal("4175.125") and r.b == 20 and (r.d, r.e) == (2, 1) and r.f == dt.datetime(2026, 10, 15, 10) and r.g == 1
     none = deals.limit(0).agg(col("SUM", amount).alias("s"), col("AVG", amount).alias("a"), col("PERCENTAGE_EMPTY", stage).alias("p")).first()
     assert none.s == 0 and none.a is None and none.p is None
     money = {(r.currency): r.value for r in aggregates.by_currency(deals, DEAL, "SUM", "amount", "EUR").collect()}
