@@ -30,6 +30,8 @@ RULES = 40
 Rule = tuple[tuple[str, bool, float], ...]  # (statistic, whether it is at most, threshold)
 
 MARKS = "!|#$%&*"
+#: Our own list of words that hold sentences together, in four languages: prose has many, lists and junk few.
+STOP_WORDS = "the of and to in is that it for was with as on be at by der die das und in den von zu mit sich des auf für ist im le la les de et des en un une que qui dans pour el los las y que en un una por con para".split()
 ROW = "q_row"
 
 
@@ -40,7 +42,11 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     base = docs.withColumn("q_text", F.coalesce(F.col("text"), F.lit(""))).select(*keep, "q_text").withColumn("q_words", F.split("q_text", r"\s+"))
     share = lambda c: (F.length(text) - F.length(F.replace(text, F.lit(c)))) / n
     again = F.size(F.filter(words, lambda w, k: (k > 0) & (w == F.get(words, k - 1))))
+    lines = F.filter(F.split("q_text", "\n"), lambda x: F.trim(x) != "")
     made = {
+        "q_digit": (F.length(text) - F.length(F.regexp_replace(text, "[0-9]+", ""))) / n,
+        "q_stop": F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))) / many,
+        "q_line_again": (F.size(lines) - F.size(F.array_distinct(lines))) / F.greatest(F.size(lines), F.lit(1)),
         "q_length": F.log1p(F.length(text)),
         "q_upper": (F.length(text) - F.length(F.regexp_replace(text, "[A-ZÀ-Þ]+", ""))) / n,
         "q_again": again / many,
@@ -52,7 +58,7 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     return base.select(*keep, F.monotonically_increasing_id().alias(ROW), *(c.cast("double").alias(k) for k, c in made.items()))
 
 
-NAMES = ["q_length", "q_upper", "q_again", "q_distinct", "q_word", "q_line", *(f"q_mark{k}" for k in range(len(MARKS)))]
+NAMES = ["q_digit", "q_stop", "q_line_again", "q_length", "q_upper", "q_again", "q_distinct", "q_word", "q_line", *(f"q_mark{k}" for k in range(len(MARKS)))]
 
 
 def holds(rule: Rule, x: np.ndarray) -> np.ndarray:

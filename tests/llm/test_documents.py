@@ -148,6 +148,9 @@ def test_statistics_by_hand(spark):
     words = text.split()
     assert row.q_length == pytest.approx(np.log1p(len(text))) and row.q_upper == pytest.approx(2 / len(text)) and row.q_again == pytest.approx(1 / len(words))
     assert row.q_distinct == pytest.approx(np.log1p(len(set(words))) / np.log1p(len(words))) and row.q_mark0 == pytest.approx(2 / len(text)) and row.q_line == pytest.approx(1 / len(words))
+    assert row.q_digit == pytest.approx(1 / len(text)) and row.q_stop == pytest.approx(1 / len(words)) and row.q_line_again == 0
+    again = quality_rules.statistics(spark.createDataFrame([(1, "a b\n\na b\nc"), (2, None)], "doc_id long, text string"), ["doc_id"]).orderBy("doc_id").collect()
+    assert again[0].q_line_again == pytest.approx(1 / 3) and all(again[1][k] == (k == "q_distinct") for k in quality_rules.NAMES if k != "q_again")
 
 
 def test_quality_of_held_out_rows(spark):
