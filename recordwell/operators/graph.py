@@ -47,6 +47,11 @@ def repeated(df: DataFrame, key: Column, rule: str) -> DataFrame:
     return df.groupBy(key.cast("string").alias("subject")).agg(F.count(F.lit(1)).alias("n")).where("subject is not null and n > 1").select(F.lit(rule).alias("rule"), "subject", "n")
 
 
+def duplicate_groups(df: DataFrame, key: Column, id_column: str) -> DataFrame:
+    """(first_id, n) of keys that several rows hold."""
+    return df.groupBy(key.alias("d_key")).agg(F.min(id_column).alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("d_key")
+
+
 def unknown_references(df: DataFrame, reference: Column, known: DataFrame, key: str, rule: str) -> DataFrame:
     """(rule, subject, n): references to nothing."""
     refs = df.select(reference.cast("string").alias("subject")).where("subject is not null")

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import relations, search, timeline
+from ..functions.values import value
+from ..operators import graph, relations, search, timeline
+from ..operators.aggregates import aggregate_column
+from ..schema import Model
 from . import crm
 from .crm import MODEL, OPPORTUNITY
 from .registry import query, table
@@ -38,10 +41,12 @@ def orphan_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.orphans(table(spark, sf_dir, "orders"), "o_custkey", kept, "c_custkey").select("o_orderkey", "o_custkey")
 
 
-@query("link_current_title", "SELECT CAST(o_orderkey AS VARCHAR) AS crm_id, coalesce(c_name, 'gone') AS title, c_custkey IS NOT NULL AS found FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) ON o_custkey = c_custkey")
+@query("link_current_title", "SELECT CAST(o_orderkey AS VARCHAR) AS crm_id, coalesce(c_name, 'gone') AS title, c_custkey IS NOT NULL AS found, coalesce(c_custkey % 7 = 0, false) AS deleted FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) ON o_custkey = c_custkey")
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = relations.with_titles(crm.opportunities(spark, sf_dir), "company", crm.companies(spark, sf_dir).where("c_custkey % 5 <> 0"))
-    return now.select("crm_id", F.coalesce("company_now.title", F.lit("gone")).alias("title"), F.col("company_now.exists").alias("found"))
+    """Of the companies every fifth is gone and every seventh in the trash."""
+    companies = crm.companies(spark, sf_dir).where("c_custkey % 5 <> 0").withColumn("crm_deleted_at", F.when(F.col("c_custkey") % 7 == 0, F.lit("2020-01-01").cast("timestamp")))
+    now = relations.with_titles(crm.opportunities(spark, sf_dir), "company", companies, "company")
+    return now.select("crm_id", F.coalesce("company_now.title", F.lit("gone")).alias("title"), F.col("company_now.exists").alias("found"), F.col("company_now.deleted").alias("deleted"))
 
 
 _HOST = r"regexp_replace(regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1), ':\d*$', ''), '^www\.', '')"
@@ -149,7 +154,7 @@ def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("duplicates_exact", "SELECT min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY md5(text) HAVING count(*) > 1")
 def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("k")).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("k")
+    return graph.duplicate_groups(table(spark, sf_dir, "documents"), F.sha2("text", 256), "doc_id")
 
 
 @query("thread_root", "SELECT conv_id, count(*) AS n, max(turn) AS last_turn, count(DISTINCT role) AS n_roles, min_by(role, turn) AS opened_by FROM conversations GROUP BY 1")
@@ -169,8 +174,9 @@ def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("label_quality_join", "SELECT lang, count(*) AS n, count(*) FILTER (quality = 1) AS n_true, count(*) FILTER (quality = 0) AS n_false, count(*) FILTER (quality IS NULL) AS n_empty FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    q = F.col("quality") == 1
-    return joined.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(q).alias("n_true"), F.count_if(~q).alias("n_false"), F.count_if(q.isNull()).alias("n_empty"))
+    of = Model.from_document({"objects": {"label": {"labelField": "lang", "fields": {"lang": {"type": "TEXT"}, "good": {"type": "BOOLEAN"}}}}}).object("label")
+    rows, good = joined.withColumn("good", F.col("quality") == 1), value(of, "good")
+    return rows.groupBy("lang").agg(*(aggregate_column(f, good).alias(n) for f, n in (("COUNT", "n"), ("COUNT_TRUE", "n_true"), ("COUNT_FALSE", "n_false"), ("COUNT_EMPTY", "n_empty"))))
 
 
 @query("text_keys", r"SELECT c_custkey, lower(trim(c_name)) AS email, regexp_replace(c_name, '\D', '', 'g') AS phone, replace(lower(c_name), '#', '-') AS kebab, lower(replace(c_name, '#', '')) AS header FROM customer")

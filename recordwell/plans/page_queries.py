@@ -18,12 +18,12 @@ from .registry import SQL, query, table
 
 
 def wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as Markdown pages: each links to two others, some of which don't exist."""
+    """Documents as Markdown pages, their whole texts below two links to others, some of which don't exist."""
     d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
     t = lambda c: c.cast("string")
     head = F.concat(F.lit("---\ntitle: Page "), t(k), F.lit("\nlang: "), F.col("lang"), F.lit("\ntags: ["), F.col("source"), F.lit(", Tag"), t(k % 3), F.lit("]\nstatus: "), F.when(k % 4 == 0, "").otherwise("active"), F.lit("\n---\n"))
     body = F.concat(F.lit("# Page\nSee [[wiki/p"), t(k + 1), F.lit("|next]] and [[wiki/p"), t(k * 2), F.lit("#top]].\n"))
-    return pages.parsed(d.select(F.concat(F.lit("wiki/p"), t(k), F.lit(".md")).alias("path"), F.concat(head, body).alias("text"), k))
+    return pages.parsed(d.select(F.concat(F.lit("wiki/p"), t(k), F.lit(".md")).alias("path"), F.concat(head, body, F.coalesce("text", F.lit(""))).alias("text"), k))
 
 
 @query("page_selector", "SELECT doc_id FROM documents WHERE lang IN ('fr', 'de') AND doc_id % 4 <> 0 AND doc_id % 3 = 1")
@@ -129,19 +129,30 @@ def new_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_changes.with_new_field(crm.companies(spark, sf_dir), f).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("export_standard_csv", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS n_ids, CAST(sum(CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DECIMAL(38,2)) AS total FROM orders")
+@query("export_standard_csv", "SELECT CAST(o_orderkey AS VARCHAR) AS id, 'Order ' || CAST(o_orderkey AS VARCHAR) AS name, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 1000000 AS BIGINT) AS VARCHAR) END AS micros, 'EUR' AS code, o_orderstatus AS stage, nullif(o_orderpriority, '5-LOW') AS priority FROM orders")
 def export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as CSV in chunks and read back."""
     path = f"{shared_folder(spark)}/recordwell-export-{uuid.uuid4().hex}"
     sinks.write_csv(crm.opportunities(spark, sf_dir), path, sinks.standard_columns(OPPORTUNITY), most_rows=4000)
     back = spark.read.option("header", True).option("lineSep", "\r\n").csv(path)
-    return back.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_ids"), (F.sum(F.col("`amount.amountMicros`").cast("decimal(28,0)")) / 1_000_000).cast("decimal(38,2)").alias("total"))
+    return back.select("id", "name", F.col("`amount.amountMicros`").alias("micros"), F.col("`amount.currencyCode`").alias("code"), "stage", "priority")
 
 
-@query("export_junction", "SELECT count(*) AS n, count(DISTINCT (o_orderkey)) AS n_ids, count(DISTINCT o_custkey) AS n_targets FROM orders")
+@query("export_junction", "SELECT CAST(o_orderkey AS VARCHAR) AS owner, CAST(o_custkey AS VARCHAR) AS target, 36 AS id_length, count(*) OVER () AS n_ids FROM orders")
 def junction(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sinks.junction_rows(crm.opportunities(spark, sf_dir), OPPORTUNITY, "company", "opportunity", MODEL)
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_ids"), F.countDistinct("targetCompanyId").alias("n_targets"))
+    ids = rows.agg(F.countDistinct("id").alias("n_ids"))
+    return rows.select(F.col("opportunityId").alias("owner"), F.col("targetCompanyId").alias("target"), F.length("id").alias("id_length")).join(F.broadcast(ids))  # one row
+
+
+@query("knowledge_graph_written", f"WITH {_EDGES} SELECT 'links' AS part, count(*) AS n FROM r WHERE hit IS NOT NULL UNION ALL SELECT 'unresolved', count(*) FROM r WHERE hit IS NULL UNION ALL SELECT 'nodes', count(*) FROM documents")
+def graph_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as JSON and read back."""
+    path = f"{shared_folder(spark)}/recordwell-graph-{uuid.uuid4().hex}"
+    p, edges = _graph(spark, sf_dir)
+    sinks.write_graph(graph.nodes(p, edges), edges, path)
+    counted = [spark.read.json(f"{path}/{part}").agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n")) for part in ("links", "unresolved", "nodes")]
+    return graph.findings(counted)
 
 
 @query("html_to_text")
