@@ -61,14 +61,16 @@ def version_actions(newest: DataFrame, stored: DataFrame) -> DataFrame:
 def occurrences_between(events: DataFrame, overrides: DataFrame, begin: Column, end: Column) -> DataFrame:
     """(uid, starts, ends) of all events that touch a window, recurring ones expanded within the row.
 
-    events: uid, starts and ends (wall clock), zone, rule (may be null), excluded (array); overrides: uid, replaces (wall clock), starts, ends, zone.
+    events: uid, starts and ends (wall clock), zone, rule (may be null), excluded and perhaps added (arrays); overrides: uid, replaces (wall clock), starts, ends, zone.
     """
     utc = lambda t, z: F.to_utc_timestamp(t.cast("timestamp"), z)
     last = F.to_date(F.date_add(F.to_date(end), 1))
     days = F.when(F.col("rule").isNull(), F.array(F.to_date("starts"))).otherwise(row_rule_days(F.col("rule"), F.to_date("starts"), last))
     clock = F.date_format("starts", "HH:mm:ss")
     local = F.transform(days, lambda d: F.concat(d.cast("string"), F.lit(" "), clock).cast("timestamp_ntz"))
-    kept = F.array_except(local, F.coalesce("excluded", F.array().cast("array<timestamp_ntz>")))
+    none = F.array().cast("array<timestamp_ntz>")
+    more = F.coalesce("added", none) if "added" in events.columns else none
+    kept = F.array_except(F.array_union(local, more), F.coalesce("excluded", none))
     length = F.unix_seconds(F.col("ends").cast("timestamp")) - F.unix_seconds(F.col("starts").cast("timestamp"))
     each = events.select("uid", "zone", length.alias("length"), F.explode(kept).alias("at"))
     each = each.join(overrides.select("uid", F.col("replaces").alias("at")), ["uid", "at"], "left_anti")

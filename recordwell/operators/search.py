@@ -41,9 +41,12 @@ def spaced(text: Column) -> Column:
 
 
 def _times(text: Column, word: str) -> Column:
-    """How often a word occurs in a spaced text, three times at most."""
-    found = F.length(text) - F.length(F.replace(text, F.lit(f" {word} "), F.lit("")))
-    return F.least((found / (len(word) + 2)).cast("int"), F.lit(3))
+    """How often a word occurs in a spaced text, three times at most: the search ends with the third."""
+    one = F.lit(f" {word} ")
+    first = F.position(one, text)
+    second = F.position(one, text, first + len(word) + 2)
+    third = F.position(one, text, second + len(word) + 2)
+    return F.when(first == 0, 0).when(second == 0, 1).when(third == 0, 2).otherwise(3)
 
 
 def _starts(text: Column, word: str) -> Column:
@@ -68,10 +71,10 @@ def search_records(df: DataFrame, text: str, parts: list[tuple[str, str, Column]
     for name, kind, _ in parts:
         weight, t = RECORD_WEIGHTS[kind], F.col(f"w_{name}")
         for w in asked:
-            exact = _times(t, w)
-            starts = _starts(t, w) if len(w) >= 2 else F.lit(False)
-            found[w].append((exact > 0) | starts)
-            scores.append(F.when(exact > 0, exact * weight * 10).when(starts, F.lit(weight * 5)).otherwise(0))
+            exact = _starts(t, f"{w} ")
+            starts = _starts(t, w) if len(w) >= 2 else exact
+            found[w].append(starts)
+            scores.append(F.when(exact, _times(t, w) * weight * 10).when(starts, F.lit(weight * 5)).otherwise(0))
         if len(phrase_words) > 1:
             scores.append(F.when(_phrase(t, phrase_words), weight * 20).otherwise(0))
     if identities is not None:

@@ -70,10 +70,21 @@ def line(df: DataFrame, day: Column, grain: str, number: Column, name: str = "va
     return gap_filled(buckets, "bucket", grain, {name: 0})
 
 
-def two_level(df: DataFrame, first: Column, second: Column, number: Column, most: int = 8) -> DataFrame:
-    """(first, second, value): second-level groups beyond the largest `most` - 1 fold into 'other', over their records."""
+def two_level(df: DataFrame, first: Column, second: Column, number: Column, most: int = 8, merge: Column | None = None) -> DataFrame:
+    """(first, second, value): second-level groups beyond the largest `most` - 1 fold into 'other', over their records.
+
+    merge: an aggregate over the column `value` that gives a group's number from those of its parts, such as F.sum("value")
+    for counts and sums. With it the records are read once: their groups are ranked and folded. Without it (an average, say)
+    'other' is made from the records again.
+    """
     rows = df.withColumns({"g1": F.coalesce(first, F.lit("")), "g2": F.coalesce(second, F.lit(""))})
-    sizes = rows.groupBy("g2").agg(F.count(F.lit(1)).alias("n"))
-    kept = sizes.orderBy(F.col("n").desc(), "g2").limit(most - 1 if sizes.limit(most + 1).count() > most else most).select("g2", F.lit(True).alias("own"))
-    marked = rows.join(F.broadcast(kept), "g2", "left").withColumn("g2", F.when(F.col("own"), F.col("g2")).otherwise("other"))
-    return marked.groupBy("g1", "g2").agg(number.alias("value"))
+    groups = rows.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), number.alias("value"))
+    sizes = groups.groupBy("g2").agg(F.sum("n").alias("n"))
+    # One row more than may stay tells whether any is folded.
+    top = sizes.orderBy(F.col("n").desc(), "g2").limit(most + 1)
+    ranked = top.withColumns({"place": F.row_number().over(Window.orderBy(F.col("n").desc(), "g2")), "many": F.count(F.lit(1)).over(Window.partitionBy())})
+    kept = F.broadcast(ranked.where((F.col("many") <= most) | (F.col("place") < most)).select("g2", F.lit(True).alias("own")))
+    name = F.when(F.col("own"), F.col("g2")).otherwise("other").alias("g2")
+    if merge is not None:
+        return groups.join(kept, "g2", "left").select("g1", name, "value").groupBy("g1", "g2").agg(merge.alias("value"))
+    return rows.join(kept, "g2", "left").select(*(c for c in rows.columns if c != "g2"), name).groupBy("g1", "g2").agg(number.alias("value"))

@@ -221,7 +221,7 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT g1, CASE WHEN b IN (SELECT b FROM k) THEN b ELSE 'other' END AS g2, count(*) AS value FROM x GROUP BY 1, 2""",
 )
 def two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.two_level(table(spark, sf_dir, "part"), F.col("p_type"), F.col("p_brand"), F.count(F.lit(1)))
+    return views.two_level(table(spark, sf_dir, "part"), F.col("p_type"), F.col("p_brand"), F.count(F.lit(1)), merge=F.sum("value"))
 
 
 @query(

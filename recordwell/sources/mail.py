@@ -6,14 +6,16 @@ import re
 from collections.abc import Iterator
 from email import message_from_bytes, policy
 from email.utils import getaddresses, parsedate_to_datetime
-from html import unescape
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SPACES = re.compile(r"[\t\r\n\f\xa0]")
+from ..functions.zones import zone_name
+
+SPACES = re.compile(r"[ \t\r\n\f]+")
 MESSAGE = "path string, message_id string, in_reply_to array<string>, references array<string>, subject string, sender string, recipients array<string>, sent_at timestamp, text string, html string, n_attachments int, bulk boolean, error string"
 
 
@@ -56,42 +58,106 @@ def _row(path: str, data: bytes) -> tuple:
         return path, None, [], [], None, None, [], None, None, None, 0, False, str(e)
 
 
+#: Elements that are never shown, that end a line, and that have no end of their own.
+HIDDEN = frozenset("script style head title template noscript".split())
+LINES = frozenset("p div tr h1 h2 h3 h4 h5 h6 ul ol table blockquote section article header footer".split())
+EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
+class _Shown(HTMLParser):
+    """The text of a page as it is shown. Hidden parts end with the element that hides, however deep they nest."""
+
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.out: list[str] = []
+        self.open: list[tuple[str, bool]] = []  # elements, and whether each of them hides
+        self.hiding = 0
+        self.feed(html)
+        self.close()
+
+    def _line(self, text: str = "\n") -> None:
+        if not self.hiding:
+            self.out.append(text)
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "br":
+            self._line()
+        if tag in EMPTY:
+            return
+        given = dict(attrs)
+        hides = tag in HIDDEN or "hidden" in given or "display:none" in (given.get("style") or "").replace(" ", "").lower()
+        self.open.append((tag, hides))
+        self.hiding += hides
+        self._line("\n- " if tag == "li" else "\n" if tag in LINES else "")
+
+    def handle_endtag(self, tag: str) -> None:
+        if not any(t == tag for t, _ in self.open[-64:]):  # an end without a start nearby ends nothing
+            return
+        while self.open:
+            name, hides = self.open.pop()
+            self.hiding -= hides
+            if name == tag:
+                break
+        self._line(" | " if tag in ("td", "th") else "\n" if tag in LINES or tag == "li" else "")
+
+    def handle_data(self, data: str) -> None:
+        self._line(SPACES.sub(" ", data))
+
+    def text(self) -> str:
+        tidy = re.sub(r" *\n *", "\n", re.sub(r" {2,}", " ", "".join(self.out)))
+        return re.sub(r"\n{3,}", "\n\n", tidy).strip(" \n").replace("\xa0", " ")
+
+
 def html_text(html: Column) -> Column:
     """Readable text of a mail's HTML: hidden parts go, blocks become lines, list items get a dash, references are decoded."""
-    gone = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|head|title|template)\b.*?</\1\s*>|<(\w+)[^>]*(?:display\s*:\s*none|\bhidden\b)[^>]*>.*?</\2\s*>", "")
-    cells = F.regexp_replace(F.regexp_replace(gone, r"\s+", " "), r"(?i)</t[dh]\s*>", " | ")
-    items = F.regexp_replace(cells, r"(?i)<li\b[^>]*>", "\n- ")
-    lines = F.regexp_replace(items, r"(?i)<(?:br|/p|/div|/tr|/h[1-6]|/li|/ul|/ol|/table|/blockquote|p|div|tr|h[1-6]|ul|ol|table|blockquote)\b[^>]*>", "\n")
-    bare = F.regexp_replace(lines, r"<[^>]*>", "")
-    tidy = F.regexp_replace(F.regexp_replace(_decoded(bare), r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n")
-    return F.trim(F.regexp_replace(tidy, r"^\n+|\n+$", ""))
+    return _html_text(html)
 
 
 @F.pandas_udf(T.StringType())
-def _decoded(text: pd.Series) -> pd.Series:
-    """All named and numeric character references, as HTML5 has them; spaces and line ends among them are plain spaces."""
-    return text.map(lambda t: "\n".join(SPACES.sub(" ", unescape(line)) for line in t.split("\n")) if "&" in t or "\xa0" in t else t, na_action="ignore")
+def _html_text(html: pd.Series) -> pd.Series:
+    return html.map(lambda t: _Shown(t).text(), na_action="ignore")
 
 
 EVENT_LINES = r"(?s)BEGIN:VEVENT\r?\n(.*?)END:VEVENT"
 
 
 def calendar_events(df: DataFrame, text: str = "text") -> DataFrame:
-    """A row a VEVENT of iCalendar texts: unfolded, unescaped; times as written with their zone name."""
+    """A row a VEVENT of iCalendar texts: unfolded, unescaped; wall clock times with their zone.
+
+    zone is an IANA name or an offset, whatever name the calendar uses; one that it defines itself takes its standard offset.
+    ends comes from DTEND or DURATION; excluded and added are the moments of EXDATE and RDATE; replaces is set where an event
+    stands for one occurrence of a series.
+    """
     unfolded = F.regexp_replace(F.col(text), r"\r?\n[ \t]", "")
-    each = df.select(*[c for c in df.columns if c != text], F.explode(F.regexp_extract_all(unfolded, F.lit(EVENT_LINES), F.lit(1))).alias("e"))
+    own_zone = lambda b: F.struct(F.regexp_extract(b, r"(?m)^TZID:(.*?)\r?$", 1).alias("name"), F.regexp_extract(b, r"(?s)BEGIN:STANDARD.*?TZOFFSETTO:([+-]\d{4})", 1).alias("offset"))
+    zones = F.transform(F.regexp_extract_all(unfolded, F.lit(r"(?s)BEGIN:VTIMEZONE\r?\n(.*?)END:VTIMEZONE"), F.lit(1)), own_zone).cast("array<struct<name:string,offset:string>>")
+    kept = [c for c in df.columns if c != text]
+    each = df.select(*kept, zones.alias("e_zones"), F.explode(F.regexp_extract_all(unfolded, F.lit(EVENT_LINES), F.lit(1))).alias("e"))
 
     def line(name: str, group: int = 2) -> Column:
         return F.nullif(F.regexp_extract("e", rf"(?m)^{name}((?:;[^:\n]*)?):(.*?)\r?$", group), F.lit(""))
 
     plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"\\[nN]", "\n"), r"\\([,;\\])", "$1")
 
-    def moment(name: str) -> Column:
-        v = line(name)
+    def moment(v: Column) -> Column:
         return F.when(F.length(v) == 8, F.try_to_timestamp(v, F.lit("yyyyMMdd"))).otherwise(F.try_to_timestamp(F.regexp_replace(v, "Z$", ""), F.lit("yyyyMMdd'T'HHmmss"))).cast("timestamp_ntz")
 
-    zone = lambda name: F.when(line(name).endswith("Z"), "UTC").otherwise(F.nullif(F.regexp_extract(line(name, 1), r"TZID=\"?([^;:\"]+)", 1), F.lit("")))
-    return each.select(
-        *[c for c in df.columns if c != text], line("UID").alias("uid"), plain(line("SUMMARY")).alias("summary"), plain(line("LOCATION")).alias("location"), moment("DTSTART").alias("starts"), zone("DTSTART").alias("zone"), moment("DTEND").alias("ends"),
-        (F.length(line("DTSTART")) == 8).alias("whole_day"), line("RRULE").alias("rule"), F.coalesce(line("SEQUENCE").try_cast("int"), F.lit(0)).alias("sequence"), moment("LAST-MODIFIED").alias("modified"), (line("STATUS") == "CANCELLED").alias("cancelled"),
+    def moments(name: str) -> Column:
+        listed = F.regexp_extract_all(F.col("e"), F.lit(rf"(?m)^{name}(?:;[^:\n]*)?:(.*?)\r?$"), F.lit(1))
+        return F.filter(F.transform(F.flatten(F.transform(listed, lambda x: F.split(x, r"\s*,\s*"))), moment), lambda x: x.isNotNull())
+
+    written = F.nullif(F.regexp_extract(line("DTSTART", 1), r"TZID=\"?([^;:\"]+)", 1), F.lit(""))
+    offset = F.get(F.filter("e_zones", lambda z: z.getField("name") == F.col("e_written")), F.lit(0)).getField("offset")
+    zone = F.when(F.col("e_start").endswith("Z"), "UTC").when(F.col("e_written").isNotNull(), zone_name(F.col("e_written"), offset))
+    part = lambda unit: F.coalesce(F.nullif(F.regexp_extract(F.col("e_length"), rf"(\d+){unit}", 1), F.lit("")).cast("int"), F.lit(0))
+    clock = F.regexp_extract(F.col("e_length"), "T(.*)$", 1)
+    timed = lambda unit: F.coalesce(F.nullif(F.regexp_extract(clock, rf"(\d+){unit}", 1), F.lit("")).cast("int"), F.lit(0))
+    length = F.make_dt_interval(part("W") * 7 + part("D"), timed("H"), timed("M"), timed("S"))
+    lines = each.withColumns({"e_start": line("DTSTART"), "e_written": written, "e_length": line("DURATION")})
+    starts = moment(F.col("e_start"))
+    ends = F.coalesce(moment(line("DTEND")), F.when(F.col("e_length").isNotNull(), starts + length))
+    return lines.select(
+        *kept, line("UID").alias("uid"), plain(line("SUMMARY")).alias("summary"), plain(line("LOCATION")).alias("location"), starts.alias("starts"), zone.alias("zone"), ends.alias("ends"),
+        (F.length("e_start") == 8).alias("whole_day"), line("RRULE").alias("rule"), moments("EXDATE").alias("excluded"), moments("RDATE").alias("added"), moment(line("RECURRENCE-ID")).alias("replaces"),
+        F.coalesce(line("SEQUENCE").try_cast("int"), F.lit(0)).alias("sequence"), moment(line("LAST-MODIFIED")).alias("modified"), (line("STATUS") == "CANCELLED").alias("cancelled"), line("CLASS").alias("class"),
     )

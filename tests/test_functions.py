@@ -165,6 +165,12 @@ def test_mail(spark):
     html = "<html><head><title>t</title></head><body><p>Hi&nbsp;you</p><div style='display: none'>no</div><ul><li>a</li><li>b &lt; c</li></ul><script>x</script></body></html>"
     assert one(spark, html_text(F.lit(html))) == "Hi you\n\n- a\n\n- b < c"
     ics = "BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:1@x\r\nSUMMARY:Long\\, ti\r\n tle\r\nDTSTART;TZID=Europe/Berlin:20261005T100000\r\nDTEND:20261005T090000Z\r\nRRULE:FREQ=DAILY\r\nSEQUENCE:2\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nUID:2\r\nDTSTART;VALUE=DATE:20261101\r\nSTATUS:CANCELLED\r\nEND:VEVENT\r\nEND:VCALENDAR"
+    nested = "<div hidden>a<div>b<p>c</p></div>d</div><p>shown<span style='display:none'>x<span>y</span>z</span> text</p><table><tr><td>1</td><td>2</td></tr></table></b>end"
+    assert one(spark, html_text(F.lit(nested))) == "shown text\n\n1 | 2 |\n\nend"
+    own = "BEGIN:VTIMEZONE\nTZID:Our zone\nBEGIN:DAYLIGHT\nTZOFFSETTO:+0300\nEND:DAYLIGHT\nBEGIN:STANDARD\nTZOFFSETFROM:+0300\nTZOFFSETTO:+0200\nEND:STANDARD\nEND:VTIMEZONE\nBEGIN:VEVENT\nUID:3\nDTSTART;TZID=Our zone:20261005T100000\nDURATION:P1DT2H30M\nEXDATE:20261006T100000,20261007T100000\nEXDATE:20261008T100000\nRDATE:20261101T100000\nRECURRENCE-ID:20261005T100000\nCLASS:PRIVATE\nEND:VEVENT\nBEGIN:VEVENT\nUID:4\nDTSTART;TZID=W. Europe Standard Time:20261005T100000\nDURATION:P1W\nEND:VEVENT"
+    c, d = calendar_events(spark.createDataFrame([(own,)], "text string")).orderBy("uid").collect()
+    assert c.zone == "+02:00" and c.ends == dt.datetime(2026, 10, 6, 12, 30) and len(c.excluded) == 3 and c.added == [dt.datetime(2026, 11, 1, 10)] and c.replaces == c.starts and c["class"] == "PRIVATE"
+    assert d.zone == "Europe/Berlin" and d.ends == dt.datetime(2026, 10, 12, 10) and d.excluded == [] and d.replaces is None
     a, b = calendar_events(spark.createDataFrame([(ics,)], "text string")).orderBy("uid").collect()
     a, b = (a, b) if a.uid == "1@x" else (b, a)
     assert a.summary == "Long, title" and a.starts == dt.datetime(2026, 10, 5, 10) and a.zone == "Europe/Berlin" and a.rule == "FREQ=DAILY" and a.sequence == 2 and not a.whole_day
