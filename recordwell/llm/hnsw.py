@@ -392,6 +392,8 @@ def compared(shards: DataFrame, chunks: DataFrame, tasks: int, kind: str, least:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for label, reps, copies, vectors, graph, q_reps, q_vectors in zip(*(batch.column(k) for k in range(7)), strict=True):
+                if not q_reps.is_valid:
+                    q_reps, q_vectors = reps, vectors
                 rs, w, rq = (np.frombuffer(c.as_buffer(), "<i8") for c in (reps, copies, q_reps))
                 xs, xq = (np.frombuffer(c.as_buffer(), kind).reshape(len(r), -1).astype(np.float64) for c, r in ((vectors, rs), (q_vectors, rq)))
                 total, u, v = counted(Graph.unpacked(unit(xs), graph.as_py()), xs, rs, w, xq, rq, least)
@@ -403,7 +405,8 @@ def compared(shards: DataFrame, chunks: DataFrame, tasks: int, kind: str, least:
                     yield pa.RecordBatch.from_arrays(columns, ["rep", "label", "weight", "u", "v"])
 
     asked = chunks.select("label", "dim", F.col("part").alias("q_part"), F.col("reps").alias("q_reps"), F.col("vectors").alias("q_vectors"))
-    pairs = shards.join(asked, ["label", "dim"]).repartition(tasks)  # dealt in turn, so evenly by number
+    # A label without chunks is one shard and one chunk: its own vectors ask. Pairs are dealt in turn, so evenly by number.
+    pairs = shards.join(asked, ["label", "dim"], "left").repartition(tasks)
     return pairs.select("label", "reps", "copies", "vectors", "graph", "q_reps", "q_vectors").mapInArrow(run, FOUND)
 
 
@@ -418,7 +421,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = SHARD,
     tasks = max(1, min(pairs or 0, (searches or 0) // 1024 + 1))
     placed = classes.join(sizes, ["label", "dim"])
     graphs = written(packed(placed, "shards", kind, least), "graphs")
-    found = written(compared(graphs, packed(placed, "chunks", kind, None), tasks, kind, least), "vector-links")
+    found = written(compared(graphs, packed(placed.where("shards > 1 or chunks > 1"), "chunks", kind, None), tasks, kind, least), "vector-links")
     linked = found.where("rep is not null").groupBy("rep", "label").agg(F.sum("weight").alias("others"))
     whole = components(found.where("u is not null").select("u", "v"))
     about = classes.join(linked, ["rep", "label"], "left").join(whole.withColumnRenamed("vertex", "rep"), "rep", "left")
