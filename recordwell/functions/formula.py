@@ -6,6 +6,7 @@ The text is read by Python's own expression parser and every node must be on the
 from __future__ import annotations
 
 import ast
+import operator
 from collections.abc import Callable
 from decimal import Decimal
 from functools import reduce
@@ -20,6 +21,23 @@ MOST_CHARACTERS, MOST_NODES, MOST_DEPTH = 2000, 400, 40
 EXACT = "decimal(38,12)"
 
 
+#: Numbers of up to nine digits before the point keep twelve places, so products and quotients come to 17 or more; longer ones come to six.
+FINE, WIDE = "decimal(21,12)", "decimal(28,8)"
+
+
+def _finest(x: Column, y: Column, operation) -> Column:
+    """A product or quotient with the most places that its operands leave room for, rounded to those of numbers."""
+    fine = operation(x.try_cast(FINE), y.try_cast(FINE)).cast(EXACT)
+    return F.coalesce(fine, operation(x.cast(WIDE), y.cast(WIDE)).cast(EXACT))
+
+
+def _power(x: Column, y: Column, exponent: ast.AST) -> Column:
+    """A written whole exponent up to 10 is multiplied out, any other one goes by floating point."""
+    if isinstance(exponent, ast.Constant) and type(exponent.value) is int and 1 <= exponent.value <= 10:
+        return reduce(lambda a, b: _finest(a, b, operator.mul), [x] * exponent.value)
+    return F.pow(x.cast("double"), y.cast("double"))
+
+
 class FormulaError(ValueError):
     """A formula isn't valid, or its types don't fit."""
 
@@ -111,8 +129,8 @@ class _Compiler(ast.NodeVisitor):
         x, y = a.column, b.column
         zero = F.when(y == 0, F.raise_error(F.lit("division by zero")).cast(EXACT)).otherwise(y)
         made = {
-            ast.Add: lambda: x + y, ast.Sub: lambda: x - y, ast.Mult: lambda: x.cast("decimal(28,8)") * y.cast("decimal(28,8)"), ast.Div: lambda: x.cast("decimal(28,8)") / zero.cast("decimal(28,8)"),
-            ast.FloorDiv: lambda: F.floor(x.cast("decimal(28,8)") / zero.cast("decimal(28,8)")), ast.Mod: lambda: F.pmod(x, zero), ast.Pow: lambda: F.pow(x.cast("double"), y.cast("double")),
+            ast.Add: lambda: x + y, ast.Sub: lambda: x - y, ast.Mult: lambda: _finest(x, y, operator.mul), ast.Div: lambda: _finest(x, zero, operator.truediv),
+            ast.FloorDiv: lambda: F.floor(_finest(x, zero, operator.truediv)), ast.Mod: lambda: F.pmod(x, zero), ast.Pow: lambda: _power(x, y, node.right),
         }.get(op)
         if made is None:
             raise FormulaError(f"{op.__name__} isn't allowed in a formula")

@@ -127,6 +127,13 @@ def test_cron_equals_a_scan(spark, pattern):
             cron_sets(bad)
 
 
+def test_formulas_keep_twelve_places(spark):
+    row = spark.createDataFrame([(Decimal("0.0000012345"), Decimal("3"), Decimal("123456789012.5"))], "a decimal(38,10), b decimal(38,10), c decimal(38,10)")
+    made = {k: compile_formula(f, dict(row.dtypes), AT) for k, f in {"p": "a * 10000", "q": "b / 7", "r": "c * 2", "s": "b ** 4", "t": "1.0000000001 * 3"}.items()}
+    got = row.select(*(c.alias(k) for k, c in made.items())).first()
+    assert got == (Decimal("0.012345"), Decimal("0.428571428571"), Decimal("246913578025"), Decimal(81), Decimal("3.0000000003"))
+
+
 def test_text_keys(spark):
     assert one(spark, X.url_key(F.lit("HTTPS://user:pw@WWW.Example.com:443/a/b/#top"))) == "example.com/a/b" and one(spark, X.host_key(F.lit("example.com."))) == "example.com"
     assert one(spark, X.subject_key(F.lit("AW: WG: Re:  Angebot"))) == "angebot" and one(spark, X.kebab(F.lit("Hello World_99aB"))) == "hello-world-99a-b"
