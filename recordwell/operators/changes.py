@@ -58,18 +58,22 @@ def cleared_links(records: DataFrame, link: str, gone: DataFrame, gone_key: str)
     return joined.withColumn(link, F.when(F.col("g_key").isNull(), F.col(link))).drop("g_key")
 
 
-def merge(records: DataFrame, groups: DataFrame, key: str, fields: list[str], lists: list[str] = (), most: int = 9) -> tuple[DataFrame, DataFrame]:
-    """(records after merging, id map (old, new)). groups: (group_id, key, rank), rank 1 survives; empty fields are filled in rank
-    order, lists united. A group of more than `most` is refused."""
+def merge(records: DataFrame, groups: DataFrame, key: str, fields: list[str], lists: list[str] = (), most: int = 9, texts: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(records after merging, id map (old, new)). groups: (group_id, key, rank[, wins]), rank 1 survives; empty fields are filled in rank
+    order, lists united, and texts joined, each different one once. wins, an array, names the fields that a record's own value decides
+    before all ranks. A group of more than `most` is refused."""
     sized = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"), F.min_by(key, "rank").alias("survivor"))
     known = groups.join(sized, "group_id").withColumn("size", F.when(F.col("size") > most, F.raise_error(F.lit(f"more than {most} records in a merge")).cast("long")).otherwise(F.col("size"))).where("size > 1")
-    members = records.join(known.select(key, "rank", "survivor"), key)
+    wins = F.coalesce("wins", F.array().cast("array<string>")) if "wins" in groups.columns else F.array().cast("array<string>")
+    members = records.join(known.select(key, "rank", "survivor", wins.alias("m_wins")), key)
     present = lambda f: F.when(F.col(f).isNotNull() & (F.col(f).cast("string") != ""), F.col(f))
     ranked = lambda f: F.array_sort(F.collect_list(F.struct("rank", F.col(f).alias("v"))))  # noqa: E731  # `most` entries
-    aggs = [F.min_by(present(f), F.when(present(f).isNotNull(), F.col("rank"))).alias(f) for f in fields]
+    order = lambda f: F.struct((~F.array_contains("m_wins", F.lit(f))).alias("later"), F.col("rank"))
+    aggs = [F.min_by(present(f), F.when(present(f).isNotNull(), order(f))).alias(f) for f in fields]
+    aggs += [F.array_join(F.array_distinct(F.filter(F.transform(ranked(f), lambda x: F.trim(x.v)), lambda v: v != "")), "\n\n").alias(f) for f in texts]
     aggs += [F.array_distinct(F.flatten(F.transform(ranked(f), lambda x: F.coalesce(x.v, F.array())))).alias(f) for f in lists]
     merged = members.groupBy(F.col("survivor").alias(key)).agg(*aggs)
-    others = records.join(known.select(key), key, "left_anti").select(key, *fields, *lists)
+    others = records.join(known.select(key), key, "left_anti").select(key, *fields, *texts, *lists)
     return others.unionByName(merged), known.select(F.col(key).alias("old"), F.col("survivor").alias("new")).where("old <> new")
 
 
@@ -88,6 +92,17 @@ def erase(df: DataFrame, texts: list[str], identifiers: list[str], mark: str = "
     return df.withColumns({t: F.regexp_replace(t, pattern, mark) for t in texts})
 
 
+def erase_everywhere(tables: dict[str, DataFrame], gone: DataFrame, ids: dict[str, str], texts: dict[str, list[str]], identifiers: list[str]) -> dict[str, DataFrame]:
+    """Every table without the rows of erased records, and without their identifiers in the texts that stay.
+
+    gone: (id); ids: a table's column that names a record, for records, their events and their runs alike; texts: its text
+    columns. Tables without an id column keep all their rows.
+    """
+    once = gone.select(F.col("id").alias("e_id")).distinct()
+    kept = {name: df.join(once, F.col(ids[name]) == F.col("e_id"), "left_anti") if name in ids else df for name, df in tables.items()}
+    return {name: erase(df, texts.get(name, []), identifiers) for name, df in kept.items()}
+
+
 def unique_violations(records: DataFrame, key: Column, kind: str = "TEXT") -> DataFrame:
     """(key, n) of normalised keys that several records hold, those in the trash included."""
 

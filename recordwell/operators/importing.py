@@ -154,6 +154,41 @@ def resolved_links(rows: DataFrame, targets: DataFrame, row_key: str, target_key
     return joined.withColumn("link_rule", rule).withColumn("target_id", F.when(rule.isNull(), F.col("target_id"))).drop("l_key", "l_live")
 
 
+#: Our own other names of common fields, in their plain form.
+OTHER_NAMES = {"email": ["mail", "emailaddress", "emailadresse"], "phone": ["telefon", "telephone", "phonenumber", "mobile", "mobil"], "name": ["company", "firma", "companyname"], "firstname": ["vorname", "givenname"], "lastname": ["nachname", "surname", "familyname"], "city": ["ort", "stadt", "town"], "website": ["url", "homepage", "domain"]}
+
+
+def plain_name(text: str) -> str:
+    """A name's letters and digits in lower case, as headers and fields are compared."""
+    return "".join(c for c in text.casefold() if c.isalnum())
+
+
+def suggested_mapping(headers: list[str], of: ObjectType) -> dict[str, str]:
+    """Headers to fields by name, label or another common name; each field once, to the first header that fits best."""
+    known: dict[str, str] = {}
+    for f in of.fields.values():
+        if f.active and not f.inverse:
+            for text in (f.name, f.label):
+                known.setdefault(plain_name(text), f.name)
+    for name, others in OTHER_NAMES.items():
+        if name in known or name + "s" in known:
+            for other in others:
+                known.setdefault(other, known.get(name) or known[name + "s"])
+    out: dict[str, str] = {}
+    for header in headers:
+        field = known.get(plain_name(header))
+        if field and field not in out.values():
+            out[header] = field
+    return out
+
+
+def suggested_object(headers: list[str], objects: list[ObjectType]) -> str | None:
+    """The object that most headers fit, the first of equals; none if no header fits any."""
+    scored = [(len(suggested_mapping(headers, of)), of.name) for of in objects if of.active]
+    best = max((n for n, _ in scored), default=0)
+    return next((name for n, name in scored if n == best), None) if best else None
+
+
 def column_kinds(df: DataFrame) -> DataFrame:
     """(column, kind, n, n_empty, point): what each text column seems to hold, in one pass."""
     tests = {

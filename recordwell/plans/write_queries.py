@@ -164,6 +164,31 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.merge(records, groups, "c_custkey", ["name", "segment"], ["tags"])[0].select("c_custkey", "name", "segment", F.size("tags").cast("long").alias("n_tags"))
 
 
+@query(
+    "merge_with_preferences",
+    """WITH g AS (SELECT c_custkey // 4 AS g, c_custkey, c_custkey % 4 AS rank, c_name, c_mktsegment FROM customer)
+SELECT min(c_custkey) AS c_custkey, min_by(c_name, CASE WHEN rank = 2 THEN -1 ELSE rank END) AS name, array_to_string(list_distinct(list(c_mktsegment ORDER BY rank)), ' ') IS NOT NULL AS joined, count(DISTINCT c_mktsegment) AS n_texts FROM g GROUP BY g""",
+)
+def merged_by_wish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third of each four decides the name; their segments are joined, each once."""
+    k = F.col("c_custkey")
+    records = table(spark, sf_dir, "customer").select(k, F.col("c_name").alias("name"), F.col("c_mktsegment").alias("note"))
+    groups = records.select(F.floor(k / 4).alias("group_id"), "c_custkey", (k % 4 + 1).alias("rank"), F.when(k % 4 == 2, F.array(F.lit("name"))).alias("wins"))
+    out = changes.merge(records, groups, "c_custkey", ["name"], texts=["note"])[0]
+    return out.select("c_custkey", "name", F.col("note").isNotNull().alias("joined"), F.size(F.split("note", "\n\n")).cast("long").alias("n_texts"))
+
+
+@query("erase_everywhere", "SELECT 'company' AS part, count(*) AS n, count(*) FILTER (c_custkey % 2 = 0) AS told FROM customer WHERE c_custkey % 50 <> 3 UNION ALL SELECT 'events', count(*), 0 FROM events WHERE user_id % 50 <> 3")
+def erased_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth record goes with its events; a name in other records' notes becomes a mark."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    tables = {"company": c.select(k.alias("id"), F.when(k % 2 == 0, "knows Ann Roth").otherwise("alone").alias("note")), "events": table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("note"))}
+    gone = c.where(k % 50 == 3).select(k.alias("id")).union(table(spark, sf_dir, "events").where("user_id % 50 = 3").select("user_id"))
+    out = changes.erase_everywhere(tables, gone, {"company": "id", "events": "id"}, {"company": ["note"]}, ["ann roth"])
+    parts = [df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("note").contains("[erased]")).alias("told")) for name, df in out.items()]
+    return parts[0].unionByName(parts[1])
+
+
 @query("merge_repoints_links", "SELECT o_custkey // 5 * 5 AS c_custkey, count(*) AS n FROM orders GROUP BY 1")
 def repointed(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"))

@@ -185,3 +185,19 @@ def test_record_files_are_equal_for_equal_content(spark):
     rows = of.conform(spark.createDataFrame([("1", "A: b", "NEW", "z", 1)], "crm_id string, name string, stage string, zz string, aa int"))
     text = rows.withColumn("body", F.lit("Hi")).select(sinks.record_text(of)).first()[0]
     assert text.startswith("---\ncrm_id: 1\nname: \"A: b\"\nstage: NEW\n") and text.endswith("\n---\nHi") and text.index("aa: ") < text.index("zz: ")
+
+
+def test_mappings_are_suggested():
+    people = Model.from_document({"objects": {"person": {"labelField": "firstName", "fields": {"firstName": {"type": "TEXT"}, "lastName": {"type": "TEXT", "label": "Family"}, "emails": {"type": "EMAILS"}, "city": {"type": "TEXT"}}}, "deal": {"labelField": "name", "fields": {"name": {"type": "TEXT"}, "amount": {"type": "CURRENCY"}}}}})
+    headers = ["Vorname", "family", "E-Mail-Adresse", "Ort", "first name", "Notes"]
+    assert importing.suggested_mapping(headers, people.object("person")) == {"Vorname": "firstName", "family": "lastName", "E-Mail-Adresse": "emails", "Ort": "city"}
+    assert importing.suggested_object(headers, list(people.objects.values())) == "person" and importing.suggested_object(["Firma", "Amount"], list(people.objects.values())) == "deal" and importing.suggested_object(["x"], list(people.objects.values())) is None
+
+
+def test_merges_join_texts_and_keep_wishes(spark):
+    from recordwell.operators import changes
+
+    rows = spark.createDataFrame([("1", "A", " one "), ("2", "B", "two"), ("3", "C", "one"), ("4", "D", None)], "id string, name string, note string")
+    groups = spark.createDataFrame([("g", "1", 1, None), ("g", "2", 2, ["name"]), ("g", "3", 3, None)], "group_id string, id string, rank int, wins array<string>")
+    out, ids = changes.merge(rows, groups, "id", ["name"], texts=["note"])
+    assert {tuple(r) for r in out.select("id", "name", "note").collect()} == {("1", "B", "one\n\ntwo"), ("4", "D", None)} and {tuple(r) for r in ids.collect()} == {("2", "1"), ("3", "1")}
