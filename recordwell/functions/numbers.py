@@ -30,7 +30,8 @@ def parse_number(text: Column, point: str = ".") -> Column:
     bare = F.translate(F.regexp_replace(t, r"^[(+\-−]\s*|\s*[)\-−]$", ""), point + groups, ".")
     number = F.when(t.rlike(rf"^(?:[(+\-−]\s*)?{shape}(?:\s*[)\-−])?$"), bare.try_cast(NUMBER))
     negative = (t.startswith("(") & t.endswith(")")) | t.startswith("-") | t.startswith("−") | t.endswith("-") | t.endswith("−")
-    return F.struct(F.when(negative, -number).otherwise(number).alias("number"), F.when(number.isNull() & (t != ""), "number").alias("rule"))
+    signed = F.when(negative, -number).otherwise(number)  # one and the same expression in both parts: computed once
+    return F.struct(signed.alias("number"), F.when(signed.isNull() & (t != ""), "number").alias("rule"))
 
 
 def decimal_point(texts: Column) -> Column:
@@ -58,7 +59,8 @@ def parse_money(text: Column, point: str = ".", default_code: str | None = None)
     code, sign = F.concat(code_before, code_after), F.concat(sign_before, sign_after)
     sound = (F.length(code) <= 3) & ((code == "") | (sign == "")) & ((sign_before == "") | (sign_after == "")) & ~sign.isin(SHARED_SIGNS)
     n = parse_number(amount, point).getField("number")
-    micros = F.when(sound & (n == F.round(n, 6)), (n * 1_000_000).try_cast("long"))
+    # The number comes first in the condition: what is always evaluated is computed once for all of its uses.
+    micros = F.when((n == F.round(n, 6)) & sound, (n * 1_000_000).try_cast("long"))
     found = F.coalesce(F.nullif(code, F.lit("")), F.try_element_at(known, sign), F.lit(default_code))
     return F.struct(micros.alias("amountMicros"), F.when(sound, found).alias("currencyCode"), F.when(micros.isNull() & (t != ""), "currency").alias("rule"))
 

@@ -14,7 +14,7 @@ from ..operators.aggregates import aggregate_column
 from ..schema import Model
 from . import crm
 from .crm import MODEL, OPPORTUNITY
-from .registry import query, table
+from .registry import query, spread, table
 
 
 @query("inverse_relation", "SELECT CAST(c_custkey AS VARCHAR) AS crm_id, count(o_orderkey) AS n_sources FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus <> 'P' GROUP BY 1")
@@ -133,7 +133,7 @@ s AS (SELECT doc_id, CASE WHEN n1 > 0 THEN least(n1, 3) * 10 WHEN p1 > 0 THEN 5
 SELECT doc_id, CAST((v + CASE WHEN everything THEN 50 ELSE 0 END) / 10.0 AS DECIMAL(18,2)) AS score FROM s WHERE v > 0""",
 )
 def record_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return search.search_records(docs, "The ering", [("title", "title", F.col("source")), ("body", "RICH_TEXT", F.col("text"))], keep=["doc_id"])
 
 
@@ -144,7 +144,7 @@ n AS (SELECT doc_id, list_transform(['ering', 'der', 'leaux'], lambda q: least(l
 SELECT doc_id, CAST(list_sum(v) + 6.0 * len(list_filter(v, lambda x: x > 0)) / 3 AS DECIMAL(18,4)) AS score FROM n WHERE list_sum(v) > 0""",
 )
 def page_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = search.search_pages(docs, "ering der leaux", {"title": F.substring_index("text", "\n", 1), "body": F.col("text")})
     return found.select("doc_id", "score")
 

@@ -25,3 +25,10 @@ def query(name: str, sql: str | None = None) -> Callable:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores, dealt among them before costly work on its rows. Tables of many splits stay as they are,
+    so what is moved is never more than one split a core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -14,7 +14,7 @@ from ..functions.recurrence import cron_slots, occurrences
 from ..operators import changes, importing, relations
 from . import crm
 from .crm import MODEL
-from .registry import query, table
+from .registry import query, spread, table
 
 AT = Context.at("2026-10-20T09:00:00Z", "Europe/Berlin")
 
@@ -30,7 +30,7 @@ def _stamp():
  upper(l_returnflag) || '-' || CAST(l_linenumber AS VARCHAR) AS code, date_diff('day', CAST(l_shipdate AS DATE), DATE '2026-10-20') AS age, l_linestatus IN ('F', 'X') AS finished FROM lineitem""",
 )
 def formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(F.col(c).cast("decimal(18,2)").alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount")), "l_returnflag", "l_linestatus", F.col("l_shipdate").cast("date").alias("l_shipdate"))
+    rows = spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", *(F.col(c).cast("decimal(18,2)").alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount")), "l_returnflag", "l_linestatus", F.col("l_shipdate").cast("date").alias("l_shipdate"))
     made = compile_many(
         {
             "net": "round(l_extendedprice * (1 - l_discount), 2)",
@@ -51,13 +51,15 @@ def formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
  CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS day, CASE WHEN l_linenumber = 7 THEN 'date' END AS date_rule, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag = 'R' END AS returned FROM lineitem""",
 )
 def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem")
+    rows = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate", "l_returnflag"))
     grouped = F.translate(F.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2), ",.", ".,")
     money = F.when(F.col("l_linenumber") % 2 == 0, F.concat(grouped, F.lit(" €"))).otherwise(F.concat(F.lit("CHF "), grouped))
     day = F.when(F.col("l_linenumber") == 7, "soon").when(F.col("l_linenumber") % 2 == 0, F.date_format("l_shipdate", "dd.MM.yyyy")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
     flag = F.when(F.col("l_returnflag") == "R", " Ja ").when(F.col("l_returnflag") == "A", "falsch")
     p, d = F.col("p"), F.col("d")
-    cells = rows.select("l_orderkey", "l_linenumber", N.parse_money(money, ",").alias("p"), parse_day(day).alias("d"), N.parse_bool(flag).flag.alias("returned"))
+    # The cells of a table are columns: each text is made once, not once for each test on it.
+    texts = rows.select("l_orderkey", "l_linenumber", money.alias("money"), day.alias("day"), flag.alias("flag"))
+    cells = texts.select("l_orderkey", "l_linenumber", N.parse_money(F.col("money"), ",").alias("p"), parse_day(F.col("day")).alias("d"), N.parse_bool(F.col("flag")).flag.alias("returned"))
     return cells.select("l_orderkey", "l_linenumber", (p.amountMicros / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(38,10)").alias("price"), p.currencyCode.alias("code"), d.day.alias("day"), d.rule.alias("date_rule"), "returned")
 
 
