@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_blocks, bpe, hnsw, html_extract, langid, minhash, packed_output, packing, quality_rules, url_trust
+from . import ann_blocks, bpe, hnsw, html_extract, langid, minhash, packed_output, packing, prefix_trie, quality_rules, toxicity, url_trust, whitening
 from .byte_tokens import read_vocabulary
 from .shared import table
 
@@ -59,6 +59,19 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judged(table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_langid": op2_langid,
@@ -70,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_quality": op9_quality,
     "op10_url_trust": op10_url_trust,
+    "op11_whitening": op11_whitening,
+    "op12_toxicity": op12_toxicity,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _REACH = "reach AS (SELECT k AS a, k AS b FROM node UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)"
@@ -91,4 +107,18 @@ link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.la
     + _REACH
     + """
 SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links, c AS component_id, c = vec_id AS kept FROM embeddings JOIN (SELECT a, min(b) AS c FROM reach GROUP BY 1) m ON m.a = vec_id""",
+    "op13_prefix_trie": """WITH t AS (SELECT CAST(conv_id AS BIGINT) AS c, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) - 1 AS BIGINT) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+-- CRC-32 of the decimal id: a table of the 256 bytes' remainders, then a byte at a time.
+crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b AS BIGINT), range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS r),
+n AS (SELECT c, max(i) + 1 AS n, (SELECT xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda k: CAST(ascii(substr(CAST(c AS VARCHAR), k, 1)) AS BIGINT))), lambda a, b: xor(a // 256, r[xor(a % 256, b) + 1])), 4294967295) FROM crc) % 9 AS h FROM t GROUP BY c),
+h AS (SELECT n.c, n.n, n.h, n.c - n.c % 5 AS b, least(n.h, coalesce(m.n, 0)) AS lent FROM n LEFT JOIN n m ON m.c = n.c - n.c % 5),
+s AS (SELECT h.c, t.i + 1 AS d, t.role, t.text FROM h JOIN t ON t.c = h.b AND t.i < h.h UNION ALL SELECT h.c, h.lent + t.i - h.h + 1, t.role, t.text FROM h JOIN t ON t.c = h.c AND t.i >= h.h),
+p AS (SELECT c, 0 AS d, '' AS k, 0 AS size FROM h UNION ALL SELECT c, d, string_agg(concat(strlen(role), ':', role, strlen(text), ':', text), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING), strlen(text) FROM s),
+x AS (SELECT c, d, sha256(k) AS k, size, d = max(d) OVER (PARTITION BY c) AS last FROM p),
+node AS (SELECT d, k, min(c) AS c, count(*) AS n, any_value(size) AS size, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE last), '')) AS ends FROM x GROUP BY d, k),
+up AS (SELECT DISTINCT a.d, a.k, b.k AS pk FROM x a JOIN x b ON a.c = b.c AND b.d = a.d - 1), kid AS (SELECT d - 1 AS d, pk AS k, count(*) AS n FROM up GROUP BY 1, 2),
+under AS (SELECT DISTINCT a.d, a.k, b.d AS bd, b.k AS bk FROM x a JOIN x b ON a.c = b.c AND b.d >= a.d),
+total AS (SELECT u.d, u.k, sum((m.n - 1) * m.size) AS saved, count(*) FILTER (WHERE kid.n IS NULL) AS leaves FROM under u JOIN node m ON m.d = u.bd AND m.k = u.bk LEFT JOIN kid ON kid.d = u.bd AND kid.k = u.bk GROUP BY 1, 2)
+SELECT node.c AS conv_id, CAST(node.d AS BIGINT) AS depth, pn.c AS parent_conv_id, node.n AS n_convs, coalesce(kid.n, 0) AS n_children, total.leaves AS n_leaves, CAST(total.saved AS BIGINT) AS saved_tokens, node.ends AS ends_sha256
+FROM node JOIN total USING (d, k) LEFT JOIN kid USING (d, k) LEFT JOIN up ON up.d = node.d AND up.k = node.k LEFT JOIN node pn ON pn.d = node.d - 1 AND pn.k = up.pk""",
 }
