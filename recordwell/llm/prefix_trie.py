@@ -82,7 +82,7 @@ def running(df: DataFrame, group: list[str], order: list[str], value: str, label
     if not carried:
         return done.select(*columns, "before")
     more = F.broadcast(df.sparkSession.createDataFrame(carried, "part int, carried long"))
-    return done.join(more, "part", "left").select(*columns, (F.col("before") + F.when("opened", F.coalesce("carried", F.lit(0))).otherwise(0)).alias("before"))
+    return done.join(more, "part", "left").select(*columns, (F.col("before") + F.when(F.col("opened"), F.coalesce("carried", F.lit(0))).otherwise(0)).alias("before"))
 
 
 def encoded(conversations: DataFrame) -> DataFrame:
