@@ -25,8 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..deploy import ship
 from .components import components
 from .shared import sized, written
 
@@ -137,12 +137,13 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 def clusters(classes: DataFrame) -> DataFrame:
     """(vertex, component) of the classes (rep, keys) that share a table key with another, directly or over others."""
     half = classes.select("rep", F.posexplode("keys").alias("k", "key"))
-    shared = half.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "key")
+    # Written first: the joins' sides then are plain shuffles, so a hot key's rows can be split among tasks.
+    shared = written(half.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "key"), "shared-keys")
     side = lambda left: F.filter("both", lambda x: (x.k < SIDE) if left else (x.k >= SIDE))
     live = half.join(shared, ["k", "key"]).groupBy("rep").agg(F.collect_list(F.struct("k", "key")).alias("both"))  # 2 * SIDE at most
     pairs = live.select("rep", F.explode(side(True)).alias("a"), side(False).alias("right")).select("rep", "a", F.explode("right").alias("b"))
     tables = written(pairs.select("rep", F.xxhash64("a.k", "a.key", "b.k", "b.key").alias("key")), "table-keys")
-    heads = tables.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head")
+    heads = written(tables.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head"), "key-heads")
     return components(tables.join(heads, "key").where("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v")).distinct())
 
 
@@ -258,6 +259,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, out_of: in
 
 
 def _grouped(docs: DataFrame, width: int, least: int, out_of: int) -> DataFrame:
+    ship(docs.sparkSession)
     signed = written(signatures(docs, width), "signatures")
     named = signed.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
     classes = written(named.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles")), "classes")
@@ -283,32 +285,27 @@ def kept(component: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, width: int = 5, least: int = 80, out_of: int = 100) -> DataFrame:
-    """The documents, with all their columns, but one of each group.
+    """The documents, with all their columns, but one row of each group of linked texts: the one of least doc_id.
 
-    Of rows that repeat a kept doc_id one a class stays, or one a text where there are no words. Of rows without an id one a
-    class stays, if no document with an id is of that class; those without words all stay.
+    Rows are linked by their texts alone: an id that comes with several texts joins no groups, and each of its texts stays or goes with
+    its own group. Rows without an id go before others of their group, and of equal ids any one stays. Rows whose text has no words are
+    linked with nothing and all stay.
     """
-    rows = _grouped(docs, width, least, out_of)
-    ids = rows.groupBy(F.col("doc_id").alias("recordwell_id")).agg(F.count(F.lit(1)).alias("n"), F.bool_and("kept").alias("kept"))
-    odd = written(ids.where("n > 1 or not kept or recordwell_id is null").select("recordwell_id", "kept"), "odd-ids")
-    key = F.col("doc_id").cast("long")
-    rest = docs.join(sized(odd.where("not kept").select("recordwell_id")), key == F.col("recordwell_id"), "left_anti")
-    if odd.where("kept").isEmpty():
-        return rest
-    several = sized(odd.where("kept").select("recordwell_id"))
-    once = rest.join(several, key.eqNullSafe(F.col("recordwell_id")), "left_anti")
-    text = docs.columns.index("text")
-
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(text)]
-            found = [class_key(x) or None for low, high in _stretches(raw) for x in shingle_sets(raw[low:high], width)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "recordwell_class"])
-
-    repeated = rest.join(several, key.eqNullSafe(F.col("recordwell_id")), "left_semi")
-    again = written(repeated.mapInArrow(classed, T.StructType([*docs.schema, T.StructField("recordwell_class", T.BinaryType())])), "repeated")
-    named = again.where("doc_id is not null").withColumn("recordwell_text", F.when(F.col("recordwell_class").isNull(), F.col("text"))).dropDuplicates(["doc_id", "recordwell_class", "recordwell_text"]).drop("recordwell_text")
-    taken = rows.where("doc_id is not null and class is not null").select(F.col("class").alias("recordwell_class")).distinct()
-    nameless = again.where("doc_id is null and recordwell_class is not null").dropDuplicates(["recordwell_class"]).join(taken, "recordwell_class", "left_anti")
-    wordless = again.where("doc_id is null and recordwell_class is null")
-    return once.unionByName(named.unionByName(nameless).unionByName(wordless).drop("recordwell_class"))
+    ship(docs.sparkSession)
+    key = "recordwell_row"
+    while key in docs.columns:
+        key += "_"
+    own = F.col("doc_id").cast("long")
+    ids = docs.groupBy(own.alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    unique = ids.where("n > 1 or id is null").isEmpty()
+    # Where ids don't name rows, rows get numbers, written with them so that they last.
+    rows = docs.withColumn(key, own) if unique else written(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    found = _grouped(rows.select(F.col(key).alias("doc_id"), "text"), width, least, out_of).where("class is not null").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    if unique:
+        gone = found.where("row <> component").select("row")
+    else:
+        found = written(found.join(rows.select(F.col(key).alias("row"), own.alias("id")), "row"), "components")
+        heads = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        gone = found.join(written(heads.select("component", F.col("head.row").alias("head")), "heads"), "component").where("row <> head").select("row")
+    gone = sized(written(gone.select(F.col("row").alias(key)), "gone"))
+    return rows.join(gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

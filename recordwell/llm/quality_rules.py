@@ -36,10 +36,10 @@ ROW = "q_row"
 
 
 def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep`, and the statistics in columns q_*."""
+    """The columns `keep`, as a struct of that name, and the statistics in columns q_*: names of docs meet none of ours."""
     text, n = F.col("q_text"), F.greatest(F.length("q_text"), F.lit(1))
     words, many = F.col("q_words"), F.greatest(F.size("q_words"), F.lit(1))
-    base = docs.withColumn("q_text", F.coalesce(F.col("text"), F.lit(""))).select(*keep, "q_text").withColumn("q_words", F.split("q_text", r"\s+"))
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("keep"), F.coalesce(F.col("text"), F.lit("")).alias("q_text")).withColumn("q_words", F.split("q_text", r"\s+"))
     share = lambda c: (F.length(text) - F.length(F.replace(text, F.lit(c)))) / n
     again = F.size(F.filter(words, lambda w, k: (k > 0) & (w == F.get(words, k - 1))))
     lines = F.filter(F.split("q_text", "\n"), lambda x: F.trim(x) != "")
@@ -55,7 +55,7 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
         "q_line": (F.length(text) - F.length(F.replace(text, F.lit("\n")))) / many,
     } | {f"q_mark{k}": share(c) for k, c in enumerate(MARKS)}
     # ROW isn't deterministic: a filter that names it stays above the statistics, which are so computed once a row.
-    return base.select(*keep, F.monotonically_increasing_id().alias(ROW), *(c.cast("double").alias(k) for k, c in made.items()))
+    return base.select("keep", F.monotonically_increasing_id().alias(ROW), *(c.cast("double").alias(k) for k, c in made.items()))
 
 
 NAMES = ["q_digit", "q_stop", "q_line_again", "q_length", "q_upper", "q_again", "q_distinct", "q_word", "q_line", *(f"q_mark{k}" for k in range(len(MARKS)))]
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleEnsembl
     share = min(1.0, sample / max(1, usable.count()))
     chosen = usable.where(unit_hash(F.col("doc_id"), 9) < share)  # bounded by `sample`, so it may be broadcast
     rows = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["doc_id", "quality"])
-    got = np.array(sorted(tuple(r) for r in rows.select("quality", *NAMES).collect()), float).reshape(-1, 1 + len(NAMES))
+    got = np.array(sorted(tuple(r) for r in rows.select("keep.quality", *NAMES).collect()), float).reshape(-1, 1 + len(NAMES))
     y, x = got[:, 0], got[:, 1:]
     if not len(y) or y.min() == y.max():
         return RuleEnsemble([], [], 0.0 if not len(y) else 4.0 * (2 * y[0] - 1))
@@ -153,11 +153,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleEnsembl
 
 def scored(docs: DataFrame, model: RuleEnsemble, least: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted), a row a document."""
-    found = statistics(docs, ["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
+    found = statistics(docs, ["doc_id"]).select("keep.doc_id", held_out(F.col("keep.doc_id")).alias("held_out"), model.score().alias("score"))
     return found.withColumn("predicted", (F.col("score") >= least).cast("int"))
 
 
 def good(docs: DataFrame, model: RuleEnsemble, least: float = 0.3) -> DataFrame:
     """The documents, with all their columns, that score at least `least`."""
-    keep = docs.columns
-    return statistics(docs, keep).where((model.score() >= least) & (F.col(ROW) >= 0)).select(*keep)
+    return statistics(docs, docs.columns).where((model.score() >= least) & (F.col(ROW) >= 0)).select("keep.*")
