@@ -13,7 +13,7 @@ texts. Equal votes go to the least path. Other columns are ignored; an empty tab
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from .shared import sized, written
 from .url_trust import host_of
 
@@ -40,11 +41,14 @@ ASIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dial
 CONTENT_WORDS = frozenset("article articlebody body content entry main post story text".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
 
-_token = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|<[!?][^>]*>""", re.S)
+_start = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+#: The rest of a tag whose quotes are closed before any other tag begins.
+_plain = re.compile(r"""[^<>"']*+(?:(?:"[^"<>]*+"|'[^'<>]*+')[^<>"']*+)*+>""")
+_mark = re.compile("""[>"']""")
 _attribute = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _words = re.compile(r"[a-z]+")
 _digits = re.compile(r"\d+")
-_ends = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+_ends = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -106,10 +110,52 @@ class Element:
         return bool(hit) and words.isdisjoint(BESIDE_WORDS)
 
 
+class Tags:
+    """The tags of a page, one after the other, in time linear in the page.
+
+    A tag ends at the first `>` outside quotes; where a quote is never closed, at the first one. Places from which a search ran into
+    such a quote are remembered, so no stretch is searched twice in vain.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.quotes = {q: html.rfind(q) for q in "\"'"}
+        self.dead: set[int] = set()
+
+    def end(self, at: int) -> int:
+        """The place of the `>` that ends a tag whose name ends at `at`; there is one behind it."""
+        if m := _plain.match(self.html, at):
+            return m.end() - 1
+        passed, place = [], at
+        while place not in self.dead and (m := _mark.search(self.html, place)):
+            if m[0] == ">":
+                return m.start()
+            passed.append(place)
+            if m.start() >= self.quotes[m[0]]:
+                break
+            place = self.html.index(m[0], m.end()) + 1
+        self.dead.update(passed)
+        return self.html.index(">", at)
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether it ends an element, name, attributes) of the next tag; comments and declarations have no name."""
+        while m := _start.search(self.html, at):
+            start, at = m.start(), m.end()
+            if m[0] == "<!--":
+                end = self.html.find("-->", at)
+                return start, len(self.html) if end < 0 else end + 3, False, "", ""
+            if at <= self.last:
+                end = self.end(at) if m[2] else self.html.index(">", at)
+                return start, end + 1, bool(m[1]), (m[2] or "").lower(), self.html[at:end]
+            at = start + 1
+        return None
+
+
 def blocks(html: str) -> list[tuple[Element, str, int]]:
     """The page's blocks in order: innermost open element that is a block, text, characters of it within links."""
     root = Element("body", None, "")
-    stack, out, held, links, standing = [root], [], [], 0, Counter()
+    stack, out, held, links = [root], [], [], 0
+    standing: defaultdict[str, list[int]] = defaultdict(list)  # the depths of the open elements of each tag
 
     def flush() -> None:
         nonlocal links
@@ -125,39 +171,41 @@ def blocks(html: str) -> list[tuple[Element, str, int]]:
         if text:
             text = unescape(text) if "&" in text else text
             held.append(text)
-            if standing["a"]:
+            if standing.get("a"):
                 links += len(text)
 
     def close(k: int) -> None:
-        standing.subtract(e.tag for e in stack[k:])
+        for e in stack[k:]:
+            standing[e.tag].pop()
         del stack[k:]
 
-    at, end = 0, len(html)
+    def nearest(names: tuple[str, ...]) -> int:
+        return max((standing[n][-1] for n in names if standing.get(n)), default=0)
+
+    at, end, tags = 0, len(html), Tags(html)
     while at < end:
-        m = _token.search(html, at)
+        m = tags.after(at)
         if not m:
             rest = html[at:]
             cut = rest.rfind("<")
             add(rest[:cut] if cut >= 0 and re.match(r"<[a-zA-Z/!?]", rest[cut:]) else rest)
             break
-        add(html[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+        start, until, ends, tag, attributes = m
+        add(html[at:start])
+        at = until
         if not tag:
             continue
-        if m[1]:
+        if ends:
             block = tag in BLOCKS
             if block:
                 flush()
             least = 1 if block else max(1, stack[-1].block.depth + 1)  # no inline end reaches beyond its block
-            for k in range(len(stack) - 1, least - 1, -1) if standing[tag] else ():
-                if stack[k].tag == tag:
-                    close(k)
-                    break
+            if (k := nearest((tag,))) >= least:
+                close(k)
             continue
         if tag in RAW:
             ended = _ends[tag].search(html, at)
-            at = ended.end() if ended else end
+            at = html.index(">", ended.end()) + 1 if ended and ended.end() <= tags.last else end
             continue
         if tag in ("html", "body"):
             flush()
@@ -170,17 +218,12 @@ def blocks(html: str) -> list[tuple[Element, str, int]]:
                 close(stack[-1].block.depth)
         if tag in CLOSES:
             names, bounds = CLOSES[tag]
-            names = names.split()
-            for k in range(len(stack) - 1, 0, -1) if any(standing[n] for n in names) else ():
-                if stack[k].tag in names:
-                    close(k)
-                    break
-                if stack[k].tag in bounds:
-                    break
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
+            if (k := nearest(tuple(names.split()))) > nearest(bounds):
+                close(k)
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             continue
-        stack.append(Element(tag, stack[-1], m[3]))
-        standing[tag] += 1
+        standing[tag].append(len(stack))
+        stack.append(Element(tag, stack[-1], attributes))
     flush()
     return out
 
@@ -268,6 +311,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each page."""
+    ship(pages.sparkSession)
     winners = sized(written(host_paths(pages), "host-paths"))  # voted once, then counted and joined
     asked = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(winners, "host", "left").select("page_id", "url", "path", "html")
 

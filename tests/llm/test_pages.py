@@ -194,3 +194,13 @@ def test_unrelated_seeds_do_not_stop_the_flow(spark):
 def test_no_python_on_the_main_path(spark):
     plan = url_trust.judged(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and F is not None
+
+
+def test_broken_pages_take_linear_time():
+    n = 100_000
+    pages = ["<a href='" * n, "<a href='" * n + ">", "<a><div>" + "<span>x" * n + "</a>" * n, "<a '>' " * n + '"', "<script>" + "</script " * n, "<p>a" * n]
+    for html in pages:
+        start = time.perf_counter()
+        html_extract.main_text(html)
+        assert time.perf_counter() - start < 10  # a quadratic scan takes minutes
+    assert html_extract.main_text("<p title='a>b'>in</p><p title='x>still <b>bold</b></p>") == "in\n\nstill bold"
