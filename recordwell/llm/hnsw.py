@@ -7,11 +7,12 @@ joins that vertex as a member instead of becoming one: a group of near copies is
 and any two members of a vertex are linked, as their angle is at most the linking angle.
 
 Every class then queries every shard of its label, in chunks: a beam search down the layers, wide enough for
-vertices whose members can be linked. A query's beam is doubled as long as all in it are near enough. AUDITED queries
-of each chunk, the first by hash, are compared with brute force; if they miss a vertex, the beams of all
-queries whose answer still grows are doubled, until the audit passes. A query whose answer holds more
-than WIDEST vertices is answered by a block product with the shard's vertices, as is a chunk whose audit
-fails though wider beams find nothing more: the last resort.
+vertices whose members can be linked. Where all of a beam is near enough, the answer goes on by a walk over the links
+from vertex to vertex within reach, however long it is. AUDITED queries of each SLICE of a chunk, the first by hash,
+are compared with brute force; if they miss a vertex, the beams of all queries whose answer still grows are doubled,
+until the audit passes. A query within reach of more than a DENSE-th of a shard's vertices is
+answered by a block product, which costs no more than DENSE times reading its answer. So are the queries of a slice if beams as
+wide as the shard don't pass the audit, that is, if the graph isn't connected: the last resort.
 
 Vertices whose members all are linked by the triangle inequality of angles count at once; all other pairs are confirmed
 by their cosine in double precision. A task returns each class's number of links and a star
@@ -33,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from .ann_blocks import products, usable
 from .components import components
 from .shared import written
@@ -42,8 +44,8 @@ SHARD, SHARD_NUMBERS = 32_768, 4_000_000
 CHUNK, CHUNK_NUMBERS = 8192, 1_000_000
 #: Links of a vertex on the upper layers and on the lowest, and the beam of construction.
 M, M0, BUILD_BEAM = 12, 16, 32
-#: Queries searched together; the first and the widest beam; vertices that tell how long an answer will be; queries of a chunk that are audited.
-TOGETHER, BEAM, WIDEST, SAMPLE, AUDITED = 256, 48, 384, 1024, 64
+#: Queries searched together, those of a slice, and those of it that are audited; the first beam; the part of a shard that makes an answer dense.
+TOGETHER, SLICE, AUDITED, BEAM, DENSE = 256, 1024, 32, 48, 8
 #: Pairs confirmed at once.
 STRIP = 65_536
 
@@ -181,6 +183,33 @@ def _link_back(v: np.ndarray, links: np.ndarray, new: np.ndarray, most: int) ->
     links[target] = diverse(v, np.take_along_axis(both, order, 1), np.take_along_axis(value, order, 1), most)
 
 
+def connected(links: np.ndarray, entry: int, spare: int = 4) -> np.ndarray:
+    """The links with a few columns more, by which searches from the first `entry` vertices reach all: pruning may cut a vertex off.
+
+    Each vertex that isn't reached is linked to from one of its own neighbours.
+    """
+    n = len(links)
+    links = np.pad(links, ((0, 0), (0, spare)), constant_values=-1)
+    while True:
+        reach, front = np.zeros(n, bool), np.arange(min(n, entry))
+        while len(front):
+            reach[front] = True
+            front = np.unique(links[front])
+            front = front[front >= 0]
+            front = front[~reach[front]]
+        added = 0
+        for v in np.flatnonzero(~reach):
+            for w in links[v, :-spare]:
+                free = np.flatnonzero(links[w, -spare:] < 0) if w >= 0 and reach[w] else ()
+                if len(free):
+                    links[w, links.shape[1] - spare + free[0]] = v
+                    reach[v] = True
+                    added += 1
+                    break
+        if not added:
+            return links if (links[:, -spare:] >= 0).any() else links[:, :-spare]
+
+
 class Graph:
     """Layers of one shard. Vertices are ordered so that each layer is a prefix of the next lower one."""
 
@@ -203,6 +232,7 @@ class Graph:
         layers, v = [lowest], x[vertices].astype(np.float32)
         while len(layers[-1]) > 4 * M:
             layers.append(layer_graph(v[: len(layers[-1]) // M], M)[2])
+        layers[0] = connected(lowest, len(layers[1]) if len(layers) > 1 else 4)
         return cls(x, vertices, owner, layers)
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,46 +261,67 @@ def angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return 2 * np.arcsin(np.minimum(np.linalg.norm(x - y, axis=1) / 2, 1))
 
 
+def walked(x: np.ndarray, links: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray, bar: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (query, vertex) pairs within reach that links lead to from such pairs (a, b), over vertices within reach only.
+
+    A query stops once it has `most` of them.
+    """
+    n, out = len(x), [(a, b)]
+    seen, count = np.zeros((len(q), n), bool), np.bincount(a, minlength=len(q))
+    seen[a, b] = True
+    while len(a):
+        near = links[b]
+        code = np.unique((a[:, None] * n + near)[near >= 0])
+        a, b = code // n, code % n
+        fresh = ~seen[a, b] & (count[a] < most)
+        a, b = a[fresh], b[fresh]
+        seen[a, b] = True
+        hit = np.concatenate([np.einsum("ij,ij->i", x[b[k : k + STRIP]], q[a[k : k + STRIP]]) >= bar for k in range(0, len(a), STRIP)] or [np.zeros(0, bool)])
+        a, b = a[hit], b[hit]
+        count += np.bincount(a, minlength=len(q))
+        out.append((a, b))
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
 def reached(graph: Graph, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, int]]:
     """(query, vertex) pairs that may hold links: products of about `least` or more after allowing for the vertices' radius.
 
-    Also the queries that are left to a block product, as their answers are over WIDEST, and how the audit
-    went: missed (vertices that it missed at last) of truth (those that it should have found).
+    Also the queries that are left to a block product, and how the audit went: missed (vertices that it missed at
+    last) of truth (those that it should have found), and the widest beam.
     """
+    n = len(graph.x)
     bar = float(np.cos(min(np.pi, np.arccos(min(least, 1.0)) + graph.radius.max(initial=0)))) - 1e-4
     q, audited = q.astype(np.float32), np.arange(min(AUDITED, len(q)))
     truth = q[audited] @ graph.x.T >= bar + 2e-4
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    audit = {"missed": 0, "truth": int(truth.sum())}
-    todo, width, before, dense = np.arange(len(q)), BEAM, np.full(len(q), -1), np.zeros(len(q), bool)
+    most = max(BEAM, n // DENSE)
+    pairs, todo, width, dense = np.zeros(0, np.int64), np.arange(len(q)), BEAM, np.zeros(len(q), bool)
+    before = np.full(len(q), -1)
     while True:
-        hits, full = np.zeros(len(q), np.int64), np.zeros(len(q), bool)
+        found = [pairs]
         for low in range(0, len(todo), TOGETHER):
             part = todo[low : low + TOGETHER]
             ids, near = graph.search(q[part], width)
-            near_enough = near >= bar
-            hits[part], full[part] = near_enough.sum(1), near_enough[:, -1]
-            found.append((part[np.nonzero(near_enough)[0]], ids[near_enough]))
-        if width * 2 > WIDEST:
-            dense |= full
-        elif full.any():  # the first vertices are a random sample: don't widen towards answers that are too long anyway
-            part = np.flatnonzero(full)
-            share = (q[part] @ graph.x[:SAMPLE].T >= bar).mean(1)
-            dense[part[share * len(graph.x) > WIDEST]] = True
+            hit = near >= bar
+            a, b = np.nonzero(hit)[0], ids[hit].astype(np.int64)
+            longer = hit[:, -1][a]
+            more = walked(graph.x, graph.layers[0], q[part], a[longer], b[longer], bar, most) if longer.any() else (a[:0], b[:0])
+            found.append(np.r_[part[a] * n + b, part[more[0]] * n + more[1]])
+        pairs = np.unique(np.concatenate(found))
+        count = np.bincount(pairs // n, minlength=len(q))
+        dense |= count >= most
         got = np.zeros(truth.shape, bool)
-        for a, b in found:
-            got[a[a < len(audited)], b[a < len(audited)]] = True
-        missed = truth & ~got & ~(dense | full)[audited][:, None]
-        audit["missed"] = int(missed.sum())
-        growing = todo[hits[todo] > before[todo]]
-        before[todo] = hits[todo]
-        todo = np.flatnonzero(full & ~dense) if not missed.any() else np.union1d(growing, np.flatnonzero(full))
-        todo, width = todo[~dense[todo]], width * 2
-        if not len(todo) or width > WIDEST:
+        head = pairs[: np.searchsorted(pairs, len(audited) * n)]
+        got[head // n, head % n] = True
+        missed = truth & ~got & ~dense[audited][:, None]
+        todo = np.union1d(todo[count[todo] > before[todo]], np.flatnonzero(missed.any(1)))
+        todo, before = todo[~dense[todo]], count
+        if not missed.any() or width >= n:
             break
-    a, b = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in (0, 1))
-    pairs = np.unique((a * len(graph.x) + b)[~dense[a]])
-    return pairs // len(graph.x), pairs % len(graph.x), np.flatnonzero(dense), audit
+        width = min(2 * width, n)
+    if missed.any():  # no beam reaches them
+        dense[:] = True
+    pairs = pairs[~dense[pairs // n]]
+    return pairs // n, pairs % n, np.flatnonzero(dense), {"missed": int(missed.sum()), "truth": int(truth.sum()), "width": width}
 
 
 def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -292,59 +343,76 @@ def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def counted(graph: Graph, xs: np.ndarray, rs: np.ndarray, copies: np.ndarray, xq: np.ndarray, rq: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each query's weight of links in the shard, and the star edges (u, v) of the components that they form.
 
-    xs, rs, copies: vectors, ids and weights of the shard; xq, rq: vectors and ids of the queries.
+    xs, rs, copies: vectors, ids and weights of the shard; xq, rq: vectors and ids of the queries. They ask SLICE at a time, so that
+    no more than a slice's answers are held.
     """
-    xs, xq = scaled(xs), scaled(xq)
-    us, uq, theta = unit(xs), unit(xq), float(np.arccos(min(least, 1.0)))
-    a, l, dense, audit = reached(graph, uq, least)
-    if audit["missed"]:  # wider beams find no more: the last resort
-        a, l, dense = a[:0], l[:0], np.arange(len(rq))
-    total, edges = np.zeros(len(rq), np.int64), []
-    of_vertex = np.bincount(graph.owner, copies, len(graph.x)).astype(np.int64)
-    place = np.searchsorted(rs, rq, sorter=(order := np.argsort(rs)))
-    place = order[np.minimum(place, len(rs) - 1)]
-    own = np.where(rs[place] == rq, place, -1)  # where the query itself is in the shard
-    ns, nq = np.sqrt(products(xs, xs)), np.sqrt(products(xq, xq))
-    whole = np.zeros(len(graph.x), bool)
-    for low in range(0, len(a), STRIP):
-        i, k = a[low : low + STRIP], l[low : low + STRIP]
-        angle = angles(uq[i], graph.exact[k])
-        sure = (angle + graph.radius[k] <= theta - 1e-6) & (graph.radius[k] > 0)
-        np.add.at(total, i[sure], of_vertex[k[sure]])
-        inside = sure & (own[i] >= 0) & (graph.owner[own[i]] == k)
-        np.subtract.at(total, i[inside], copies[own[i[inside]]])
-        edges.append((i[sure], len(rq) + graph.vertices[k[sure]]))
-        whole[k[sure]] = True
-        i, k = i[~sure & (angle <= theta + graph.radius[k] + 1e-6)], k[~sure & (angle <= theta + graph.radius[k] + 1e-6)]
-        many = np.cumsum(graph.start[k + 1] - graph.start[k])
-        done = 0
-        while done < len(k):  # members of the other vertices, some at a time
-            high = max(done + 1, int(np.searchsorted(many, (many[done - 1] if done else 0) + STRIP)))
-            n = graph.start[k[done:high] + 1] - graph.start[k[done:high]]
-            first = np.repeat(graph.start[k[done:high]] - np.r_[0, np.cumsum(n)[:-1]], n)
-            j, q = graph.members[first + np.arange(n.sum())], np.repeat(i[done:high], n)
-            linked = (products(xq[q], xs[j]) / (nq[q] * ns[j]) >= least) & (rq[q] != rs[j])
-            np.add.at(total, q[linked], copies[j[linked]])
-            edges.append((q[linked], len(rq) + j[linked]))
-            done = high
-    for low in range(0, len(dense), TOGETHER // 2):
-        part = dense[low : low + TOGETHER // 2]
-        cosine = uq[part] @ us.T
-        i, j = np.nonzero(np.abs(cosine - least) < 1e-9)
-        cosine[i, j] = products(xq[part[i]], xs[j]) / (nq[part[i]] * ns[j])
-        linked = (cosine >= least) & (rq[part][:, None] != rs)
-        total[part] = linked @ copies
-        i, j = np.nonzero(linked)
-        root = stars(len(part) + len(rs), i, len(part) + j)
-        names = np.r_[part, len(rq) + np.arange(len(rs))]
-        edges.append((names, names[root]))
-    shown = np.flatnonzero(whole[graph.owner])
-    edges.append((len(rq) + shown, len(rq) + graph.vertices[graph.owner[shown]]))
-    names = np.r_[rq, rs]
-    root = stars(len(names), *(np.concatenate([e[k] for e in edges]) for k in (0, 1)))
-    star = np.stack([names, names[root]], 1)
-    star = np.unique(star[star[:, 0] != star[:, 1]], axis=0)
-    return total, star[:, 0], star[:, 1]
+    shard = _Shard(graph, scaled(xs), rs, copies, least)
+    total, edges = np.zeros(len(rq), np.int64), [(rs[:0], rs[:0])]
+    for low in range(0, len(rq), SLICE):
+        total[low : low + SLICE], *star = shard.asked(scaled(xq[low : low + SLICE]), rq[low : low + SLICE])
+        edges.append(tuple(star))
+    u, v = (np.concatenate([e[k] for e in edges]) for k in (0, 1))
+    names, at = np.unique(np.r_[u, v], return_inverse=True)
+    root = stars(len(names), at[: len(u)], at[len(u) :])
+    out = root != np.arange(len(names))
+    return total, names[out], names[root[out]]
+
+
+class _Shard:
+    def __init__(self, graph: Graph, xs: np.ndarray, rs: np.ndarray, copies: np.ndarray, least: float):
+        self.graph, self.xs, self.rs, self.copies, self.least = graph, xs, rs, copies, least
+        self.us, self.theta, self.ns = unit(xs), float(np.arccos(min(least, 1.0))), np.sqrt(products(xs, xs))
+        self.of_vertex = np.bincount(graph.owner, copies, len(graph.x)).astype(np.int64)
+        self.order = np.argsort(rs)
+
+    def asked(self, xq: np.ndarray, rq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The weight of each query's links, and star edges (u, v)."""
+        graph, xs, rs, copies, ns, us, theta = self.graph, self.xs, self.rs, self.copies, self.ns, self.us, self.theta
+        uq, nq = unit(xq), np.sqrt(products(xq, xq))
+        a, l, dense, _ = reached(graph, uq, self.least)
+        total, edges = np.zeros(len(rq), np.int64), []
+        place = self.order[np.minimum(np.searchsorted(rs, rq, sorter=self.order), len(rs) - 1)]
+        own = np.where(rs[place] == rq, place, -1)  # where the query itself is in the shard
+        whole = np.zeros(len(graph.x), bool)
+        for low in range(0, len(a), STRIP):
+            i, k = a[low : low + STRIP], l[low : low + STRIP]
+            angle = angles(uq[i], graph.exact[k])
+            sure = (angle + graph.radius[k] <= theta - 1e-6) & (graph.radius[k] > 0)
+            np.add.at(total, i[sure], self.of_vertex[k[sure]])
+            inside = sure & (own[i] >= 0) & (graph.owner[own[i]] == k)
+            np.subtract.at(total, i[inside], copies[own[i[inside]]])
+            edges.append((i[sure], len(rq) + graph.vertices[k[sure]]))
+            whole[k[sure]] = True
+            i, k = i[~sure & (angle <= theta + graph.radius[k] + 1e-6)], k[~sure & (angle <= theta + graph.radius[k] + 1e-6)]
+            many = np.cumsum(graph.start[k + 1] - graph.start[k])
+            done = 0
+            while done < len(k):  # members of the other vertices, some at a time
+                high = max(done + 1, int(np.searchsorted(many, (many[done - 1] if done else 0) + STRIP)))
+                n = graph.start[k[done:high] + 1] - graph.start[k[done:high]]
+                first = np.repeat(graph.start[k[done:high]] - np.r_[0, np.cumsum(n)[:-1]], n)
+                j, q = graph.members[first + np.arange(n.sum())], np.repeat(i[done:high], n)
+                linked = (products(xq[q], xs[j]) / (nq[q] * ns[j]) >= self.least) & (rq[q] != rs[j])
+                np.add.at(total, q[linked], copies[j[linked]])
+                edges.append((q[linked], len(rq) + j[linked]))
+                done = high
+        for low in range(0, len(dense), TOGETHER // 2):
+            part = dense[low : low + TOGETHER // 2]
+            cosine = uq[part] @ us.T
+            i, j = np.nonzero(np.abs(cosine - self.least) < 1e-9)
+            cosine[i, j] = products(xq[part[i]], xs[j]) / (nq[part[i]] * ns[j])
+            linked = (cosine >= self.least) & (rq[part][:, None] != rs)
+            total[part] = linked @ copies
+            i, j = np.nonzero(linked)
+            root = stars(len(part) + len(rs), i, len(part) + j)
+            names = np.r_[part, len(rq) + np.arange(len(rs))]
+            edges.append((names, names[root]))
+        shown = np.flatnonzero(whole[graph.owner])
+        edges.append((len(rq) + shown, len(rq) + graph.vertices[graph.owner[shown]]))
+        names = np.r_[rq, rs]
+        root = stars(len(names), *(np.concatenate([e[k] for e in edges]) for k in (0, 1)))
+        star = np.stack([names, names[root]], 1)
+        star = np.unique(star[star[:, 0] != star[:, 1]], axis=0)
+        return total, star[:, 0], star[:, 1]
 
 
 KEYS = ["label", "dim", "part"]
@@ -412,6 +480,7 @@ def compared(shards: DataFrame, chunks: DataFrame, tasks: int, kind: str, least:
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = SHARD, chunk: int = CHUNK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each vector."""
+    ship(vectors.sparkSession)
     kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
     sound = usable(vectors, "label").where(F.col("label").isNotNull()).withColumn("label", F.col("label").cast("long"))
     classes = written(sound.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-classes")
