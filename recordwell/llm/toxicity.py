@@ -39,7 +39,7 @@ DECAY, SPAN, POWER = 0.7, 5, 5
 #: Letters of a stretch of a long word, and words of a piece of a long sentence.
 WINDOW, PIECE = 16, 24
 TOXIC_LANDMARKS, CLEAN_LANDMARKS, ALIKE = 72, 32, 0.9
-PER_CLASS, FIT_BYTES = 3000, 12 << 20
+PER_CLASS, FIT_BYTES = 3000, 8 << 20
 #: Least quotient of a toxic landmark's shares of sentences.
 LIFT = 3.0
 #: Clean sentences that a round of fitting weighs, at most: those of largest value.
@@ -281,17 +281,17 @@ def learn(texts: list[str], toxic: np.ndarray, rounds: int = 5) -> ToxicityModel
     """A model of texts and their labels."""
     if not len(texts) or toxic.min() == toxic.max():
         return ToxicityModel(None, np.zeros(0), 0.0, 0.0, 0.0 if not len(texts) else 20.0 * (2 * float(toxic[0]) - 1))
-    docs = [sentences(t) for t in texts]
+    one: dict[str, str] = {}  # each word is held once
+    docs = [[[one.setdefault(w, w) for w in s] for s in sentences(t)] for t in texts]
     kernel = Kernel(choose_landmarks(docs, toxic))
     value, vector = np.linalg.eigh(kernel(kernel.landmarks).astype(float))
     whiten = vector / np.sqrt(np.maximum(value, 0) + 1e-3)
     vocabulary = sorted({w for d in docs for s in d for w in s})
     parts = [stretches(w) for w in vocabulary]
     near = kernel([p for ps in parts for p in ps])
-    # A long word's features: those of its stretch closest to any landmark.
-    starts = np.cumsum([0, *(len(p) for p in parts)])
-    top = near.max(axis=1) if len(near) else np.zeros(0)
-    near = near[[int(a + top[a:b].argmax()) for a, b in zip(starts[:-1], starts[1:], strict=True)]] if len(parts) else near
+    if len(near) > len(parts):  # a long word's features: those of its stretch closest to any landmark
+        starts, top = np.cumsum([0, *(len(p) for p in parts)]), near.max(axis=1)
+        near = near[[int(a + top[a:b].argmax()) for a, b in zip(starts[:-1], starts[1:], strict=True)]]
     at = {w: k for k, w in enumerate(vocabulary)}
     owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     each = [s for d in docs for s in d]
@@ -303,7 +303,7 @@ def learn(texts: list[str], toxic: np.ndarray, rounds: int = 5) -> ToxicityModel
             high = min(len(each), low + 4096)
             a, b = first[low], first[high - 1] + sizes[high - 1]
             x[low:high] = np.add.reduceat(near[flat[a:b]], first[low:high] - a)
-    x = (x @ whiten).astype(np.float32)
+    x = x @ whiten.astype(np.float32)
     clean = np.flatnonzero(toxic[owner] == 0)
     guess = np.zeros(len(each))
     if each:
