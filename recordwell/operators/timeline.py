@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..deploy import ensure_checkpoint
@@ -34,7 +34,8 @@ def stage_intervals(changes: DataFrame, records: DataFrame) -> DataFrame:
     records (record_id, created_at, deleted_at, value).
 
     Migrations rename what came before and move nothing. Windows find the intervals; those of records with migrations are
-    then renamed, a round for each link of a chain of renamings.
+    then renamed, a round for each link of a chain of renamings. A record that never moved, though its stage may have been
+    renamed, is in its present stage since its creation.
     """
     migrated = changes.where("kind = 'migration'").select("record_id").distinct()
     if migrated.isEmpty():
@@ -42,7 +43,7 @@ def stage_intervals(changes: DataFrame, records: DataFrame) -> DataFrame:
     else:
         plain = changes.join(migrated, "record_id", "left_anti")
         intervals = _by_window(plain, records).unionByName(_by_fold(changes.join(migrated, "record_id", "left_semi"), records))
-    touched = changes.select("record_id").distinct()
+    touched = changes.where("kind <> 'migration' and (before <> '' or after <> '')").select("record_id").distinct()
     still = records.join(touched, "record_id", "left_anti").where("value is not null and value <> ''")
     still = still.select("record_id", F.lit(1).alias("k"), F.col("value").alias("stage"), F.col("created_at").alias("start"), F.col("deleted_at").alias("end"), F.when(F.col("created_at").isNotNull(), "crm_created_at").otherwise("unknown").alias("basis"))
     return intervals.unionByName(still)
@@ -50,14 +51,19 @@ def stage_intervals(changes: DataFrame, records: DataFrame) -> DataFrame:
 
 def _by_window(changes: DataFrame, records: DataFrame) -> DataFrame:
     w = Window.partitionBy("record_id").orderBy("at", "seq")
-    moves = changes.withColumns({"next_at": F.lead("at").over(w), "n": F.row_number().over(w)}).join(records, "record_id")
     no = lambda c: F.col(c).isNull() | (F.col(c) == "")
-    opens = F.when((F.col("n") == 1) & ~no("before"), F.struct(F.lit(0).alias("o"), F.col("before").alias("stage"), F.when(F.col("created_at") <= F.col("at"), F.col("created_at")).alias("start"), F.col("at").alias("end"), F.when(F.col("created_at") <= F.col("at"), "crm_created_at").otherwise("unknown").alias("basis")))
+    moves = changes.withColumns({"next_at": F.lead("at").over(w), "n": F.row_number().over(w), "first": _none_yet(w)}).join(records, "record_id")
+    opens = F.when(F.col("first") & ~no("before"), F.struct(F.lit(0).alias("o"), F.col("before").alias("stage"), F.when(F.col("created_at") <= F.col("at"), F.col("created_at")).alias("start"), F.col("at").alias("end"), F.when(F.col("created_at") <= F.col("at"), "crm_created_at").otherwise("unknown").alias("basis")))
     runs = F.when(~no("after"), F.struct(F.lit(1).alias("o"), F.col("after").alias("stage"), F.col("at").alias("start"), F.coalesce("next_at", "deleted_at").alias("end"), F.col("kind").alias("basis")))
     each = moves.select("record_id", (F.col("n") * 2).alias("n"), F.explode(F.filter(F.array(opens, runs), lambda x: x.isNotNull())).alias("x"))
     return each.select("record_id", (F.col("n") + F.col("x.o")).cast("int").alias("k"), "x.stage", "x.start", "x.end", "x.basis")
 
 
+def _none_yet(w: WindowSpec) -> Column:
+    """Whether no move before this one, in the window's order, had a stage on either side."""
+    return F.coalesce(F.count(F.when((F.col("before") != "") | (F.col("after") != ""), 1)).over(w.rowsBetween(Window.unboundedPreceding, -1)) == 0, F.lit(True))
+
+
 def _by_fold(changes: DataFrame, records: DataFrame) -> DataFrame:
     """The same for records whose stages were renamed, by windows over each record's log.
 
@@ -68,10 +74,10 @@ def _by_fold(changes: DataFrame, records: DataFrame) -> DataFrame:
     placed = changes.withColumn("n", F.row_number().over(w))
     moves, renames = placed.where("kind <> 'migration'"), placed.where("kind = 'migration'")
     own = Window.partitionBy("record_id").orderBy("n")
-    moved = moves.withColumns({"next_at": F.lead("at").over(own), "k0": F.row_number().over(own)}).join(records, "record_id")
+    moved = moves.withColumns({"next_at": F.lead("at").over(own), "k0": F.row_number().over(own), "first": _none_yet(own)}).join(records, "record_id")
     no = lambda c: F.col(c).isNull() | (F.col(c) == "")
     known = F.col("created_at") <= F.col("at")
-    opens = F.when((F.col("k0") == 1) & ~no("before"), F.struct(F.lit(0).alias("o"), F.col("before").alias("stage"), F.when(known, F.col("created_at")).alias("start"), F.col("at").alias("end"), F.when(known, "crm_created_at").otherwise("unknown").alias("basis")))
+    opens = F.when(F.col("first") & ~no("before"), F.struct(F.lit(0).alias("o"), F.col("before").alias("stage"), F.when(known, F.col("created_at")).alias("start"), F.col("at").alias("end"), F.when(known, "crm_created_at").otherwise("unknown").alias("basis")))
     runs = F.when(~no("after"), F.struct(F.lit(1).alias("o"), F.col("after").alias("stage"), F.col("at").alias("start"), F.coalesce("next_at", "deleted_at").alias("end"), F.col("kind").alias("basis")))
     each = moved.select("record_id", "n", (F.col("k0") * 2).alias("k0"), F.explode(F.filter(F.array(opens, runs), lambda x: x.isNotNull())).alias("x"))
     rows = each.select("record_id", "n", (F.col("k0") + F.col("x.o")).cast("int").alias("k"), "x.stage", "x.start", "x.end", "x.basis")

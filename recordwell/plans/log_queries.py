@@ -104,6 +104,37 @@ def time_in_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.time_in_stage(_intervals(spark, sf_dir), F.lit("2024-02-01 00:00:00").cast("timestamp"))
 
 
+@query(
+    "stage_intervals_renamed",
+    """WITH e AS (SELECT user_id AS record_id, ts, event_id, CASE WHEN event_id % 7 < 2 THEN 'migration' WHEN event_id % 7 = 2 THEN 'import' ELSE 'event' END AS kind, CASE WHEN event_id % 7 < 2 THEN event_type WHEN event_id % 13 = 0 THEN 'lead' END AS before,
+ CASE WHEN event_id % 35 = 0 THEN NULL WHEN event_id % 7 = 0 THEN event_type || '2' WHEN event_id % 7 = 1 THEN substr(event_type, 1, 4) WHEN event_id % 11 <> 0 THEN CASE WHEN event_id % 3 = 0 THEN event_type || '2' ELSE event_type END END AS after FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY ts, event_id) AS n FROM e),
+r AS (SELECT record_id, CASE WHEN record_id % 2 = 0 THEN TIMESTAMP '2023-12-01' END AS created_at, CASE WHEN record_id % 9 = 0 THEN TIMESTAMP '2030-01-01' END AS deleted_at, CASE WHEN record_id % 3 <> 0 THEN 'idle' END AS value FROM (SELECT user_id AS record_id FROM events UNION SELECT c_custkey FROM customer)),
+m AS (SELECT *, lead(ts) OVER w AS next_at, coalesce(count(*) FILTER (before IS NOT NULL OR after IS NOT NULL) OVER (PARTITION BY record_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM o WHERE kind <> 'migration' WINDOW w AS (PARTITION BY record_id ORDER BY ts, event_id)),
+i AS (SELECT record_id, n, before AS stage, created_at AS start, ts AS ends, CASE WHEN created_at IS NULL THEN 'unknown' ELSE 'crm_created_at' END AS basis FROM m JOIN r USING (record_id) WHERE earlier = 0 AND before IS NOT NULL UNION ALL SELECT record_id, n, after, ts, coalesce(next_at, deleted_at), kind FROM m JOIN r USING (record_id) WHERE after IS NOT NULL),
+g AS (SELECT record_id, list({'n': n, 'b': before, 'a': after, 'ts': ts} ORDER BY n) AS ms FROM o WHERE kind = 'migration' GROUP BY 1),
+f AS (SELECT i.*, list_reduce(list_prepend({'n': i.n, 'b': CAST(NULL AS VARCHAR), 'a': i.stage, 'ts': CAST(NULL AS TIMESTAMP)}, list_filter(coalesce(ms, []), lambda x: x.n > i.n)), lambda x, y: CASE WHEN x.a = y.b THEN y ELSE x END) AS z FROM i LEFT JOIN g USING (record_id))
+SELECT record_id, z.a AS stage, strftime(start, '%Y-%m-%d %H:%M:%S') AS started, strftime(CASE WHEN z.a IS NULL AND (ends IS NULL OR ends > z.ts) THEN z.ts ELSE ends END, '%Y-%m-%d %H:%M:%S') AS ended, basis FROM f
+UNION ALL SELECT record_id, value, strftime(created_at, '%Y-%m-%d %H:%M:%S'), strftime(deleted_at, '%Y-%m-%d %H:%M:%S'), CASE WHEN created_at IS NULL THEN 'unknown' ELSE 'crm_created_at' END FROM r WHERE value IS NOT NULL AND record_id NOT IN (SELECT record_id FROM i)""",
+)
+def stage_intervals_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of moves, imports, clears and renamings, chains of them among these; records in the trash and records that never moved."""
+    event, kind = F.col("event_id"), F.col("event_type")
+    e = table(spark, sf_dir, "events")
+    renames = event % 7 < 2
+    after = F.when(event % 35 == 0, None).when(event % 7 == 0, F.concat(kind, F.lit("2"))).when(event % 7 == 1, F.substring(kind, 1, 4)).when(event % 11 != 0, F.when(event % 3 == 0, F.concat(kind, F.lit("2"))).otherwise(kind))
+    changes = e.select(
+        F.col("user_id").alias("record_id"), F.col("ts").cast("timestamp").alias("at"), event.alias("seq"), F.when(renames, kind).when(event % 13 == 0, "lead").alias("before"), after.alias("after"),
+        F.when(renames, "migration").when(event % 7 == 2, "import").otherwise("event").alias("kind"),
+    )
+    day = lambda text: F.lit(text).cast("timestamp")
+    records = e.select(F.col("user_id").alias("record_id")).union(table(spark, sf_dir, "customer").select("c_custkey")).distinct()
+    record = F.col("record_id")
+    records = records.select("record_id", F.when(record % 2 == 0, day("2023-12-01")).alias("created_at"), F.when(record % 9 == 0, day("2030-01-01")).alias("deleted_at"), F.when(record % 3 != 0, "idle").alias("value"))
+    show = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return timeline.stage_intervals(changes, records).select("record_id", "stage", show("start").alias("started"), show("end").alias("ended"), "basis")
+
+
 @query("stage_since", "SELECT user_id AS record_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS since FROM events GROUP BY 1")
 def stage_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.stage_since(crm.stage_changes(spark, sf_dir)).select("record_id", F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"))

@@ -168,6 +168,22 @@ def test_stage_intervals_and_renames(spark):
     assert summary["PROPOSAL"].records_in_stage == 2 and summary["PROPOSAL"].average_days_now == Decimal("6.50") and summary["NEW"].completed_intervals == 2
 
 
+def test_records_with_renamings_only_keep_their_stage(spark):
+    at = lambda d: dt.datetime(2026, 8, d)
+    log = [("A", at(3), 1, "OLD", "NOW", "migration"), ("B", at(4), 2, "X", "Y", "event"), ("B", at(5), 3, "Y", "Z", "migration"), ("C", at(4), 4, None, "Y", "event"), ("E", at(2), 5, None, None, "event"), ("E", at(3), 6, "P", "Q", "event"), ("E", at(4), 7, "Q", "R", "migration"), ("E", at(5), 8, "R", "S", "migration"), ("E", at(6), 9, "S", "T", "migration"), ("F", at(4), 10, None, None, "event"), ("G", at(4), 11, "GONE", None, "migration")]
+    changes = spark.createDataFrame(log, "record_id string, at timestamp, seq long, before string, after string, kind string")
+    records = spark.createDataFrame([(k, at(1), None, v) for k, v in (("A", "NOW"), ("B", "Z"), ("C", "Y"), ("D", "NOW"), ("E", "T"), ("F", "W"), ("G", ""), ("H", None))], "record_id string, created_at timestamp, deleted_at timestamp, value string")
+    got = {}
+    for r in timeline.stage_intervals(changes, records).orderBy("record_id", "k").collect():
+        got.setdefault(r.record_id, []).append((r.stage, r.start, r.end, r.basis))
+    born = "crm_created_at"
+    assert got == {
+        "A": [("NOW", at(1), None, born)], "B": [("X", at(1), at(4), born), ("Z", at(4), None, "event")], "C": [("Y", at(4), None, "event")], "D": [("NOW", at(1), None, born)],
+        "E": [("P", at(1), at(3), born), ("T", at(3), None, "event")], "F": [("W", at(1), None, born)],
+    }
+    assert timeline.stage_intervals(changes.limit(0), records.limit(0)).count() == 0
+
+
 def test_model_refuses_what_it_should():
     bad = [{"objects": {"a": {"labelField": "x", "fields": {}}}}, {"objects": {"a": {"fields": {"name": {"type": "BLOB"}}}}}, {"objects": {"a": {"fields": {"name": {"type": "TEXT"}, "l": {"type": "RELATION", "relation": {"target": "b"}}}}}}, {"objects": {"a": {"fields": {"name": {"type": "SELECT", "options": [{"value": "A"}, {"value": "A"}]}}}}}]
     for document in bad:
