@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from .shared import remainder, unit_hash
+from .shared import remainder, sized, unit_hash, written
 
 DECAY, SPAN, POWER = 0.7, 5, 5
 #: Letters of a stretch of a long word, and words of a piece of a long sentence.
@@ -356,13 +356,17 @@ def held_out(key: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = FIT_BYTES) -> ToxicityModel:
     """Learn labels.toxic of the documents that aren't held out."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(usable, "doc_id")
-    got = {r.toxic: r for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
+    text = F.coalesce("text", F.lit(""))
+    # Ids, lengths and hashes meet the labels; texts meet only those chosen.
+    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("h"), F.octet_length(text).alias("size"))
+    rows = written(light.join(usable, "doc_id").select("h", "toxic", "size"), "labelled")
+    got = {r.toxic: r for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()}
     share = {t: min(1.0, per_class / r.n, most_bytes / 2 / max(1, r.size)) for t, r in got.items()}
     if not share:
         return learn([], np.zeros(0))
     wanted = F.coalesce(*(F.when(F.col("toxic") == t, F.lit(s)) for t, s in share.items()))
-    chosen = rows.where(unit_hash(F.xxhash64("doc_id", "text"), 12) < wanted).select("text", "toxic").distinct()
+    keys = rows.where(unit_hash(F.col("h"), 12) < wanted).select("h", "toxic").distinct()  # about per_class a label
+    chosen = docs.select(text.alias("text"), F.xxhash64("doc_id", text).alias("h")).join(sized(keys), "h").select("text", "toxic").distinct()
     sample = sorted((r.text, int(r.toxic)) for r in chosen.collect())  # about per_class rows and most_bytes / 2 a label
     return learn([t for t, _ in sample], np.array([y for _, y in sample]))
 
