@@ -141,8 +141,17 @@ def cron_slots(pattern: str, after: Column, until: Column) -> Column:
     return F.filter(slots, lambda s: (s > after) & (s <= until))
 
 
-def row_rule_days(rule: Column, start: Column, last: Column) -> Column:
-    """rule_days for a rule that differs from row to row, as a column. A rule that can't be expanded gives null."""
+def rule_until(rule: Column) -> tuple[Column, Column]:
+    """The moment of a rule's UNTIL, null where it names a day only, and whether it is in UTC."""
+    written = F.regexp_extract(F.upper(rule), r"UNTIL=(\d{8}T\d{6})(Z?)", 1)
+    return F.try_to_timestamp(F.nullif(written, F.lit("")), F.lit("yyyyMMdd'T'HHmmss")).cast("timestamp_ntz"), F.upper(rule).rlike(r"UNTIL=\d{8}T\d{6}Z")
+
+
+def row_rule_days(rule: Column, start: Column, last: Column, more: int = 0) -> Column:
+    """rule_days for a rule that differs from row to row, as a column. A rule that can't be expanded gives null.
+
+    more: days after that of UNTIL to take in, for callers that compare moments with rule_until.
+    """
     text = F.upper(F.regexp_replace(rule, "(?i)^RRULE:|;$", ""))
     parts = F.str_to_map(text, F.lit(";"), F.lit("="))
     part = lambda name: F.try_element_at(parts, F.lit(name))
@@ -153,7 +162,7 @@ def row_rule_days(rule: Column, start: Column, last: Column) -> Column:
     month_days, months = numbers("BYMONTHDAY"), numbers("BYMONTH")
     week_start = F.coalesce(F.array_position(names, part("WKST")) - 1, F.lit(0)).cast("int")
     until = F.try_to_date(F.substring(part("UNTIL"), 1, 8), "yyyyMMdd")
-    end = F.least(last, F.coalesce(until, last))
+    end = F.least(last, F.coalesce(F.date_add(until, more), last))
     known = freq.isin("DAILY", "WEEKLY", "MONTHLY", "YEARLY") & (F.size(F.array_except(F.map_keys(parts), F.array(*map(F.lit, sorted(PARTS))))) == 0) & (every > 0) & ~F.exists(by_day, lambda m: m.w < 0)
     month_no = lambda x: F.year(x) * 12 + F.month(x)
     first_of_week = lambda x: F.date_sub(x, F.pmod(F.weekday(x) - week_start, F.lit(7)).cast("int"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.recurrence import row_rule_days
+from ..functions.recurrence import row_rule_days, rule_until
 from ..functions.text import company_from_domain, email_host, is_free_mail, is_group_address, normalize_email, registrable_domain
+from . import own_zones
 
 #: Delivery states that suppress an address for good, and the rest that suppress it.
 HARD = ("BOUNCE", "COMPLAINT")
@@ -58,23 +59,33 @@ def version_actions(newest: DataFrame, stored: DataFrame) -> DataFrame:
     return both.select(F.col("n.uid").alias("uid"), action.alias("action"))
 
 
-def occurrences_between(events: DataFrame, overrides: DataFrame, begin: Column, end: Column) -> DataFrame:
+def occurrences_between(events: DataFrame, overrides: DataFrame, begin: Column, end: Column, transitions: DataFrame | None = None) -> DataFrame:
     """(uid, starts, ends) of all events that touch a window, recurring ones expanded within the row.
 
     events: uid, starts and ends (wall clock), zone, rule (may be null), excluded and perhaps added (arrays); overrides: uid, replaces (wall clock), starts, ends, zone.
+    transitions: those of zones that calendars define themselves (own_zones.transitions), by uid, for events with an own_zone.
     """
     utc = lambda t, z: F.to_utc_timestamp(t.cast("timestamp"), z)
     last = F.to_date(F.date_add(F.to_date(end), 1))
-    days = F.when(F.col("rule").isNull(), F.array(F.to_date("starts"))).otherwise(row_rule_days(F.col("rule"), F.to_date("starts"), last))
+    days = F.when(F.col("rule").isNull(), F.array(F.to_date("starts"))).otherwise(row_rule_days(F.col("rule"), F.to_date("starts"), last, 1))
     clock = F.date_format("starts", "HH:mm:ss")
     local = F.transform(days, lambda d: F.concat(d.cast("string"), F.lit(" "), clock).cast("timestamp_ntz"))
+    until, in_utc = rule_until(F.coalesce("rule", F.lit("")))
+    day = F.try_to_date(F.nullif(F.regexp_extract(F.upper("rule"), r"UNTIL=(\d{8})", 1), F.lit("")), "yyyyMMdd")
+    zone = F.coalesce("zone", F.lit("UTC"))
+    in_time = lambda t: F.when(until.isNull(), day.isNull() | (F.to_date(t) <= day)).when(in_utc, utc(t, zone) <= until.cast("timestamp")).otherwise(t <= until)
+    local = F.filter(local, lambda t: (t == F.col("starts")) | in_time(t))
     none = F.array().cast("array<timestamp_ntz>")
     more = F.coalesce("added", none) if "added" in events.columns else none
     kept = F.array_except(F.array_union(local, more), F.coalesce("excluded", none))
     length = F.unix_seconds(F.col("ends").cast("timestamp")) - F.unix_seconds(F.col("starts").cast("timestamp"))
-    each = events.select("uid", "zone", length.alias("length"), F.explode(kept).alias("at"))
+    own = F.col("own_zone") if "own_zone" in events.columns else F.lit(None).cast("string")
+    each = events.select("uid", "zone", own.alias("own_zone"), length.alias("length"), F.explode(kept).alias("at"))
     each = each.join(overrides.select("uid", F.col("replaces").alias("at")), ["uid", "at"], "left_anti")
-    plain = each.select("uid", utc(F.col("at"), F.col("zone")).alias("starts"), "length").select("uid", "starts", F.timestamp_seconds(F.unix_seconds("starts") + F.col("length")).alias("ends"))
+    if transitions is not None:
+        each = own_zones.to_utc(each, ["uid"], "own_zone", "at", transitions, "exact")
+    exact = F.col("exact").cast("timestamp") if transitions is not None else F.lit(None).cast("timestamp")
+    plain = each.select("uid", F.coalesce(exact, utc(F.col("at"), F.col("zone"))).alias("starts"), "length").select("uid", "starts", F.timestamp_seconds(F.unix_seconds("starts") + F.col("length")).alias("ends"))
     moved = overrides.select("uid", utc(F.col("starts"), F.col("zone")).alias("starts"), utc(F.col("ends"), F.col("zone")).alias("ends"))
     return plain.unionByName(moved).where((F.col("starts") < end) & ((F.col("ends") > begin) | ((F.col("ends") == F.col("starts")) & (F.col("starts") >= begin))))
 

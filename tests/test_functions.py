@@ -13,6 +13,7 @@ from recordwell.functions import text as X
 from recordwell.functions.dates import bucket, parse_day, parse_instant
 from recordwell.functions.formula import FormulaError, compile_formula
 from recordwell.functions.recurrence import RuleError, cron_sets, cron_slots, occurrences, parsed_rule, rule_days
+from recordwell.operators import ingest, own_zones
 from recordwell.sources.mail import calendar_events, html_text
 
 AT = Context.at("2026-10-20T09:00:00Z", "Europe/Berlin")
@@ -182,3 +183,65 @@ def test_mail(spark):
     a, b = (a, b) if a.uid == "1@x" else (b, a)
     assert a.summary == "Long, title" and a.starts == dt.datetime(2026, 10, 5, 10) and a.zone == "Europe/Berlin" and a.rule == "FREQ=DAILY" and a.sequence == 2 and not a.whole_day
     assert b.whole_day and b.cancelled and b.starts == dt.datetime(2026, 11, 1)
+
+
+BERLIN = """BEGIN:VTIMEZONE
+TZID:Our Berlin
+BEGIN:DAYLIGHT
+DTSTART:19810329T020000
+TZOFFSETFROM:+0100
+TZOFFSETTO:+0200
+RRULE:FREQ=YEARLY;BYMONTH=3;BYDAY=-1SU
+END:DAYLIGHT
+BEGIN:STANDARD
+DTSTART:19961027T030000
+TZOFFSETFROM:+0200
+TZOFFSETTO:+0100
+RRULE:FREQ=YEARLY;BYMONTH=10;BYDAY=-1SU
+END:STANDARD
+END:VTIMEZONE
+"""
+
+
+def test_zones_that_calendars_define(spark):
+    from zoneinfo import ZoneInfo
+
+    fixed = "BEGIN:VTIMEZONE\nTZID:Fixed\nBEGIN:STANDARD\nDTSTART:20200101T000000\nTZOFFSETFROM:+0500\nTZOFFSETTO:+0530\nEND:STANDARD\nEND:VTIMEZONE\n"
+    listed = "BEGIN:VTIMEZONE\nTZID:Listed\nBEGIN:STANDARD\nDTSTART:20260101T000000\nTZOFFSETFROM:-0100\nTZOFFSETTO:-0200\nRDATE:20260601T000000\nEND:STANDARD\nBEGIN:DAYLIGHT\nDTSTART:20260301T000000\nTZOFFSETFROM:-0200\nTZOFFSETTO:-013000\nEND:DAYLIGHT\nEND:VTIMEZONE\nBEGIN:VTIMEZONE\nTZID:Broken\nBEGIN:STANDARD\nTZOFFSETTO:x\nEND:STANDARD\nEND:VTIMEZONE\n"
+    texts = spark.createDataFrame([(1, BERLIN.replace("\n", "\r\n")), (2, fixed), (3, listed), (4, None), (5, "")], "uid long, text string")
+    table = own_zones.transitions(own_zones.observances(texts), ["uid"], 2025, 2027)
+    hours = [dt.datetime(2026, 1, 1) + dt.timedelta(minutes=90 * k) for k in range(6 * 1000)]
+    hours += [dt.datetime(2026, 3, 29, 2, m) for m in range(0, 60, 7)] + [dt.datetime(2026, 10, 25, 2, m) for m in range(0, 60, 7)]
+    rows = spark.createDataFrame([(1, "Our Berlin", t) for t in hours] + [(2, "Fixed", dt.datetime(2019, 5, 1)), (2, "Our Berlin", dt.datetime(2026, 1, 1)), (3, "Listed", dt.datetime(2025, 12, 31)), (3, "Listed", dt.datetime(2026, 2, 1)), (3, "Listed", dt.datetime(2026, 4, 1)), (3, "Listed", dt.datetime(2026, 7, 1)), (1, None, dt.datetime(2026, 1, 1)), (1, "Our Berlin", None)], "uid long, zone string, at timestamp_ntz")
+    got = own_zones.to_utc(rows, ["uid"], "zone", "at", table)
+    assert got.count() == rows.count()
+    berlin = ZoneInfo("Europe/Berlin")
+    for r in got.where("uid = 1 and zone is not null and at is not null").collect():
+        # fold 0 is the first of two hours, and in a gap the offset before it.
+        assert r.utc == r.at.replace(tzinfo=berlin, fold=0).astimezone(dt.UTC).replace(tzinfo=None), r
+    rest = {(r.uid, r.zone, r.at): r.utc for r in got.where("uid > 1 or zone is null or at is null").collect()}
+    day = dt.datetime
+    assert rest == {(2, "Fixed", day(2019, 5, 1)): day(2019, 4, 30, 18, 30), (2, "Our Berlin", day(2026, 1, 1)): None, (3, "Listed", day(2025, 12, 31)): day(2025, 12, 31, 1), (3, "Listed", day(2026, 2, 1)): day(2026, 2, 1, 2), (3, "Listed", day(2026, 4, 1)): day(2026, 4, 1, 1, 30), (3, "Listed", day(2026, 7, 1)): day(2026, 7, 1, 2), (1, None, day(2026, 1, 1)): None, (1, "Our Berlin", None): None}
+    assert own_zones.to_utc(rows.limit(0), ["uid"], "zone", "at", table.limit(0)).count() == 0
+
+
+def test_alarms_and_instants_of_calendars(spark):
+    alarm = "BEGIN:VALARM\r\nTRIGGER:-PT15M\r\nDURATION:PT5M\r\nSUMMARY:ring\r\nEND:VALARM\r\n"
+    event = lambda uid, lines: f"BEGIN:VEVENT\r\nUID:{uid}\r\n{lines}END:VEVENT\r\n"
+    series = "DTSTART;TZID=Europe/Berlin:20260105T100000\r\nDTEND;TZID=Europe/Berlin:20260105T110000\r\nRRULE:FREQ=DAILY;UNTIL=20260109T085959Z\r\n"
+    text = event(1, "DTSTART:20260105T100000Z\r\n" + alarm) + event(2, alarm + series + "EXDATE:20260106T090000Z\r\nRDATE;TZID=Asia/Tokyo:20260120T180000\r\n") + event(3, "DTSTART;TZID=SE ASIA STANDARD TIME:20260105T100000\r\n") + event(4, "DTSTART;TZID=Nowhere:20260105T100000\r\n") + BERLIN + event(5, "DTSTART;TZID=Our Berlin:20260705T100000\r\nRECURRENCE-ID:20260705T080000Z\r\n")
+    got = {r.uid: r for r in calendar_events(spark.createDataFrame([(text,), (None,), ("",)], "text string"), default_zone="Europe/Paris").collect()}
+    assert got["1"].ends is None and got["1"].summary is None
+    assert (got["3"].zone, got["3"].zone_note) == ("Asia/Bangkok", None) and got["4"].zone == "Europe/Paris" and "Nowhere" in got["4"].zone_note
+    assert got["5"].own_zone == "Our Berlin" and got["5"].zone_note is None
+    assert got["2"].excluded == [dt.datetime(2026, 1, 6, 10)] and got["2"].added == [dt.datetime(2026, 1, 20, 10)]
+    events = spark.createDataFrame([got["2"]], calendar_events(spark.createDataFrame([(text,)], "text string")).schema)
+    none = events.limit(0).select("uid", "replaces", "starts", "ends", "zone")
+    at = lambda t: F.lit(t).cast("timestamp")
+    found = [r.starts for r in ingest.occurrences_between(events, none, at("2026-01-01"), at("2026-02-01")).orderBy("starts").collect()]
+    assert found == [dt.datetime(2026, 1, d, 9) for d in (5, 7, 8, 20)]  # the 6th is cancelled, the 9th at 9:00 is after UNTIL
+
+
+def test_hidden_parts_end_however_deep(spark):
+    html = "<p>before</p><div hidden>x" + "<b>" * 3000 + "</div><p>after text</p>"
+    assert one(spark, html_text(F.lit(html))) == "before\n\nafter text"
