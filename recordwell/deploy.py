@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -48,3 +50,26 @@ def ensure_checkpoint(spark: SparkSession) -> None:
     """Use the shared folder for checkpoints, too."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+_tables: list[tuple[SparkSession, str]] = []
+
+
+def kept(df: DataFrame, label: str = "rows") -> DataFrame:
+    """df as a table of the shared folder: its lineage ends there, and lost executors cost a re-read. The folder goes when the driver's process ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/recordwell-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _tables:
+        atexit.register(_sweep)
+    _tables.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _sweep() -> None:
+    for spark, path in _tables:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session may be gone already  # noqa: BLE001
+            return

@@ -62,7 +62,7 @@ def zone_name(written: Column, offset: Column | None = None, fallback: str | Non
     """
     bare = F.trim(F.regexp_replace(written, r'^"|"$', ""))
     inner = F.regexp_extract(bare, r"(?:^|/)((?:Africa|America|Antarctica|Asia|Atlantic|Australia|Etc|Europe|Indian|Pacific)/[A-Za-z0-9_+-]+(?:/[A-Za-z0-9_+-]+)?)$", 1)
-    windows = F.try_element_at(F.create_map(*(F.lit(x) for k, v in (WINDOWS | SHOWN).items() for x in (k.lower(), v))), F.lower(bare))
+    windows = F.try_element_at(F.str_to_map(F.lit("\n".join(f"{k.lower()}={v}" for k, v in (WINDOWS | SHOWN).items())), F.lit("\n"), F.lit("=")), F.lower(bare))
     fixed = lambda c: F.when(c.rlike(r"^(?:UTC|GMT)?[+-]\d{2}:?\d{2}$"), F.regexp_replace(c, r"^(?:UTC|GMT)?([+-]\d{2}):?(\d{2})$", "$1:$2"))
     known = F.coalesce(F.nullif(inner, F.lit("")), windows, F.when(bare.rlike(_iana), bare), fixed(bare))
     return F.coalesce(known, *([fixed(offset)] if offset is not None else []), F.lit(fallback).cast("string"))

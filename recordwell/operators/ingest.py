@@ -62,7 +62,7 @@ def version_actions(newest: DataFrame, stored: DataFrame) -> DataFrame:
 def occurrences_between(events: DataFrame, overrides: DataFrame, begin: Column, end: Column, transitions: DataFrame | None = None) -> DataFrame:
     """(uid, starts, ends) of all events that touch a window, recurring ones expanded within the row.
 
-    events: uid, starts and ends (wall clock), zone, rule (may be null), excluded and perhaps added (arrays); overrides: uid, replaces (wall clock), starts, ends, zone.
+    events: uid, starts and ends (wall clock), zone, rule (may be null), excluded and perhaps added and excluded_utc (arrays); overrides: uid, replaces (wall clock), starts, ends, zone.
     transitions: those of zones that calendars define themselves (own_zones.transitions), by uid, for events with an own_zone.
     """
     utc = lambda t, z: F.to_utc_timestamp(t.cast("timestamp"), z)
@@ -80,12 +80,13 @@ def occurrences_between(events: DataFrame, overrides: DataFrame, begin: Column,
     kept = F.array_except(F.array_union(local, more), F.coalesce("excluded", none))
     length = F.unix_seconds(F.col("ends").cast("timestamp")) - F.unix_seconds(F.col("starts").cast("timestamp"))
     own = F.col("own_zone") if "own_zone" in events.columns else F.lit(None).cast("string")
-    each = events.select("uid", "zone", own.alias("own_zone"), length.alias("length"), F.explode(kept).alias("at"))
+    without = F.coalesce("excluded_utc", none) if "excluded_utc" in events.columns else none
+    each = events.select("uid", "zone", own.alias("own_zone"), without.alias("without"), length.alias("length"), F.explode(kept).alias("at"))
     each = each.join(overrides.select("uid", F.col("replaces").alias("at")), ["uid", "at"], "left_anti")
     if transitions is not None:
         each = own_zones.to_utc(each, ["uid"], "own_zone", "at", transitions, "exact")
     exact = F.col("exact").cast("timestamp") if transitions is not None else F.lit(None).cast("timestamp")
-    plain = each.select("uid", F.coalesce(exact, utc(F.col("at"), F.col("zone"))).alias("starts"), "length").select("uid", "starts", F.timestamp_seconds(F.unix_seconds("starts") + F.col("length")).alias("ends"))
+    plain = each.select("uid", F.coalesce(exact, utc(F.col("at"), F.col("zone"))).alias("starts"), "length", "without").where(~F.array_contains("without", F.col("starts").cast("timestamp_ntz"))).select("uid", "starts", F.timestamp_seconds(F.unix_seconds("starts") + F.col("length")).alias("ends"))
     moved = overrides.select("uid", utc(F.col("starts"), F.col("zone")).alias("starts"), utc(F.col("ends"), F.col("zone")).alias("ends"))
     return plain.unionByName(moved).where((F.col("starts") < end) & ((F.col("ends") > begin) | ((F.col("ends") == F.col("starts")) & (F.col("starts") >= begin))))
 

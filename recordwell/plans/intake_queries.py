@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.recurrence import row_rule_days
-from ..operators import ingest, named
+from ..operators import ingest, named, own_zones
+from ..sources.mail import calendar_events
 from . import crm
 from .crm import MODEL, NOW, OPPORTUNITY
 from .registry import query, table
@@ -117,3 +118,31 @@ def get_incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
 def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "events").select(F.lit("company").alias("object"), F.col("user_id").cast("string").alias("record_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
     return named.timeline(log, crm.companies(spark, sf_dir), limit=100).select("seq", "title")
+
+
+_ICS = [
+    "BEGIN:VCALENDAR", "BEGIN:VTIMEZONE", "TZID:Our zone", "BEGIN:DAYLIGHT", "DTSTART:19810329T020000", "TZOFFSETFROM:+0100", "TZOFFSETTO:+0200", "RRULE:FREQ=YEARLY;BYMONTH=3;BYDAY=-1SU", "END:DAYLIGHT",
+    "BEGIN:STANDARD", "DTSTART:19961027T030000", "TZOFFSETFROM:+0200", "TZOFFSETTO:+0100", "RRULE:FREQ=YEARLY;BYMONTH=10;BYDAY=-1SU", "END:STANDARD", "END:VTIMEZONE", "BEGIN:VEVENT", "UID:{uid}", "DTSTART;TZID={zone}:2026032{d}T083000",
+    "BEGIN:VALARM", "TRIGGER:-PT10M", "DURATION:PT5M", "END:VALARM", "DURATION:PT45M", "RRULE:FREQ=DAILY;UNTIL=20261105T073000Z", "EXDATE:20260406T063000Z", "END:VEVENT", "END:VCALENDAR", "",
+]
+
+
+@query(
+    "calendar_occurrences",
+    """WITH d AS (SELECT s_suppkey AS uid, s_suppkey % 4 AS z, CAST(DATE '2026-03-20' + CAST(s_suppkey % 5 AS INTEGER) + CAST(k AS INTEGER) AS TIMESTAMP) + INTERVAL 510 MINUTE AS t FROM supplier, generate_series(0, 300) g(k)),
+u AS (SELECT uid, z, timezone('UTC', timezone(CASE WHEN z = 3 THEN 'Asia/Bangkok' ELSE 'Europe/Berlin' END, t)) AS t FROM d)
+SELECT CAST(uid AS VARCHAR) AS uid, strftime(t, '%Y-%m-%d %H:%M') AS starts, strftime(t + INTERVAL 45 MINUTE, '%H:%M') AS ends FROM u WHERE t <= TIMESTAMP '2026-11-05 07:30:00' AND t <> TIMESTAMP '2026-04-06 06:30:00'""",
+)
+def calendar_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily events over both switches of a year, from calendar texts: a zone of the calendar's own, a Windows name, a vendor's path, and one far away."""
+    k = F.col("s_suppkey")
+    zone = F.when(k % 4 == 0, "Our zone").when(k % 4 == 1, "W. Europe Standard Time").when(k % 4 == 2, "/vendor.example/tz/Europe/Berlin").otherwise("SE Asia Standard Time")
+    text = F.lit("\r\n".join(_ICS))
+    for name, column in (("{uid}", k.cast("string")), ("{zone}", zone), ("{d}", (k % 5).cast("string"))):
+        text = F.replace(text, F.lit(name), column)
+    texts = table(spark, sf_dir, "supplier").select(k.cast("string").alias("uid"), text.alias("text"))
+    events = calendar_events(texts.select("text"))
+    moves = own_zones.transitions(own_zones.observances(texts), ["uid"], 2026, 2026)
+    none = events.limit(0).select("uid", "replaces", "starts", "ends", "zone")
+    found = ingest.occurrences_between(events, none, F.lit("2026-03-01").cast("timestamp"), F.lit("2026-12-01").cast("timestamp"), moves)
+    return found.select("uid", F.date_format("starts", "yyyy-MM-dd HH:mm").alias("starts"), F.date_format("ends", "HH:mm").alias("ends"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.recurrence import cron_pattern
 from ..functions.text import guarded, redact, unguarded
-from ..operators import importing, ingest, timeline
+from ..operators import importing, ingest, timeline, workflow
 from ..streaming import triggers
 from . import crm
 
@@ -197,3 +197,79 @@ def trash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gone.where("crm_deleted_at is not null").agg(F.count(F.lit(1)).alias("n"))
 
 
+
+
+#: A workflow of nine steps: (parent, child, branch), and the steps that continue after a failure.
+_FLOW = [(1, 2, None), (2, 3, "a"), (2, 4, "b"), (2, 5, None), (3, 6, None), (4, 6, None), (5, 7, None), (6, 8, None), (7, 8, None), (7, 9, None)]
+_CONTINUES = (3, 7)
+
+
+@query(
+    "workflow_states",
+    """WITH RECURSIVE g AS (SELECT [[], [{'p': 1, 'b': NULL}], [{'p': 2, 'b': 'a'}], [{'p': 2, 'b': 'b'}], [{'p': 2, 'b': NULL}], [{'p': 3, 'b': NULL}, {'p': 4, 'b': NULL}], [{'p': 5, 'b': NULL}], [{'p': 6, 'b': NULL}, {'p': 7, 'b': NULL}], [{'p': 7, 'b': NULL}]] AS par),
+o AS (SELECT o_orderkey AS run_id, CASE o_orderstatus WHEN 'F' THEN 'a' WHEN 'O' THEN 'b' ELSE 'c' END AS br, list_transform(range(1, 10), lambda s: CASE (o_orderkey * 7 + s * 13) % 11 WHEN 0 THEN CASE WHEN s IN (3, 7) THEN 'FAILED_SAFELY!' ELSE 'FAILED' END WHEN 1 THEN 'STOPPED' WHEN 2 THEN 'PENDING' ELSE 'SUCCESS' END) AS oc FROM orders),
+r AS (SELECT run_id, br, oc, 0 AS k, list_transform(range(1, 10), lambda s: CASE WHEN s = 1 THEN oc[1] ELSE 'NOT_STARTED' END) AS st, list_transform(range(1, 10), lambda s: CASE WHEN s = 1 THEN 0 END) AS rd FROM o
+ UNION ALL SELECT run_id, br, oc, k, st, list_transform(range(1, 10), lambda s: CASE WHEN rd[s] IS NOT NULL THEN rd[s] WHEN st[s] <> 'NOT_STARTED' THEN k END) FROM (SELECT run_id, br, oc, r.k + 1 AS k, rd, list_transform(range(1, 10), lambda s: CASE WHEN st[s] <> 'NOT_STARTED' OR list_contains(st, 'FAILED') THEN st[s] WHEN len(list_filter(par[s], lambda x: st[x.p] IN ('NOT_STARTED', 'PENDING'))) > 0 THEN 'NOT_STARTED'
+  WHEN len(list_filter(par[s], lambda x: st[x.p] IN ('SUCCESS', 'FAILED_SAFELY!') AND (x.b IS NULL OR st[x.p] <> 'SUCCESS' OR x.b = br))) > 0 THEN oc[s] WHEN len(list_filter(par[s], lambda x: starts_with(st[x.p], 'FAILED_SAFELY'))) > 0 THEN 'FAILED_SAFELY' ELSE 'SKIPPED' END) AS st FROM r, g WHERE r.k < 9))
+SELECT run_id, s AS step, replace(st[s], '!', '') AS status, rd[s] AS round FROM r, (SELECT unnest(range(1, 10)) AS s) WHERE k = 9""",
+)
+def workflow_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run an order: two branches that meet again, failures that go on or end the run, steps that wait."""
+    steps = spark.createDataFrame([("w", s, s in _CONTINUES) for s in range(1, 10)], "workflow string, step long, continues boolean")
+    edges = spark.createDataFrame([("w", *e) for e in _FLOW], "workflow string, parent long, child long, branch string")
+    orders, run = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    runs = orders.select(run.alias("run_id"), F.lit("w").alias("workflow"))
+    branch = F.when(F.col("o_orderstatus") == "F", "a").when(F.col("o_orderstatus") == "O", "b").otherwise("c")
+    each = orders.select(run.alias("run_id"), branch.alias("b"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(9).cast("long"))).alias("step"))
+    digit = (F.col("run_id") * 7 + F.col("step") * 13) % 11
+    outcomes = each.where(digit != 2).select("run_id", "step", F.when(digit == 0, "ERROR").when(digit == 1, "STOPPED").otherwise("SUCCESS").alias("outcome"), F.when(F.col("step") == 2, F.col("b")).alias("branch"))
+    return workflow.scheduled(runs, steps, edges, steps.where("step = 1"), outcomes).drop("workflow")
+
+
+_STEPS = """e0 AS (SELECT o_custkey AS g, o_orderkey AS v, lead(o_orderkey) OVER w AS nx, lag(o_orderkey, 3) OVER w AS back FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+e AS (SELECT g, v AS a, nx AS b FROM e0 WHERE nx IS NOT NULL UNION SELECT g, v, back FROM e0 WHERE back IS NOT NULL AND v % 5 = 0 UNION SELECT g, v, v FROM e0 WHERE v % 97 = 0)"""
+_COMPONENTS = "p AS (SELECT g, a, b FROM {0} UNION SELECT p.g, p.a, x.b FROM p JOIN {0} x ON x.g = p.g AND x.a = p.b), c AS (SELECT p.g, p.a, max(p.b) AS m, count(*) AS n FROM p JOIN p q ON q.g = p.g AND q.a = p.b AND q.b = p.a GROUP BY 1, 2)"
+
+
+def _step_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph a customer: each order leads to the next; every fifth order leads back to the third before it, and a few to themselves."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    v = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("graph"), v.alias("src"), F.array(F.lead(v).over(w), F.when(v % 5 == 0, F.lag(v, 3).over(w)), F.when(v % 97 == 0, v)).alias("to"))
+    return o.select("graph", "src", F.explode(F.array_compact("to")).alias("dst"))
+
+
+@query("step_components", f"WITH RECURSIVE {_STEPS}, {_COMPONENTS.format('e')} SELECT v.g AS graph, v.v AS vertex, coalesce(c.m, v.v) AS component, coalesce(c.n, 1) AS size FROM (SELECT g, a AS v FROM e UNION SELECT g, b FROM e) v LEFT JOIN c ON c.g = v.g AND c.a = v.v")
+def step_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.strong_components(_step_edges(spark, sf_dir))
+
+
+_LOOPS = "body AS (SELECT x.g, x.back AS l, y.nx AS v FROM e0 x JOIN e0 y ON y.g = x.g AND y.v = x.back WHERE x.v % 10 = 0 AND y.nx <> x.back UNION SELECT body.g, body.l, e.b FROM body JOIN e ON e.g = body.g AND e.a = body.v WHERE e.b <> body.l)"
+
+
+@query("step_loop_bodies", f"WITH RECURSIVE {_STEPS}, {_LOOPS} SELECT g AS graph, l AS loop, v AS vertex FROM body")
+def step_loop_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.loop_bodies(_step_edges(spark, sf_dir), _loops(spark, sf_dir))
+
+
+def _loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the edges back, every second closes a loop: its step, and the first step of its body."""
+    edges = _step_edges(spark, sf_dir)
+    back = edges.where("src % 10 = 0 and dst < src").select("graph", F.col("dst").alias("loop"))
+    return back.join(edges.where("dst > src").select("graph", F.col("src").alias("loop"), F.col("dst").alias("vertex")), ["graph", "loop"])
+
+
+@query(
+    "step_cycles",
+    f"""WITH RECURSIVE {_STEPS}, {_LOOPS}, rest AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM body WHERE body.g = e.g AND body.v = e.a AND body.l = e.b)), {_COMPONENTS.format('rest')}
+SELECT g AS graph, a AS vertex, m AS component, n AS size FROM c""",
+)
+def step_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps on a cycle that closes no loop."""
+    edges = _step_edges(spark, sf_dir)
+    return workflow.faulty_cycles(edges, workflow.loop_bodies(edges, _loops(spark, sf_dir)))
+
+
+@query("step_closure", f"WITH RECURSIVE {_STEPS}, {_COMPONENTS.format('e')} SELECT g AS graph, a AS src, b AS dst FROM p")
+def step_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.closure(_step_edges(spark, sf_dir))

@@ -145,6 +145,7 @@ def calendar_events(df: DataFrame, text: str = "text", default_zone: str = "UTC"
     standard offset here, and own_zone is that name, for own_zones.to_utc. A name that nothing knows is read as default_zone, and
     zone_note says so. ends comes from DTEND or DURATION; excluded and added are the moments of EXDATE and RDATE, replaces that
     of a RECURRENCE-ID, which stands for one occurrence of a series: all on the event's own clock, in whatever zone they are written.
+    excluded_utc are the moments of EXDATE that are written in UTC.
     """
     kept = [c for c in df.columns if c != text]
     flat = unfolded(F.col(text))
@@ -166,7 +167,8 @@ def calendar_events(df: DataFrame, text: str = "text", default_zone: str = "UTC"
         zone = F.col("e_zone")
         other = F.when(v.endswith("Z"), "UTC").when(written != F.col("e_written"), zone_name(written, None, None))
         moved = F.from_utc_timestamp(F.to_utc_timestamp(wall(v).cast("timestamp"), other), zone).cast("timestamp_ntz")
-        return F.when(zone.isNotNull() & other.isNotNull() & (F.length(v) > 8), moved).otherwise(wall(v))
+        # In a zone that the calendar defines itself, moments in UTC are compared as instants.
+        return F.when(F.col("e_own").isNotNull() & v.endswith("Z"), None).when(zone.isNotNull() & other.isNotNull() & (F.length(v) > 8), moved).otherwise(wall(v))
 
     def moments(name: str) -> Column:
         pattern = rf"(?m)^{name}((?:;[^:\n]*)?):(.*?)\r?$"
@@ -174,6 +176,7 @@ def calendar_events(df: DataFrame, text: str = "text", default_zone: str = "UTC"
         values = F.flatten(F.transform(listed, lambda x: F.transform(F.split(x.getField("v"), r"\s*,\s*"), lambda v: on_own_clock(v, zone_of(x.getField("p"))))))
         return F.filter(values, lambda x: x.isNotNull())
 
+    excluded_utc = F.filter(F.transform(F.flatten(F.transform(F.regexp_extract_all(F.col("e"), F.lit(r"(?m)^EXDATE(?:;[^:\n]*)?:(.*?)\r?$"), F.lit(1)), lambda x: F.split(x, r"\s*,\s*"))), lambda v: F.when(v.endswith("Z"), wall(v))), lambda x: x.isNotNull())
     offset = F.get(F.filter("e_zones", lambda z: z.getField("name") == F.col("e_written")), F.lit(0)).getField("offset")
     known = zone_name(F.col("e_written"), None, None)
     zone = F.when(F.col("e_start").endswith("Z"), "UTC").when(F.col("e_written").isNotNull(), zone_name(F.col("e_written"), offset, default_zone))
@@ -188,6 +191,6 @@ def calendar_events(df: DataFrame, text: str = "text", default_zone: str = "UTC"
     note = F.when(F.col("e_written").isNotNull() & known.isNull() & F.col("e_own").isNull(), F.concat(F.lit("unknown time zone "), "e_written", F.lit(f", read as {default_zone}")))
     return lines.select(
         *kept, line("UID").alias("uid"), plain(line("SUMMARY")).alias("summary"), plain(line("LOCATION")).alias("location"), starts.alias("starts"), F.col("e_zone").alias("zone"), F.col("e_own").alias("own_zone"), note.alias("zone_note"), ends.alias("ends"),
-        (F.length("e_start") == 8).alias("whole_day"), line("RRULE").alias("rule"), moments("EXDATE").alias("excluded"), moments("RDATE").alias("added"), on_own_clock(line("RECURRENCE-ID"), zone_of(line("RECURRENCE-ID", 1))).alias("replaces"),
+        (F.length("e_start") == 8).alias("whole_day"), line("RRULE").alias("rule"), moments("EXDATE").alias("excluded"), excluded_utc.alias("excluded_utc"), moments("RDATE").alias("added"), on_own_clock(line("RECURRENCE-ID"), zone_of(line("RECURRENCE-ID", 1))).alias("replaces"),
         F.coalesce(line("SEQUENCE").try_cast("int"), F.lit(0)).alias("sequence"), wall(line("LAST-MODIFIED")).alias("modified"), (line("STATUS") == "CANCELLED").alias("cancelled"), line("CLASS").alias("class"),
     )
