@@ -21,9 +21,17 @@ def change_map(fields: list[str], old: str, new: str) -> Column:
     return F.map_filter(all_, lambda _, v: ~v.old.eqNullSafe(v.new))
 
 
-def upsert(records: DataFrame, rows: DataFrame, key: str, fields: list[str], stamp: Column, clear: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(next version, changes). rows has key and some of fields; a null leaves a value alone unless clear. Records in the trash come back."""
+def upsert(records: DataFrame, rows: DataFrame, key: str, fields: list[str], stamp: Column, clear: bool = False, order: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(next version, changes). rows has key and some of fields; a null leaves a value alone unless clear. Records in the trash come back.
+
+    Rows of one key count as one: of each field the last value by `order` (by the row's values without one) that isn't null, or with
+    clear the last row. A row without a key is refused with an error.
+    """
     given = [f for f in fields if f in rows.columns]
+    place = order if order is not None else F.struct(*(F.col(f) for f in given)) if given else F.lit(0)
+    placed = rows.select(F.when(F.col(key).isNull(), F.raise_error(F.lit("a row without a key can't be written")).cast(rows.schema[key].dataType)).otherwise(F.col(key)).alias(key), *given, place.alias("u_place"))
+    last = (lambda f: F.max_by(F.struct(f), F.struct(F.col("u_place"), F.col(f)))[f]) if clear else (lambda f: F.max_by(f, F.when(F.col(f).isNotNull(), F.struct(F.col("u_place"), F.col(f)))))
+    rows = placed.groupBy(key).agg(*([last(f).alias(f) for f in given] or [F.count(F.lit(1)).alias("u_n")]))
     old, new = records.select(F.col(key).alias("k_old"), F.struct("*").alias("o")), rows.select(F.col(key).alias("k_new"), F.struct("*").alias("n"))
     both = old.join(new, F.col("k_old") == F.col("k_new"), "full")
     kept = lambda f: F.col(f"o.{f}") if f not in given else (F.when(F.col("k_new").isNotNull(), F.col(f"n.{f}")).otherwise(F.col(f"o.{f}")) if clear else F.coalesce(F.col(f"n.{f}"), F.col(f"o.{f}")))
@@ -83,15 +91,48 @@ def repointed(links: DataFrame, column: str, id_map: DataFrame) -> DataFrame:
     return joined.withColumn(column, F.coalesce("new", column)).drop("old", "new")
 
 
+#: Identifiers that stand in the plan as a pattern, at most; more of them are a table, for erase_listed.
+MOST_IN_PLAN = 500
+#: Letters by which a text and an identifier meet.
+GRAM = 5
+
+
 def erase(df: DataFrame, texts: list[str], identifiers: list[str], mark: str = "[erased]") -> DataFrame:
     """df with every identifier (e-mails, names, numbers) taken out of its text columns, whatever their case."""
     longest = sorted({i for i in identifiers if i}, key=lambda i: (-len(i), i))
+    if len(longest) > MOST_IN_PLAN:
+        raise ValueError(f"more than {MOST_IN_PLAN} identifiers: give a table of them to erase_listed")
     if not longest:
         return df
-    pattern = "(?i)" + "|".join(rf"\Q{i}\E" for i in longest)
+    quoted = lambda i: "\\Q" + i.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    pattern = "(?iu)" + "|".join(map(quoted, longest))
     return df.withColumns({t: F.regexp_replace(t, pattern, mark) for t in texts})
 
 
+def erase_listed(df: DataFrame, key: str, texts: list[str], identifiers: DataFrame, mark: str = "[erased]") -> DataFrame:
+    """The same for a table (identifier) of any size; `key` names a row of df.
+
+    Texts meet identifiers in a join: an identifier is found by its first GRAM letters, which occur in the text if it does. What was met is
+    looked for in full, and only a row's own identifiers make its pattern, the longest first. Shorter identifiers go by one pattern of
+    them all (there are no more of them than such words: MOST_IN_PLAN, else this is refused).
+    """
+    listed = identifiers.select(F.lower("identifier").alias("i")).where("i is not null and i <> ''").distinct()
+    short = [r.i for r in listed.where(F.length("i") < GRAM).limit(MOST_IN_PLAN + 1).collect()]
+    long = listed.where(F.length("i") >= GRAM).select("i", F.substring("i", 1, GRAM).alias("gram"))
+    low = lambda t: F.lower(F.coalesce(F.col(t), F.lit("")))
+    grams = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low(t)) - GRAM + 1, F.lit(1))), lambda k: F.substring(low(t), k, F.lit(GRAM)))
+    every = F.array_distinct(F.flatten(F.array(*map(grams, texts))))
+    met = df.select(F.col(key).alias("e_key"), F.explode(every).alias("gram")).join(long, "gram").select("e_key", "i").distinct()
+    # Only rows that hold a beginning are looked at again.
+    whole = df.select(F.col(key).alias("e_key"), F.concat_ws("\n", *map(low, texts)).alias("e_text"))
+    held = whole.join(met, "e_key").where(F.contains("e_text", "i")).groupBy("e_key").agg(F.collect_set("i").alias("i"))
+    quoted = F.transform(F.array_sort("i", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), lambda i: F.concat(F.lit("\\Q"), F.replace(i, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    pattern = F.concat(F.lit("(?iu)"), F.array_join(quoted, "|"))
+    joined = df.join(held.select("e_key", pattern.alias("e_pattern")), F.col(key) == F.col("e_key"), "left")
+    clean = joined.withColumns({t: F.when(F.col("e_pattern").isNull(), F.col(t)).otherwise(F.regexp_replace(F.col(t), F.col("e_pattern"), F.lit(mark))) for t in texts})
+    return erase(clean.select(*(F.col(f"`{c}`") for c in df.columns)), texts, short, mark)
+
+
 def erase_everywhere(tables: dict[str, DataFrame], gone: DataFrame, ids: dict[str, str], texts: dict[str, list[str]], identifiers: list[str]) -> dict[str, DataFrame]:
     """Every table without the rows of erased records, and without their identifiers in the texts that stay.
 
@@ -123,9 +164,13 @@ def reverted(changes: DataFrame) -> DataFrame:
 
 
 def replayed(base: DataFrame, changes: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """The latest value of each field after a log of changes (key, at, changes) over base values, all as text."""
-    each = changes.select(key, "at", F.explode("changes").alias("field", "v"))
-    last = each.groupBy(key, "field").agg(F.max_by(F.struct(F.col("v.new").alias("new")), "at").alias("v"))
+    """The latest value of each field after a log of changes (key, at, changes) over base values, all as text.
+
+    Changes of one instant are in the order of the log: by its columns shard and seq, where it has them.
+    """
+    place = F.struct("at", *(c for c in ("shard", "seq") if c in changes.columns))
+    each = changes.select(key, place.alias("place"), F.explode("changes").alias("field", "v"))
+    last = each.groupBy(key, "field").agg(F.max_by(F.struct(F.col("v.new").alias("new")), "place").alias("v"))
     wide = last.groupBy(key).agg(*(F.max(F.when(F.col("field") == f, F.struct(F.lit(True).alias("set"), F.col("v.new").alias("new")))).alias(f"c_{f}") for f in fields))
     joined = base.join(wide, key, "full")
     return joined.select(key, *(F.when(F.col(f"c_{f}.set"), F.col(f"c_{f}.new")).otherwise(F.col(f).cast("string")).alias(f) for f in fields))

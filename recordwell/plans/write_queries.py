@@ -221,6 +221,21 @@ def cascade_destroy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("object", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "erase_listed",
+    "SELECT o_orderkey, sha256('Order ' || CAST(o_orderkey AS VARCHAR) || ' for ' || CASE WHEN c_custkey % 3 = 0 THEN '[erased]' ELSE upper(c_name) END || ', see c' || CASE WHEN c_custkey % 3 = 1 THEN CAST(c_custkey AS VARCHAR) || '@x.org' ELSE '[erased]' END) AS note FROM (SELECT o_orderkey, c_custkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey)",
+)
+def erased_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of every third customer and two thirds of the mail addresses, out of a note an order."""
+    customer, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    address = F.concat(k.cast("string"), F.lit("@x.org"))
+    gone = customer.select(F.explode(F.array(F.when(k % 3 == 0, F.col("c_name")), F.when(k % 3 != 1, F.concat(F.lit("see C"), address)))).alias("identifier"))
+    note = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" for "), F.upper("c_name"), F.lit(", see c"), address)
+    notes = table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == k).select("o_orderkey", note.alias("note"))
+    out = changes.erase_listed(notes, "o_orderkey", ["note"], gone)
+    return out.select("o_orderkey", F.sha2(F.replace("note", F.lit(", [erased]"), F.lit(", see c[erased]")), 256).alias("note"))
+
+
 @query("erase_identifiers", "SELECT c_custkey, CASE WHEN c_custkey IN (5, 17, 100) THEN 'Dear [erased]!' ELSE 'Dear ' || upper(c_name) || '!' END AS note FROM customer")
 def erased(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Dear "), F.upper("c_name"), F.lit("!")).alias("note"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from recordwell.context import Context, add_months, period
 from recordwell.functions.values import display, value
 from recordwell.deploy import ensure_checkpoint
-from recordwell.operators import aggregates, relations, timeline
+from recordwell.operators import aggregates, changes, relations, timeline
 from recordwell.operators.filters import FilterError, condition, implied, matching, problems, relative_range
 from recordwell.operators.sorting import SortError, page, sort_columns
 from recordwell.operators.step_filters import first_branch, leaf_condition, step_condition
@@ -204,3 +204,30 @@ def test_cascades_reach_the_end_of_long_chains_and_of_circles(spark):
     start = spark.createDataFrame([("part", "0")], "object string, id string")
     got = [tuple(r) for r in relations.cascade(start, edges, {("part", "parent"): "CASCADE", ("note", "about"): "SET_NULL"}).collect()]
     assert sorted(got) == sorted([("part", str(k), "DESTROY") for k in range(26)] + [("note", "n", "SET_NULL")])
+
+
+def test_upsert_of_repeated_and_missing_keys(spark):
+    records = spark.createDataFrame([(1, "a", "x", None, None)], "k long, name string, note string, crm_deleted_at timestamp, crm_updated_at timestamp")
+    rows = spark.createDataFrame([(1, 1, "b", None), (1, 2, None, "z"), (2, 5, "new", "n1"), (2, 6, "newer", None), (2, 6, "newer", None)], "k long, p int, name string, note string")
+    stamp = F.lit("2026-01-01").cast("timestamp")
+    now, log = changes.upsert(records, rows, "k", ["name", "note"], stamp, order=F.col("p"))
+    assert sorted((r.k, r.name, r.note) for r in now.collect()) == [(1, "b", "z"), (2, "newer", "n1")] and sorted((r.k, r.op) for r in log.collect()) == [(1, "update"), (2, "create")]
+    now, _ = changes.upsert(records, rows, "k", ["name", "note"], stamp, clear=True, order=F.col("p"))
+    assert sorted(((r.k, r.name, r.note) for r in now.collect()), key=repr) == [(1, None, "z"), (2, "newer", None)]
+    with pytest.raises(Exception, match="without a key"):
+        changes.upsert(records, spark.createDataFrame([(None, 1, "b", None)], rows.schema), "k", ["name"], stamp)[0].collect()
+    assert changes.upsert(records, rows.limit(0), "k", ["name"], stamp)[1].count() == 0
+
+
+def test_erasing_by_a_table(spark):
+    rows = [(1, r"Mail Ann.Roth@X.org, or ANN.ROTH@x.org.example"), (2, r"a \E b C:\Energy\Q x"), (3, None), (4, ""), (5, "Zoë ÄRGER, id 77"), (6, "ann.roth")]
+    df = spark.createDataFrame(rows, "k long, note string")
+    gone = [r"c:\energy\q", r"\E", "ann.roth@x.org", "ann.roth@x.org.example", "Zoë ärger", "77", None, ""]
+    table = spark.createDataFrame([(g,) for g in gone], "identifier string")
+    want = {1: "Mail [erased], or [erased]", 2: "a [erased] b [erased] x", 3: None, 4: "", 5: "[erased], id [erased]", 6: "ann.roth"}
+    assert {r.k: r.note for r in changes.erase_listed(df, "k", ["note"], table).collect()} == want
+    assert {r.k: r.note for r in changes.erase(df, ["note"], [g for g in gone if g]).collect()} == want
+    assert {r.k: r.note for r in changes.erase_listed(df, "k", ["note"], table.limit(0)).collect()} == dict(rows)
+    log = spark.createDataFrame([("a", dt.datetime(2026, 1, 1), 2, {"s": ("x", "late")}), ("a", dt.datetime(2026, 1, 1), 1, {"s": ("o", "x")})], "id string, at timestamp, seq int, changes map<string,struct<old:string,new:string>>")
+    base = spark.createDataFrame([("a", "o")], "id string, s string")
+    assert changes.replayed(base, log, "id", ["s"]).first().s == "late"
