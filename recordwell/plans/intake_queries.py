@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import shared_folder
 from ..functions.recurrence import row_rule_days
 from ..operators import ingest, named, own_zones
+from ..sources import delimited
 from ..sources.mail import calendar_events
 from . import crm
 from .crm import MODEL, NOW, OPPORTUNITY
@@ -146,3 +150,14 @@ def calendar_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = events.limit(0).select("uid", "replaces", "starts", "ends", "zone")
     found = ingest.occurrences_between(events, none, F.lit("2026-03-01").cast("timestamp"), F.lit("2026-12-01").cast("timestamp"), moves)
     return found.select("uid", F.date_format("starts", "yyyy-MM-dd HH:mm").alias("starts"), F.date_format("ends", "HH:mm").alias("ends"))
+
+
+@query("delimited_round_trip", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(lang, '') || '; "' || coalesce(source, '') || '"' AS note FROM documents""")
+def delimited_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, with their line breaks and quotes, written as delimited files and read again by splits."""
+    docs = table(spark, sf_dir, "documents")
+    note = F.concat(F.coalesce("lang", F.lit("")), F.lit('; "'), F.coalesce("source", F.lit("")), F.lit('"'))
+    cells = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), note.alias("note"))
+    path = f"{shared_folder(spark)}/recordwell-delimited-{uuid.uuid4().hex}"
+    cells.write.option("header", True).option("sep", ";").option("escape", '"').csv(path)
+    return delimited.read_table(spark, path).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "note")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..operators.pages import parsed
 from ..schema import ObjectType
+from .delimited import read_table, sniff_table  # noqa: F401
 
 EVENT = "event_id string, at timestamp, actor string, op string, object string, record_id string, txn string, changes map<string,array<string>>, origin struct<kind:string,ref:string,run_id:string,workflow:string>, caused_by string, schema_change boolean"
 
@@ -53,57 +52,6 @@ def read_events(spark: SparkSession, path: str, stream: bool = False) -> DataFra
     return rows.withColumn("changes", F.transform_values("changes", pair))
 
 
-#: What the older Windows encoding has where ISO 8859-1 has control characters.
-WINDOWS = "".join(bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
-LATIN_1 = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
-
-
-def sniff_table(head: str) -> dict[str, str]:
-    """Delimiter and header of a text table by its first lines: sep= lines count, else the delimiter whose columns are steadiest."""
-    lines = head.splitlines()
-    if lines and (m := re.fullmatch(r"sep=(.)", lines[0].strip(), re.I)):
-        return {"sep": m[1], "skip": "1"}
-
-    def steadiness(sep: str) -> tuple[float, int]:
-        widths = [len(r) for r in csv.reader(io.StringIO(head), delimiter=sep) if r]
-        common = max(set(widths), key=widths.count) if widths else 1
-        return (widths.count(common) / len(widths) if widths and common > 1 else 0.0, common)
-
-    return {"sep": max(";,\t|", key=steadiness), "skip": "0"}
-
-
-def unique_headers(names: list[str]) -> list[str]:
-    """Empty headers get a number, repeated ones a count."""
-    out: list[str] = []
-    for k, name in enumerate((n.strip() for n in names), 1):
-        name = name or f"(column {k})"
-        n, one = 2, name
-        while one in out:
-            one, n = f"{name} ({n})", n + 1
-        out.append(one)
-    return out
-
-
-def read_table(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """A delimited text table, all columns text, with row_no in file order and `broken` for rows of the wrong width.
-
-    Unless an encoding is given, a table is UTF-8 if all its bytes are, else of the older Windows encoding.
-    """
-    lines = spark.read.text(path)
-    old = encoding is None and not lines.where(~F.is_valid_utf8("value")).isEmpty()
-    head = "\n".join(bytes(r.b).decode("ISO-8859-1" if old else "UTF-8", "replace") for r in lines.limit(50).select(F.col("value").cast("binary").alias("b")).collect())
-    head = head.translate(str.maketrans(LATIN_1, WINDOWS)) if old else head
-    encoding = encoding or ("ISO-8859-1" if old else "UTF-8")
-    how = sniff_table(head)
-    first = head.splitlines()[int(how["skip"])] if head else ""
-    names = unique_headers(next(csv.reader([first.lstrip("﻿")], delimiter=how["sep"]), []))
-    schema = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField("_broken", T.StringType())])
-    rows = spark.read.schema(schema).option("sep", how["sep"]).option("header", how["skip"] == "0").option("multiLine", True).option("encoding", encoding).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").csv(path)
-    if old:
-        rows = rows.select(*(F.translate(F.col(f"`{c}`"), LATIN_1, WINDOWS).alias(c) for c in rows.columns))
-    return rows.withColumn("row_no", F.monotonically_increasing_id()).withColumn("broken", F.col("_broken").isNotNull()).drop("_broken")
-
-
 def read_json_table(spark: SparkSession, path: str, plural: str | None = None) -> DataFrame:
     """Rows of a JSON file: an array, {data: {plural: [...]}}, {data: {plural: {edges: [{node}]}}} or {plural: [...]}."""
     df = spark.read.option("multiLine", True).json(path)

@@ -13,6 +13,8 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from ..deploy import ship
+
 ROWS = "path string, sheet string, row_no int, cells array<string>, error string"
 MOST_BYTES = 200_000_000
 #: Built-in number formats that show dates.
@@ -21,6 +23,7 @@ DATE_FORMATS = {*range(14, 23), 45, 46, 47}
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """The first visible sheet of each workbook; a file that can't be read has one row with an error."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", True).load(path).select("path", "content")
     return files.mapInPandas(_sheets, ROWS)
 

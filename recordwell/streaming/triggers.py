@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..deploy import shared_folder
+from ..deploy import shared_folder, ship
 from ..functions.recurrence import cron_slots
 
 
@@ -88,6 +88,7 @@ def waits(requests_and_events: DataFrame) -> DataFrame:
             state.remove()
         yield pd.DataFrame(out, columns=["record_id", "run_id", "outcome"])
 
+    ship(requests_and_events.sparkSession)
     timed = requests_and_events.withWatermark("at", "10 minutes")
     return timed.groupBy("record_id").applyInPandasWithState(step, WAIT_OUT, WAIT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -144,6 +145,7 @@ def delay_stream(runs: DataFrame, late: str = "10 minutes") -> DataFrame:
         state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"run_id": [], "outcome": []}).astype("object")
 
+    ship(runs.sparkSession)
     return runs.withWatermark("entered_at", late).groupBy("run_id").applyInPandasWithState(step, "run_id string, outcome string", "until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
