@@ -164,29 +164,38 @@ def row_rule_days(rule: Column, start: Column, last: Column, more: int = 0) -> C
     until = F.try_to_date(F.substring(part("UNTIL"), 1, 8), "yyyyMMdd")
     end = F.least(last, F.coalesce(F.date_add(until, more), last))
     known = freq.isin("DAILY", "WEEKLY", "MONTHLY", "YEARLY") & (F.size(F.array_except(F.map_keys(parts), F.array(*map(F.lit, sorted(PARTS))))) == 0) & (every > 0) & ~F.exists(by_day, lambda m: m.w < 0)
-    month_no = lambda x: F.year(x) * 12 + F.month(x)
-    first_of_week = lambda x: F.date_sub(x, F.pmod(F.weekday(x) - week_start, F.lit(7)).cast("int"))
-
-    def holds(d: Column) -> Column:
-        in_period = (
-            F.when(freq == "DAILY", F.datediff(d, start) % every == 0)
-            .when(freq == "WEEKLY", (F.datediff(first_of_week(d), first_of_week(start)) / 7).cast("int") % every == 0)
-            .when(freq == "MONTHLY", (month_no(d) - month_no(start)) % every == 0)
-            .otherwise((F.year(d) - F.year(start)) % every == 0)
-        )
-        no_days, no_month_days, no_months = F.size(by_day) == 0, F.size(month_days) == 0, F.size(months) == 0
-        by_month_day = F.array_contains(month_days, F.dayofmonth(d)) | F.array_contains(month_days, F.datediff(d, F.last_day(d)) - 1)
-        in_year = (freq == "YEARLY") & no_months
-        from_start = F.floor((F.when(in_year, F.dayofyear(d)).otherwise(F.dayofmonth(d)) - 1) / 7) + 1
-        from_end = -(F.floor(F.datediff(F.when(in_year, F.make_date(F.year(d), F.lit(12), F.lit(31))).otherwise(F.last_day(d)), d) / 7) + 1)
-        plain = freq.isin("DAILY", "WEEKLY")
-        of_days = F.exists(by_day, lambda m: (m.w == F.weekday(d)) & ((m.n == 0) | plain | (m.n == from_start) | (m.n == from_end)))
-        own = F.when(freq == "WEEKLY", F.weekday(d) == F.weekday(start)).when(freq == "MONTHLY", F.dayofmonth(d) == F.dayofmonth(start)).when(freq == "YEARLY", (F.dayofmonth(d) == F.dayofmonth(start)) & (~no_months | (F.month(d) == F.month(start)))).otherwise(True)
-        return in_period & (no_months | F.array_contains(months, F.month(d))) & (no_month_days | by_month_day) & (no_days | of_days) & (~(no_days & no_month_days) | own)
-
-    days = F.filter(F.sequence(start, end), holds)
-    days = F.array_sort(F.array_union(F.array(start), days))
-    limited = F.slice(days, F.lit(1), F.coalesce(part("COUNT").try_cast("int"), F.size(days)))
+    # Bound once a row: within a lambda, each use of an expression is evaluated anew for every day.
+    bound = F.struct(
+        freq.alias("freq"), every.alias("every"), by_day.alias("by_day"), month_days.alias("month_days"), months.alias("months"), week_start.alias("week_start"),
+        start.alias("start"), end.alias("end"), part("COUNT").try_cast("int").alias("count"),
+    )
+
+    def expanded(r: Column) -> Column:
+        of = lambda name: r.getField(name)
+        month_no = lambda x: F.year(x) * 12 + F.month(x)
+        first_of_week = lambda x: F.date_sub(x, F.pmod(F.weekday(x) - of("week_start"), F.lit(7)).cast("int"))
+
+        def holds(d: Column) -> Column:
+            in_period = (
+                F.when(of("freq") == "DAILY", F.datediff(d, of("start")) % of("every") == 0)
+                .when(of("freq") == "WEEKLY", (F.datediff(first_of_week(d), first_of_week(of("start"))) / 7).cast("int") % of("every") == 0)
+                .when(of("freq") == "MONTHLY", (month_no(d) - month_no(of("start"))) % of("every") == 0)
+                .otherwise((F.year(d) - F.year(of("start"))) % of("every") == 0)
+            )
+            no_days, no_month_days, no_months = F.size(of("by_day")) == 0, F.size(of("month_days")) == 0, F.size(of("months")) == 0
+            by_month_day = F.array_contains(of("month_days"), F.dayofmonth(d)) | F.array_contains(of("month_days"), F.datediff(d, F.last_day(d)) - 1)
+            in_year = (of("freq") == "YEARLY") & no_months
+            from_start = F.floor((F.when(in_year, F.dayofyear(d)).otherwise(F.dayofmonth(d)) - 1) / 7) + 1
+            from_end = -(F.floor(F.datediff(F.when(in_year, F.make_date(F.year(d), F.lit(12), F.lit(31))).otherwise(F.last_day(d)), d) / 7) + 1)
+            plain = of("freq").isin("DAILY", "WEEKLY")
+            of_days = F.exists(of("by_day"), lambda m: (m.w == F.weekday(d)) & ((m.n == 0) | plain | (m.n == from_start) | (m.n == from_end)))
+            own = F.when(of("freq") == "WEEKLY", F.weekday(d) == F.weekday(of("start"))).when(of("freq") == "MONTHLY", F.dayofmonth(d) == F.dayofmonth(of("start"))).when(of("freq") == "YEARLY", (F.dayofmonth(d) == F.dayofmonth(of("start"))) & (~no_months | (F.month(d) == F.month(of("start"))))).otherwise(True)
+            return in_period & (no_months | F.array_contains(of("months"), F.month(d))) & (no_month_days | by_month_day) & (no_days | of_days) & (~(no_days & no_month_days) | own)
+
+        days = F.array_sort(F.array_union(F.array(of("start")), F.filter(F.sequence(of("start"), of("end")), holds)))
+        return F.slice(days, F.lit(1), F.coalesce(of("count"), F.size(days)))
+
+    limited = F.get(F.transform(F.array(bound), expanded), F.lit(0))
     return F.when(known & (end >= start), limited).when(known, F.array().cast("array<date>"))
 
 

@@ -74,7 +74,7 @@ def occurrences_between(events: DataFrame, overrides: DataFrame, begin: Column,
     day = F.try_to_date(F.nullif(F.regexp_extract(F.upper("rule"), r"UNTIL=(\d{8})", 1), F.lit("")), "yyyyMMdd")
     zone = F.coalesce("zone", F.lit("UTC"))
     in_time = lambda t: F.when(until.isNull(), day.isNull() | (F.to_date(t) <= day)).when(in_utc, utc(t, zone) <= until.cast("timestamp")).otherwise(t <= until)
-    local = F.filter(local, lambda t: (t == F.col("starts")) | in_time(t))
+    local = F.when(F.upper("rule").contains("UNTIL="), F.filter(local, lambda t: (t == F.col("starts")) | in_time(t))).otherwise(local)
     none = F.array().cast("array<timestamp_ntz>")
     more = F.coalesce("added", none) if "added" in events.columns else none
     kept = F.array_except(F.array_union(local, more), F.coalesce("excluded", none))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..deploy import shared_folder
+from ..deploy import kept, shared_folder
 from ..functions.recurrence import row_rule_days
 from ..operators import ingest, named, own_zones
 from ..sources import delimited
@@ -145,8 +145,8 @@ def calendar_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, column in (("{uid}", k.cast("string")), ("{zone}", zone), ("{d}", (k % 5).cast("string"))):
         text = F.replace(text, F.lit(name), column)
     texts = table(spark, sf_dir, "supplier").select(k.cast("string").alias("uid"), text.alias("text"))
-    events = calendar_events(texts.select("text"))
-    moves = own_zones.transitions(own_zones.observances(texts), ["uid"], 2026, 2026)
+    events = kept(calendar_events(texts.select("text")), "events")  # parsed once, then expanded
+    moves = kept(own_zones.transitions(own_zones.observances(texts), ["uid"], 2026, 2026), "moves")
     none = events.limit(0).select("uid", "replaces", "starts", "ends", "zone")
     found = ingest.occurrences_between(events, none, F.lit("2026-03-01").cast("timestamp"), F.lit("2026-12-01").cast("timestamp"), moves)
     return found.select("uid", F.date_format("starts", "yyyy-MM-dd HH:mm").alias("starts"), F.date_format("ends", "HH:mm").alias("ends"))
