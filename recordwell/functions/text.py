@@ -243,6 +243,58 @@ def redact(text: Column) -> Column:
     return text
 
 
+#: Own list of labels behind which a secret stands, on the same line or alone on one of the next two.
+SECRET_LABELS = ["password", "passwort", "kennwort", "passcode", "kenncode", "passphrase", "secret", "pin", "tan", "api key", "access token", "zugangscode", "mot de passe", "contraseña"]
+#: Own list of names of URL parameters that carry secrets.
+SECRET_PARAMETERS = ["token", "access_token", "id_token", "auth", "pwd", "password", "pass", "code", "key", "api_key", "apikey", "sig", "signature", "secret"]
+_labels = "(?:" + "|".join(x.replace(" ", "[ _-]?") for x in SECRET_LABELS) + ")"
+
+
+def redact_lines(text: Column) -> Column:
+    """A text whose secrets behind labels are replaced: `label: value` at the end of a line, or a single word of up to 128 characters
+    alone on the line after its label, an empty line between them allowed. Each line looks back on two, so the text is read once."""
+    mark = "[redacted:credential-line]"
+    heading = lambda line: line.rlike(rf"(?iu)^[ \t]*(?:[^:\n]{{0,40}}[ \t(])?{_labels}[ \t]*\)?[ \t]*:[ \t\r]*$")
+    blank = lambda line: line.rlike(r"^\s*$")
+
+    def passed(lines: Column) -> Column:
+        def one(line: Column, k: Column) -> Column:
+            first, second = F.get(lines, k - 1), F.get(lines, k - 2)
+            behind = (k > 0) & heading(first) | (k > 1) & blank(first) & heading(second)
+            alone = line.rlike(r"^\s*\S{1,128}\s*$") & ~line.contains("[redacted:")
+            said = F.regexp_replace(line, rf"(?iu)((?:^|[ \t(]){_labels}[ \t]*\)?[ \t]*:[ \t]*)(?!\[redacted:)\S{{3,128}}(?=[ \t\r]*$)", "$1" + mark)
+            return F.when(behind & alone, F.regexp_replace(line, r"\S+", mark)).otherwise(said)
+
+        return F.transform(lines, one)
+
+    # Bound once, as each line looks at its neighbours.
+    return F.array_join(F.get(F.transform(F.array(F.split(text, "\n")), passed), F.lit(0)), "\n")
+
+
+def redact_parameters(text: Column) -> Column:
+    """A text whose URLs have no value in parameters that are named like secrets."""
+    return F.regexp_replace(text, r"(?i)([?&;](?:" + "|".join(SECRET_PARAMETERS) + r")=)(?!\[redacted:)[^&;#\s\"'<>\])]+", "$1[redacted:url-parameter]")
+
+
+def redact_all(text: Column) -> Column:
+    """Credentials by their shapes, in URLs, and by the labels before them, on the same line or alone on a later one."""
+    for kind, pattern in SECRETS:
+        if kind != "credential-phrase":
+            text = F.regexp_replace(text, pattern, f"[redacted:{kind}]")
+    within = dict(SECRETS)["credential-phrase"].replace(r"\s*[:=]\s*", r"[ \t]*[:=][ \t]*").replace("""["']?[^""", r"""["']?(?!\[redacted:)[^""", 1)
+    return F.regexp_replace(redact_lines(redact_parameters(text)), within, "[redacted:credential-phrase]")
+
+
+def is_unsubscribe_address(address: Column) -> Column:
+    """Whether an address only takes cancellations: by a word of its local part, or of a label below its registered domain."""
+    a = normalize_email(address)
+    word = r"(?<![a-z])(?:unsubscribe|unsub|opt[.\-_]?out)(?![a-z])"
+    local, host = F.regexp_replace(a, "@[^@]*$", ""), email_host(a)
+    domain = registrable_domain(host)
+    below = F.when((domain != "") & (host != domain), F.substring(host, F.lit(1), F.length(host) - F.length(domain) - 1)).otherwise("")
+    return local.rlike(word) | F.exists(F.split(below, r"\."), lambda label: label.rlike(word))
+
+
 def secret_kinds(text: Column) -> Column:
     """The kinds of credentials that a text holds."""
     return F.filter(F.array(*(F.when(text.rlike(p), F.lit(k)) for k, p in SECRETS)), lambda k: k.isNotNull())

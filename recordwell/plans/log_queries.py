@@ -214,6 +214,31 @@ def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.where(F.size("kinds") > 0).select("doc_id", F.array_join("kinds", ",").alias("kinds"), F.sha2("clean", 256).alias("clean_sha256"))
 
 
+_LABELLED = "'Zugang ' || CAST(doc_id AS VARCHAR) || chr(10) || CASE doc_id % 5 WHEN 0 THEN 'Passwort:' || chr(10) || '  geheim' || doc_id WHEN 1 THEN 'Ihre PIN :' || chr(10) || chr(10) || 'x' || doc_id || ' ' WHEN 2 THEN 'Secret:' || chr(10) || 'two words' WHEN 3 THEN 'your passcode: abc' || doc_id ELSE 'see https://x.org/a?id=7&token=t' || doc_id || '#p' END || chr(10)"
+_MASKED = "'Zugang ' || CAST(doc_id AS VARCHAR) || chr(10) || CASE doc_id % 5 WHEN 0 THEN 'Passwort:' || chr(10) || '  [redacted:credential-line]' WHEN 1 THEN 'Ihre PIN :' || chr(10) || chr(10) || '[redacted:credential-line] ' WHEN 2 THEN 'Secret:' || chr(10) || 'two words' WHEN 3 THEN 'your passcode: [redacted:credential-line]' ELSE 'see https://x.org/a?id=7&token=[redacted:url-parameter]#p' END || chr(10)"
+
+
+@query("redact_by_line", f"SELECT doc_id, sha256({_MASKED} || {_clean}) AS clean_sha256 FROM documents")
+def redacted_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, each behind a label with its secret on the same line, on a later one, in a URL, or without one."""
+    made = F.expr(_LABELLED.replace("chr(10)", "'\\n'").replace("CAST(doc_id AS VARCHAR)", "CAST(doc_id AS STRING)"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.redact_all(F.concat(made, "text")), 256).alias("clean_sha256"))
+
+
+@query(
+    "unsubscribe_addresses",
+    "SELECT c_custkey, c_custkey % 7 IN (0, 1, 4) AS unsubscribes FROM customer",
+)
+def unsubscribe_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    t = k.cast("string")
+    made = [F.concat(F.lit("unsubscribe+"), t, F.lit("@x.org")), F.concat(F.lit("list-OPT-OUT."), t, F.lit("@x.org")), F.concat(F.lit("unsubscriber"), t, F.lit("@x.org")), F.concat(t, F.lit("@unsub.org")), F.concat(t, F.lit("@mail.unsub.shop.co.uk")), F.concat(t, F.lit("@unsubs.mail.org")), F.lit("")]
+    address = made[6]
+    for n in range(6):
+        address = F.when(k % 7 == n, made[n]).otherwise(address)
+    return table(spark, sf_dir, "customer").select("c_custkey", X.is_unsubscribe_address(address).alias("unsubscribes"))
+
+
 @query("label_quality_join", "SELECT lang, count(*) AS n, count(*) FILTER (quality = 1) AS n_true, count(*) FILTER (quality = 0) AS n_false, count(*) FILTER (quality IS NULL) AS n_empty FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")

@@ -245,3 +245,18 @@ def test_alarms_and_instants_of_calendars(spark):
 def test_hidden_parts_end_however_deep(spark):
     html = "<p>before</p><div hidden>x" + "<b>" * 3000 + "</div><p>after text</p>"
     assert one(spark, html_text(F.lit(html))) == "before\n\nafter text"
+
+
+def test_secrets_by_line(spark):
+    redact = lambda t: one(spark, X.redact_all(F.lit(t).cast("string")))
+    line, phrase = "[redacted:credential-line]", "[redacted:credential-phrase]"
+    assert redact("Hi\nKennwort:\r\n\r\n  s3cret! \r\nbye") == f"Hi\nKennwort:\r\n\r\n  {line} \r\nbye"
+    assert redact("Your PIN (TAN):\n123\nrest") == f"Your PIN (TAN):\n{line}\nrest"
+    assert redact("Passwort:\n\n\nlater") == "Passwort:\n\n\nlater" and redact("password:\ntwo words") == "password:\ntwo words" and redact("Passwort:") == "Passwort:"
+    assert redact("pin: 1234\nspin: 1234") == f"pin: {line}\nspin: 1234"
+    assert redact("the password: hunter22 and more") == f"the {phrase} and more"
+    assert redact("http://x.y/?a=1&TOKEN=ab%20c&b=2 (http://x.y/;pwd=z)") == "http://x.y/?a=1&TOKEN=[redacted:url-parameter]&b=2 (http://x.y/;pwd=[redacted:url-parameter])"
+    assert redact("") == "" and redact(None) is None
+    assert redact("x\n" * 30_000 + "PIN:\n99") == "x\n" * 30_000 + f"PIN:\n{line}"
+    takes = lambda a: one(spark, X.is_unsubscribe_address(F.lit(a).cast("string")))
+    assert takes("Opt.Out@x.org") and takes("a@unsub.mail.x.co.uk") and not takes("a@unsub.co.uk") and not takes("bob@x.org") and not takes("") and takes(None) is None
