@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.values import value
-from ..operators import graph, relations, search, timeline
+from ..operators import differences, graph, relations, search, timeline
 from ..operators.aggregates import aggregate_column
 from ..schema import Model
 from . import crm
@@ -258,3 +258,28 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     marked = F.concat(F.when(F.col("turn") % 2 == 0, "Re: AW:  ").otherwise("Fwd[2]: "), F.col("text"))
     return c.groupBy(X.subject_key(marked).alias("subject")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query(
+    "event_differences",
+    """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s FROM orders)
+SELECT k, '.a.x' AS path, 'changed' AS op, CAST(c AS VARCHAR) AS old, CAST(c + 1 AS VARCHAR) AS new FROM o WHERE k % 2 = 1
+UNION ALL SELECT k, '.a.y[' || n || ']', 'moved', '[' || m || ']', '[' || n || ']' FROM o, (VALUES (0, 2), (1, 0), (2, 1)) v(m, n) WHERE k % 3 = 0
+UNION ALL SELECT k, '.a.y[1]', 'changed', '2', '9' FROM o WHERE k % 3 = 1
+UNION ALL SELECT k, '.s', 'removed', '"' || s || '"', NULL FROM o WHERE k % 5 = 0
+UNION ALL SELECT k, '.t', 'added', NULL, '{"deep":["' || s || '"]}' FROM o WHERE k % 5 = 1
+UNION ALL SELECT k, '.l[0].q', 'changed', '"' || s || '"', 'null' FROM o WHERE k % 7 = 0
+UNION ALL SELECT k, '.m', 'changed', '1', '"1"' FROM o WHERE k % 11 = 0""",
+)
+def event_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changed between two nested values of each order: names, list items, moves; other spellings of a number are no change."""
+    k, c, s = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus")
+    t = lambda x: x.cast("string")
+    before = F.concat(F.lit('{"a":{"x":'), t(c), F.lit(',"y":[1,2,3]},"n":1.0,"s":"'), s, F.lit('","l":[{"q":"'), s, F.lit('"}],"m":1}'))
+    after = F.concat(
+        F.lit('{"n":10e-1,"a":{"y":'), F.when(k % 3 == 0, "[2,3,1]").when(k % 3 == 1, "[1,9,3]").otherwise("[1,2.0,3]"), F.lit(',"x":'), t(F.when(k % 2 == 1, c + 1).otherwise(c)), F.lit("}"),
+        F.when(k % 5 != 0, F.concat(F.lit(',"s":"'), s, F.lit('"'))).otherwise(""), F.when(k % 5 == 1, F.concat(F.lit(',"t":{"deep":["'), s, F.lit('"]}'))).otherwise(""),
+        F.lit(',"l":[{"q":'), F.when(k % 7 == 0, "null").otherwise(F.concat(F.lit('"'), s, F.lit('"'))), F.lit('}],"m":'), F.when(k % 11 == 0, '"1"').otherwise("1"), F.lit("}"),
+    )
+    rows = table(spark, sf_dir, "orders").select(k.alias("k"), before.alias("before"), after.alias("after"))
+    return differences.differences(rows, "k", "before", "after")
