@@ -11,7 +11,7 @@ from ..functions import numbers as N
 from ..functions.dates import parse_day
 from ..functions.formula import compile_many
 from ..functions.recurrence import cron_slots, occurrences
-from ..operators import changes, importing, relations
+from ..operators import changes, importing, relations, transactions
 from . import crm
 from .crm import MODEL
 from .registry import query, spread, table
@@ -273,3 +273,18 @@ def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = e.groupBy(F.col("user_id").alias("k")).agg(F.count(F.lit(1)).alias("n")).withColumn("stage", F.lit(None).cast("string"))
     out = changes.replayed(base.select("k", "stage"), log, "k", ["stage"])
     return out.join(base.select("k", "n"), "k")
+
+
+@query(
+    "transactions_decided",
+    """WITH t AS (SELECT o_orderkey AS txn, o_custkey AS k, o_orderkey % 6 = 0 OR (o_orderkey % 35 = 0 AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)) OR NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey) AND o_orderkey % 35 <> 0 AS old FROM orders)
+SELECT txn, CASE WHEN old THEN 'stale' WHEN row_number() OVER (PARTITION BY k, old ORDER BY txn) = 1 THEN 'accepted' ELSE 'conflict' END AS verdict FROM t""",
+)
+def transactions_decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transaction an order over its customer: some read an older version, some would create what is there; of the rest one a customer is accepted."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    operations = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("txn"), F.col("o_orderkey").alias("place"), F.col("o_custkey").alias("c_custkey"))
+    fields = ["c_name", "c_mktsegment"]
+    read = transactions.planned(operations, customer, "c_custkey", fields)
+    outdated = F.when(F.col("txn") % 6 == 0, "an older version").when(F.col("txn") % 35 == 0, F.lit(None)).otherwise(F.coalesce("read", F.lit("gone since")))
+    return transactions.decided(read.withColumn("read", outdated), transactions.versions(customer, "c_custkey", fields), "c_custkey")
