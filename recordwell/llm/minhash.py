@@ -289,7 +289,7 @@ def deduplicated(docs: DataFrame, width: int = 5, least: int = 80, out_of: int =
 
     Rows are linked by their texts alone: an id that comes with several texts joins no groups, and each of its texts stays or goes with
     its own group. Rows without an id go before others of their group, and of equal ids any one stays. Rows whose text has no words are
-    linked with nothing and all stay.
+    linked with nothing: they stay, but one a text of those that repeat an id.
     """
     ship(docs.sparkSession)
     key = "recordwell_row"
@@ -300,12 +300,17 @@ def deduplicated(docs: DataFrame, width: int = 5, least: int = 80, out_of: int =
     unique = ids.where("n > 1 or id is null").isEmpty()
     # Where ids don't name rows, rows get numbers, written with them so that they last.
     rows = docs.withColumn(key, own) if unique else written(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
-    found = _grouped(rows.select(F.col(key).alias("doc_id"), "text"), width, least, out_of).where("class is not null").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    every = _grouped(rows.select(F.col(key).alias("doc_id"), "text"), width, least, out_of).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"), "class")
+    found = every.where("class is not null").drop("class")
     if unique:
         gone = found.where("row <> component").select("row")
     else:
         found = written(found.join(rows.select(F.col(key).alias("row"), own.alias("id")), "row"), "components")
         heads = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
         gone = found.join(written(heads.select("component", F.col("head.row").alias("head")), "heads"), "component").where("row <> head").select("row")
+        empty = every.where("class is null").select("row").join(rows.select(F.col(key).alias("row"), own.alias("id"), "text").where("id is not null"), "row")
+        empty = written(empty, "wordless")
+        first = empty.groupBy("id", "text").agg(F.min("row").alias("row")).select("row")
+        gone = gone.union(empty.select("row").join(first, "row", "left_anti"))
     gone = sized(written(gone.select(F.col("row").alias(key)), "gone"))
     return rows.join(gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -36,6 +36,11 @@ ROW = "q_row"
 
 
 def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep`, and the statistics in columns q_*."""
+    return _statistics(docs, keep).select("keep.*", *NAMES)
+
+
+def _statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep`, as a struct of that name, and the statistics in columns q_*: names of docs meet none of ours."""
     text, n = F.col("q_text"), F.greatest(F.length("q_text"), F.lit(1))
     words, many = F.col("q_words"), F.greatest(F.size("q_words"), F.lit(1))
@@ -132,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleEnsembl
     usable = labels.select("doc_id", "quality").where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1))
     share = min(1.0, sample / max(1, usable.count()))
     chosen = usable.where(unit_hash(F.col("doc_id"), 9) < share)  # bounded by `sample`, so it may be broadcast
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["doc_id", "quality"])
+    rows = _statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["doc_id", "quality"])
     got = np.array(sorted(tuple(r) for r in rows.select("keep.quality", *NAMES).collect()), float).reshape(-1, 1 + len(NAMES))
     y, x = got[:, 0], got[:, 1:]
     if not len(y) or y.min() == y.max():
@@ -153,10 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleEnsembl
 
 def scored(docs: DataFrame, model: RuleEnsemble, least: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted), a row a document."""
-    found = statistics(docs, ["doc_id"]).select("keep.doc_id", held_out(F.col("keep.doc_id")).alias("held_out"), model.score().alias("score"))
+    found = _statistics(docs, ["doc_id"]).select("keep.doc_id", held_out(F.col("keep.doc_id")).alias("held_out"), model.score().alias("score"))
     return found.withColumn("predicted", (F.col("score") >= least).cast("int"))
 
 
 def good(docs: DataFrame, model: RuleEnsemble, least: float = 0.3) -> DataFrame:
     """The documents, with all their columns, that score at least `least`."""
-    return statistics(docs, docs.columns).where((model.score() >= least) & (F.col(ROW) >= 0)).select("keep.*")
+    return _statistics(docs, docs.columns).where((model.score() >= least) & (F.col(ROW) >= 0)).select("keep.*")
