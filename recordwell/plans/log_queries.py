@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import shared_folder
 from ..functions import text as X
 from ..functions.values import value
 from ..operators import differences, graph, relations, search, timeline
 from ..operators.aggregates import aggregate_column
 from ..schema import Model
+from ..sources import change_log, sinks
 from . import crm
 from .crm import MODEL, OPPORTUNITY
 from .registry import query, spread, table
@@ -283,3 +286,26 @@ def event_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "orders").select(k.alias("k"), before.alias("before"), after.alias("after"))
     return differences.differences(rows, "k", "before", "after")
+
+
+@query(
+    "log_cursor_rounds",
+    "SELECT CAST(event_id AS VARCHAR) AS event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, CASE WHEN event_id % 3 = 0 THEN 'create' ELSE 'update' END AS op, CAST(user_id AS VARCHAR) AS record_id, CASE WHEN event_id % 3 <> 0 THEN 'lead' END AS before, event_type AS after, CAST(1 AS BIGINT) AS n_read FROM events",
+)
+def log_cursor_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events appended to a log of monthly shards in two writes, and read in two rounds: up to a cursor amid each shard, and behind it."""
+    e, text = table(spark, sf_dir, "events"), F.lit(None).cast("string")
+    new = F.col("event_id") % 3 == 0
+    log = e.select(
+        F.col("event_id").cast("string").alias("event_id"), F.col("ts").cast("timestamp").alias("at"), F.lit("ann").alias("actor"), F.when(new, "create").otherwise("update").alias("op"), F.lit("deal").alias("object"), F.col("user_id").cast("string").alias("record_id"),
+        F.create_map(F.lit("stage"), F.array(F.when(~new, "lead"), F.col("event_type"))).alias("changes"), F.struct(F.lit("cli").alias("kind"), text.alias("ref")).alias("origin"),
+    )
+    path = f"{shared_folder(spark)}/recordwell-log-{uuid.uuid4().hex}"
+    sinks.append_events(log.where(new), path)
+    sinks.append_events(log.where(~new), path)
+    cursor = change_log.log_end(spark, path).select("shard", F.expr("line div 2").alias("line"))
+    first = change_log.read_events(spark, path).join(cursor, "shard").where("seq <= line").drop("line")
+    both = first.unionByName(change_log.read_events(spark, path, cursor), allowMissingColumns=True)
+    stage = F.col("changes")["stage"]
+    rows = both.select("event_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "op", "record_id", stage.old.alias("before"), stage.new.alias("after"))
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n_read"))

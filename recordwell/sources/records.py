@@ -10,10 +10,9 @@ from pyspark.sql import types as T
 
 from ..operators.pages import parsed
 from ..schema import ObjectType
+from .change_log import EVENT, read_events  # noqa: F401
 from .delimited import read_table, sniff_table  # noqa: F401
 
-EVENT = "event_id string, at timestamp, actor string, op string, object string, record_id string, txn string, changes map<string,array<string>>, origin struct<kind:string,ref:string,run_id:string,workflow:string>, caused_by string, schema_change boolean"
-
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, data, is_list, body, bad_lines) of Markdown files below a folder."""
@@ -43,15 +42,6 @@ def read_records(spark: SparkSession, path: str, of: ObjectType) -> DataFrame:
     return rows.select("path", *columns, F.filter(F.array(*unread), lambda x: x.isNotNull()).alias("unread"))
 
 
-def read_events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """The change log: monthly shards of JSON lines, in one order by (at, shard, seq). A stream knows no line
-    numbers: its seq is a hash of the event's id, so events of one instant have an order that never changes."""
-    reader = (spark.readStream if stream else spark.read).schema(EVENT).option("pathGlobFilter", "*.jsonl")
-    rows = reader.json(path).withColumn("shard", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)).withColumn("seq", F.monotonically_increasing_id() if not stream else F.xxhash64("event_id"))
-    pair = lambda _, v: F.struct(F.get(v, F.lit(0)).alias("old"), F.get(v, F.lit(1)).alias("new"))
-    return rows.withColumn("changes", F.transform_values("changes", pair))
-
-
 def read_json_table(spark: SparkSession, path: str, plural: str | None = None) -> DataFrame:
     """Rows of a JSON file: an array, {data: {plural: [...]}}, {data: {plural: {edges: [{node}]}}} or {plural: [...]}."""
     df = spark.read.option("multiLine", True).json(path)
