@@ -4,7 +4,8 @@ Rules mark pages; a host's allowed pages are its trust seed, its blocked pages i
 seed. Trust flows along links (personalised PageRank); distrust flows against them, to
 hosts that link to bad ones. A host without links in the direction of flow keeps its mass.
 A host is blocked if its distrust exceeds its trust by more than `threshold` a page.
-All of it is DataFrame work; the state has a row a host and kind.
+All of it is DataFrame work; the state has a row a host and kind. A host that very many link
+to, or that links to very many, is a hub: its links are dealt among several join keys.
 
 Defined results: a null URL, or one without ://, has an empty host and path and can fit no rule;
 pages of an empty host are judged like those of any host. Repeated rows count as often as they
@@ -62,15 +63,22 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", lowered(F.col("dst")).alias("dst")).where("src <> dst").distinct()
 
 
-def flows(edges: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(kind, src, dst, share): where a unit of trust or distrust goes from src."""
+#: Links of one host that one join key holds, about; a hub's are dealt among as many keys as that takes.
+HUB = 20_000
+
+
+def flows(edges: DataFrame, hosts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((kind, src, slot, dst, share): where a unit of trust or distrust goes from src; (kind, src, slots) of hubs, whose links have several slots)."""
     along = edges.select(F.lit("trust").alias("kind"), "src", "dst")
     against = edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"))
     moving = along.unionAll(against)
-    degree = moving.groupBy("kind", "src").agg((1 / F.count(F.lit(1))).alias("share"))
+    counted = moving.groupBy("kind", "src").agg(F.count(F.lit(1)).alias("n"))
+    degree = written(counted.select("kind", "src", (1 / F.col("n")).alias("share"), F.ceil(F.col("n") / HUB).alias("slots")), "degrees")
     kinds = hosts.select("host", F.explode(F.array(F.lit("trust"), F.lit("distrust"))).alias("kind"))
     staying = kinds.join(degree.withColumnRenamed("src", "host"), ["kind", "host"], "left_anti")
-    return moving.join(degree, ["kind", "src"]).unionByName(staying.select("kind", F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("share")))
+    dealt = moving.join(sized(degree), ["kind", "src"]).select("kind", "src", F.pmod(F.xxhash64("dst"), F.col("slots")).alias("slot"), "dst", "share")
+    stays = staying.select("kind", F.col("host").alias("src"), F.lit(0).cast("long").alias("slot"), F.col("host").alias("dst"), F.lit(1.0).alias("share"))
+    return dealt.unionByName(stays), degree.where("slots > 1").select("kind", "src", "slots")
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, stretch: int = 5, tolerance: float = 1e-3) -> DataFrame:
@@ -81,7 +89,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, stretch
     tolerance * damping^stretch / (1 - damping^stretch) any more. The same bound gives the rounds after which it must hold.
     """
     hosts = seeds.select("host").union(edges.select("src")).union(edges.select("dst")).distinct()
-    paths = written(flows(edges, hosts), "flows")
+    links, hubs = flows(edges, hosts)
+    paths, hubs = written(links, "flows"), sized(hubs)
     start = seeds.select("host", "kind", ((1 - damping) * F.col("mass")).alias("mass"))
     total = seeds.agg(F.sum("mass")).first()[0] or 0.0
     rounds = stretch + max(0, ceil(log(max(2 * total, tolerance) / tolerance) / -log(damping)))
@@ -89,7 +98,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, stretch
     for _ in range(0, rounds, stretch):
         before = state
         for _ in range(stretch):
-            moved = state.withColumnRenamed("host", "src").join(paths, ["kind", "src"]).select(F.col("dst").alias("host"), "kind", (damping * F.col("mass") * F.col("share")).alias("mass"))
+            dealt = state.withColumnRenamed("host", "src").join(hubs, ["kind", "src"], "left").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("slots", F.lit(1).cast("long")) - 1)))
+            moved = dealt.join(paths, ["kind", "src", "slot"]).select(F.col("dst").alias("host"), "kind", (damping * F.col("mass") * F.col("share")).alias("mass"))
             state = moved.unionByName(start).groupBy("host", "kind").agg(F.sum("mass").alias("mass"))
         state = written(state, "trust")
         shift = state.join(before.withColumnRenamed("mass", "was"), ["host", "kind"], "full").agg(F.sum(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0] or 0.0

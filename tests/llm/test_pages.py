@@ -169,6 +169,24 @@ def test_propagation_equals_a_dense_power_iteration(spark):
         assert np.allclose([got.get((name(k), kind), 0.0) for k in range(n)], mass, atol=1e-5)
 
 
+def test_a_hub_is_dealt_among_keys(spark, monkeypatch):
+    """A star: many hosts link to one blocked host, which links to few. No join key holds more than about HUB links, and masses are the same."""
+    n, few = 2000, 3
+    edges = spark.createDataFrame([(f"l{k}", "hub") for k in range(n)] + [("hub", f"o{k}") for k in range(few)], "src string, dst string")
+    seeds = spark.createDataFrame([("hub", "distrust", 500.0), ("hub", "trust", 3.0), ("l7", "trust", 2.0)], "host string, kind string, mass double")
+    found = lambda: {(r.host, r.kind): r.mass for r in url_trust.propagate(seeds, edges).collect()}
+    plain = found()
+    monkeypatch.setattr(url_trust, "HUB", 100)
+    hosts = edges.select(F.col("src").alias("host")).union(edges.select("dst")).distinct()
+    links, hubs = url_trust.flows(edges, hosts)
+    assert [tuple(r) for r in hubs.collect()] == [("distrust", "hub", 20)]
+    keys = links.groupBy("kind", "src", "slot").count().collect()
+    assert max(r["count"] for r in keys) < 200 and sum(r["count"] for r in keys) == 2 * (n + few) + n + few
+    dealt = found()
+    assert set(dealt) == set(plain) and all(dealt[k] == pytest.approx(plain[k], abs=1e-9) for k in plain)
+    assert plain["l5", "distrust"] == pytest.approx(500 * 0.15 * 0.85 / n / (1 - 0.85), rel=1e-2)  # a leaf keeps what it gets
+
+
 def test_trust_reaches_the_end_of_a_long_chain(spark):
     """Forty links on, mass is 0.85^40 of the seed's: still found where the seed is large enough."""
     edges = spark.createDataFrame([(f"c{k}", f"c{k + 1}") for k in range(40)], "src string, dst string")
