@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..deploy import shared_folder
-from ..operators import graph, pages, schema_changes
+from ..operators import front_matter, graph, pages, schema_changes
 from ..schema import Field, Option
 from ..sources import mail, sinks
 from ..streaming import triggers
@@ -206,3 +206,28 @@ def trigger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = triggers.runs(_changes(source), TRIGGERS, late="40 days")
     stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/cursor").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows").groupBy("workflow").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "page_properties_typed",
+    """WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS k, lang, source, text FROM documents)
+SELECT doc_id, 'Page ' || k || ': ' || coalesce(lang, '') AS title, doc_id AS n, k AS code, CAST(doc_id + 0.5 AS DOUBLE) AS ratio, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 2 = 0 END AS flag, TRUE AS checked, coalesce(source, '') || '|x, y|' || CAST(doc_id % 3 AS VARCHAR) AS tags, 'it''s|' || k AS notes, 'BIGINT STRING VOID' AS kinds, sha256(coalesce(text, '')) AS body_sha256, 0 AS n_problems FROM d""",
+)
+def properties_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as pages: their typed properties read, one set and one taken away, written as text and read again."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    k, none = n.cast("string"), F.lit("")
+    lines = [
+        F.concat(F.lit('# page\ntitle: "Page '), k, F.lit(": "), F.coalesce("lang", none), F.lit('"')), F.concat(F.lit("n: "), k), F.concat(F.lit('code: "'), k, F.lit('"')), F.concat(F.lit("ratio: "), k, F.lit(".5")), F.concat(F.lit("flag: "), F.when(n % 2 == 0, "True").otherwise("false")),
+        F.concat(F.lit("gone: ~\ntags: ['"), F.coalesce("source", none), F.lit("', \"x, y\", "), (n % 3).cast("string"), F.lit("]")), F.concat(F.lit("notes:\n  - 'it''s'\n  # a comment\n  - "), k),
+    ]
+    page = F.concat(F.lit("---\n"), F.array_join(F.array(*lines), "\n"), F.lit("\n---\n"), F.coalesce("text", none))
+    read = front_matter.typed(d.select("doc_id", page.alias("text")))
+    data = front_matter.put(F.when(n % 4 == 0, front_matter.put(F.col("data"), "flag", None)).otherwise(F.col("data")), "checked", F.lit(True).cast("variant"))
+    again = front_matter.typed(read.select("doc_id", F.concat(front_matter.head_text(data, F.col("comments")), "body").alias("text")))
+    of = lambda name: F.try_element_at("data", F.lit(name))
+    texts = lambda name: F.array_join(of(name).cast("array<string>"), "|")
+    return again.select(
+        "doc_id", of("title").cast("string").alias("title"), of("n").cast("bigint").alias("n"), of("code").cast("string").alias("code"), of("ratio").cast("double").alias("ratio"), of("flag").cast("boolean").alias("flag"), of("checked").cast("boolean").alias("checked"),
+        texts("tags").alias("tags"), texts("notes").alias("notes"), F.concat_ws(" ", *(F.schema_of_variant(of(x)) for x in ("n", "code", "gone"))).alias("kinds"), F.sha2("body", 256).alias("body_sha256"), F.size("problems").alias("n_problems"),
+    )
