@@ -290,7 +290,7 @@ def event_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "log_cursor_rounds",
-    "SELECT CAST(event_id AS VARCHAR) AS event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, CASE WHEN event_id % 3 = 0 THEN 'create' ELSE 'update' END AS op, CAST(user_id AS VARCHAR) AS record_id, CASE WHEN event_id % 3 <> 0 THEN 'lead' END AS before, event_type AS after, CAST(1 AS BIGINT) AS n_read FROM events",
+    "SELECT CAST(event_id AS VARCHAR) AS event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS happened, CASE WHEN event_id % 3 = 0 THEN 'create' ELSE 'update' END AS op, CAST(user_id AS VARCHAR) AS record_id, CASE WHEN event_id % 3 <> 0 THEN 'lead' END AS old_stage, event_type AS new_stage, CAST(1 AS BIGINT) AS n_read FROM events",
 )
 def log_cursor_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events appended to a log of monthly shards in two writes, and read in two rounds: up to a cursor amid each shard, and behind it."""
@@ -307,5 +307,5 @@ def log_cursor_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = change_log.read_events(spark, path).join(cursor, "shard").where("seq <= line").drop("line")
     both = first.unionByName(change_log.read_events(spark, path, cursor), allowMissingColumns=True)
     stage = F.col("changes")["stage"]
-    rows = both.select("event_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "op", "record_id", stage.old.alias("before"), stage.new.alias("after"))
+    rows = both.select("event_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("happened"), "op", "record_id", stage.old.alias("old_stage"), stage.new.alias("new_stage"))
     return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n_read"))
