@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..deploy import kept
 from .importing import unique_key
 
 CHANGES = "map<string,struct<old:string,new:string>>"
@@ -95,6 +96,10 @@ def repointed(links: DataFrame, column: str, id_map: DataFrame) -> DataFrame:
 MOST_IN_PLAN = 500
 #: Letters by which a text and an identifier meet.
 GRAM = 5
+#: Letters of a piece of a text, but for its overlap.
+PIECE = 256
+#: Beginnings of identifiers up to which they are broadcast.
+BROADCAST_BEGINNINGS = 100_000
 
 
 def erase(df: DataFrame, texts: list[str], identifiers: list[str], mark: str = "[erased]") -> DataFrame:
@@ -112,20 +117,28 @@ def erase(df: DataFrame, texts: list[str], identifiers: list[str], mark: str = "
 def erase_listed(df: DataFrame, key: str, texts: list[str], identifiers: DataFrame, mark: str = "[erased]") -> DataFrame:
     """The same for a table (identifier) of any size; `key` names a row of df.
 
-    Texts meet identifiers in a join: an identifier is found by its first GRAM letters, which occur in the text if it does. What was met is
-    looked for in full, and only a row's own identifiers make its pattern, the longest first. Shorter identifiers go by one pattern of
+    Texts meet identifiers in joins. Where a text holds the first GRAM letters of any identifier, the stretches of it that are as long as one of those with
+    that beginning are taken, and only a stretch that is an identifier, letter by letter, is found; so beginnings that many identifiers share cost no more than
+    their different lengths. A row's own identifiers make its pattern, the longest first. Shorter identifiers go by one pattern of
     them all (there are no more of them than such words: MOST_IN_PLAN, else this is refused).
     """
     listed = identifiers.select(F.lower("identifier").alias("i")).where("i is not null and i <> ''").distinct()
     short = [r.i for r in listed.where(F.length("i") < GRAM).limit(MOST_IN_PLAN + 1).collect()]
-    long = listed.where(F.length("i") >= GRAM).select("i", F.substring("i", 1, GRAM).alias("gram"))
-    low = lambda t: F.lower(F.coalesce(F.col(t), F.lit("")))
-    grams = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low(t)) - GRAM + 1, F.lit(1))), lambda k: F.substring(low(t), k, F.lit(GRAM)))
-    every = F.array_distinct(F.flatten(F.array(*map(grams, texts))))
-    met = df.select(F.col(key).alias("e_key"), F.explode(every).alias("gram")).join(long, "gram").select("e_key", "i").distinct()
-    # Only rows that hold a beginning are looked at again.
-    whole = df.select(F.col(key).alias("e_key"), F.concat_ws("\n", *map(low, texts)).alias("e_text"))
-    held = whole.join(met, "e_key").where(F.contains("e_text", "i")).groupBy("e_key").agg(F.collect_set("i").alias("i"))
+    long = kept(listed.where(F.length("i") >= GRAM), "identifiers")
+    beginnings = kept(long.groupBy(F.substring("i", 1, GRAM).alias("gram")).agg(F.collect_set(F.length("i")).alias("lengths")), "beginnings")
+    if beginnings.limit(BROADCAST_BEGINNINGS + 1).count() <= BROADCAST_BEGINNINGS:
+        beginnings = F.broadcast(beginnings)
+    # Long texts are cut into overlapping pieces, then into letters: to count from a text's start for each place would cost the square of its length.
+    every = df.select(F.col(key).alias("e_key"), F.posexplode(F.array(*(F.lower(F.col(t)) for t in texts))).alias("e_text", "text")).where(F.length("text") >= GRAM)
+    pieces = every.select("e_key", "e_text", F.posexplode(F.regexp_extract_all("text", F.lit(rf"(?s)(?=(.{{1,{PIECE + GRAM - 1}}}))(?:.{{{PIECE}}}|.+)"), F.lit(1))).alias("n", "piece")).where(F.length("piece") >= GRAM)
+    grams = F.transform(F.sequence(F.lit(1), F.length("piece") - GRAM + 1), lambda k: F.substring("piece", k, F.lit(GRAM)))
+    begun = pieces.select("e_key", "e_text", "n", F.posexplode(grams).alias("k", "gram")).join(beginnings, "gram")
+    begun = begun.groupBy("e_key", "e_text").agg(F.collect_set(F.struct((F.col("n") * PIECE + F.col("k") + 1).alias("at"), "lengths")).alias("begun"))
+    asked = every.join(begun, ["e_key", "e_text"]).withColumn("letters", F.split("text", ""))
+    stretches = F.transform("begun", lambda b: F.transform(b.lengths, lambda n: F.when(b.at + n - 1 <= F.size("letters"), F.array_join(F.slice("letters", b.at, n), ""))))
+    each = F.flatten(stretches)
+    met = asked.select("e_key", F.explode(F.array_distinct(each)).alias("i")).where("i is not null")
+    held = met.join(long, "i").groupBy("e_key").agg(F.collect_set("i").alias("i"))
     quoted = F.transform(F.array_sort("i", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), lambda i: F.concat(F.lit("\\Q"), F.replace(i, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
     pattern = F.concat(F.lit("(?iu)"), F.array_join(quoted, "|"))
     joined = df.join(held.select("e_key", pattern.alias("e_pattern")), F.col(key) == F.col("e_key"), "left")

@@ -1,6 +1,7 @@
 """Known answers for filters, aggregates, stages and displays."""
 
 import datetime as dt
+import time
 from decimal import Decimal
 
 import pytest
@@ -228,6 +229,13 @@ def test_erasing_by_a_table(spark):
     assert {r.k: r.note for r in changes.erase_listed(df, "k", ["note"], table).collect()} == want
     assert {r.k: r.note for r in changes.erase(df, ["note"], [g for g in gone if g]).collect()} == want
     assert {r.k: r.note for r in changes.erase_listed(df, "k", ["note"], table.limit(0)).collect()} == dict(rows)
+    # Identifiers of one beginning meet a text by their whole length, not by that: else each text met every one of them.
+    many = spark.range(20_000).select(F.concat(F.lit("Customer#"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("identifier"))
+    notes = spark.range(20_000).select(F.col("id").alias("k"), F.concat(F.repeat(F.lit("é"), (F.col("id") % 600).cast("int")), F.lit("CUSTOMER#"), F.lpad((F.col("id") * 2).cast("string"), 6, "0"), F.lit("!")).alias("note"))
+    began = time.monotonic()
+    erased = changes.erase_listed(notes, "k", ["note"], many).select("k", F.replace("note", F.lit("é"), F.lit("")).alias("note"))
+    assert erased.where("note <> if(k < 10000, '[erased]!', 'CUSTOMER#' || lpad(string(k * 2), 6, '0') || '!')").count() == 0
+    assert time.monotonic() - began < 120
     log = spark.createDataFrame([("a", dt.datetime(2026, 1, 1), 2, {"s": ("x", "late")}), ("a", dt.datetime(2026, 1, 1), 1, {"s": ("o", "x")})], "id string, at timestamp, seq int, changes map<string,struct<old:string,new:string>>")
     base = spark.createDataFrame([("a", "o")], "id string, s string")
     assert changes.replayed(base, log, "id", ["s"]).first().s == "late"
