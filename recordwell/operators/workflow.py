@@ -13,10 +13,14 @@ outcome waits, and holds up what stands behind it. Steps without parents start o
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..deploy import kept
+from ..deploy import kept, ship
 
 SUCCESS, STOPPED, SKIPPED, FAILED_SAFELY, FAILED, PENDING, NOT_STARTED = "SUCCESS", "STOPPED", "SKIPPED", "FAILED_SAFELY", "FAILED", "PENDING", "NOT_STARTED"
 
@@ -95,11 +99,110 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+#: Rows (edges and what is asked of them) up to which a graph is searched within one row; greater graphs go by rounds over the rows of them all.
+WHOLE = 512
+#: Types of vertices that Python orders and compares as Spark does.
+ORDERED = (T.IntegralType, T.StringType, T.DateType, T.DecimalType, T.BooleanType)
+#: Found rows that are handed on at once.
+HANDED = 50_000
+
+Pairs = list[tuple[Any, Any]]
+
+
+def _by_size(*parts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Graphs of few rows, a row each: (graph, part, a, b), the last three arrays; and the parts' rows of all other graphs, those with nulls too.
+
+    parts: rows (graph and two vertices). There are no other graphs where the list is empty.
+    """
+    every = kept(_union([p.toDF("graph", "a", "b").withColumn("part", F.lit(k)) for k, p in enumerate(parts)]), "graphs")
+    odd = F.col("a").isNull() | F.col("b").isNull() | F.col("graph").isNull()
+    great = kept(every.groupBy("graph").agg(F.count(F.lit(1)).alias("n"), F.bool_or(odd).alias("odd")).where(f"odd or n > {WHOLE}").select("graph"), "great")
+    rest: list[DataFrame] = []
+    few = every
+    if not isinstance(every.schema["a"].dataType, ORDERED):
+        return _gathered(every.limit(0)), list(parts)
+    if not great.isEmpty():
+        rows = every.alias("e").join(great.alias("g"), F.col("e.graph").eqNullSafe(F.col("g.graph")), "left_semi")
+        rest = [rows.where(F.col("part") == k).select("graph", "a", "b").toDF(*p.columns) for k, p in enumerate(parts)]
+        few = every.join(great, "graph", "left_anti").where("graph is not null")
+    return _gathered(few), rest
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("graph").agg(*(F.collect_list(c).alias(c) for c in ("part", "a", "b")))
+
+
+def _searched(few: DataFrame, search: Callable[[list[Pairs]], Iterator[tuple]], parts: int, vertices: list[str], counts: tuple[str, ...] = ()) -> DataFrame:
+    """(graph, vertices, counts) that `search` finds in each graph of _by_size, given the pairs of its parts."""
+    ship(few.sparkSession)
+    graph, vertex = few.schema["graph"].dataType, few.schema["a"].dataType.elementType
+    fields = [T.StructField("graph", graph), *(T.StructField(v, vertex) for v in vertices), *(T.StructField(c, T.LongType()) for c in counts)]
+
+    def found(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            kinds = [batch.schema.field("graph").type, *[batch.schema.field("a").type.value_type] * len(vertices), *[pa.int64()] * len(counts)]
+            out: list[tuple] = []
+            for g, part, a, b in zip(*(batch.column(c).to_pylist() for c in ("graph", "part", "a", "b")), strict=True):
+                given: list[Pairs] = [[] for _ in range(parts)]
+                for k, *pair in zip(part, a, b, strict=True):
+                    given[k].append(tuple(pair))
+                out += [(g, *row) for row in search(given)]
+                if len(out) >= HANDED:
+                    yield _batch(out, kinds, fields)
+                    out = []
+            if out:
+                yield _batch(out, kinds, fields)
+
+    return few.mapInArrow(found, T.StructType(fields))
+
+
+def _batch(rows: list[tuple], kinds: list, fields: list[T.StructField]):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.name for f in fields])
+
+
+def _reach(edges: Pairs) -> tuple[list, list[int]]:
+    """The vertices in their order, and for each the set, as bits, of those that a path of one edge or more leads to."""
+    names = sorted({v for e in edges for v in e})
+    at = {v: k for k, v in enumerate(names)}
+    sets = [0] * len(names)
+    for a, b in edges:
+        sets[at[a]] |= 1 << at[b]
+    for k in range(len(sets)):
+        bit, beyond = 1 << k, sets[k]
+        if beyond:
+            sets = [s | beyond if s & bit else s for s in sets]
+    return names, sets
+
+
+def _members(names: list, bits: int) -> list:
+    found = []
+    while bits:
+        low = bits & -bits
+        found.append(names[low.bit_length() - 1])
+        bits ^= low
+    return found
+
+
+def _closure_of(given: list[Pairs]) -> Iterator[tuple]:
+    names, sets = _reach(given[0])
+    return ((v, w) for v, bits in zip(names, sets, strict=True) for w in _members(names, bits))
+
+
 def closure(edges: DataFrame) -> DataFrame:
-    """(graph, src, dst): whether a path of one edge or more leads from one vertex to another, by doubling the paths' length each round.
+    """(graph, src, dst): whether a path of one edge or more leads from one vertex to another. The result has a row for each such pair.
 
-    For graphs of definitions: the result has a row for each such pair.
+    A graph of at most WHOLE edges is searched within its row, so that its pairs aren't moved; of greater ones, the paths' length is doubled each round.
     """
+    few, rest = _by_size(edges.select("graph", "src", "dst"))
+    found = _searched(few, _closure_of, 1, ["src", "dst"])
+    return found.union(_closure_by_rounds(rest[0])) if rest else found
+
+
+def _closure_by_rounds(edges: DataFrame) -> DataFrame:
     now = kept(edges.select("graph", "src", "dst").distinct())
     size = now.count()
     while True:
@@ -111,13 +214,33 @@ def closure(edges: DataFrame) -> DataFrame:
             return now
 
 
+def _components_of(given: list[Pairs]) -> Iterator[tuple]:
+    """Vertices on a cycle reach each other if they reach the same set."""
+    names, sets = _reach(given[0])
+    rings: dict[int, list] = {}
+    for k, bits in enumerate(sets):
+        if bits >> k & 1:
+            rings.setdefault(bits, []).append(names[k])
+        else:
+            yield names[k], names[k], 1
+    for ring in rings.values():
+        yield from ((v, ring[-1], len(ring)) for v in ring)
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(graph, vertex, component, size) of the directed edges (graph, src, dst): vertices that reach each other, named by the greatest.
 
-    Vertices without an edge in or out are trimmed, round by round, as components of their own. Then each vertex is coloured by
-    the greatest vertex that reaches it, over edges and over colours found so far, so that long paths take few rounds; and
-    whatever reaches the vertex that gave the colour, within the colour, is its component. What is left starts anew.
+    A graph of at most WHOLE edges is searched within its row. Of greater ones, vertices without an edge in or out are trimmed, round
+    by round, as components of their own. Then each vertex is coloured by the greatest vertex that reaches it, over edges and over colours found
+    so far, so that long paths take few rounds; and whatever reaches the vertex that gave the colour, within the colour, is its
+    component. What is left starts anew.
     """
+    few, rest = _by_size(edges.select("graph", "src", "dst"))
+    found = _searched(few, _components_of, 1, ["vertex", "component"], ("size",))
+    return found.union(_components_by_rounds(rest[0])) if rest else found
+
+
+def _components_by_rounds(edges: DataFrame) -> DataFrame:
     left = kept(edges.select("graph", "src", "dst").distinct())
     names = kept(left.select("graph", F.col("src").alias("vertex")).union(left.select("graph", "dst")).distinct())
     found: list[DataFrame] = []
@@ -175,6 +298,27 @@ def _coloured(edges: DataFrame) -> DataFrame:
 
 def loop_bodies(edges: DataFrame, first: DataFrame) -> DataFrame:
     """(graph, loop, vertex): the steps of each loop's body: what its first steps (graph, loop, vertex) lead to without passing the loop's own step."""
+    few, rest = _by_size(edges.select("graph", "src", "dst"), first.select("graph", "loop", "vertex"))
+    found = _searched(few, _bodies_of, 2, ["loop", "vertex"])
+    return found.union(_bodies_by_rounds(*rest)) if rest else found
+
+
+def _bodies_of(given: list[Pairs]) -> Iterator[tuple]:
+    after: dict[Any, set] = {}
+    for a, b in given[0]:
+        after.setdefault(a, set()).add(b)
+    bodies: dict[Any, set] = {}
+    for loop, vertex in given[1]:
+        bodies.setdefault(loop, set()).add(vertex)
+    for loop, body in bodies.items():
+        front = body = body - {loop}
+        while front:
+            front = {w for v in front for w in after.get(v, ())} - body - {loop}
+            body = body | front
+        yield from ((loop, v) for v in body)
+
+
+def _bodies_by_rounds(edges: DataFrame, first: DataFrame) -> DataFrame:
     edges = kept(edges.select("graph", "src", "dst").distinct())
     front = kept(first.select("graph", "loop", "vertex").where("vertex <> loop").distinct())
     seen = [front]

@@ -75,6 +75,23 @@ def test_random_graphs_equal_plain_rounds(spark):
         assert {s: got[run, s] for s in names} == want
 
 
+def test_small_graphs_are_searched_in_their_rows(spark, monkeypatch):
+    r = random.Random(11)
+    edges = [(g, r.choice("abcdefgh"), r.choice("abcdefgh")) for g in range(40) for _ in range(r.randrange(1, 14))] + [(50, "a", None), (50, "a", "b"), (50, "b", "a")]
+    df = spark.createDataFrame(edges, "graph long, src string, dst string")
+    first = spark.createDataFrame([(g, r.choice("abcdefgh"), r.choice("abcdefgh")) for g in range(45) for _ in range(3)], "graph long, loop string, vertex string")
+    told = lambda: [sorted(map(tuple, x.collect()), key=repr) for x in (workflow.closure(df), workflow.strong_components(df), workflow.loop_bodies(df, first))]
+    rounds: list[int] = []
+    for name in ("_closure_by_rounds", "_components_by_rounds", "_bodies_by_rounds"):
+        monkeypatch.setattr(workflow, name, lambda *frames, was=getattr(workflow, name): rounds.append(frames[0].select("graph").distinct().count()) or was(*frames))
+    within = told()
+    assert rounds == [1, 1, 1]  # the graph with a null alone
+    monkeypatch.setattr(workflow, "WHOLE", 8)
+    mixed = told()
+    monkeypatch.setattr(workflow, "ORDERED", ())
+    assert within == mixed == told() and rounds[3] > 1 and rounds[6] == 41
+
+
 def test_components_closure_and_loops(spark):
     r = random.Random(7)
     edges = [(g, r.randrange(9), r.randrange(9)) for g in (1, 2, 3) for _ in range(14)] + [(4, 1, 1), (5, 1, 2), (5, 2, 3), (6, 1, 2), (6, 2, 1), (6, 2, 1)]
