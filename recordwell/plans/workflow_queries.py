@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..deploy import kept
 from ..functions.recurrence import cron_pattern
 from ..functions.text import guarded, redact, unguarded
 from ..operators import importing, ingest, timeline, workflow
@@ -249,12 +250,12 @@ _LOOPS = "body AS (SELECT x.g, x.back AS l, y.nx AS v FROM e0 x JOIN e0 y ON y.g
 
 @query("step_loop_bodies", f"WITH RECURSIVE {_STEPS}, {_LOOPS} SELECT g AS graph, l AS loop, v AS vertex FROM body")
 def step_loop_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workflow.loop_bodies(_step_edges(spark, sf_dir), _loops(spark, sf_dir))
+    edges = kept(_step_edges(spark, sf_dir), "steps")
+    return workflow.loop_bodies(edges, _loops(edges))
 
 
-def _loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _loops(edges: DataFrame) -> DataFrame:
     """Of the edges back, every second closes a loop: its step, and the first step of its body."""
-    edges = _step_edges(spark, sf_dir)
     back = edges.where("src % 10 = 0 and dst < src").select("graph", F.col("dst").alias("loop"))
     return back.join(edges.where("dst > src").select("graph", F.col("src").alias("loop"), F.col("dst").alias("vertex")), ["graph", "loop"])
 
@@ -266,8 +267,8 @@ SELECT g AS graph, a AS vertex, m AS component, n AS size FROM c""",
 )
 def step_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps on a cycle that closes no loop."""
-    edges = _step_edges(spark, sf_dir)
-    return workflow.faulty_cycles(edges, workflow.loop_bodies(edges, _loops(spark, sf_dir)))
+    edges = kept(_step_edges(spark, sf_dir), "steps")
+    return workflow.faulty_cycles(edges, workflow.loop_bodies(edges, _loops(edges)))
 
 
 @query("step_closure", f"WITH RECURSIVE {_STEPS}, {_COMPONENTS.format('e')} SELECT g AS graph, a AS src, b AS dst FROM p")
