@@ -30,8 +30,10 @@ def coerced(df: DataFrame, of: ObjectType, mapping: dict[str, str], point: str =
     typed: dict[str, Column] = {}
     errors: list[Column] = []
     for n, (source, key) in enumerate(mapping.items()):
-        m, text = of.resolve(key), F.nullif(F.trim(F.col(source)), F.lit(""))
-        at, empty = f"cell_{n}", F.nullif(F.trim(F.col(source)), F.lit("")).isNull()
+        # Not by nullif: generated code then no longer shares the repeated parts of what reads the text.
+        trimmed = F.trim(F.col(source))
+        m, text = of.resolve(key), F.when(trimmed != "", trimmed)
+        at, empty = f"cell_{n}", text.isNull()
         cell = F.col(at)
         typed[key], rule = cell, F.lit(None)
         if m.type in ("NUMBER", "NUMERIC"):

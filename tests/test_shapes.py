@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 from decimal import Decimal
 
 import pytest
@@ -138,6 +139,14 @@ def test_zones_and_schedules(spark):
             cron_pattern(bad)
 
 
+def test_cells_of_an_import_are_read_once(spark):
+    of = Model.from_document({"objects": {"deal": {"labelField": "name", "fields": {"name": {"type": "TEXT"}, "amount": {"type": "CURRENCY"}}}}}).object("deal")
+    made = importing.coerced(spark.createDataFrame([(1, " 12.50 EUR "), (2, " "), (3, None), (4, "12,x")], "row_no int, amount string"), of, {"amount": "amount"})
+    assert [(r.row_no, r.amount and r.amount.amountMicros, [e.rule for e in r.errors]) for r in made.sort("row_no").collect()] == [(1, 12_500_000, []), (2, None, []), (3, None, []), (4, None, ["currency"])]
+    # A cell's text that is a common expression of its own hides that the parts of its reading are the same.
+    assert not re.search(r"trim\(amount[^)]*\) AS _common_expr", made._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_matching_on_several_keys(spark):
     records = spark.createDataFrame([("1", None, "a@x.org", "1"), ("2", None, "a@x.org", "2"), ("3", dt.datetime(2020, 1, 1), "b@x.org", "3"), ("4", None, None, "4")], "crm_id string, crm_deleted_at timestamp, mail string, code string")
     rows = spark.createDataFrame([(1, "A@x.org", None), (2, "a@x.org", "2"), (3, None, None), (4, "b@x.org", None), (5, None, "4"), (6, "c@x.org", "4")], "row_no int, m string, c string")
