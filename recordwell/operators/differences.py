@@ -13,16 +13,20 @@ from pyspark.sql import functions as F
 from ..deploy import kept
 
 
-def _kind(v: Column) -> Column:
-    """OBJECT, ARRAY, NUMBER, STRING, BOOLEAN or VOID, null for nothing at all."""
+def _kind(v: Column, json: Column) -> Column:
+    """OBJECT, ARRAY, NUMBER, STRING, BOOLEAN or VOID, null for nothing at all; by how its JSON begins, but for numbers that are written as words."""
     name = F.regexp_extract(F.schema_of_variant(v), "^([A-Z]+)", 1)
-    return F.when(name.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT"), "NUMBER").otherwise(name)
+    head = F.substring(json, 1, 1)
+    word = F.when(name.isin("DOUBLE", "FLOAT"), "NUMBER").otherwise("STRING")
+    kind = F.when(head == "{", "OBJECT").when(head == "[", "ARRAY").when(json.isin('"Infinity"', '"-Infinity"', '"NaN"'), word).when(head == '"', "STRING").when(head.isin("t", "f"), "BOOLEAN").when(head == "n", "VOID")
+    return kind.when(json.isNotNull(), "NUMBER")
 
 
-def said(v: Column) -> Column:
+def _said(v: Column, json: Column, kind: Column) -> Column:
     """A value as text that is equal for equal values: numbers without exponents or needless zeros, all else as JSON."""
     exact = F.regexp_replace(F.regexp_replace(F.try_variant_get(v, "$", "decimal(38,18)").cast("string"), r"^-?0E.*$", "0"), r"(\.\d*?)0+$", "$1")
-    return F.when(_kind(v) == "NUMBER", F.coalesce(F.regexp_replace(exact, r"\.$", ""), F.try_variant_get(v, "$", "double").cast("string"))).otherwise(F.to_json(v))
+    number = F.coalesce(F.regexp_replace(exact, r"\.$", ""), F.try_variant_get(v, "$", "double").cast("string"))
+    return F.when((kind == "NUMBER") & ~json.rlike(r"^(?:0|-?[1-9]\d{0,17})$"), number).otherwise(json)
 
 
 def differences(df: DataFrame, key: str, before: str, after: str) -> DataFrame:
@@ -32,19 +36,23 @@ def differences(df: DataFrame, key: str, before: str, after: str) -> DataFrame:
     Of what moved, old and new are places. A null is no value; text that isn't JSON is a string.
     """
     spark = df.sparkSession
-    text = lambda c: F.when(F.try_parse_json(F.col(c)).isNull() & F.col(c).isNotNull(), F.variant_get(F.parse_json(F.to_json(F.struct(F.col(c).alias("t")))), "$.t", "variant")).otherwise(F.try_parse_json(F.col(c)))
-    now = kept(df.select(F.col(key).alias("d_key"), F.lit("").alias("path"), text(before).alias("o"), text(after).alias("n")), "pairs")
+    text = lambda c: F.coalesce(F.try_parse_json(F.col(c)), F.when(F.col(c).isNotNull(), F.variant_get(F.parse_json(F.to_json(F.struct(F.col(c).alias("t")))), "$.t", "variant")))
+    # Most pairs have the same JSON, and go no further. A filter that names a column that isn't deterministic stays above what is made once.
+    made = {"o_json": F.to_json("o"), "n_json": F.to_json("n"), "here": F.monotonically_increasing_id()}
+    differing = lambda pairs: pairs.withColumns(made).where("here >= 0 and not (o_json <=> n_json)").drop("here")
+    now = kept(differing(df.select(F.col(key).alias("d_key"), F.lit("").alias("path"), text(before).alias("o"), text(after).alias("n"))), "pairs")
     out: list[DataFrame] = []
     turn = 0
     while True:
-        told = now.withColumns({"o_kind": _kind(F.col("o")), "n_kind": _kind(F.col("n")), "o_said": said(F.col("o")), "n_said": said(F.col("n"))})
+        told = now.withColumns({f"{c}_kind": _kind(F.col(c), F.col(f"{c}_json")) for c in "on"})
+        told = told.withColumns({f"{c}_said": _said(F.col(c), F.col(f"{c}_json"), F.col(f"{c}_kind")) for c in "on"})
         now = kept(told, f"pairs-{turn}").where("not (o_said <=> n_said) or not (o_kind <=> n_kind)")  # written first: each is said once
         if now.isEmpty():
             break
         both = lambda kind: (F.col("o_kind") == kind) & (F.col("n_kind") == kind)
         deep = F.coalesce(both("OBJECT") | both("ARRAY"), F.lit(False))
         op = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").otherwise("changed")
-        out.append(now.where(~deep).select("d_key", "path", op.alias("op"), F.to_json("o").alias("old"), F.to_json("n").alias("new")))
+        out.append(now.where(~deep).select("d_key", "path", op.alias("op"), F.col("o_json").alias("old"), F.col("n_json").alias("new")))
 
         def side(kind: str, c: str, now: DataFrame = now, both=both) -> DataFrame:
             rows = now.where(both(kind)).select("d_key", "path", F.col(c).alias("v"))
@@ -68,7 +76,7 @@ def differences(df: DataFrame, key: str, before: str, after: str) -> DataFrame:
         order = Window.partitionBy("d_key", "path", "side").orderBy("pos")
         paired = rest.withColumn("k", F.row_number().over(order)).groupBy("d_key", "path", "k").agg(of("o"), of("n"), place("o"), place("n"))
         listed = paired.select("d_key", F.concat("path", F.coalesce(at("n_at"), F.concat(F.lit("[was "), F.col("o_at").cast("string"), F.lit("]")))).alias("path"), "o", "n")
-        now = kept(named.unionByName(listed), f"next-{turn}")
+        now = kept(differing(named.unionByName(listed)), f"next-{turn}")
         turn += 1
     none = df.limit(0).select(F.col(key).alias("d_key"), F.lit("").alias("path"), F.lit("").alias("op"), F.lit("").alias("old"), F.lit("").alias("new"))
     for frame in out:

@@ -30,3 +30,15 @@ def test_nested_lists_numbers_and_odd_rows(spark):
     maps = {r.id: r["diff"] for r in difference_maps(found, "id").collect()}
     assert maps[0][".a.b[1].c"].new == '"y"' and set(maps[1]) == {"[0]", "[1]", "[2]"}
     assert differences(df.limit(0), "id", "o", "n").count() == 0
+
+
+def test_equal_parts_go_no_further(spark, monkeypatch):
+    from recordwell.operators import differences as module
+
+    sizes = {}
+    was = module.kept
+    monkeypatch.setattr(module, "kept", lambda df, label: [sizes.update({label: (got := was(df, label)).count()}), got][1])
+    df = spark.createDataFrame([(1, '{"a":[1,2],"b":"x","c":1.0,"w":"Infinity"}', '{"w":"Infinity","c":10e-1,"b":"y","a":[1,2]}'), (2, '{"a":1}', '{ "a": 1 }'), (3, "1e400", '"Infinity"')], "id long, o string, n string")
+    found = {(r.id, r.path, r.op) for r in differences(df, "id", "o", "n").collect()}
+    assert {x for x in found if x[0] < 3} == {(1, ".b", "changed")}
+    assert sizes["pairs"] <= 2 and sizes["next-0"] <= 2  # of the names of the first row, those with other JSON
