@@ -68,12 +68,15 @@ def occurrences_between(events: DataFrame, overrides: DataFrame, begin: Column,
     utc = lambda t, z: F.to_utc_timestamp(t.cast("timestamp"), z)
     last = F.to_date(F.date_add(F.to_date(end), 1))
     days = F.when(F.col("rule").isNull(), F.array(F.to_date("starts"))).otherwise(row_rule_days(F.col("rule"), F.to_date("starts"), last, 1))
-    clock = F.date_format("starts", "HH:mm:ss")
-    local = F.transform(days, lambda d: F.concat(d.cast("string"), F.lit(" "), clock).cast("timestamp_ntz"))
     until, in_utc = rule_until(F.coalesce("rule", F.lit("")))
     day = F.try_to_date(F.nullif(F.regexp_extract(F.upper("rule"), r"UNTIL=(\d{8})", 1), F.lit("")), "yyyyMMdd")
     zone = F.coalesce("zone", F.lit("UTC"))
-    in_time = lambda t: F.when(until.isNull(), day.isNull() | (F.to_date(t) <= day)).when(in_utc, utc(t, zone) <= until.cast("timestamp")).otherwise(t <= until)
+    # Columns of their own: within a lambda, they would be made anew for every day.
+    bound = {"o_days": days, "o_clock": F.date_format("starts", "HH:mm:ss"), "o_until": until, "o_in_utc": in_utc, "o_day": day, "o_zone": zone}
+    events = events.withColumns(bound)
+    local = F.transform("o_days", lambda d: F.concat(d.cast("string"), F.lit(" "), F.col("o_clock")).cast("timestamp_ntz"))
+    end_at, last_day = F.col("o_until"), F.col("o_day")
+    in_time = lambda t: F.when(end_at.isNull(), last_day.isNull() | (F.to_date(t) <= last_day)).when(F.col("o_in_utc"), utc(t, F.col("o_zone")) <= end_at.cast("timestamp")).otherwise(t <= end_at)
     local = F.when(F.upper("rule").contains("UNTIL="), F.filter(local, lambda t: (t == F.col("starts")) | in_time(t))).otherwise(local)
     none = F.array().cast("array<timestamp_ntz>")
     more = F.coalesce("added", none) if "added" in events.columns else none

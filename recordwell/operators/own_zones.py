@@ -8,12 +8,19 @@ leaves. A zone of one offset has that one throughout.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..deploy import kept
 from ..functions.recurrence import row_rule_days
 from ..sources.mail import ZONE_LINES, unfolded
 
+#: Different definitions up to which their onsets are broadcast.
+BROADCAST_TERMS = 10_000
+
 
 def _seconds(offset: Column) -> Column:
     """Of an offset such as +0130 or -023015."""
@@ -39,8 +46,12 @@ def observances(df: DataFrame, text: str = "text") -> DataFrame:
 def transitions(found: DataFrame, keys: list[str], first_year: int, last_year: int) -> DataFrame:
     """(keys, zone, since, until, offset): from when to when (UTC, null for ever) which offset holds, for wall clocks of these years.
 
-    Rules that name their months don't depend on their start, so they are expanded from shortly before the first year only.
+    Rules that name their months don't depend on their start, so they are expanded from shortly before the first year only. Calendars share
+    their definitions, so each different one is expanded once, and met by those that hold it.
     """
+    whole_rows = found
+    terms = ["starts", "rule", "added"]
+    found = found.select(*terms).distinct()
     early, late = F.make_date(F.lit(first_year - 2), F.lit(1), F.lit(1)), F.make_date(F.lit(last_year + 2), F.lit(12), F.lit(31))
     start = F.to_date("starts")
     steady = F.col("rule").rlike(r"BYMONTH=(?:[2-9]|1[0-2])(?:;|$)") & F.col("rule").contains("BYDAY=") & ~F.col("rule").rlike("COUNT=|INTERVAL=")
@@ -51,10 +62,13 @@ def transitions(found: DataFrame, keys: list[str], first_year: int, last_year: i
     clock = F.date_format("starts", "HH:mm:ss")
     onsets = F.array_union(F.transform(days, lambda d: F.concat(d.cast("string"), F.lit(" "), clock).cast("timestamp_ntz")), F.col("added"))
     # A rule that ended before the years still says which offset came last.
-    onsets = F.when(F.size(onsets) == 0, F.array("starts")).otherwise(onsets)
+    spans = kept(found.select(*terms, onsets.alias("onsets")), "onsets").select(*(F.col(c).alias(f"d_{c}") for c in terms), F.when(F.size("onsets") == 0, F.array("starts")).otherwise(F.col("onsets")).alias("onsets"))
+    if spans.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        spans = F.broadcast(spans)
+    found = whole_rows.join(spans, reduce(and_, (F.col(c).eqNullSafe(F.col(f"d_{c}")) for c in terms)))
     earliest = F.min_by(F.struct("offset_from", "starts"), F.struct("starts", "offset_from"))
     zones = found.groupBy(*keys, "zone").agg(earliest.alias("e"), F.countDistinct("offset_to").alias("n"), F.min("offset_to").alias("only"))
-    each = found.select(*keys, "zone", F.explode(onsets).alias("onset"), "offset_from", F.col("offset_to").alias("offset"))
+    each = found.select(*keys, "zone", F.explode("onsets").alias("onset"), "offset_from", F.col("offset_to").alias("offset"))
     each = each.select(*keys, "zone", F.unix_seconds(F.col("onset").cast("timestamp")).alias("t"), "offset_from", "offset").select(*keys, "zone", (F.col("t") - F.col("offset_from")).alias("since"), "offset")
     before = zones.select(*keys, "zone", F.lit(None).cast("long").alias("since"), F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("e.offset_from")).alias("offset"))
     # Of two observances with one onset the later row would be empty; the greater offset stands.

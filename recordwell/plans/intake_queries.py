@@ -14,7 +14,7 @@ from ..sources import delimited
 from ..sources.mail import calendar_events
 from . import crm
 from .crm import MODEL, NOW, OPPORTUNITY
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def _mail(n, host: str):
@@ -144,7 +144,7 @@ def calendar_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.lit("\r\n".join(_ICS))
     for name, column in (("{uid}", k.cast("string")), ("{zone}", zone), ("{d}", (k % 5).cast("string"))):
         text = F.replace(text, F.lit(name), column)
-    texts = table(spark, sf_dir, "supplier").select(k.cast("string").alias("uid"), text.alias("text"))
+    texts = spread(table(spark, sf_dir, "supplier").select("s_suppkey")).select(k.cast("string").alias("uid"), text.alias("text"))
     events = kept(calendar_events(texts.select("text")), "events")  # parsed once, then expanded
     moves = kept(own_zones.transitions(own_zones.observances(texts), ["uid"], 2026, 2026), "moves")
     none = events.limit(0).select("uid", "replaces", "starts", "ends", "zone")

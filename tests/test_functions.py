@@ -260,3 +260,13 @@ def test_secrets_by_line(spark):
     assert redact("x\n" * 30_000 + "PIN:\n99") == "x\n" * 30_000 + f"PIN:\n{line}"
     takes = lambda a: one(spark, X.is_unsubscribe_address(F.lit(a).cast("string")))
     assert takes("Opt.Out@x.org") and takes("a@unsub.mail.x.co.uk") and not takes("a@unsub.co.uk") and not takes("bob@x.org") and not takes("") and takes(None) is None
+
+
+def test_zone_definitions_are_expanded_once(spark, monkeypatch):
+    sizes = []
+    was = own_zones.kept
+    monkeypatch.setattr(own_zones, "kept", lambda df, label: [got := was(df, label), sizes.append(got.count())][0])
+    zone = "BEGIN:VTIMEZONE\r\nTZID:z\r\nBEGIN:DAYLIGHT\r\nDTSTART:19810329T020000\r\nTZOFFSETFROM:+0100\r\nTZOFFSETTO:+0200\r\nRRULE:FREQ=YEARLY;BYMONTH=3;BYDAY=-1SU\r\nEND:DAYLIGHT\r\nEND:VTIMEZONE\r\n"
+    texts = spark.createDataFrame([(str(k), zone) for k in range(30)], "uid string, text string")
+    found = own_zones.transitions(own_zones.observances(texts), ["uid"], 2026, 2026).groupBy("uid").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(found) == 30 and len({r.n for r in found}) == 1 and sizes == [1]
