@@ -59,14 +59,18 @@ def version_actions(newest: DataFrame, stored: DataFrame) -> DataFrame:
     return both.select(F.col("n.uid").alias("uid"), action.alias("action"))
 
 
-def occurrences_between(events: DataFrame, overrides: DataFrame, begin: Column, end: Column, transitions: DataFrame | None = None) -> DataFrame:
+def occurrences_between(events: DataFrame, overrides: DataFrame, begin: Column, end: Column, transitions: DataFrame | None = None, keys: tuple[str, ...] = ("uid",)) -> DataFrame:
     """(uid, starts, ends) of all events that touch a window, recurring ones expanded within the row.
 
     events: uid, starts and ends (wall clock), zone, rule (may be null), excluded and perhaps added and excluded_utc (arrays); overrides: uid, replaces (wall clock), starts, ends, zone.
-    transitions: those of zones that calendars define themselves (own_zones.transitions), by uid, for events with an own_zone.
+    transitions: those of zones that calendars define themselves (own_zones.transitions), by keys, for events with an own_zone; they are met
+    before the events are expanded, as a row an event is all that is joined.
     """
     utc = lambda t, z: F.to_utc_timestamp(t.cast("timestamp"), z)
     last = F.to_date(F.date_add(F.to_date(end), 1))
+    own = transitions is not None and "own_zone" in events.columns
+    if own:
+        events = own_zones.met(events, list(keys), "own_zone", transitions, "o_stretches")
     days = F.when(F.col("rule").isNull(), F.array(F.to_date("starts"))).otherwise(row_rule_days(F.col("rule"), F.to_date("starts"), last, 1))
     until, in_utc = rule_until(F.coalesce("rule", F.lit("")))
     day = F.try_to_date(F.nullif(F.regexp_extract(F.upper("rule"), r"UNTIL=(\d{8})", 1), F.lit("")), "yyyyMMdd")
@@ -82,14 +86,16 @@ def occurrences_between(events: DataFrame, overrides: DataFrame, begin: Column,
     more = F.coalesce("added", none) if "added" in events.columns else none
     kept = F.array_except(F.array_union(local, more), F.coalesce("excluded", none))
     length = F.unix_seconds(F.col("ends").cast("timestamp")) - F.unix_seconds(F.col("starts").cast("timestamp"))
-    own = F.col("own_zone") if "own_zone" in events.columns else F.lit(None).cast("string")
     without = F.coalesce("excluded_utc", none) if "excluded_utc" in events.columns else none
-    each = events.select("uid", "zone", own.alias("own_zone"), without.alias("without"), length.alias("length"), F.explode(kept).alias("at"))
+    events = events.select("*", kept.alias("o_kept"), without.alias("o_without"), length.alias("o_length"))
+    start = lambda t: utc(t, F.col("zone"))
+    if own:
+        events = events.withColumn("o_near", own_zones.near(F.col("o_stretches"), F.array_min("o_kept"), F.array_max("o_kept")))
+        start = lambda t: F.coalesce(own_zones.instant(t, F.col("o_near")).cast("timestamp"), utc(t, F.col("zone")))
+    placed = F.transform("o_kept", lambda t: F.struct(t.alias("at"), start(t).alias("starts")))
+    each = events.select("uid", "o_length", F.inline(F.filter(placed, lambda x: ~F.array_contains("o_without", x.starts.cast("timestamp_ntz")))))
     each = each.join(overrides.select("uid", F.col("replaces").alias("at")), ["uid", "at"], "left_anti")
-    if transitions is not None:
-        each = own_zones.to_utc(each, ["uid"], "own_zone", "at", transitions, "exact")
-    exact = F.col("exact").cast("timestamp") if transitions is not None else F.lit(None).cast("timestamp")
-    plain = each.select("uid", F.coalesce(exact, utc(F.col("at"), F.col("zone"))).alias("starts"), "length", "without").where(~F.array_contains("without", F.col("starts").cast("timestamp_ntz"))).select("uid", "starts", F.timestamp_seconds(F.unix_seconds("starts") + F.col("length")).alias("ends"))
+    plain = each.select("uid", "starts", F.timestamp_seconds(F.unix_seconds("starts") + F.col("o_length")).alias("ends"))
     moved = overrides.select("uid", utc(F.col("starts"), F.col("zone")).alias("starts"), utc(F.col("ends"), F.col("zone")).alias("ends"))
     return plain.unionByName(moved).where((F.col("starts") < end) & ((F.col("ends") > begin) | ((F.col("ends") == F.col("starts")) & (F.col("starts") >= begin))))
 

@@ -1,4 +1,4 @@
-"""Time zones that a calendar defines itself: rules become a table of transitions, and wall clock times meet it in an as-of join.
+"""Time zones that a calendar defines itself: rules become a table of transitions, and wall clock times find theirs among those of their zone.
 
 A VTIMEZONE holds observances: from when on which offset holds, by a rule or a list. Each onset is an instant, its wall clock less the
 offset before it; between two onsets one offset holds. A wall clock time that comes twice is the first of the two; one that
@@ -18,8 +18,14 @@ from ..deploy import kept
 from ..functions.recurrence import row_rule_days
 from ..sources.mail import ZONE_LINES, unfolded
 
-#: Different definitions up to which their onsets are broadcast.
-BROADCAST_TERMS = 10_000
+#: Onsets, and stretches of one offset, up to which they are broadcast, whatever the number of definitions.
+BROADCAST_ONSETS, BROADCAST_STRETCHES = 500_000, 50_000
+
+
+def _sized(rows: DataFrame, length: Column, most: int) -> DataFrame:
+    """rows, marked for a broadcast where their arrays hold so many values at most, else for a merge."""
+    held = rows.agg(F.sum(F.greatest(length, F.lit(1)).cast("long"))).first()[0] or 0
+    return F.broadcast(rows) if held <= most else rows.hint("merge")
 
 
 def _seconds(offset: Column) -> Column:
@@ -28,13 +34,23 @@ def _seconds(offset: Column) -> Column:
     return F.when(offset.rlike(r"^[+-]\d{4}(?:\d\d)?$"), F.when(offset.startswith("-"), -1).otherwise(1) * (part(1) * 3600 + part(2) * 60 + part(3)))
 
 
-def observances(df: DataFrame, text: str = "text") -> DataFrame:
+def zone_blocks(text: Column) -> Column:
+    """The definitions of zones in an iCalendar text, as an array."""
+    return F.regexp_extract_all(unfolded(text), F.lit(ZONE_LINES), F.lit(1))
+
+
+def definition(blocks: Column) -> Column:
+    """A key of what zone_blocks gives, so that calendars that define the same share their transitions; none of them holds the mark between."""
+    return F.sha2(F.array_join(blocks, "END:VTIMEZONE"), 256)
+
+
+def observances(df: DataFrame, text: str | None = "text", blocks: str = "blocks") -> DataFrame:
     """(all other columns, zone, starts, offset_from, offset_to, rule, added): a row an observance of the zones that iCalendar texts define.
 
-    Those without a start or an offset that can be read are left out.
+    Those without a start or an offset that can be read are left out. Without text, blocks has what zone_blocks gives.
     """
-    kept = [c for c in df.columns if c != text]
-    blocks = df.select(*kept, F.explode(F.regexp_extract_all(unfolded(F.col(text)), F.lit(ZONE_LINES), F.lit(1))).alias("z"))
+    kept = [c for c in df.columns if c != (text or blocks)]
+    blocks = df.select(*kept, F.explode(zone_blocks(F.col(text)) if text else F.col(blocks)).alias("z"))
     parts = blocks.select(*kept, F.trim(F.regexp_extract("z", r"(?m)^TZID:(.*?)\r?$", 1)).alias("zone"), F.explode(F.regexp_extract_all(F.col("z"), F.lit(r"(?s)BEGIN:(STANDARD|DAYLIGHT)\r?\n(.*?)END:\1"), F.lit(2))).alias("o"))
     line = lambda name: F.nullif(F.regexp_extract("o", rf"(?m)^{name}(?:;[^:\n]*)?:(.*?)\r?$", 1), F.lit(""))
     moment = lambda v: F.try_to_timestamp(F.regexp_replace(F.when(F.length(v) == 8, F.concat(v, F.lit("T000000"))).otherwise(v), "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")).cast("timestamp_ntz")
@@ -63,8 +79,7 @@ def transitions(found: DataFrame, keys: list[str], first_year: int, last_year: i
     onsets = F.array_union(F.transform(days, lambda d: F.concat(d.cast("string"), F.lit(" "), clock).cast("timestamp_ntz")), F.col("added"))
     # A rule that ended before the years still says which offset came last.
     spans = kept(found.select(*terms, onsets.alias("onsets")), "onsets").select(*(F.col(c).alias(f"d_{c}") for c in terms), F.when(F.size("onsets") == 0, F.array("starts")).otherwise(F.col("onsets")).alias("onsets"))
-    if spans.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        spans = F.broadcast(spans)
+    spans = _sized(spans, F.size("onsets"), BROADCAST_ONSETS)
     found = whole_rows.join(spans, reduce(and_, (F.col(c).eqNullSafe(F.col(f"d_{c}")) for c in terms)))
     earliest = F.min_by(F.struct("offset_from", "starts"), F.struct("starts", "offset_from"))
     zones = found.groupBy(*keys, "zone").agg(earliest.alias("e"), F.countDistinct("offset_to").alias("n"), F.min("offset_to").alias("only"))
@@ -77,28 +92,33 @@ def transitions(found: DataFrame, keys: list[str], first_year: int, last_year: i
     return whole.withColumn("until", F.lead("since").over(w)).select(*keys, "zone", "since", "until", "offset")
 
 
-def to_utc(rows: DataFrame, keys: list[str], zone: str, local: str, table: DataFrame, name: str = "utc") -> DataFrame:
-    """rows with the instant (timestamp_ntz in UTC) of a wall clock time in a zone of their calendar; null where the calendar doesn't define the zone.
+def met(rows: DataFrame, keys: list[str], zone: str, table: DataFrame, name: str = "stretches") -> DataFrame:
+    """rows with a struct of their zone's transitions (stretches in order, least and widest offset), for instant; null where the calendar doesn't define the zone.
 
-    An as-of join: rows meet only the stretches of their zone that touch their year, then those whose bounds hold their instant.
+    The bytes of a table's files say little of its rows, so few stretches are broadcast after they were counted, and many meet by a merge, never by a guess.
     """
-    day = 86_400
-    a_year = lambda t: F.year(F.timestamp_seconds(t))
-    asked = rows.where(F.col(zone).isNotNull() & F.col(local).isNotNull()).select(*keys, F.col(zone).alias("z_zone"), F.unix_seconds(F.col(local).cast("timestamp")).alias("z_t")).distinct().withColumn("z_year", a_year(F.col("z_t")))
-    bounds = asked.groupBy(*keys, "z_zone").agg(F.min("z_year").alias("z_low"), F.max("z_year").alias("z_high"))
-    named = [F.col(k).alias(f"t_{k}") for k in keys]
-    stretches = table.select(*named, F.col("zone").alias("t_zone"), "since", "until", "offset")
-    widest = stretches.groupBy(*(f"t_{k}" for k in keys), "t_zone").agg(F.max("offset").alias("widest"))
-    stretches = stretches.join(widest, [*(f"t_{k}" for k in keys), "t_zone"])
-    same = [F.col(k) == F.col(f"t_{k}") for k in keys] + [F.col("z_zone") == F.col("t_zone")]
-    first = F.greatest(F.col("z_low"), F.coalesce(a_year(F.col("since") - day), F.col("z_low")))
-    final = F.least(F.col("z_high"), F.coalesce(a_year(F.col("until") + day), F.col("z_high")))
-    by_year = stretches.join(bounds, same).where(first <= final).select("t_zone", *(f"t_{k}" for k in keys), "since", "until", "offset", "widest", F.explode(F.sequence(first, final)).alias("t_year"))
-    within = lambda t: (F.col("since").isNull() | (F.col("since") <= t)) & (F.col("until").isNull() | (t < F.col("until")))
-    valid, gap = within(F.col("z_t") - F.col("offset")), within(F.col("z_t") - F.col("widest"))
-    met = asked.join(by_year, [*same, F.col("z_year") == F.col("t_year")]).where(valid | gap)
-    utc = F.coalesce(F.min(F.when(valid, F.col("z_t") - F.col("offset"))), F.min(F.when(gap, F.col("z_t") - F.col("offset"))))
-    found = met.groupBy(*keys, "z_zone", "z_t").agg(utc.alias("z_utc"))
-    found = found.select(*(F.col(k).alias(f"f_{k}") for k in keys), F.col("z_zone").alias("f_zone"), F.col("z_t").alias("f_t"), F.timestamp_seconds("z_utc").cast("timestamp_ntz").alias(name))
-    on = [F.col(k) == F.col(f"f_{k}") for k in keys] + [F.col(zone) == F.col("f_zone"), F.unix_seconds(F.col(local).cast("timestamp")) == F.col("f_t")]
-    return rows.join(found, on, "left").drop("f_zone", "f_t", *(f"f_{k}" for k in keys))
+    stretches = F.array_sort(F.collect_list(F.struct("since", "until", "offset")))
+    zones = kept(table.groupBy(*keys, "zone").agg(F.struct(stretches.alias("each"), F.min("offset").alias("least"), F.max("offset").alias("widest")).alias(name)), "zones")
+    zones = _sized(zones.select(*(F.col(k).alias(f"f_{k}") for k in keys), F.col("zone").alias("f_zone"), name), F.size(f"{name}.each"), BROADCAST_STRETCHES)
+    return rows.join(zones, [F.col(k) == F.col(f"f_{k}") for k in keys] + [F.col(zone) == F.col("f_zone")], "left").drop("f_zone", *(f"f_{k}" for k in keys))
+
+
+def near(stretches: Column, first: Column, last: Column) -> Column:
+    """Of a struct that met gives what wall clock times between two can fall into."""
+    t = lambda c: F.unix_seconds(c.cast("timestamp"))
+    touches = lambda s: (s.until.isNull() | (s.until > t(first) - stretches.widest)) & (s.since.isNull() | (s.since <= t(last) - stretches.least))
+    return F.when(stretches.isNotNull(), F.struct(F.filter(stretches.each, touches).alias("each"), stretches.least.alias("least"), stretches.widest.alias("widest")))
+
+
+def instant(local: Column, stretches: Column) -> Column:
+    """The instant (timestamp_ntz in UTC) of a wall clock time, by the struct that met gives."""
+    t = F.unix_seconds(local.cast("timestamp"))
+    within = lambda s, u: (s.since.isNull() | (s.since <= u)) & (s.until.isNull() | (u < s.until))
+    greatest = lambda holds: F.aggregate(stretches.each, F.lit(None).cast("int"), lambda most, s: F.when(holds(s), F.greatest(most, s.offset)).otherwise(most))
+    offset = F.coalesce(greatest(lambda s: within(s, t - s.offset)), greatest(lambda s: within(s, t - stretches.widest)))
+    return F.timestamp_seconds(t - offset).cast("timestamp_ntz")
+
+
+def to_utc(rows: DataFrame, keys: list[str], zone: str, local: str, table: DataFrame, name: str = "utc") -> DataFrame:
+    """rows with the instant (timestamp_ntz in UTC) of a wall clock time in a zone of their calendar; null where the calendar doesn't define the zone."""
+    return met(rows, keys, zone, table, "z_stretches").withColumn(name, instant(F.col(local), F.col("z_stretches"))).drop("z_stretches")

@@ -145,10 +145,12 @@ def calendar_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, column in (("{uid}", k.cast("string")), ("{zone}", zone), ("{d}", (k % 5).cast("string"))):
         text = F.replace(text, F.lit(name), column)
     texts = spread(table(spark, sf_dir, "supplier").select("s_suppkey")).select(k.cast("string").alias("uid"), text.alias("text"))
-    events = kept(calendar_events(texts.select("text")), "events")  # parsed once, then expanded
-    moves = kept(own_zones.transitions(own_zones.observances(texts), ["uid"], 2026, 2026), "moves")
+    texts = texts.withColumn("blocks", own_zones.zone_blocks(F.col("text"))).withColumn("zones", own_zones.definition(F.col("blocks")))
+    events = kept(calendar_events(texts.select("zones", "text")), "events")  # parsed once, then expanded
+    defined = kept(texts.select("zones", "blocks").distinct(), "definitions")  # few, as calendars share them
+    moves = own_zones.transitions(own_zones.observances(defined, None), ["zones"], 2026, 2026)
     none = events.limit(0).select("uid", "replaces", "starts", "ends", "zone")
-    found = ingest.occurrences_between(events, none, F.lit("2026-03-01").cast("timestamp"), F.lit("2026-12-01").cast("timestamp"), moves)
+    found = ingest.occurrences_between(events, none, F.lit("2026-03-01").cast("timestamp"), F.lit("2026-12-01").cast("timestamp"), moves, ("zones",))
     return found.select("uid", F.date_format("starts", "yyyy-MM-dd HH:mm").alias("starts"), F.date_format("ends", "HH:mm").alias("ends"))
 
 

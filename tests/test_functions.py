@@ -270,3 +270,47 @@ def test_zone_definitions_are_expanded_once(spark, monkeypatch):
     texts = spark.createDataFrame([(str(k), zone) for k in range(30)], "uid string, text string")
     found = own_zones.transitions(own_zones.observances(texts), ["uid"], 2026, 2026).groupBy("uid").agg(F.count(F.lit(1)).alias("n")).collect()
     assert len(found) == 30 and len({r.n for r in found}) == 1 and sizes == [1]
+
+
+def test_events_meet_their_zones_before_they_are_expanded(spark, monkeypatch):
+    from zoneinfo import ZoneInfo
+
+    event = "BEGIN:VEVENT\r\nUID:{}\r\nDTSTART;TZID=Our Berlin:20260301T023000\r\nDURATION:PT45M\r\nRRULE:FREQ=DAILY\r\nEXDATE:20260303T013000Z\r\nEND:VEVENT\r\n"
+    berlin = BERLIN.replace("\n", "\r\n")
+    # Offsets of nearly a day, and two switches within a day: what an event's days can fall into is wider than its days.
+    odd = "BEGIN:VTIMEZONE\r\nTZID:Our Berlin\r\nBEGIN:STANDARD\r\nDTSTART:20260401T000000\r\nTZOFFSETFROM:+0500\r\nTZOFFSETTO:-2300\r\nRDATE:20260501T120000\r\nEND:STANDARD\r\nBEGIN:DAYLIGHT\r\nDTSTART:20260501T040000\r\nTZOFFSETFROM:-2300\r\nTZOFFSETTO:+2300\r\nRDATE:20261203T000000\r\nEND:DAYLIGHT\r\nEND:VTIMEZONE\r\n"
+    texts = spark.createDataFrame([(zone + event.format(uid),) for zone, uid in [(berlin, "a"), (odd, "b"), (berlin, "c"), (berlin, "d"), (odd, "d"), ("", "e")]], "text string")
+    texts = texts.select(own_zones.zone_blocks(F.col("text")).alias("blocks"), "text").withColumn("zones", own_zones.definition(F.col("blocks")))
+    table = own_zones.transitions(own_zones.observances(texts.select("zones", "blocks").distinct(), None), ["zones"], 2026, 2026)
+    events = calendar_events(texts.select("zones", "text")).where("uid <> 'e'")
+    none = events.limit(0).select("uid", "replaces", "starts", "ends", "zone")
+    found = lambda: ingest.occurrences_between(events, none, F.lit("2026-01-01").cast("timestamp"), F.lit("2026-12-01").cast("timestamp"), table, ("zones",))
+
+    spans = {}
+    for r in table.collect():
+        spans.setdefault(r.zones, []).append((float("-inf") if r.since is None else r.since, float("inf") if r.until is None else r.until, r.offset))
+    spans = {len(s): s for s in spans.values()}
+    assert len(spans) == 2
+    expected = []
+    for uid, held in (("a", max(spans)), ("b", min(spans)), ("c", max(spans)), ("d", max(spans)), ("d", min(spans))):
+        for k in range(280):
+            at = dt.datetime(2026, 3, 1, 2, 30) + dt.timedelta(days=k)
+            t, s = int(at.replace(tzinfo=dt.UTC).timestamp()), spans[held]
+            gap = t - max(o for *_, o in s)
+            utc = min([t - o for a, z, o in s if a <= t - o < z] or [t - o for a, z, o in s if a <= gap < z])
+            start = dt.datetime.fromtimestamp(utc, dt.UTC).replace(tzinfo=None)
+            assert held == min(spans) or start == at.replace(tzinfo=ZoneInfo("Europe/Berlin"), fold=0).astimezone(dt.UTC).replace(tzinfo=None)
+            if start < dt.datetime(2026, 12, 1) and start != dt.datetime(2026, 3, 3, 1, 30):
+                expected.append((uid, start, start + dt.timedelta(minutes=45)))
+    rows = lambda df: sorted((r.uid, r.starts, r.ends) for r in df.collect())
+    few = found()
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("Generate inline") < plan.find("Join "), "a row an event is joined, not a row a day"
+    assert rows(few) == sorted(expected)
+    # Many definitions meet by a merge, whatever the bytes of their files say.
+    monkeypatch.setattr(own_zones, "BROADCAST_STRETCHES", 0)
+    monkeypatch.setattr(own_zones, "BROADCAST_ONSETS", 0)
+    table = own_zones.transitions(own_zones.observances(texts.select("zones", "blocks").distinct(), None), ["zones"], 2026, 2026)
+    many = found()
+    assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString() and "BroadcastHashJoin" not in table._jdf.queryExecution().executedPlan().toString()
+    assert rows(many) == sorted(expected)
